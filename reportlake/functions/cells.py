@@ -39,12 +39,14 @@ TAIL_WIDTH = 10
 N_CELLS = len(CELLS)
 _GAP = FILLER_WIDTH + SPACES_WIDTH
 _NUM = r"[\p{Nd}.]"
+_ASCII_NUM = "[0123456789.]"
 _START = rf"^[^\p{{Nd}}T]*+(?:\p{{Nd}}{{{YEAR_DIGITS}}}|{TOTALS})"
 
-# A row with fourteen clean tokens; every quantifier is possessive or bounded.
+# A row with fourteen clean ASCII tokens; every quantifier is possessive or bounded.
 PLAIN_ROW = (
-    rf"{_START}(?: {{1,{_GAP}}}+{_NUM}{{1,{MONTH_WIDTH}}}+){{{len(MONTHS)}}}"
-    rf" {{1,{_GAP}}}+{_NUM}{{1,{TOTALS_WIDTH}}}+ {{0,{TAIL_WIDTH}}}+\z"
+    rf"^[ \f]*+(?:[0-9]{{{YEAR_DIGITS}}}+|{TOTALS})"
+    rf"(?: {{1,{_GAP}}}+{_ASCII_NUM}{{1,{MONTH_WIDTH}}}+){{{len(MONTHS)}}}"
+    rf" {{1,{_GAP}}}+{_ASCII_NUM}{{1,{TOTALS_WIDTH}}}+ {{0,{TAIL_WIDTH}}}+\z"
 )
 # Anything that could be a row: year or total, a gap, then only cell characters.
 ROW_GUARD = rf"{_START}(?=[# ])[\p{{Nd}}.# ]*+\z"
@@ -154,7 +156,8 @@ def is_packed_row(line: Column) -> Column:
 def is_column_row(line: Column) -> Column:
     """Rows of the ``columns`` layout: all packed rows, and rows with masked cells."""
     return (
-        F.when(line.rlike(COLUMN_ROW), F.lit(True))
+        F.when(line.rlike(PLAIN_ROW), F.lit(True))
+        .when(line.rlike(COLUMN_ROW), F.lit(True))
         .when(line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]"), _fits(line))
         .otherwise(F.lit(False))
     )
@@ -201,94 +204,127 @@ def _packed(row: Column) -> Column:
     )
 
 
+def _split_row(line: Column) -> Column:
+    """Year and cell tokens, when nothing but spaces comes before the year."""
+    return F.split(F.btrim(line, F.lit(" \f")), " +")
+
+
+def _is_whole(tokens: Column) -> Column:
+    return (F.size(tokens) == N_CELLS + 1) & F.get(tokens, F.lit(0)).rlike(
+        rf"^(?:\p{{Nd}}{{{YEAR_DIGITS}}}|{TOTALS})\z"
+    )
+
+
 def _space_tokens(body: Column) -> Column:
     """Tokens between spaces; ``#`` touching the year belongs to no cell."""
     clean = F.when(body.startswith("#"), F.regexp_replace(body, "^#+", "")).otherwise(body)
-    return F.split(F.trim(clean), " +")
+    return F.array_remove(F.split(clean, " +"), "")
+
 
+def _with_year(line: Column, cells: Column) -> Column:
+    return F.concat(F.array(year_of(line)), cells)
 
-def packed_cells(line: Column) -> Column:
-    return F.when(line.rlike(PLAIN_ROW), _space_tokens(_body(line))).otherwise(
-        let(_layout(_body(line)), _packed)
+
+def packed_row(line: Column) -> Column:
+    """Fourteen texts of a matching row in the ``pack_left`` layout."""
+    return F.when(line.rlike(PLAIN_ROW), _split_row(line)).otherwise(
+        _with_year(line, let(_layout(_body(line)), _packed))
     )
 
 
-def _label_centres(header: Column) -> Column:
-    """Twice the centre of every column label of the header line, one-based."""
-    return F.array(
-        *[F.instr(header, name) * 2 + F.lit(len(name) - 1) for name in CELLS]
+def header_places(header: Column) -> Column:
+    """Where the columns lie, from the header line: label centres, doubled, and the
+    first character of each column's zone, zones meeting halfway between centres."""
+    label = [F.instr(header, name) * 2 + F.lit(len(name) - 1) for name in CELLS]
+    between = [(a + b) / 4 for a, b in zip(label, label[1:])]
+    starts = [F.ceil(x).cast("int") for x in between]
+    return F.when(
+        header.isNotNull(),
+        F.struct(F.array(*label).alias("centres"), F.array(*starts).alias("starts")),
     )
 
 
-def _placed(line: Column, header: Column) -> Column:
-    """Cells of a row with missing tokens, by the header label nearest to each token."""
+def _zones(line: Column, places: Column) -> Column:
+    """Texts of the thirteen zones; null unless every token lies in a zone of its own.
+
+    A run of ``#`` may cross zones: it masks every column it covers.
+    """
+    first = F.length(F.regexp_extract(line, _HEAD, 1)) + 1
+    starts = [first] + [F.get(places["starts"], F.lit(i)) for i in range(N_CELLS - 1)]
+    ends = starts[1:] + [F.length(line) + 1]
+    texts = [F.trim(F.substr(line, a, F.greatest(b - a, F.lit(0)))) for a, b in zip(starts, ends)]
+    clean = starts[1] >= first
+    for text in texts:
+        clean = clean & ~text.contains(" ")
+    for start in starts[1:]:
+        seam = F.substr(line, start - 1, F.lit(2))
+        clean = clean & (seam.contains(" ") | (seam == "##") | (F.length(seam) < 2))
+    return F.when(clean, F.array(*texts))
+
+
+def _nearest(line: Column, places: Column) -> Column:
+    """Cells by the label nearest to each token; null unless every token has its own."""
     offset = F.length(F.regexp_extract(line, _HEAD, 1))
     pieces = F.regexp_extract_all(_body(line), F.lit(r"( *+[^ ]++)"), F.lit(1))
 
-    def spans(parts: Column) -> Column:
-        return F.transform(
-            parts,
-            lambda p, i: let(
-                offset + _total(F.slice(parts, F.lit(1), i + 1), F.length),
-                lambda end: F.struct(
-                    F.ltrim(p).alias("text"),
-                    (end - F.length(F.ltrim(p)) + 1).alias("first"),
-                    end.alias("last"),
-                ),
+    def centre(parts: Column, i: Column) -> Column:
+        end = offset + _total(F.slice(parts, F.lit(1), i + 1), F.length)
+        return 2 * end - F.length(F.ltrim(F.get(parts, i))) + 1
+
+    def column(parts: Column, i: Column) -> Column:
+        return let(
+            centre(parts, i),
+            lambda c: let(
+                F.transform(places["centres"], lambda x: F.abs(x - c)),
+                lambda away: F.array_position(away, F.array_min(away)).cast("int"),
             ),
         )
 
-    def nearest(span: Column, centres: Column) -> Column:
-        away = F.transform(centres, lambda c: F.abs(c - span["first"] - span["last"]))
-        return F.array_position(away, F.array_min(away)).cast("int")
-
-    def cells(found: Column, centres: Column) -> Column:
-        at = F.transform(found, lambda s: nearest(s, centres))
-
-        def fill(columns: Column) -> Column:
-            rising = F.size(F.array_distinct(columns)) == F.size(columns)
-            by_header = F.transform(
-                centres,
-                lambda c, i: F.coalesce(
-                    F.get(found, F.array_position(columns, i + 1).cast("int") - 1)["text"],
-                    F.get(
-                        F.filter(
-                            found,
-                            lambda s: s["text"].startswith("#")
-                            & (c >= 2 * s["first"])
-                            & (c <= 2 * s["last"]),
-                        ),
-                        F.lit(0),
-                    )["text"],
-                    F.lit(""),
-                ),
-            )
-            in_order = F.transform(
-                F.sequence(F.lit(0), F.lit(N_CELLS - 1)),
-                lambda i: F.coalesce(F.get(found, i)["text"], F.lit("")),
-            )
-            packs = line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]") & _fits(line)
-            return (
-                F.when(header.isNotNull() & rising, by_header)
-                .when(packs, let(_layout(_body(line)), _packed))
-                .otherwise(in_order)
-            )
-
-        return let(at, fill)
+    def cells(parts: Column) -> Column:
+        return let(
+            F.transform(parts, lambda _, i: column(parts, i)),
+            lambda at: F.when(
+                F.size(F.array_distinct(at)) == F.size(at),
+                _spread(F.transform(parts, lambda p: F.ltrim(p)), at),
+            ),
+        )
 
-    return let(
-        F.struct(spans(pieces).alias("s"), _label_centres(F.coalesce(header, F.lit(""))).alias("c")),
-        lambda both: cells(both["s"], both["c"]),
+    return let(pieces, cells)
+
+
+def _in_order(line: Column) -> Column:
+    tokens = _space_tokens(_body(line))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(N_CELLS - 1)),
+        lambda i: F.coalesce(F.get(tokens, i), F.lit("")),
     )
 
 
-def column_cells(line: Column, header: Column) -> Column:
-    """Thirteen raw cell texts, ``#`` kept, each under its own column."""
+def _sparse(line: Column, places: Column) -> Column:
+    """A row with tokens missing: by zone, by nearest label, or packed to the left."""
+    packs = line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]") & _fits(line)
+    packed = F.when(packs, let(_layout(_body(line)), _packed)).otherwise(_in_order(line))
+    return F.when(places.isNull(), packed).otherwise(
+        F.coalesce(_zones(line, places), _nearest(line, places), packed)
+    )
+
+
+def _uneven(line: Column, places: Column) -> Column:
+    n = F.size(_space_tokens(_body(line)))
+    return (
+        F.when(n == N_CELLS, _space_tokens(_body(line)))
+        .when(n < N_CELLS, _sparse(line, places))
+        .otherwise(let(_layout(_body(line)), _packed))
+    )
+
+
+def column_row(line: Column, places: Column) -> Column:
+    """Fourteen raw texts of a matching row, ``#`` kept, each under its own column."""
     return let(
-        _space_tokens(_body(line)),
-        lambda tokens: F.when(F.size(tokens) == N_CELLS, tokens)
-        .when(F.size(tokens) < N_CELLS, _placed(line, header))
-        .otherwise(let(_layout(_body(line)), _packed)),
+        _split_row(line),
+        lambda tokens: F.when(_is_whole(tokens), tokens).otherwise(
+            _with_year(line, _uneven(line, places))
+        ),
     )
 
 

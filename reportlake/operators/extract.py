@@ -13,7 +13,7 @@ from reportlake.operators.segment import (
     sticky_lines,
     with_segments,
 )
-from reportlake.operators.staging import stage
+from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import FILE_FIELD, MARKER_FIELD, Grammar, ReportPlan, default_plan
 
 SEPARATOR = "; "
@@ -42,9 +42,8 @@ def _head_name(stage: int) -> str:
 
 
 def _parsed_lines(lines: Column, grammar: Grammar) -> Column:
-    no_header = F.lit(None).cast("string")
     return F.transform(
-        lines, lambda x: F.struct(x["n"].alias("n"), grammar.parse(x["l"], no_header).alias("p"))
+        lines, lambda x: F.struct(x["n"].alias("n"), grammar.parse(x["l"]).alias("p"))
     )
 
 
@@ -54,21 +53,26 @@ def _listed_texts(stage: int, grammar: Grammar, name: str) -> Column:
     )
 
 
-def with_context(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
-    """Segmented documents with the parsed line of every single-line stage and the
-    parsed lines of every repeating stage before the detail table."""
-    seg = with_segments(docs, plan, value)
-    no_header = F.lit(None).cast("string")
+@per_plan
+def _context_columns(plan: ReportPlan) -> dict[str, Column]:
     columns = {}
     for i in _singles(plan):
-        grammar = plan.stages[i].grammar
         line = line_at(read_position(i))
-        columns[_head_name(i)] = F.when(line.isNotNull(), grammar.parse(line, no_header))
+        parsed = plan.stages[i].grammar.parse(line)
+        columns[_head_name(i)] = F.when(line.isNotNull(), parsed)
     for i in _loops(plan):
-        columns[_list_name(i)] = _parsed_lines(repeated_lines(plan, i), plan.stages[i].grammar)
-    return stage(seg, **columns)
+        lines = repeated_lines(plan, i)
+        columns[_list_name(i)] = _parsed_lines(lines, plan.stages[i].grammar)
+    return columns
+
+
+def with_context(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
+    """Segmented documents with the parsed line of every single-line stage and the
+    parsed lines of every repeating stage before the detail table."""
+    return stage(with_segments(docs, plan, value), **_context_columns(plan))
 
 
+@per_plan
 def context_values(plan: ReportPlan) -> dict[str, Column]:
     """Document-level fields as text, merged in stage order.
 
@@ -94,6 +98,7 @@ def context_values(plan: ReportPlan) -> dict[str, Column]:
     return out
 
 
+@per_plan
 def has_required(plan: ReportPlan) -> Column:
     """The required field was read by a single-line stage before the first repeating line."""
     ok = F.lit(True)
@@ -108,6 +113,7 @@ def has_required(plan: ReportPlan) -> Column:
     return ok
 
 
+@per_plan
 def _bad_context(plan: ReportPlan) -> Column:
     """A repeating stage cannot append to a null the context already holds."""
     bad = F.lit(False)
@@ -171,33 +177,27 @@ def detail_lines(
     context = {f"ctx_{n}": c for n, c in context_values(plan).items()}
     usable = has_required(plan) & ~_bad_context(plan)
     ctx = stage(
-        ctx, **context, header_line=header_line, offered=F.when(usable, sticky_lines(plan))
+        ctx, **context, header=grammar.prepare(header_line), offered=F.when(usable, sticky_lines(plan))
     )
     rows = ctx.select(
-        key, *keep, *context, "header_line", F.explode_outer(F.col("offered")).alias("x")
+        key, *keep, *context, "header", F.explode_outer(F.col("offered")).alias("x")
     )
-    line, ahead = F.col("x.l"), F.col("x.l_next")
-    by_look_ahead = F.when(ahead.isNotNull(), grammar.all_present(ahead)).otherwise(F.lit(False))
-    rows = rows.where(F.col("x").isNotNull() & (grammar.matches(line) | by_look_ahead))
-    direct = ahead.isNull() | grammar.matches(line)
-    rows = rows.select(
+    return rows.where(F.col("x").isNotNull()).select(
         key,
         *keep,
         *context,
-        "header_line",
-        F.when(direct, F.col("x.n")).otherwise(F.col("x.next_n")).alias("line_no"),
-        F.when(direct, line).otherwise(ahead).alias("line"),
-    )
-    return rows.select(
-        key,
-        *keep,
-        *context,
-        "line_no",
-        "line",
-        grammar.parse(F.col("line"), F.col("header_line")).alias("parsed"),
+        F.col("x.n").alias("line_no"),
+        F.col("x.l").alias("line"),
+        _parsed_row(plan).alias("parsed"),
     )
 
 
+@per_plan
+def _parsed_row(plan: ReportPlan) -> Column:
+    return plan.detail.grammar.parse(F.col("x.l"), F.col("header"))
+
+
+@per_plan
 def _row_values(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.values(F.col("parsed"))
 

@@ -4,8 +4,8 @@ One fold over the current lines of a document, written as a Catalyst
 ``aggregate``.  Its state has a fixed size for a given plan, whatever the length
 of the document: the active stage, where each stage read its line or began and
 ended, and at most two notes per stage.  Only the grammar of the active stage is
-tried on a line, and the sticky stage at the end is left to a plain filter, so a
-long table costs next to nothing here.
+tried on a line.  The lines of the sticky stage at the end are marked once, before
+the fold, and picked by a plain filter after it.
 
 Lines are named by position in ``kept``.  The rules, for line ``L`` with
 look-ahead ``N`` and active stage ``T``:
@@ -26,8 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.operators.lines import starts_page, with_lines
-from reportlake.operators.staging import stage
+from reportlake.operators.lines import current_positions, kept_lines, starts_page
+from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import ReportPlan
 
 SKIPPED = "skipped_bad_line"
@@ -57,18 +57,21 @@ class _Fold:
     def is_footer(self, at: Column) -> Column:
         return starts_page(self.line(at + 1))
 
-    def per_stage(self, stage: Column, among: list[int], value) -> Column:
-        """A choice among the stages' values, only the active one being evaluated."""
+    def per_stage(self, stage: Column, among: list[int], value, mark: Column) -> Column:
+        """A choice among the stages' tests, only the active one being evaluated."""
         out = F.when(F.lit(False), F.lit(False))
         for i in among:
-            out = out.when(stage == i, value(self.plan.stages[i].grammar))
+            test = mark if i == self.plan.sticky else value(self.plan.stages[i].grammar)
+            out = out.when(stage == i, test)
         return out.otherwise(F.lit(False))
 
     def matches(self, stage: Column, at: Column, among: list[int]) -> Column:
-        return self.per_stage(stage, among, lambda g: g.matches(self.line(at)))
+        mark = F.get(self.kept, at)["matches"]
+        return self.per_stage(stage, among, lambda g: g.matches(self.line(at)), mark)
 
     def full(self, stage: Column, at: Column, among: list[int]) -> Column:
-        return self.per_stage(stage, among, lambda g: g.all_present(self.line(at)))
+        mark = F.get(self.kept, at)["whole"]
+        return self.per_stage(stage, among, lambda g: g.all_present(self.line(at)), mark)
 
     def after(self, stages: list[int]) -> list[int]:
         return [i + 1 for i in stages if i + 1 < self.n]
@@ -193,16 +196,16 @@ class _Fold:
         if self.plan.sticky is not None:
             # Only footers read by look-ahead and tolerated lines need the fold.
             look = (acc["skips"] > 0) | self.is_footer(at + 1)
-            own = [self.plan.sticky]
+            here, ahead = F.get(self.kept, at)["matches"], F.get(self.kept, at + 1)["whole"]
             sticky = (
                 F.when(~look, acc)
-                .when(self.matches(stage, at, own), acc)
+                .when(here, acc)
                 .when(
                     acc["skips"] > 0,
                     self.state(acc, skips=acc["skips"] - 1, quiet=at + 1),
                 )
                 .when(
-                    (at != self.last) & self.full(stage, at + 1, own),
+                    (at != self.last) & ahead,
                     self.state(acc, passing=F.lit(True)),
                 )
                 .otherwise(acc)
@@ -221,12 +224,34 @@ class _Fold:
         )
 
 
+@per_plan
+def _marked_lines(plan: ReportPlan, value: str) -> Column:
+    """Kept lines, each marked with whether it is a line of the sticky stage."""
+
+    def marked(x: Column) -> Column:
+        matches = whole = F.lit(False)
+        if plan.sticky is not None:
+            matches = plan.detail.grammar.matches(x["l"])
+            whole = matches
+            if plan.detail.grammar.loose:
+                whole = plan.detail.grammar.all_present(x["l"])
+        return F.struct(x["n"], x["l"], matches.alias("matches"), whole.alias("whole"))
+
+    return F.transform(kept_lines(F.col(value)), marked)
+
+
+@per_plan
+def _fold(plan: ReportPlan) -> Column:
+    fold = _Fold(plan, F.col("kept"), F.col("current"))
+    return F.aggregate(F.col("current"), fold.zero(), fold.step)
+
+
 def with_segments(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
     """``docs`` with ``kept``, ``current`` and the fold's result ``seg``."""
-    lines = with_lines(docs, value)
-    fold = _Fold(plan, F.col("kept"), F.col("current"))
-    result = F.aggregate(F.col("current"), fold.zero(), fold.step)
-    return stage(lines, seg=result)
+    others = [c for c in docs.columns if c != value]
+    lines = stage(docs, kept=_marked_lines(plan, value)).select(*others, "kept")
+    lines = stage(lines, current=current_positions(F.col("kept")))
+    return stage(lines, seg=_fold(plan))
 
 
 def line_at(position: Column) -> Column:
@@ -248,44 +273,47 @@ def stage_span(stage: int) -> Column:
     )
 
 
+def _text_of(position: Column) -> Column:
+    entry = F.get(F.col("kept"), position)
+    return F.struct(entry["n"].alias("n"), entry["l"].alias("l"))
+
+
+def _led_by(ahead: Column, lines: Column) -> Column:
+    """``lines`` after the line a stage was entered with by look-ahead, if any."""
+    first = F.when(ahead >= 0, F.array(_text_of(ahead))).otherwise(
+        F.slice(lines, F.lit(1), F.lit(0))
+    )
+    return F.concat(first, lines)
+
+
+@per_plan
 def repeated_lines(plan: ReportPlan, stage: int) -> Column:
     """``array<struct<n, l>>``: lines of a repeating stage that is not sticky, in order."""
     grammar = plan.stages[stage].grammar
-    kept, ahead = F.col("kept"), read_position(stage)
-    lines = F.transform(stage_span(stage), lambda i: F.get(kept, i))
-    matched = F.filter(lines, lambda x: grammar.matches(x["l"]))
-    first = F.when(ahead >= 0, F.array(F.get(kept, ahead))).otherwise(F.slice(kept, F.lit(1), F.lit(0)))
-    return F.concat(first, matched)
+    lines = F.transform(stage_span(stage), _text_of)
+    return _led_by(read_position(stage), F.filter(lines, lambda x: grammar.matches(x["l"])))
 
 
+@per_plan
 def sticky_lines(plan: ReportPlan) -> Column:
-    """``array<struct<n, l, next_n, l_next>>``: lines offered to the detail stage.
+    """``array<struct<n, l>>``: lines the last stage read, in order.
 
-    ``l_next`` is set where the look-ahead is a footer that may be read in place
-    of a line that does not match.  A line the stage was entered with by
-    look-ahead comes first.
+    A footer counts when it was the look-ahead of a line that does not match.
     """
-    kept, stage = F.col("kept"), plan.sticky
-    quiet, last = F.col("seg.quiet"), F.get(F.col("current"), F.size("current") - 1)
-    ahead = read_position(stage)
-
-    def entry(i: Column) -> Column:
-        footer = starts_page(F.get(kept, i + 2)["l"]) & (i >= quiet) & (i != last)
-        return F.struct(
-            F.get(kept, i)["n"].alias("n"),
-            F.get(kept, i)["l"].alias("l"),
-            F.when(footer, F.get(kept, i + 1)["n"]).alias("next_n"),
-            F.when(footer, F.get(kept, i + 1)["l"]).alias("l_next"),
-        )
+    kept, current = F.col("kept"), F.col("current")
+    quiet, last = F.col("seg.quiet"), F.get(current, F.size(current) - 1)
 
-    def entered(i: Column) -> Column:
-        return F.struct(
-            F.get(kept, i)["n"].alias("n"),
-            F.get(kept, i)["l"].alias("l"),
-            F.lit(None).cast("int").alias("next_n"),
-            F.lit(None).cast("string").alias("l_next"),
+    def footer(i: Column) -> Column:
+        return (
+            F.get(kept, i + 1)["whole"]
+            & starts_page(F.get(kept, i + 2)["l"])
+            & (i >= quiet)
+            & (i != last)
         )
 
-    lines = F.transform(stage_span(stage), entry)
-    first = F.when(ahead >= 0, F.array(entered(ahead))).otherwise(F.slice(lines, F.lit(1), F.lit(0)))
-    return F.concat(first, lines)
+    read = F.transform(
+        stage_span(plan.sticky),
+        lambda i: F.when(F.get(kept, i)["matches"], i).when(footer(i), i + 1),
+    )
+    lines = F.transform(F.array_compact(read), _text_of)
+    return _led_by(read_position(plan.sticky), lines)

@@ -9,11 +9,29 @@ filters on the columns passing through still reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_built: dict = {}
+
 
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns added that later steps read but never recompute."""
     values = [c.alias(n) for n, c in columns.items()]
     return df.select("*", F.inline(F.array(F.struct(*values))))
+
+
+def per_plan(build):
+    """Build an expression once per application and plan; it only names columns."""
+
+    @wraps(build)
+    def once(*args):
+        app = SparkSession.active().sparkContext.applicationId
+        key = (app, build.__module__, build.__qualname__, args)
+        if key not in _built:
+            _built[key] = build(*args)
+        return _built[key]
+
+    return once

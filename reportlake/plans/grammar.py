@@ -35,6 +35,11 @@ class Grammar:
     def fields(self) -> list[str]:
         return list(self.compiled.groups)
 
+    @property
+    def loose(self) -> bool:
+        """Some named group may take no part in a match."""
+        return bool(self.compiled.optional)
+
     def _guarded(self, line: Column, test: Column) -> Column:
         for literal in reversed(self.needs):
             test = F.when(line.contains(literal), test).otherwise(F.lit(False))
@@ -54,7 +59,12 @@ class Grammar:
         presence = self.compiled.optional.get(name)
         return F.when(line.rlike(presence), text) if presence else text
 
-    def parse(self, line: Column, header: Column) -> Column:
+    def prepare(self, header: Column) -> Column:
+        """What ``parse`` needs from the table's header line, worked out once a document."""
+        return F.lit(True)
+
+    def parse(self, line: Column, header: Column | None = None) -> Column:
+        """The parsed line; ``header`` is what ``prepare`` made of the header line."""
         if not self.fields:
             return F.struct(F.lit(True).alias("matched"))
         return F.struct(*[self.group(line, f).alias(f) for f in self.fields])
@@ -88,6 +98,10 @@ class WideRow(Grammar):
     def fields(self) -> list[str]:
         return list(cells.WIDE_FIELDS)
 
+    @property
+    def loose(self) -> bool:
+        return False
+
     def matches(self, line: Column) -> Column:
         if self.layout == "pack_left":
             test = cells.is_packed_row(line)
@@ -100,34 +114,34 @@ class WideRow(Grammar):
     def all_present(self, line: Column) -> Column:
         return self.matches(line)
 
-    def parse(self, line: Column, header: Column) -> Column:
-        raw = (
-            cells.packed_cells(line)
-            if self.layout == "pack_left"
-            else cells.column_cells(line, header)
-        )
-        return F.struct(cells.year_of(line).alias("year"), raw.alias("raw"))
+    def prepare(self, header: Column) -> Column:
+        return cells.header_places(header)
+
+    def parse(self, line: Column, header: Column | None = None) -> Column:
+        if self.layout == "pack_left":
+            return cells.packed_row(line)
+        if header is None:
+            header = self.prepare(F.lit(None).cast("string"))
+        return cells.column_row(line, header)
 
     def values(self, parsed: Column) -> dict[str, Column]:
-        out = {cells.YEAR: parsed["year"]}
-        for i, name in enumerate(cells.CELLS):
-            text = F.get(parsed["raw"], F.lit(i))
-            if self.mask_mode == "blank":
+        out = {}
+        for i, name in enumerate(cells.WIDE_FIELDS):
+            text = F.get(parsed, F.lit(i))
+            if i > 0 and self.mask_mode == "blank":
                 text = F.when(text.contains("#"), F.lit("")).otherwise(text)
             out[name] = text
         return out
 
     def masked(self, parsed: Column) -> Column:
-        flagged = F.transform(
-            parsed["raw"],
-            lambda text, i: F.when(
-                text.contains("#"), F.get(F.array(*[F.lit(c) for c in cells.CELLS]), i)
-            ),
+        names = F.array(*[F.lit(c) for c in cells.WIDE_FIELDS])
+        flagged = F.transform(parsed, lambda text, i: F.when(text.contains("#"), F.get(names, i)))
+        return F.when(F.array_join(parsed, "").contains("#"), F.array_compact(flagged)).otherwise(
+            F.array().cast("array<string>")
         )
-        return F.array_compact(flagged)
 
     def group(self, line: Column, name: str) -> Column:
-        return self.values(self.parse(line, F.lit(None).cast("string")))[name]
+        return self.values(self.parse(line))[name]
 
 
 @dataclass(frozen=True)
