@@ -32,7 +32,7 @@ POOL = "Unassigned"
 JUNK = "~~ scanned copy ~~"
 
 
-def shows(number: Column, variant: str) -> Column:
+def _shows(number: Column, variant: str) -> Column:
     modulus, rest = VARIANTS[variant]
     return number % modulus == rest
 
@@ -46,9 +46,9 @@ def _row_text(first: Column, cells: list[Column], number: Column) -> Column:
     for i, cell in enumerate(cells, 1):
         text = cell.cast("string")
         if i == 3:
-            text = F.when(shows(number, "blank_march"), F.lit("")).otherwise(text)
+            text = F.when(_shows(number, "blank_march"), F.lit("")).otherwise(text)
         if i == 6:
-            text = F.when(shows(number, "masked_june"), F.lit("#####")).otherwise(text)
+            text = F.when(_shows(number, "masked_june"), F.lit("#####")).otherwise(text)
         out.append(_padded(text))
     return F.concat(*out)
 
@@ -84,8 +84,17 @@ def _optional(condition: Column, *lines: Column) -> Column:
     return F.when(condition, F.array(*lines)).otherwise(F.array().cast("array<string>"))
 
 
-def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
-    """``raw_docs(doc_id, value)`` from the tables of one scale directory."""
+def render_reports(
+    spark: SparkSession, sf_dir: str, by_brand: bool = False, without: tuple[str, ...] = ()
+) -> DataFrame:
+    """``raw_docs(doc_id, value)`` from the tables of one scale directory.
+
+    ``without`` names variants that are not rendered.
+    """
+
+    def shows(number: Column, variant: str) -> Column:
+        return F.lit(False) if variant in without else _shows(number, variant)
+
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     part = table("part")
     lines = table("lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
@@ -176,3 +185,42 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = False) ->
         F.array_join(text, "\n")
     )
     return docs.select(doc_id.alias("doc_id"), value.alias("value"))
+
+
+def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(c_custkey, by_well, by_permit)``: the two kinds of result page per customer.
+
+    A customer without orders has nothing to export; one with a negative balance
+    has its list but no data table.  Orders are counted per priority first, so a
+    page has one row per priority.
+    """
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", "c_name", "c_acctbal"
+    )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderpriority")
+    counts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("o_custkey").agg(
+        F.array_join(
+            F.array_sort(
+                F.collect_list(
+                    F.format_string("<tr><td>%s</td><td>%s</td></tr>", "o_orderpriority", F.col("n").cast("string"))
+                )
+            ),
+            "\n",
+        ).alias("rows")
+    )
+    joined = customer.join(rows, customer["c_custkey"] == rows["o_custkey"], "left")
+    listed = "<table><tr><th>Well Name</th><th>Permit</th></tr></table>"
+    found = F.concat(F.lit("<table><tr><th>Well Name</th></tr>"), F.col("rows"), F.lit("</table>"))
+    data = F.when(F.col("c_acctbal") >= 0, F.lit("<table><tr><th>Pool Name</th></tr></table>")).otherwise(F.lit(""))
+    empty = F.lit("<table><tr><td>There are no production records for this well.</td></tr></table>")
+    has = F.col("rows").isNotNull()
+
+    def page(body: Column) -> Column:
+        return F.concat(F.lit("<html><body><form>"), body, F.lit("</form></body></html>"))
+
+    return joined.select(
+        "c_custkey",
+        page(F.when(has, F.concat(F.lit(listed), found, data)).otherwise(F.lit(listed))).alias("by_well"),
+        page(F.when(has, F.concat(found, data)).otherwise(empty)).alias("by_permit"),
+    )
