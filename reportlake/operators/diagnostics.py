@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.operators.extract import _bad_context, _list_name, _loops, has_required, with_context
-from reportlake.operators.segment import NEVER, NO_MATCH, SKIPPED, read_position, stage_span, sticky_lines
+from reportlake.operators.segment import (
+    NEVER,
+    NO_MATCH,
+    SKIPPED,
+    is_detail,
+    read_position,
+    sticky_lines,
+    table_positions,
+)
 from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import Grammar, ReportPlan, default_plan
 
@@ -98,8 +106,9 @@ def _sticky_events(plan: ReportPlan) -> Column:
 
     def event(i: Column) -> Column:
         here, ahead = F.get(kept, i), F.get(kept, i + 1)
-        kind = F.when(~here["matches"] & ahead["whole"], F.lit(SKIPPED)).when(
-            ~here["matches"], F.lit(NO_MATCH)
+        missed = ~is_detail(plan, here)
+        kind = F.when(missed & is_detail(plan, ahead, whole=True), F.lit(SKIPPED)).when(
+            missed, F.lit(NO_MATCH)
         )
         damaged = F.lit(MASKED if not grammar.loose else BAD_PARAMETERS)
         return _event(
@@ -108,14 +117,12 @@ def _sticky_events(plan: ReportPlan) -> Column:
 
     def worth(i: Column) -> Column:
         here = F.get(kept, i)
-        if grammar.loose:
-            return ~here["matches"] | ~here["whole"]
         if grammar.pattern:
-            return ~here["matches"]
-        return ~here["matches"] | here["l"].contains("#")
+            return ~is_detail(plan, here, whole=True)
+        return ~is_detail(plan, here) | here["l"].contains("#")
 
     return F.transform(
-        F.filter(stage_span(plan.sticky), lambda i: (i >= quiet) & worth(i)), event
+        F.filter(table_positions(plan), lambda i: (i >= quiet) & worth(i)), event
     )
 
 

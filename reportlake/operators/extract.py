@@ -57,6 +57,8 @@ def _listed_texts(stage: int, grammar: Grammar, name: str) -> Column:
 def _context_columns(plan: ReportPlan) -> dict[str, Column]:
     columns = {}
     for i in _singles(plan):
+        if set(plan.stages[i].grammar.fields) <= {MARKER_FIELD}:
+            continue
         line = line_at(read_position(i))
         parsed = plan.stages[i].grammar.parse(line)
         columns[_head_name(i)] = F.when(line.isNotNull(), parsed)
@@ -202,6 +204,11 @@ def _row_values(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.values(F.col("parsed"))
 
 
+@per_plan
+def _row_texts(plan: ReportPlan) -> dict[str, Column]:
+    return plan.detail.grammar.texts(F.col("parsed"))
+
+
 def production_wide(
     docs: DataFrame,
     plan: ReportPlan | None = None,
@@ -218,9 +225,10 @@ def production_wide(
     plan = plan or default_plan()
     keep = (file,) if file and file != key else ()
     rows = detail_lines(docs, plan, key, value, keep)
+    cleaned = plan.detail.grammar.cleaned(F.col("parsed"), F.col("line"))
+    rows = stage(rows, parsed_text=cleaned).drop("parsed").withColumnRenamed("parsed_text", "parsed")
     known = {n[len("ctx_"):]: F.col(n) for n in rows.columns if n.startswith("ctx_")}
-    for name, text in _row_values(plan).items():
-        known[name] = cells.hash_cleanup(text_or_none(text))
+    known.update(_row_texts(plan))
     known[FILE_FIELD] = F.col(file or key).cast("string")
     blank = F.lit(None).cast("string")
     columns = [known.get(c, blank).alias(c) for c in plan.columns]

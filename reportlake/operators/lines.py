@@ -15,24 +15,34 @@ from reportlake.operators.staging import stage
 FEED = "\f"
 
 
-def kept_lines(value: Column) -> Column:
-    """``array<struct<n, l>>``: lines with text, and their number in the document.
+def split_lines(value: Column) -> Column:
+    """Lines end at ``\n`` only; carriage returns are taken off both ends, spaces are not."""
+    clean = F.when(
+        value.contains("\r"),
+        F.regexp_replace(F.btrim(value, F.lit("\r")), r"\r*\n\r*", "\n"),
+    ).otherwise(value)
+    return F.split(clean, "\n")
 
-    Lines end at ``\\n`` only; carriage returns are taken off both ends, spaces
-    are not.  Lines of length zero are dropped, lines of spaces stay.
+
+def kept_lines(value: Column, **marks) -> Column:
+    """``array<struct<n, l, ...>>``: lines with text, and their number in the document.
+
+    Lines of length zero are dropped, lines of spaces stay.  ``marks`` are
+    further fields, each made from the line.
     """
-    numbered = F.transform(
-        F.split(value, "\n"),
-        lambda l, i: F.struct((i + 1).alias("n"), F.btrim(l, F.lit("\r\n")).alias("l")),
-    )
-    return F.filter(numbered, lambda x: F.length(x["l"]) > 0)
+
+    def entry(line: Column, i: Column) -> Column:
+        more = [make(line).alias(name) for name, make in marks.items()]
+        return F.struct((i + 1).alias("n"), line.alias("l"), *more)
+
+    return F.filter(F.transform(split_lines(value), entry), lambda x: x["l"] != "")
 
 
 def starts_page(line: Column) -> Column:
     return F.coalesce(line.startswith(FEED), F.lit(False))
 
 
-def current_positions(kept: Column) -> Column:
+def current_positions(kept: Column, has_feed: Column) -> Column:
     """Zero-based positions in ``kept`` of the lines a parser looks at.
 
     A line counts when another one follows it that does not begin a page.  So
@@ -41,18 +51,25 @@ def current_positions(kept: Column) -> Column:
     the first position is then skipped.
     """
     n = F.size(kept)
-    positions = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-    current = F.filter(positions, lambda i: ~starts_page(F.get(kept, i + 1)["l"]))
-    return F.when(
-        starts_page(F.get(kept, F.lit(0))["l"]), F.slice(current, F.lit(2), F.size(kept))
-    ).otherwise(current)
+    none = F.array().cast("array<int>")
+    every = F.sequence(F.lit(0), n - 2)
+    current = F.filter(every, lambda i: ~starts_page(F.get(kept, i + 1)["l"]))
+    opening = starts_page(F.get(kept, F.lit(0))["l"])
+    return (
+        F.when(n < 2, none)
+        .when(~has_feed, every)
+        .when(opening, F.slice(current, F.lit(2), n))
+        .otherwise(current)
+    )
 
 
-def with_lines(docs: DataFrame, value: str = "value") -> DataFrame:
+def with_lines(docs: DataFrame, value: str = "value", **marks) -> DataFrame:
     """Replace the document text by its ``kept`` lines and their ``current`` positions."""
     others = [c for c in docs.columns if c != value]
-    staged = stage(docs, kept=kept_lines(F.col(value))).select(*others, "kept")
-    return stage(staged, current=current_positions(F.col("kept")))
+    text = F.col(value)
+    staged = stage(docs, kept=kept_lines(text, **marks), has_feed=text.contains(FEED))
+    staged = staged.select(*others, "kept", "has_feed")
+    return stage(staged, current=current_positions(F.col("kept"), F.col("has_feed")))
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", value: str = "value") -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.operators.lines import current_positions, kept_lines, starts_page
+from reportlake.operators.lines import starts_page, with_lines
 from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import ReportPlan
 
@@ -57,21 +57,26 @@ class _Fold:
     def is_footer(self, at: Column) -> Column:
         return starts_page(self.line(at + 1))
 
-    def per_stage(self, stage: Column, among: list[int], value, mark: Column) -> Column:
+    def mark(self, at: Column, whole: bool = False) -> Column:
+        return is_detail(self.plan, F.get(self.kept, at), whole)
+
+    def per_stage(self, stage: Column, among: list[int], at: Column, whole: bool) -> Column:
         """A choice among the stages' tests, only the active one being evaluated."""
         out = F.when(F.lit(False), F.lit(False))
         for i in among:
-            test = mark if i == self.plan.sticky else value(self.plan.stages[i].grammar)
+            grammar = self.plan.stages[i].grammar
+            if i == self.plan.sticky:
+                test = self.mark(at, whole)
+            else:
+                test = (grammar.all_present if whole else grammar.matches)(self.line(at))
             out = out.when(stage == i, test)
         return out.otherwise(F.lit(False))
 
     def matches(self, stage: Column, at: Column, among: list[int]) -> Column:
-        mark = F.get(self.kept, at)["matches"]
-        return self.per_stage(stage, among, lambda g: g.matches(self.line(at)), mark)
+        return self.per_stage(stage, among, at, whole=False)
 
     def full(self, stage: Column, at: Column, among: list[int]) -> Column:
-        mark = F.get(self.kept, at)["whole"]
-        return self.per_stage(stage, among, lambda g: g.all_present(self.line(at)), mark)
+        return self.per_stage(stage, among, at, whole=True)
 
     def after(self, stages: list[int]) -> list[int]:
         return [i + 1 for i in stages if i + 1 < self.n]
@@ -192,25 +197,27 @@ class _Fold:
             ),
         )
 
-        out = F.when(stage >= self.n, acc).when(acc["passing"], pass_over)
-        if self.plan.sticky is not None:
+        if self.plan.sticky is None:
+            out = F.when(stage >= self.n, acc).when(acc["passing"], pass_over)
+        else:
             # Only footers read by look-ahead and tolerated lines need the fold.
-            look = (acc["skips"] > 0) | self.is_footer(at + 1)
-            here, ahead = F.get(self.kept, at)["matches"], F.get(self.kept, at + 1)["whole"]
-            sticky = (
-                F.when(~look, acc)
-                .when(here, acc)
-                .when(
-                    acc["skips"] > 0,
-                    self.state(acc, skips=acc["skips"] - 1, quiet=at + 1),
-                )
+            in_table = stage == self.plan.sticky
+            plain = ~acc["passing"] & (acc["skips"] == 0) & ~self.is_footer(at + 1)
+            table = (
+                F.when(self.mark(at), acc)
+                .when(acc["skips"] > 0, self.state(acc, skips=acc["skips"] - 1, quiet=at + 1))
                 .when(
-                    (at != self.last) & ahead,
+                    (at != self.last) & self.mark(at + 1, whole=True),
                     self.state(acc, passing=F.lit(True)),
                 )
                 .otherwise(acc)
             )
-            out = out.when(stage == self.plan.sticky, sticky)
+            out = (
+                F.when(in_table & plain, acc)
+                .when(stage >= self.n, acc)
+                .when(acc["passing"], pass_over)
+                .when(in_table, table)
+            )
         return (
             out.when(
                 self.matches(stage, at, self.singles + self.loops),
@@ -224,22 +231,6 @@ class _Fold:
         )
 
 
-@per_plan
-def _marked_lines(plan: ReportPlan, value: str) -> Column:
-    """Kept lines, each marked with whether it is a line of the sticky stage."""
-
-    def marked(x: Column) -> Column:
-        matches = whole = F.lit(False)
-        if plan.sticky is not None:
-            matches = plan.detail.grammar.matches(x["l"])
-            whole = matches
-            if plan.detail.grammar.loose:
-                whole = plan.detail.grammar.all_present(x["l"])
-        return F.struct(x["n"], x["l"], matches.alias("matches"), whole.alias("whole"))
-
-    return F.transform(kept_lines(F.col(value)), marked)
-
-
 @per_plan
 def _fold(plan: ReportPlan) -> Column:
     fold = _Fold(plan, F.col("kept"), F.col("current"))
@@ -247,11 +238,23 @@ def _fold(plan: ReportPlan) -> Column:
 
 
 def with_segments(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
-    """``docs`` with ``kept``, ``current`` and the fold's result ``seg``."""
-    others = [c for c in docs.columns if c != value]
-    lines = stage(docs, kept=_marked_lines(plan, value)).select(*others, "kept")
-    lines = stage(lines, current=current_positions(F.col("kept")))
-    return stage(lines, seg=_fold(plan))
+    """``docs`` with ``kept``, ``current`` and the fold's result ``seg``.
+
+    Kept lines are marked with whether they are lines of the sticky stage, and
+    whether with all their fields.
+    """
+    marks = {}
+    if plan.sticky is not None:
+        marks["matches"] = plan.detail.grammar.matches
+        if plan.detail.grammar.loose:
+            marks["whole"] = plan.detail.grammar.all_present
+    return stage(with_lines(docs, value, **marks), seg=_fold(plan))
+
+
+def is_detail(plan: ReportPlan, entry: Column, whole: bool = False) -> Column:
+    """The mark of a kept line, false past the end of the document."""
+    mark = entry["whole"] if whole and plan.detail.grammar.loose else entry["matches"]
+    return F.coalesce(mark, F.lit(False))
 
 
 def line_at(position: Column) -> Column:
@@ -264,13 +267,17 @@ def read_position(stage: int) -> Column:
     return F.get(F.col("seg.read"), F.lit(stage))
 
 
-def stage_span(stage: int) -> Column:
+def _span(stage: int) -> Column:
     """Current positions offered to a repeating stage, before its grammar is applied."""
     low, high = F.get(F.col("seg.low"), F.lit(stage)), F.get(F.col("seg.high"), F.lit(stage))
-    return F.filter(
-        F.col("current"),
-        lambda i: (i >= low) & (i < high) & ~F.array_contains(F.col("seg.passed"), i),
-    )
+    return F.filter(F.col("current"), lambda i: (i >= low) & (i < high))
+
+
+def table_positions(plan: ReportPlan) -> Column:
+    """Current positions offered to the sticky stage; lines passed over are not."""
+    low, passed = F.get(F.col("seg.low"), F.lit(plan.sticky)), F.col("seg.passed")
+    offered = F.filter(F.col("current"), lambda i: i >= low)
+    return F.when(F.size(passed) == 0, offered).otherwise(F.array_except(offered, passed))
 
 
 def _text_of(position: Column) -> Column:
@@ -290,7 +297,7 @@ def _led_by(ahead: Column, lines: Column) -> Column:
 def repeated_lines(plan: ReportPlan, stage: int) -> Column:
     """``array<struct<n, l>>``: lines of a repeating stage that is not sticky, in order."""
     grammar = plan.stages[stage].grammar
-    lines = F.transform(stage_span(stage), _text_of)
+    lines = F.transform(_span(stage), _text_of)
     return _led_by(read_position(stage), F.filter(lines, lambda x: grammar.matches(x["l"])))
 
 
@@ -305,15 +312,16 @@ def sticky_lines(plan: ReportPlan) -> Column:
 
     def footer(i: Column) -> Column:
         return (
-            F.get(kept, i + 1)["whole"]
+            is_detail(plan, F.get(kept, i + 1), whole=True)
             & starts_page(F.get(kept, i + 2)["l"])
             & (i >= quiet)
             & (i != last)
         )
 
-    read = F.transform(
-        stage_span(plan.sticky),
-        lambda i: F.when(F.get(kept, i)["matches"], i).when(footer(i), i + 1),
+    lines = F.transform(
+        table_positions(plan),
+        lambda i: F.when(is_detail(plan, F.get(kept, i)), _text_of(i)).when(
+            footer(i), _text_of(i + 1)
+        ),
     )
-    lines = F.transform(F.array_compact(read), _text_of)
-    return _led_by(read_position(plan.sticky), lines)
+    return _led_by(read_position(plan.sticky), F.array_compact(lines))

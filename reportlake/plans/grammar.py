@@ -72,6 +72,21 @@ class Grammar:
     def values(self, parsed: Column) -> dict[str, Column]:
         return {f: parsed[f] for f in self.fields}
 
+    def cleaned(self, parsed: Column, line: Column) -> Column:
+        """The parsed line with nulls as text and ``#`` taken out of mixed values."""
+        values = self.values(parsed)
+        if not values:
+            return parsed
+        return F.struct(
+            *[
+                cells.hash_cleanup(F.coalesce(v, F.lit("None"))).alias(n)
+                for n, v in values.items()
+            ]
+        )
+
+    def texts(self, cleaned: Column) -> dict[str, Column]:
+        return {f: cleaned[f] for f in self.fields}
+
     def masked(self, parsed: Column) -> Column:
         return F.array().cast("array<string>")
 
@@ -133,6 +148,17 @@ class WideRow(Grammar):
             out[name] = text
         return out
 
+    def cleaned(self, parsed: Column, line: Column) -> Column:
+        def clean(text: Column, i: Column) -> Column:
+            if self.mask_mode == "blank":
+                return F.when((i > 0) & text.contains("#"), F.lit("")).otherwise(text)
+            return cells.hash_cleanup(text)
+
+        return F.when(line.contains("#"), F.transform(parsed, clean)).otherwise(parsed)
+
+    def texts(self, cleaned: Column) -> dict[str, Column]:
+        return {n: F.get(cleaned, F.lit(i)) for i, n in enumerate(cells.WIDE_FIELDS)}
+
     def masked(self, parsed: Column) -> Column:
         names = F.array(*[F.lit(c) for c in cells.WIDE_FIELDS])
         flagged = F.transform(parsed, lambda text, i: F.when(text.contains("#"), F.get(names, i)))
