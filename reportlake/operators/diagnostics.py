@@ -72,7 +72,7 @@ def _fold_events(stop: Column) -> Column:
             F.get(kept, n["at"] + 1)["l"],
         ),
     )
-    return F.filter(events, lambda e: stop.isNull() | (e["line_no"] < stop))
+    return F.filter(events, lambda e: stop.isNull() | (e["line_no"] <= stop))
 
 
 def _null_field(grammar: Grammar, parsed: Column) -> Column:
@@ -122,7 +122,11 @@ def _sticky_events(plan: ReportPlan) -> Column:
         return ~is_detail(plan, here) | here["l"].contains("#")
 
     return F.transform(
-        F.filter(table_positions(plan), lambda i: (i >= quiet) & worth(i)), event
+        F.filter(
+            table_positions(plan),
+            lambda i: worth(i) & ((i >= quiet) | is_detail(plan, F.get(kept, i))),
+        ),
+        event,
     )
 
 
@@ -158,10 +162,13 @@ def diagnostics(
     parts = [_fold_events(stop), F.when(F.col("usable"), lists).otherwise(_none())]
     if plan.sticky is not None:
         parts.append(
-            F.when(F.col("usable"), _sticky_events(plan)).otherwise(_none())
+            F.when(stop.isNull(), _sticky_events(plan)).otherwise(
+                F.filter(_sticky_events(plan), lambda e: e["line_no"] < stop)
+            )
         )
         nothing = _event(F.lit(None), F.lit(plan.sticky), F.lit(NOTHING), F.lit(None), F.lit(None))
-        parts.append(F.when(_reached(plan), _none()).otherwise(F.array(nothing)))
+        empty = ~_reached(plan) & stop.isNull()
+        parts.append(F.when(empty, F.array(nothing)).otherwise(_none()))
     rest = _event(stop, F.lit(None), F.lit(REST_SKIPPED), F.lit(None), F.lit(None))
     parts.append(F.when(stop.isNotNull(), F.array(rest)).otherwise(_none()))
     events = ctx.select(key, F.inline(F.concat(*parts)))

@@ -119,17 +119,16 @@ def split_undecodable(docs: DataFrame, value: str = "value") -> tuple[DataFrame,
     Reading stops at the first line that cannot be decoded; rows before it stay.
     ``value`` is binary.
     """
-    whole = F.col(value)
-    lines = F.split(whole.cast("string"), "\n")
-    bad = F.array_position(
-        F.transform(lines, lambda l: F.is_valid_utf8(l)), F.lit(False)
-    ).cast("int")
-    staged = docs.withColumn("first_bad_line", F.when(F.is_valid_utf8(whole.cast("string")), 0).otherwise(bad))
-    text = F.when(F.col("first_bad_line") == 0, whole.cast("string")).otherwise(
-        F.array_join(F.slice(lines, F.lit(1), F.col("first_bad_line") - 1), "\n")
+    # One character per byte: lines can be taken apart before they are decoded.
+    bytes_ = F.split(F.decode(F.col(value), "ISO-8859-1"), "\n")
+    decoded = F.transform(bytes_, lambda l: F.encode(l, "ISO-8859-1").cast("string"))
+    staged = stage(docs, decoded=decoded)
+    good = F.transform(F.col("decoded"), lambda l: F.is_valid_utf8(l))
+    staged = stage(staged, first_bad=F.array_position(good, F.lit(False)).cast("int"))
+    read = F.when(F.col("first_bad") == 0, F.col("decoded")).otherwise(
+        F.slice(F.col("decoded"), F.lit(1), F.col("first_bad") - 1)
     )
-    good = staged.withColumn(value, text).drop("first_bad_line")
-    cut = staged.where(F.col("first_bad_line") > 0).select(
-        *[c for c in docs.columns if c != value], F.col("first_bad_line").alias("line_no")
-    )
-    return good, cut
+    others = [c for c in docs.columns if c != value]
+    texts = staged.select(*others, F.array_join(read, "\n").alias(value))
+    cut = staged.where(F.col("first_bad") > 0)
+    return texts, cut.select(*others, F.col("first_bad").alias("line_no"))

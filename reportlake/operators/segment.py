@@ -15,7 +15,8 @@ look-ahead ``N`` and active stage ``T``:
 * Single-line ``T`` and ``N`` matches in full: note a skipped line, read ``N``,
   pass both, go on with the next stage.
 * Single-line ``T``, first failure: note it and stay.  Failure after an earlier
-  one: note it, go on with the next stage and offer it ``L``.
+  one, lines read in between or not: note it, go on with the next stage and offer
+  it ``L``.
 * Repeating ``T``: go on with the next stage and offer it ``L``, then ``N``.
 
 ``N`` cannot be passed when no current line follows; reading then ends there.
@@ -126,9 +127,8 @@ class _Fold:
             acc,
             stage=stage,
             skips=self.skips(stage),
-            failed=F.lit(False),
             low=self.put(acc["low"], stage, low),
-            **changes,
+            **{"failed": F.lit(False), **changes},
         )
 
     def read_next(self, acc: Column, stage: Column, at: Column, high: Column) -> Column:
@@ -222,7 +222,13 @@ class _Fold:
             out.when(
                 self.matches(stage, at, self.singles + self.loops),
                 F.when(self.repeats(stage), acc).otherwise(
-                    self.enter(acc, nxt, at + 1, read=self.put(acc["read"], stage, at))
+                    self.enter(
+                        acc,
+                        nxt,
+                        at + 1,
+                        failed=acc["failed"],
+                        read=self.put(acc["read"], stage, at),
+                    )
                 ),
             )
             .when(acc["skips"] > 0, self.state(acc, skips=acc["skips"] - 1))

@@ -124,7 +124,7 @@ def attempt_rollup(
     )
 
 
-_NUMBERED = r"(?s)^(.*)_\((0|[1-9]\d{0,17})\)$"
+_NUMBERED = r"(?s)^(.*)_\(([1-9]\d{0,17})\)$"
 
 
 def _taken(names: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ def write_csv(
         out = out.coalesce(1)
     # An output without rows still has its header line.
     writer = out.write.mode(mode).option("header", True).option("emptyValue", "").option("escape", '"')
+    # Spaces and form feeds at the ends of a value belong to it.
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.csv(path)
 
 
