@@ -6,8 +6,10 @@ computes the same answer from the base tables, never looking at a document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from reportlake.functions import text as text_fn
 from reportlake.functions.cells import CELLS, MONTHS
 from reportlake.operators import landing, worklist
 from reportlake.operators.classify import classify, stage_positions
+from reportlake.operators.custom import per_document
 from reportlake.operators.diagnostics import at_least, diagnostics, document_outcomes
 from reportlake.operators.extract import (
     document_context,
@@ -28,6 +31,7 @@ from reportlake.operators.lines import explode_lines
 from reportlake.operators.numbering import enumerated
 from reportlake.plans.grammar import default_plan
 from reportlake.session import shared_folder
+from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
 from reportlake.streaming.ingest import ingest, stream_documents
 
@@ -387,6 +391,49 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no")
 
 
+@query(_WIDE_SQL)
+def reports_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text file per report, found by pattern below a folder, as the reports come."""
+    folder = f"{shared_folder(spark)}/reports"
+    docs = render_reports(spark, sf_dir).select(F.col("doc_id").alias("report"), "value")
+    docs.write.partitionBy("report").text(folder)
+    files = readers.read_reports(spark, folder, "*.txt")
+    number = F.regexp_extract("doc_id", r"report=(\d+)/", 1)
+    return production_wide(files.select(number.alias("doc_id"), "value"))
+
+
+@query(
+    f"""WITH wide AS ({_WIDE_SQL})
+    SELECT {", ".join(f"coalesce({c}, '') AS {c}" for c in default_plan().columns)} FROM wide"""
+)
+def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written CSV, read back as text."""
+    folder = f"{shared_folder(spark)}/report.csv"
+    plan = default_plan()
+    sinks.write_csv(production_wide(render_reports(spark, sf_dir), plan), plan.columns, folder)
+    schema = ", ".join(f"`{c}` string" for c in plan.columns)
+    back = spark.read.option("header", True).option("escape", '"').schema(schema).csv(folder)
+    return sinks.csv_ready(back, plan.columns)
+
+
+@query(
+    f"""WITH {_REPORTS} SELECT k AS doc_id, len(string_split(s_name, '#')) AS n_parts, ny AS n_years FROM docs"""
+)
+def document_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own function over whole documents."""
+
+    def count(doc_id, text: str) -> pd.DataFrame:
+        buyer = re.search(r"Buyer:  (\S+)", text).group(1)
+        years = re.findall(r"^[\f ]+\d{4} ", text, flags=re.MULTILINE)
+        return pd.DataFrame(
+            {"doc_id": [doc_id], "n_parts": [len(buyer.split("#"))], "n_years": [len(years)]}
+        )
+
+    return per_document(
+        render_reports(spark, sf_dir), count, "doc_id bigint, n_parts bigint, n_years bigint"
+    )
+
+
 # --- Text and pages ----------------------------------------------------------
 
 
@@ -428,6 +475,25 @@ def option_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worklist.option_counts(_links(spark, sf_dir))
 
 
+@query(
+    """SELECT o_orderpriority AS option, count(DISTINCT (o_custkey)) AS copies FROM orders
+    JOIN customer ON o_custkey = c_custkey GROUP BY 1"""
+)
+def form_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the option boxes of all result pages."""
+    pages = render_result_pages(spark, sf_dir)
+    options = pages.select(F.explode(page_fn.option_values(F.col("by_well"))).alias("option"))
+    return options.groupBy("option").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"WITH {_LINKS} SELECT option, row_number() OVER (ORDER BY option) AS n FROM (SELECT DISTINCT option FROM links)")
+def options_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different options written as a JSON list and loaded again."""
+    folder = f"{shared_folder(spark)}/options.json"
+    sinks.write_options_json(worklist.distinct_options(_links(spark, sf_dir)), folder)
+    return readers.read_options_json(spark, folder).select("option", _big("n"))
+
+
 @query(
     """WITH t AS (SELECT page_id, url, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS title FROM pages)
     SELECT page_id, title, contains(title, 'the') AND contains(url, '/en/') AS is_page FROM t"""

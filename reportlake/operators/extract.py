@@ -170,17 +170,9 @@ def detail_lines(
     """
     if plan.sticky is None:
         raise ValueError("the plan has no final repeating stage, so it gives no rows")
-    grammar = plan.detail.grammar
     ctx = with_context(docs.select(key, value, *keep), plan, value)
-    header = plan.index_of(plan.header_stage) if plan.header_stage else None
-    header_line = F.lit(None).cast("string")
-    if header is not None and header < plan.sticky:
-        header_line = line_at(read_position(header))
     context = {f"ctx_{n}": c for n, c in context_values(plan).items()}
-    usable = has_required(plan) & ~_bad_context(plan)
-    ctx = stage(
-        ctx, **context, header=grammar.prepare(header_line), offered=F.when(usable, sticky_lines(plan))
-    )
+    ctx = stage(ctx, **context, header=_header(plan), offered=_offered(plan))
     rows = ctx.select(
         key, *keep, *context, "header", F.explode_outer(F.col("offered")).alias("x")
     )
@@ -194,6 +186,22 @@ def detail_lines(
     )
 
 
+@per_plan
+def _header(plan: ReportPlan) -> Column:
+    """What the detail grammar needs of the table's header line."""
+    at = plan.index_of(plan.header_stage) if plan.header_stage else None
+    line = F.lit(None).cast("string")
+    if at is not None and at < plan.sticky:
+        line = line_at(read_position(at))
+    return plan.detail.grammar.prepare(line)
+
+
+@per_plan
+def _offered(plan: ReportPlan) -> Column:
+    usable = has_required(plan) & ~_bad_context(plan)
+    return F.when(usable, sticky_lines(plan))
+
+
 @per_plan
 def _parsed_row(plan: ReportPlan) -> Column:
     return plan.detail.grammar.parse(F.col("x.l"), F.col("header"))
@@ -204,6 +212,11 @@ def _row_values(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.values(F.col("parsed"))
 
 
+@per_plan
+def _cleaned(plan: ReportPlan) -> Column:
+    return plan.detail.grammar.cleaned(F.col("parsed"), F.col("line"))
+
+
 @per_plan
 def _row_texts(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.texts(F.col("parsed"))
@@ -225,8 +238,7 @@ def production_wide(
     plan = plan or default_plan()
     keep = (file,) if file and file != key else ()
     rows = detail_lines(docs, plan, key, value, keep)
-    cleaned = plan.detail.grammar.cleaned(F.col("parsed"), F.col("line"))
-    rows = stage(rows, parsed_text=cleaned).drop("parsed").withColumnRenamed("parsed_text", "parsed")
+    rows = stage(rows, parsed_text=_cleaned(plan)).drop("parsed").withColumnRenamed("parsed_text", "parsed")
     known = {n[len("ctx_"):]: F.col(n) for n in rows.columns if n.startswith("ctx_")}
     known.update(_row_texts(plan))
     known[FILE_FIELD] = F.col(file or key).cast("string")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.operators.staging import stage
+from reportlake.operators.staging import per_plan, stage
 
 FEED = "\f"
 
@@ -63,13 +63,18 @@ def current_positions(kept: Column, has_feed: Column) -> Column:
     )
 
 
-def with_lines(docs: DataFrame, value: str = "value", **marks) -> DataFrame:
+@per_plan
+def _current_of_kept() -> Column:
+    return current_positions(F.col("kept"), F.col("has_feed"))
+
+
+def with_lines(docs: DataFrame, value: str = "value", kept: Column | None = None) -> DataFrame:
     """Replace the document text by its ``kept`` lines and their ``current`` positions."""
     others = [c for c in docs.columns if c != value]
     text = F.col(value)
-    staged = stage(docs, kept=kept_lines(text, **marks), has_feed=text.contains(FEED))
-    staged = staged.select(*others, "kept", "has_feed")
-    return stage(staged, current=current_positions(F.col("kept"), F.col("has_feed")))
+    kept = kept_lines(text) if kept is None else kept
+    staged = stage(docs, kept=kept, has_feed=text.contains(FEED)).select(*others, "kept", "has_feed")
+    return stage(staged, current=_current_of_kept())
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", value: str = "value") -> DataFrame:

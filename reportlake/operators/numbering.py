@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 18
+BUCKET_BITS = 18
 SAMPLED_BOUNDS = 255
 
 
@@ -30,7 +30,7 @@ def _running(
     local = cut.withColumn("_local", F.sum("_amount").over(inside))
     same = local["_bucket"] == starts["_bucket"]
     for key in keys:
-        same = same & local[key].eqNullSafe(starts[key])
+        same = same & (local[key] == starts[key])
     return local.join(starts, same).select(
         *[local[c] for c in df.columns], (F.col("_start") + F.col("_local")).alias(name)
     )
@@ -42,10 +42,10 @@ def running_total(
     """Sum of ``amount`` up to and including each row, per key, by ``position``.
 
     ``position`` is a whole number without repeats inside a key, such as a place
-    in a list; a bucket then holds at most ``BUCKET_ROWS`` rows of a key.
+    in a list; a bucket then holds at most ``2 ** BUCKET_BITS`` rows of a key.
+    Keys hold no nulls.
     """
-    place = F.col(position).cast("bigint")
-    bucket = F.floor(place / BUCKET_ROWS).cast("bigint")
+    bucket = F.shiftright(F.col(position).cast("bigint"), BUCKET_BITS)
     return _running(df, keys, bucket, F.col(position), amount.cast("bigint"), name)
 
 

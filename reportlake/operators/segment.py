@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.operators.lines import starts_page, with_lines
+from reportlake.operators.lines import kept_lines, starts_page, with_lines
 from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import ReportPlan
 
@@ -243,18 +243,21 @@ def _fold(plan: ReportPlan) -> Column:
     return F.aggregate(F.col("current"), fold.zero(), fold.step)
 
 
-def with_segments(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
-    """``docs`` with ``kept``, ``current`` and the fold's result ``seg``.
-
-    Kept lines are marked with whether they are lines of the sticky stage, and
-    whether with all their fields.
-    """
+@per_plan
+def _marked_lines(plan: ReportPlan, value: str) -> Column:
+    """Kept lines, marked with whether they are lines of the sticky stage, and whether
+    with all their fields."""
     marks = {}
     if plan.sticky is not None:
         marks["matches"] = plan.detail.grammar.matches
         if plan.detail.grammar.loose:
             marks["whole"] = plan.detail.grammar.all_present
-    return stage(with_lines(docs, value, **marks), seg=_fold(plan))
+    return kept_lines(F.col(value), **marks)
+
+
+def with_segments(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
+    """``docs`` with ``kept``, ``current`` and the fold's result ``seg``."""
+    return stage(with_lines(docs, value, _marked_lines(plan, value)), seg=_fold(plan))
 
 
 def is_detail(plan: ReportPlan, entry: Column, whole: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import extension, progress_label, safe_file_name, stem
-from reportlake.operators.numbering import BUCKET_ROWS, numbered, running_total
+from reportlake.operators.numbering import numbered, running_total
 
 MAX_ATTEMPTS = 3
 
@@ -189,7 +189,7 @@ def plan_file_names(
     )
     totals = running_total(points, ["stem", "ext"], "_point", F.col("_used"), "_below")
     below = totals.where(F.col("_point") % 2 == 1).select(
-        "stem", "ext", F.floor(F.col("_point") / 2).alias("_place"), "_below"
+        "stem", "ext", F.shiftright("_point", 1).alias("_place"), "_below"
     )
     named = ranked.join(below, ["stem", "ext", "_place"])
     number = F.col("_place") + F.col("_below")

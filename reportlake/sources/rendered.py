@@ -207,10 +207,19 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 )
             ),
             "\n",
-        ).alias("rows")
+        ).alias("rows"),
+        F.array_join(
+            F.array_sort(
+                F.collect_list(
+                    F.format_string("<option value='%s' class=x>%s</option>", "o_orderpriority", "o_orderpriority")
+                )
+            ),
+            "",
+        ).alias("options"),
     )
     joined = customer.join(rows, customer["c_custkey"] == rows["o_custkey"], "left")
-    listed = "<table><tr><th>Well Name</th><th>Permit</th></tr></table>"
+    box = F.concat(F.lit("<select>"), F.coalesce("options", F.lit("")), F.lit("</select>"))
+    listed = F.concat(box, F.lit("<table><tr><th>Well Name</th><th>Permit</th></tr></table>"))
     found = F.concat(F.lit("<table><tr><th>Well Name</th></tr>"), F.col("rows"), F.lit("</table>"))
     data = F.when(F.col("c_acctbal") >= 0, F.lit("<table><tr><th>Pool Name</th></tr></table>")).otherwise(F.lit(""))
     empty = F.lit("<table><tr><td>There are no production records for this well.</td></tr></table>")
@@ -221,6 +230,6 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return joined.select(
         "c_custkey",
-        page(F.when(has, F.concat(F.lit(listed), found, data)).otherwise(F.lit(listed))).alias("by_well"),
+        page(F.when(has, F.concat(listed, found, data)).otherwise(listed)).alias("by_well"),
         page(F.when(has, F.concat(found, data)).otherwise(empty)).alias("by_permit"),
     )
