@@ -210,9 +210,12 @@ def _split_row(line: Column) -> Column:
 
 
 def _is_whole(tokens: Column) -> Column:
-    return (F.size(tokens) == N_CELLS + 1) & F.get(tokens, F.lit(0)).rlike(
-        rf"^(?:\p{{Nd}}{{{YEAR_DIGITS}}}|{TOTALS})\z"
-    )
+    """Fourteen tokens of a matching row, the first being the year alone: what may
+    stand before the year holds neither digits nor a T."""
+    first = F.get(tokens, F.lit(0))
+    code = F.ascii(first)
+    begins = ((code >= ord("0")) & (code <= ord("9"))) | (code == ord(TOTALS[0]))
+    return (F.size(tokens) == N_CELLS + 1) & begins & ~first.contains("#")
 
 
 def _space_tokens(body: Column) -> Column:

@@ -163,10 +163,11 @@ def detail_lines(
     key: str = "doc_id",
     value: str = "value",
     keep: tuple[str, ...] = (),
+    cleaned: bool = False,
 ) -> DataFrame:
     """One row per detail line with the parsed row and the document's context fields.
 
-    The context rides along with the line through ``explode``; no join, no shuffle.
+    With ``cleaned`` the parsed row holds its output texts.  The context rides along with the line through ``explode``; no join, no shuffle.
     """
     if plan.sticky is None:
         raise ValueError("the plan has no final repeating stage, so it gives no rows")
@@ -182,7 +183,7 @@ def detail_lines(
         *context,
         F.col("x.n").alias("line_no"),
         F.col("x.l").alias("line"),
-        _parsed_row(plan).alias("parsed"),
+        _parsed_row(plan, cleaned).alias("parsed"),
     )
 
 
@@ -203,8 +204,10 @@ def _offered(plan: ReportPlan) -> Column:
 
 
 @per_plan
-def _parsed_row(plan: ReportPlan) -> Column:
-    return plan.detail.grammar.parse(F.col("x.l"), F.col("header"))
+def _parsed_row(plan: ReportPlan, cleaned: bool) -> Column:
+    grammar, line = plan.detail.grammar, F.col("x.l")
+    parsed = grammar.parse(line, F.col("header"))
+    return cells.let(parsed, lambda p: grammar.cleaned(p, line)) if cleaned else parsed
 
 
 @per_plan
@@ -212,11 +215,6 @@ def _row_values(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.values(F.col("parsed"))
 
 
-@per_plan
-def _cleaned(plan: ReportPlan) -> Column:
-    return plan.detail.grammar.cleaned(F.col("parsed"), F.col("line"))
-
-
 @per_plan
 def _row_texts(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.texts(F.col("parsed"))
@@ -237,8 +235,7 @@ def production_wide(
     """
     plan = plan or default_plan()
     keep = (file,) if file and file != key else ()
-    rows = detail_lines(docs, plan, key, value, keep)
-    rows = stage(rows, parsed_text=_cleaned(plan)).drop("parsed").withColumnRenamed("parsed_text", "parsed")
+    rows = detail_lines(docs, plan, key, value, keep, cleaned=True)
     known = {n[len("ctx_"):]: F.col(n) for n in rows.columns if n.startswith("ctx_")}
     known.update(_row_texts(plan))
     known[FILE_FIELD] = F.col(file or key).cast("string")

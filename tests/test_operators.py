@@ -168,7 +168,7 @@ def test_text_functions(spark):
 
 
 def test_page_functions(spark):
-    html = """<html><title>GSA Well Records</title><!-- <select><option value="no"> --><form>
+    html = """<html><title>XYZ Records</title><!-- <select><option value="no"> --><form>
     <select id=s><option value="b &amp; c">B</option><OPTION selected value=a>A</option>
     <option value='a'></option><optgroup><option value="hidden"></option></optgroup></select>
     <table><tr><th>Well Name</th><th>x</th></tr><tr><td><b>Well Name</b></td></tr></table>
@@ -177,7 +177,7 @@ def test_page_functions(spark):
     h = F.col("h")
     r = df.select(
         F.transform(pages.option_values(h), pages.unescape).alias("options"),
-        pages.is_page(h, F.col("u"), "GSA", F.lit("5")).alias("page"),
+        pages.is_page(h, F.col("u"), "XYZ", F.lit("5")).alias("page"),
         pages.has_no_wells(h).alias("no_wells"),
         pages.has_data_table(h).alias("data"),
         pages.has_no_records(h).alias("no_records"),
