@@ -18,7 +18,7 @@ Two layouts turn tokens into cells:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field names of the wide row, in column order.
@@ -247,12 +247,13 @@ def header_places(header: Column) -> Column:
     )
 
 
-def _zones(line: Column, places: Column) -> Column:
+def _zones(line: Column, end: Column, places: Column) -> Column:
     """Texts of the thirteen zones; null unless every token lies in a zone of its own.
 
-    A run of ``#`` may cross zones: it masks every column it covers.
+    ``end`` is where the year ends.  A run of ``#`` may cross zones: it masks
+    every column it covers.
     """
-    first = F.length(F.regexp_extract(line, _HEAD, 1)) + 1
+    first = end + 1
     starts = [first] + [F.get(places["starts"], F.lit(i)) for i in range(N_CELLS - 1)]
     ends = starts[1:] + [F.length(line) + 1]
     texts = [F.trim(F.substr(line, a, F.greatest(b - a, F.lit(0)))) for a, b in zip(starts, ends)]
@@ -265,14 +266,13 @@ def _zones(line: Column, places: Column) -> Column:
     return F.when(clean, F.array(*texts))
 
 
-def _nearest(line: Column, places: Column) -> Column:
+def _nearest(line: Column, end: Column, places: Column) -> Column:
     """Cells by the label nearest to each token; null unless every token has its own."""
-    offset = F.length(F.regexp_extract(line, _HEAD, 1))
     pieces = F.regexp_extract_all(_body(line), F.lit(r"( *+[^ ]++)"), F.lit(1))
 
     def centre(parts: Column, i: Column) -> Column:
-        end = offset + _total(F.slice(parts, F.lit(1), i + 1), F.length)
-        return 2 * end - F.length(F.ltrim(F.get(parts, i))) + 1
+        last = end + _total(F.slice(parts, F.lit(1), i + 1), F.length)
+        return 2 * last - F.length(F.ltrim(F.get(parts, i))) + 1
 
     def column(parts: Column, i: Column) -> Column:
         return let(
@@ -295,39 +295,57 @@ def _nearest(line: Column, places: Column) -> Column:
     return let(pieces, cells)
 
 
-def _in_order(line: Column) -> Column:
-    tokens = _space_tokens(_body(line))
-    return F.transform(
+def _uneven(line: Column, head: Column, places: Column) -> Column:
+    """Thirteen cells of a row whose tokens do not simply follow the year.
+
+    With tokens missing: by zone, by nearest label, or packed to the left.
+    ``head`` holds the end of the year and the tokens after it.
+    """
+    tokens = head["tokens"]
+    packs = line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]") & _fits(line)
+    packed = let(_layout(_body(line)), _packed)
+    in_order = F.transform(
         F.sequence(F.lit(0), F.lit(N_CELLS - 1)),
         lambda i: F.coalesce(F.get(tokens, i), F.lit("")),
     )
-
-
-def _sparse(line: Column, places: Column) -> Column:
-    """A row with tokens missing: by zone, by nearest label, or packed to the left."""
-    packs = line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]") & _fits(line)
-    packed = F.when(packs, let(_layout(_body(line)), _packed)).otherwise(_in_order(line))
-    return F.when(places.isNull(), packed).otherwise(
-        F.coalesce(_zones(line, places), _nearest(line, places), packed)
+    by_place = F.when(places.isNotNull(), _zones(line, head["end"], places))
+    by_label = F.when(places.isNotNull(), _nearest(line, head["end"], places))
+    left = F.when(packs, packed).otherwise(in_order)
+    return (
+        F.when(F.size(tokens) == N_CELLS, tokens)
+        .when(F.size(tokens) < N_CELLS, F.coalesce(by_place, by_label, left))
+        .otherwise(packed)
     )
 
 
-def _uneven(line: Column, places: Column) -> Column:
-    n = F.size(_space_tokens(_body(line)))
-    return (
-        F.when(n == N_CELLS, _space_tokens(_body(line)))
-        .when(n < N_CELLS, _sparse(line, places))
-        .otherwise(let(_layout(_body(line)), _packed))
+def _head_of(line: Column) -> Column:
+    return F.struct(
+        F.length(F.regexp_extract(line, _HEAD, 1)).alias("end"),
+        F.array(year_of(line)).alias("year"),
+        _space_tokens(_body(line)).alias("tokens"),
     )
 
 
 def column_row(line: Column, places: Column) -> Column:
     """Fourteen raw texts of a matching row, ``#`` kept, each under its own column."""
+
+    def uneven(head: Column) -> Column:
+        return F.concat(head["year"], _uneven(line, head, places))
+
     return let(
         _split_row(line),
-        lambda tokens: F.when(_is_whole(tokens), tokens).otherwise(
-            _with_year(line, _uneven(line, places))
-        ),
+        lambda tokens: F.when(_is_whole(tokens), tokens).otherwise(let(_head_of(line), uneven)),
+    )
+
+
+def with_column_row(rows: DataFrame, line: Column, places: Column, name: str) -> DataFrame:
+    """The same as a column of a table, in steps that Spark compiles."""
+    tokens, head = F.col("_tokens"), F.col("_head")
+    rows = rows.withColumn("_tokens", _split_row(line))
+    rows = rows.withColumn("_head", F.when(~_is_whole(tokens), _head_of(line)))
+    uneven = F.concat(head["year"], _uneven(line, head, places))
+    return rows.withColumn(name, F.when(head.isNull(), tokens).otherwise(uneven)).drop(
+        "_tokens", "_head"
     )
 
 

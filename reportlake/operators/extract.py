@@ -177,14 +177,14 @@ def detail_lines(
     rows = ctx.select(
         key, *keep, *context, "header", F.explode_outer(F.col("offered")).alias("x")
     )
-    return rows.where(F.col("x").isNotNull()).select(
-        key,
-        *keep,
-        *context,
-        F.col("x.n").alias("line_no"),
-        F.col("x.l").alias("line"),
-        _parsed_row(plan, cleaned).alias("parsed"),
+    rows = rows.where(F.col("x").isNotNull()).select(
+        key, *keep, *context, "header", F.col("x.n").alias("line_no"), F.col("x.l").alias("line")
     )
+    grammar = plan.detail.grammar
+    rows = grammar.with_parsed(rows, "line", "header", "parsed").drop("header")
+    if cleaned:
+        rows = rows.withColumn("parsed", grammar.cleaned(F.col("parsed"), F.col("line")))
+    return rows
 
 
 @per_plan
@@ -203,13 +203,6 @@ def _offered(plan: ReportPlan) -> Column:
     return F.when(usable, sticky_lines(plan))
 
 
-@per_plan
-def _parsed_row(plan: ReportPlan, cleaned: bool) -> Column:
-    grammar, line = plan.detail.grammar, F.col("x.l")
-    parsed = grammar.parse(line, F.col("header"))
-    return cells.let(parsed, lambda p: grammar.cleaned(p, line)) if cleaned else parsed
-
-
 @per_plan
 def _row_values(plan: ReportPlan) -> dict[str, Column]:
     return plan.detail.grammar.values(F.col("parsed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.functions import cells
@@ -69,6 +69,10 @@ class Grammar:
             return F.struct(F.lit(True).alias("matched"))
         return F.struct(*[self.group(line, f).alias(f) for f in self.fields])
 
+    def with_parsed(self, rows: DataFrame, line: str, header: str, name: str) -> DataFrame:
+        """A table of matching lines with the parsed line as a further column."""
+        return rows.withColumn(name, self.parse(F.col(line), F.col(header)))
+
     def values(self, parsed: Column) -> dict[str, Column]:
         return {f: parsed[f] for f in self.fields}
 
@@ -139,6 +143,11 @@ class WideRow(Grammar):
             header = self.prepare(F.lit(None).cast("string"))
         return cells.column_row(line, header)
 
+    def with_parsed(self, rows: DataFrame, line: str, header: str, name: str) -> DataFrame:
+        if self.layout == "pack_left":
+            return super().with_parsed(rows, line, header, name)
+        return cells.with_column_row(rows, F.col(line), F.col(header), name)
+
     def values(self, parsed: Column) -> dict[str, Column]:
         out = {}
         for i, name in enumerate(cells.WIDE_FIELDS):
