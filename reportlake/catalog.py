@@ -29,7 +29,7 @@ from reportlake.operators.extract import (
 )
 from reportlake.operators.lines import explode_lines
 from reportlake.operators.numbering import enumerated
-from reportlake.plans.grammar import default_plan
+from reportlake.plans.grammar import default_plan, settings_from_config
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
@@ -257,7 +257,8 @@ def listed_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT k, 5, head + n + 2, head + n + 2, 1 FROM pos
       UNION ALL SELECT k, 6, head + n + 3, head + n + 3 + ny + CAST(breaks AS BIGINT), ny + 1 FROM pos)
     SELECT k AS doc_id, CAST(stage AS BIGINT) AS stage, CAST(first_line AS BIGINT) AS first_line,
-           CAST(last_line AS BIGINT) AS last_line, CAST(n_lines AS BIGINT) AS n_lines FROM place_"""
+           CAST(last_line AS BIGINT) AS last_line, CAST(n_lines AS BIGINT) AS n_lines FROM place_""",
+    name="stage_positions",
 )
 def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = stage_positions(render_reports(spark, sf_dir)).where("has_required")
@@ -271,6 +272,25 @@ def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return production_wide(render_reports(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_REPORTS}
+    SELECT r_name AS Quad, s_name AS Buyer, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' #' || p AS Well,
+           CAST(k AS VARCHAR) AS File
+    FROM docs JOIN top_wells USING (k) JOIN part ON p_partkey = p WHERE known"""
+)
+def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report described by settings: the numbered wells as its detail table."""
+    settings = settings_from_config(
+        {
+            "tasks_list": "County_Quad_Pool, Buyer_Lease_Type_Active, , Permit_Well_header, Permit_Well",
+            "tasks_branch_from_to_list": "Permit_Well, Numbered_Well",
+            "re_Numbered_Well": r"(?P<Permit>\d{7}) +(?P<Well>.*)",
+            "header_list": "Quad, Buyer, <Numbered_Well>, <File>",
+        }
+    )
+    return production_wide(render_reports(spark, sf_dir), settings.plan)
+
+
 @query(_PACKED_SQL)
 def production_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row grammar taken literally: missing and masked cells shift later months."""
@@ -302,7 +322,8 @@ def production_numeric_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}, {_LONG_SQL}
-    SELECT k AS doc_id, CAST(year AS BIGINT) AS year, month, volume, is_masked AS masked FROM long_"""
+    SELECT k AS doc_id, CAST(year AS BIGINT) AS year, month, volume, is_masked AS masked FROM long_""",
+    name="production_long",
 )
 def production_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = production_long(render_reports(spark, sf_dir))

@@ -85,17 +85,9 @@ def _null_field(grammar: Grammar, parsed: Column) -> Column:
 def _list_events(plan: ReportPlan, i: int) -> Column:
     grammar = plan.stages[i].grammar
     damaged = F.filter(F.col(_list_name(i)), lambda x: _null_field(grammar, x["p"]))
-    kept = F.col("kept")
-    # The text of the line is found by its number.
     return F.transform(
         damaged,
-        lambda x: _event(
-            x["n"],
-            F.lit(i),
-            F.lit(BAD_PARAMETERS),
-            F.get(F.filter(kept, lambda k: k["n"] == x["n"]), F.lit(0))["l"],
-            F.lit(None),
-        ),
+        lambda x: _event(x["n"], F.lit(i), F.lit(BAD_PARAMETERS), x["l"], F.lit(None)),
     )
 
 
