@@ -274,12 +274,15 @@ def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}
-    SELECT r_name AS Quad, s_name AS Buyer, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' #' || p AS Well,
+    SELECT r_name AS Quad, s_name AS Buyer, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' ' || p AS Well,
            CAST(k AS VARCHAR) AS File
     FROM docs JOIN top_wells USING (k) JOIN part ON p_partkey = p WHERE known"""
 )
 def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report described by settings: the numbered wells as its detail table."""
+    """A report described by settings: the numbered wells as its detail table.
+
+    Detail values with digits lose their ``#``; header values keep it.
+    """
     settings = settings_from_config(
         {
             "tasks_list": "County_Quad_Pool, Buyer_Lease_Type_Active, , Permit_Well_header, Permit_Well",
