@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions import pages as page_fn
 from reportlake.functions import text as text_fn
-from reportlake.functions.cells import CELLS, MONTHS
+from reportlake.functions.cells import MONTHS
 from reportlake.operators import landing, worklist
 from reportlake.operators.classify import classify, stage_positions
 from reportlake.operators.custom import per_document

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.operators.extract import _list_name, _loops, has_required, with_context
-from reportlake.operators.segment import line_at, read_position, sticky_lines
+from reportlake.operators.segment import read_position, sticky_lines
 from reportlake.operators.staging import stage
 from reportlake.plans.grammar import ReportPlan, default_plan
 

@@ -34,10 +34,6 @@ def level_of(kind: Column) -> Column:
     return F.when(kind.isin(_INFO_KINDS), F.lit("INFO")).otherwise(F.lit("WARNING"))
 
 
-def _level_rank(level: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level)
-
-
 def at_least(events: DataFrame, level: str) -> DataFrame:
     """Events of the given severity or above."""
     if level not in LEVELS:
