@@ -3,7 +3,8 @@
 One fold over the current lines of a document, written as a Catalyst
 ``aggregate``.  Its state has a fixed size for a given plan, whatever the length
 of the document: the active stage, where each stage read its line or began and
-ended, and at most two notes per stage.  Only the grammar of the active stage is
+ended, and at most two notes per stage.  (A position is added for each page whose
+footer was itself read as a detail line.)  Only the grammar of the active stage is
 tried on a line.  The lines of the sticky stage at the end are marked once, before
 the fold, and picked by a plain filter after it.
 
