@@ -11,7 +11,7 @@ from reportlake.session import shared_folder
 HOT_SHARE = 1000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def words(text: Column) -> Column:
-    """Words of 0-9, a-z and characters beyond ASCII; only A-Z are lower-cased. Null has none."""
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(
-        F.translate(text, _UPPER, _UPPER.lower())
-    )
-    return F.array_remove(F.split(lowered, _NO_WORD), "")
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def words(text: Column) -> Column:
+    """Words of 0-9, a-z and characters beyond ASCII; only A-Z are lower-cased. Null has none."""
+    return F.array_remove(F.split(lowered(text), NO_WORD), "")
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

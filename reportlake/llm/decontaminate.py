@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import stored, words
+from reportlake.llm.common import NO_WORD, lowered, stored, words
+from reportlake.operators.staging import stage
 
 GRAM = 5
 SPAN = 10
@@ -21,67 +22,76 @@ SPAN = 10
 BROADCAST_ROWS = 200_000
 
 
-def _gram_hashes(hashes: str, k: int) -> Column:
-    """Hashes of all k-grams of an array of word hashes; none if it is shorter."""
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - k),
-        lambda i: F.xxhash64(*[F.get(F.col(hashes), i + F.lit(j)) for j in range(k)]),
-    )
-    return F.when(F.size(hashes) >= k, grams).otherwise(F.array().cast("array<bigint>"))
+def _sliding(df: DataFrame, column: str, width: int, join) -> tuple[DataFrame, str]:
+    """Joins every ``width`` neighbours of an array in about log(width) passes over it.
 
+    ``join`` must allow overlap (a hash of hashes, a minimum). Entries near the end, where fewer
+    neighbours are left, hold what is joined of those.
+    """
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        name = f"{column}_{have + step}"
+        later = F.slice(column, F.lit(step + 1), F.greatest(F.size(column) - step, F.lit(0)))
+        # read twice, so Spark keeps the narrower array as a column of its own
+        df = df.withColumn(name, F.zip_with(column, later, join)).drop(column)
+        column, have = name, have + step
+    return df, column
 
-def _run(at: Column, hashes: str, own: str, step: int, most: int) -> Column:
-    """How many neighbours in a row, up to ``most``, hash no lower."""
-    count: Column = F.lit(most)
-    for i in range(most, 0, -1):
-        higher = F.coalesce(F.get(F.col(hashes), at + F.lit(step * i)) >= F.col(own), F.lit(False))
-        count = F.when(higher, count).otherwise(F.lit(i - 1))
-    return count
 
+def _grams(df: DataFrame, words_col: str, k: int) -> tuple[DataFrame, str]:
+    hashed = df.withColumn("__g", F.transform(words_col, lambda x: F.xxhash64(x)))
+    return _sliding(hashed, "__g", k, lambda a, b: F.xxhash64(a, b))
 
-def _kept(at: Column, hashes: str, own: str, window: int) -> Column:
-    """Is this gram the least of a window of ``window`` grams (of all, if there are fewer)?"""
-    if window == 1:
-        return F.lit(True)
-    return _run(at, hashes, own, -1, window - 1) + _run(at, hashes, own, 1, window - 1) + 1 >= F.least(
-        F.lit(window), F.size(hashes)
-    )
+
+def _minima(df: DataFrame, words_col: str, need: int, k: int) -> tuple[DataFrame, str]:
+    """The least gram hash of every window that ``need`` words fill."""
+    grams, column = _grams(df, words_col, k)
+    return _sliding(grams, column, need - k + 1, lambda a, b: F.least(a, b))
+
+
+def _beside(text: Column, first: Column, step: int, most: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(text, first + F.lit(step) * i))
 
 
-def _equal_run(text: str, at: Column, other: str, step: int, most: int) -> Column:
-    """Equal words in a row, up to ``most``, beside a meeting point; ``other`` lists the nearest first."""
+def _equal_run(a: str, b: str, most: int) -> Column:
+    """Equal entries in a row at the start of two arrays, up to ``most``."""
     count: Column = F.lit(most)
     for i in range(most, 0, -1):
-        same = F.get(F.col(text), at + F.lit(step * i)) == F.get(F.col(other), F.lit(i - 1))
+        same = F.get(F.col(a), F.lit(i - 1)) == F.get(F.col(b), F.lit(i - 1))
         count = F.when(F.coalesce(same, F.lit(False)), count).otherwise(F.lit(i - 1))
     return count
 
 
-def _fingerprints(items: DataFrame, need: int, k: int, span: int) -> DataFrame:
-    """Kept grams of the items that take ``need`` equal words, with the words around them."""
-    side = span - 1
+def _points(df: DataFrame, chosen: str, k: int, side: int) -> DataFrame:
+    """A row for every gram whose hash is in the array ``chosen``, with the words around it."""
+    keys = [c for c in df.columns if c not in ("__words", chosen)]
+    grams, column = _grams(df, "__words", k)
+    staged = stage(grams, __all=F.transform(column, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    met = stage(staged, __met=F.filter("__all", lambda x: F.array_contains(chosen, x["h"])))
     w = F.col("__words")
+    around = F.transform(
+        "__met",
+        lambda x: F.struct(
+            x["h"].alias("hash"),
+            x["i"].alias("at"),
+            F.slice(w, x["i"] + 1, F.lit(k)).alias("gram"),
+            _beside(w, x["i"] - 1, -1, side).alias("left"),
+            _beside(w, x["i"] + k, 1, side).alias("right"),
+        ),
+    )
+    return met.select(*keys, F.explode_outer(around).alias("__p")).where("__p IS NOT NULL").select(*keys, "__p.*")
 
-    def beside(step: int, first: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.get(w, first + F.lit(step) * i)
-        )
 
-    at = F.col("__pos")
+def _fingerprints(items: DataFrame, need: int, k: int, span: int) -> DataFrame:
+    """Grams, with the words around them, that are least in a window of an item of this length."""
+    own = items.where(F.least(F.size("__words"), F.lit(span)) == need)
+    kept, column = _minima(own.withColumn("__copy", F.col("__words")), "__copy", need, k)
+    kept = kept.select("__item", "__words", F.array_distinct(column).alias("__kept"))
     return (
-        items.where(F.least(F.size("__words"), F.lit(span)) == need)
-        .select("__item", "__words", F.transform("__words", lambda x: F.xxhash64(x)).alias("__h"))
-        .select("__item", "__words", _gram_hashes("__h", k).alias("__g"))
-        .select("__item", "__words", "__g", F.posexplode("__g").alias("__pos", "__hash"))
-        .where(_kept(at, "__g", "__hash", need - k + 1))
-        .select(
-            "__hash",
-            "__item",
-            F.slice(w, at + 1, F.lit(k)).alias("__gram"),
-            beside(-1, at - 1).alias("__left"),
-            beside(1, at + k).alias("__right"),
-        )
-        .groupBy("__hash", "__gram", "__left", "__right")
+        _points(kept, "__kept", k, span - 1)
+        .where(F.size("gram") == k)
+        .groupBy("hash", "gram", "left", "right")
         .agg(F.collect_set("__item").alias("__items"))
     )
 
@@ -106,7 +116,6 @@ def find_spans(
     a row; an empty benchmark gives rows without spans. Other columns are not read, so names cannot
     clash.
     """
-    spark = docs.sparkSession
     listed = stored(
         items.select(F.col(item_col).alias("__item"), words(F.col(item_text)).alias("__words"))
         .where(F.size("__words") > 0)
@@ -114,109 +123,110 @@ def find_spans(
         "items",
     )
     # at most ``span`` different numbers, whatever the benchmark
-    needs = sorted(
-        r[0]
-        for r in listed.select(F.least(F.size("__words"), F.lit(span))).distinct().collect()
-    )
-    tokens = docs.select(
+    lengths = listed.select(F.least(F.size("__words"), F.lit(span))).distinct()
+    needs = sorted(r[0] for r in lengths.collect())
+    texts = docs.select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(id_col).alias("__id"),
         F.xxhash64(text_col).alias("__key"),
-        words(F.col(text_col)).alias("__words"),
+        # an empty first or last entry is no word and equals none
+        F.split(lowered(F.col(text_col)), NO_WORD).alias("__words"),
     )
-    item_type = dict(listed.dtypes)["__item"]
-    parts = [
-        tokens.select(
-            "__row", "__id", "__key", F.size("__words").alias("__n"),
-            F.lit(None).cast("int").alias("__start"), F.lit(None).cast("int").alias("__end"),
-            F.lit(None).cast(f"array<{item_type}>").alias("__items"),
-        )
-    ] if not needs else []
+    empty = (F.get("__words", F.lit(0)) == "").cast("int") + (
+        (F.size("__words") > 1) & (F.element_at("__words", -1) == "")
+    ).cast("int")
+    texts = texts.withColumn("__n", F.size("__words") - empty)
+    keys = ["__row", "__id", "__key", "__n"]
+    prints, seen = {}, []
     for need in needs:
         size = min(k, need)
-        prints = stored(_fingerprints(listed, need, size, span), f"prints{need}")
-        small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        side = span - 1
-        at = F.col("__pos") - 1  # position 0 is a row for the document itself
-        points = (
-            tokens.select("*", F.transform("__words", lambda x: F.xxhash64(x)).alias("__h"))
-            .select("__row", "__id", "__key", "__words", _gram_hashes("__h", size).alias("__g"))
-            .select(
-                "__row", "__id", "__key", "__words", "__g",
-                F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("__g"))).alias("__pos", "__hash"),
-            )
-            .where((F.col("__pos") == 0) | _kept(at, "__g", "__hash", need - size + 1))
+        prints[need] = stored(_fingerprints(listed, need, size, span), f"prints{need}")
+        least, column = _minima(texts, "__words", need, size)
+        first = F.array(F.lit(None).cast("bigint"))  # a row for the document itself
+        hashes = least.select(*keys, F.explode_outer(F.concat(first, F.col(column))).alias("hash"))
+        known = prints[need].select("hash", F.lit(need).alias("__need")).distinct()
+        seen.append(
+            hashes.join(_checked(known), "hash", "left").where("hash IS NULL OR __need IS NOT NULL")
         )
-        if small:
-            around, middle = "__words", at
-            met = points.join(F.broadcast(prints), "__hash", "left")
-        else:  # both sides move: take along the words around a point, not the whole text
-            around, middle = "__around", F.lit(side)
-            near = F.transform(
-                F.sequence(F.lit(0), F.lit(2 * side + size - 1)),
-                lambda i: F.get(F.col("__words"), at + i - F.lit(side)),
-            )
-            met = points.select(
-                "__row", "__id", "__key", F.size("__words").alias("__n"), "__pos", "__hash",
-                F.when(F.col("__pos") > 0, near).alias("__around"),
-            ).join(prints, "__hash", "left")
-        equal = reduce(
-            lambda a, b: a & b,
-            [F.get(F.col(around), middle + F.lit(j)) == F.get(F.col("__gram"), F.lit(j)) for j in range(size)],
-        )
-        before = _equal_run(around, middle, "__left", -1, side)
-        after = _equal_run(around, middle + F.lit(size - 1), "__right", 1, side)
-        parts.append(
-            met.where((F.col("__pos") == 0) | F.coalesce(equal, F.lit(False)))
-            .select(
-                "__row", "__id", "__key", "__pos", "__items",
-                (F.size("__words") if small else F.col("__n")).alias("__n"),
-                (at - before).alias("__start"),
-                (at + F.lit(size) + after).alias("__end"),
-            )
-            .where((F.col("__pos") == 0) | (F.col("__end") - F.col("__start") >= need))
-            .select(
-                "__row", "__id", "__key", "__n", "__items",
-                *[F.when(F.col("__pos") > 0, F.col(c)).alias(c) for c in ("__start", "__end")],
-            )
+    if not needs:
+        seen = [texts.select(*keys, F.lit(None).cast("bigint").alias("hash"), F.lit(0).alias("__need"))]
+    seen = stored(reduce(lambda a, b: a.unionByName(b), seen), "seen")
+    rows = seen.where("hash IS NULL").select(*keys)
+    rows = rows.distinct() if len(needs) > 1 else rows
+    met = stored(
+        seen.where("hash IS NOT NULL")
+        .groupBy("__id", "__key", "__need")
+        .agg(F.collect_set("hash").alias("__chosen")),
+        "met",
+    )
+    spans = [_spans(docs, met.where(F.col("__need") == n), p, id_col, text_col, n, min(k, n), span) for n, p in prints.items()]
+    if not spans:
+        return rows.select(
+            F.col("__id").alias(id_col),
+            F.col("__key").alias("text_key"),
+            F.col("__n").cast("long").alias("n_words"),
+            F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+            F.array().cast(f"array<{dict(listed.dtypes)['__item']}>").alias("items"),
         )
-    points = reduce(lambda a, b: a.unionByName(b), parts)
+    spans = reduce(lambda a, b: a.unionByName(b), spans)
     # a document has at most as many spans as words, whatever the number of items
-    found = points.groupBy("__row").agg(
-        F.first("__id").alias("__id"),
-        F.first("__key").alias("__key"),
-        F.first("__n").alias("__n"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("__start").isNotNull(), F.struct("__start", "__end")))
-        ).alias("__spans"),
+    found = spans.groupBy("__id", "__key").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"),
         F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__items"),
     )
-    kind = "array<struct<start:int,end:int>>"
-    joined = F.aggregate(
-        F.col("__spans").cast(kind),
-        F.array().cast(kind),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
+    found = found.select(
+        F.col("__id").alias("__fid"), F.col("__key").alias("__fkey"), _joined(F.col("__spans")).alias("__spans"), "__items"
     )
-    return found.select(
+    same = F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__key") == F.col("__fkey"))
+    return rows.join(found, same, "left").select(
         F.col("__id").alias(id_col),
         F.col("__key").alias("text_key"),
         F.col("__n").cast("long").alias("n_words"),
-        joined.alias("spans"),
-        F.col("__items").alias("items"),
+        F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        F.coalesce("__items", F.array().cast(found.schema["__items"].dataType)).alias("items"),
     )
 
 
+def _checked(side: DataFrame) -> DataFrame:
+    """A side of stored rows, broadcast if it is small; else Spark joins by shuffle."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
+def _spans(docs, met, prints, id_col, text_col, need, k, span) -> DataFrame:
+    """Meeting points of some documents, compared word by word and extended to both sides."""
+    met = met.select(F.col("__id").alias("__mid"), F.col("__key").alias("__mkey"), "__chosen")
+    own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    same = F.col("__id").eqNullSafe(F.col("__mid")) & (F.col("__key") == F.col("__mkey"))
+    own = own.join(_checked(met), same).select("__id", "__key", words(F.col("__text")).alias("__words"), "__chosen")
+    points = _points(own, "__chosen", k, span - 1)
+    known = prints.select("hash", *[F.col(c).alias(f"__{c}") for c in ("gram", "left", "right")], "__items")
+    before, after = _equal_run("left", "__left", span - 1), _equal_run("right", "__right", span - 1)
+    return (
+        points.join(_checked(known), "hash")
+        .where(F.col("gram") == F.col("__gram"))
+        .select(
+            "__id", "__key", "__items",
+            (F.col("at") - before).alias("start"), (F.col("at") + F.lit(k) + after).alias("end"),
+        )
+        .where(F.col("end") - F.col("start") >= need)
+    )
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans, with those that touch or overlap made one."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(
+            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"]),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)),
+        ).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans.cast(kind), F.array().cast(kind), put)
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and a checksum per document from the rows of :func:`find_spans`."""
     hit = F.aggregate("spans", F.lit(0), lambda s, x: s + x["end"] - x["start"]).cast("long")
