@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from reportlake.llm import decontaminate, exact_dedup
+from reportlake.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, pieces, quality, token_counts
 
 QUERIES = {
+    "op1_neighbour_voting": quality.op1_neighbour_voting,
+    "op2_perspectives": chat.op2_perspectives,
     "op4_bloom_dedup": exact_dedup.op4_bloom_dedup,
+    "op6_pieces": pieces.op6_pieces,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_partial_matching": language_id.op8_partial_matching,
     "op9_winnowing": decontaminate.op9_winnowing,
+    "op10_line_winnowing": line_dedup.op10_line_winnowing,
 }
 ORACLES = {
+    "op2_perspectives": chat.ORACLE,
     "op4_bloom_dedup": exact_dedup.ORACLE,
     "op9_winnowing": decontaminate.ORACLE,
+    "op10_line_winnowing": line_dedup.ORACLE,
 }
