@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, pieces, quality, token_counts
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, pieces, quality, token_counts
 
 QUERIES = {
+    "op5_chain_field": html_text.op5_chain_field,
     "op1_neighbour_voting": quality.op1_neighbour_voting,
     "op2_perspectives": chat.op2_perspectives,
     "op4_bloom_dedup": exact_dedup.op4_bloom_dedup,
