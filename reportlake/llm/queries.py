@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, pieces, quality, token_counts
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, pieces, quality, token_counts
 
 QUERIES = {
+    "op3_near_join": near_join.op3_near_join,
     "op5_chain_field": html_text.op5_chain_field,
     "op1_neighbour_voting": quality.op1_neighbour_voting,
     "op2_perspectives": chat.op2_perspectives,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_line_winnowing": line_dedup.op10_line_winnowing,
 }
 ORACLES = {
+    "op3_near_join": near_join.ORACLE,
     "op2_perspectives": chat.ORACLE,
     "op4_bloom_dedup": exact_dedup.ORACLE,
     "op9_winnowing": decontaminate.ORACLE,
