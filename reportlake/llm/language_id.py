@@ -206,43 +206,62 @@ def train(
     return Model(languages, [grams[names == x] for x in languages], [counts[names == x] for x in languages], order)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns ``keep``, lang_pred, score and bits_per_byte.
+def _judge(part: pa.RecordBatch, column: int, model: Model, known: _Known | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: index of the language (one past the last: und), score, bits a byte."""
+    texts = part.column(column)
+    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    gram, bounds = _grams(texts, model.order)
+    lengths = np.diff(bounds)
+    best = np.full(part.num_rows, len(model.languages))
+    score, mean = np.zeros(part.num_rows), np.zeros(part.num_rows)
+    full = np.flatnonzero(lengths > 0)
+    use = np.flatnonzero((lengths > 0) & lettered)
+    if known is not None and len(use):
+        total = np.add.reduceat(known.bits(gram), bounds[full], axis=0, dtype=np.float64)
+        each = total[np.searchsorted(full, use)] / lengths[use, None]
+        best[use] = each.argmin(axis=1)
+        mean[use] = each.min(axis=1)
+        score[use] = 1 / np.exp2(32 * (mean[use, None] - each)).sum(axis=1)
+    return best, score, mean
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, lang_pred, score and bits_per_byte.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if the model
     has no language. The score is the share of the winner when each language weighs
     2 ** (32 x mean bits a byte it saves); ties go to the language first by name. Whole texts are
-    read; rows are judged one by one.
+    read; rows, repeated or not, are judged one by one; other columns are not read.
     """
-    frame = docs.select(id_col, text_col, *keep)
+    frame = docs.select(id_col, text_col)
 
     def run(batches):
         known = _Known(model) if model.languages else None
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             for part in slices(batch, text_col):
-                lettered = np.asarray(
-                    pc.fill_null(pc.match_substring_regex(part.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                )
-                gram, bounds = _grams(part.column(1), model.order)
-                lengths = np.diff(bounds)
-                best = np.full(part.num_rows, len(names) - 1)
-                score, mean = np.zeros(part.num_rows), np.zeros(part.num_rows)
-                use = np.flatnonzero((lengths > 0) & lettered)
-                if known is not None and len(use):
-                    total = np.add.reduceat(known.bits(gram), bounds[:-1][lengths > 0], axis=0, dtype=np.float64)
-                    at = np.searchsorted(np.flatnonzero(lengths > 0), use)
-                    each = total[at] / lengths[use, None]
-                    best[use] = each.argmin(axis=1)
-                    mean[use] = each.min(axis=1)
-                    score[use] = 1 / np.exp2(32 * (mean[use, None] - each)).sum(axis=1)
+                best, score, mean = _judge(part, 1, model, known)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[part.column(c) for c in keep], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(mean)],
-                    [id_col, *keep, "lang_pred", "score", "bits_per_byte"],
+                    [part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(mean)],
+                    [id_col, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != text_col or text_col in keep]
-    return frame.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"]))
+    id_type = frame.schema[id_col].dataType.simpleString()
+    return frame.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, bits_per_byte double")
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns as they are, whose text is in one of the learned languages."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        known = _Known(model) if model.languages else None
+        for batch in batches:
+            for part in slices(batch, text_col):
+                best, _, _ = _judge(part, at, model, known)
+                yield part.filter(pa.array(best < len(model.languages)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

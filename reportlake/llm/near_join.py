@@ -313,20 +313,8 @@ def _verified(docs, reps, found, id_col, text_col, size, threshold) -> DataFrame
     return stored(grouped(met, ["root", "i", "j"], run, "rep bigint, links bigint, low bigint"), "links")
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD
-) -> DataFrame:
-    """Per row: id, class_id, rep_id, n_same and n_links.
-
-    Words are runs of 0-9, a-z and characters beyond ASCII, A-Z lower-cased; a text's shingles are
-    its runs of ``size`` words, or all its words if there are fewer. Two documents are linked when
-    the Jaccard similarity of their shingle sets is at least ``threshold``. class_id is the least id
-    of the documents connected by links, rep_id the least id with the same shingle set, n_same the
-    number of rows with that set, and n_links the number of other rows this one is linked to.
-
-    Null, empty and wordless texts are linked to nothing; repeated rows are linked to each other;
-    a null id is less than any other. Only id and text are read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
+    """Per row: id, key, row, root (number of its class), class_id, rep_id, n_same, n_links."""
     rows = stored(_sketches(docs, id_col, text_col, size), "sketches")
     total = rows.count()
     sets = rows.where("n > 0").groupBy("one", "two").agg(
@@ -342,20 +330,53 @@ def near_classes(
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.select("one", "two", "size", "rep", "id").join(counted, "rep", "left")
     named = named.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = named.groupBy("root").agg(F.min(F.struct("id")).alias("least"))
+    least = named.groupBy("root").agg(F.min(F.struct("id", "rep")).alias("least"))
     named = stored(
         named.join(least, "root").select(
-            "one", "two", "size", F.col("least.id").alias("class_id"), F.col("id").alias("rep_id"),
+            "one", "two", "size", F.col("least.rep").alias("root"), F.col("least.id").alias("class_id"), F.col("id").alias("rep_id"),
             (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ),
         "classes",
     )
-    met = attach(rows.where("n > 0").select("id", "one", "two"), named, ["one", "two"], "size", total)
+    met = attach(rows.where("n > 0").select("id", "key", "row", "one", "two"), named, ["one", "two"], "size", total)
     one = F.lit(1).cast("long")
     alone = rows.where("n = 0").select(
-        F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("rep_id"), one.alias("n_same"), (one - 1).alias("n_links")
+        "id", "key", "row", F.col("row").alias("root"), F.col("id").alias("class_id"), F.col("id").alias("rep_id"),
+        one.alias("n_same"), (one - 1).alias("n_links"),
     )
-    return met.select(F.col("id").alias(id_col), "class_id", "rep_id", F.col("size").alias("n_same"), "n_links").unionByName(alone)
+    return met.withColumnRenamed("size", "n_same").select(alone.columns).unionByName(alone)
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Per row: id, class_id, rep_id, n_same and n_links.
+
+    Words are runs of 0-9, a-z and characters beyond ASCII, A-Z lower-cased; a text's shingles are
+    its runs of ``size`` words, or all its words if there are fewer. Two documents are linked when
+    the Jaccard similarity of their shingle sets is at least ``threshold``. class_id is the least id
+    of the documents connected by links, rep_id the least id with the same shingle set, n_same the
+    number of rows with that set, and n_links the number of other rows this one is linked to.
+
+    Null, empty and wordless texts are linked to nothing; repeated rows are linked to each other;
+    a null id is less than any other. Only id and text are read.
+    """
+    found = _classes(docs, id_col, text_col, size, threshold)
+    return found.select(F.col("id").alias(id_col), "class_id", "rep_id", "n_same", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, less all but one of each class of near duplicates.
+
+    The one with the least id stays. Rows with the same id and text stay or go together.
+    """
+    found = _classes(docs, id_col, text_col, **{"size": SHINGLE, "threshold": THRESHOLD, **options})
+    gone = stored(found.where("row <> root").select("id", "key", "root"), "gone")
+    kept = found.where("row = root").select(F.col("id").alias("kid"), F.col("key").alias("kkey"))
+    gone = gone.select(F.col("id").alias("__gid"), F.col("key").alias("__gkey")).distinct()
+    gone = gone.join(kept, F.col("__gid").eqNullSafe(F.col("kid")) & (F.col("__gkey") == F.col("kkey")), "left_anti")
+    key = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gid")) & (key == F.col("__gkey")), "left_anti")
 
 
 def op3_near_join(spark, sf_dir):

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reportlake.llm.common import table
 
@@ -220,10 +221,7 @@ def encode(
             ids = pa.ListArray.from_arrays(starts, np.frombuffer(b"".join(parts), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*others, ids_col])
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    schema = frame.schema.add(ids_col, ArrayType(IntegerType()))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, StructType([*frame.schema, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids", text_col: str = "text") -> DataFrame:
@@ -241,9 +239,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids",
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*others, text_col])
 
-    from pyspark.sql.types import StringType
-
-    return frame.mapInArrow(run, frame.schema.add(text_col, StringType()))
+    return frame.mapInArrow(run, StructType([*frame.schema, StructField(text_col, StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
