@@ -22,7 +22,7 @@ from reportlake.llm.common import table
 
 #: Pages that train at most.
 SAMPLE = 200
-STEPS = 150
+STEPS = 250
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg select".split())
@@ -78,7 +78,7 @@ def blocks(html: str) -> list[Block]:
             features = ["1", f"own {own}", f"size {size}", f"link {link}", f"own {own} size {size}", *sorted(path)]
             if text[-1] in ".!?":
                 features.append("sentence")
-            if re.search("[©|·»]|(?i:copyright|cookie)", text):
+            if re.search("©|(?i:copyright|cookie)", text):
                 features.append("sign")
             found.append(Block(text, features, path))
         linked[0] = 0
@@ -244,7 +244,7 @@ class Model:
         return path[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay: float = 1e-3) -> Model:
+def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay: float = 2e-4) -> Model:
     """Maximum conditional likelihood with a small quadratic penalty, by full-batch Adam."""
     pages = [(b, y) for b, y in pages if b]
     names = {f: i for i, f in enumerate(sorted({f for b, _ in pages for x in b for f in x.features}))}
