@@ -105,7 +105,7 @@ def _sticky_events(plan: ReportPlan) -> Column:
 
     def worth(i: Column) -> Column:
         here = F.get(kept, i)
-        if grammar.pattern:
+        if not grammar.wide:
             return ~is_detail(plan, here, whole=True)
         return ~is_detail(plan, here) | here["l"].contains("#")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -35,6 +36,11 @@ class Grammar:
     def fields(self) -> list[str]:
         return list(self.compiled.groups)
 
+    @property
+    def wide(self) -> bool:
+        """A monthly table row, whose cells may be masked."""
+        return False
+
     @property
     def loose(self) -> bool:
         """Some named group may take no part in a match."""
@@ -95,12 +101,19 @@ class Grammar:
         return F.array().cast("array<string>")
 
 
+def _mask_off(text: Column) -> Column:
+    """The digits of a cell, nothing if it is all mask."""
+    cleaned = cells.hash_cleanup(text)
+    return F.when(cleaned.contains("#"), F.lit("")).otherwise(cleaned)
+
+
 @dataclass(frozen=True)
 class WideRow(Grammar):
     """The monthly table row.  ``layout`` and ``mask_mode`` as in ``functions.cells``.
 
-    ``mask_mode`` says what a cell with ``#`` becomes in the ``columns`` layout:
-    ``blank`` leaves it out, ``keep`` keeps its text, ``reject`` refuses the row.
+    ``mask_mode`` says what a cell of nothing but ``#`` becomes in the ``columns`` layout:
+    ``blank`` leaves it out, ``keep`` keeps its text, ``reject`` refuses a row with any ``#``.
+    A cell that holds digits as well loses its ``#``.
     """
 
     pattern: str = ""
@@ -117,6 +130,10 @@ class WideRow(Grammar):
     def fields(self) -> list[str]:
         return list(cells.WIDE_FIELDS)
 
+    @property
+    def wide(self) -> bool:
+        return True
+
     @property
     def loose(self) -> bool:
         return False
@@ -153,14 +170,14 @@ class WideRow(Grammar):
         for i, name in enumerate(cells.WIDE_FIELDS):
             text = F.get(parsed, F.lit(i))
             if i > 0 and self.mask_mode == "blank":
-                text = F.when(text.contains("#"), F.lit("")).otherwise(text)
+                text = _mask_off(text)
             out[name] = text
         return out
 
     def cleaned(self, parsed: Column, line: Column) -> Column:
         def clean(text: Column, i: Column) -> Column:
             if self.mask_mode == "blank":
-                return F.when((i > 0) & text.contains("#"), F.lit("")).otherwise(text)
+                return F.when(i > 0, _mask_off(text)).otherwise(text)
             return cells.hash_cleanup(text)
 
         return F.when(line.contains("#"), F.transform(parsed, clean)).otherwise(parsed)
@@ -179,6 +196,114 @@ class WideRow(Grammar):
         return self.values(self.parse(line))[name]
 
 
+def _after(text: Column, taken: Column | str, more: int = 0) -> Column:
+    """What is left of a text after a beginning of the length of ``taken`` and ``more`` characters."""
+    length = F.lit(len(taken)) if isinstance(taken, str) else F.char_length(taken)
+    return F.substring(text, length + F.lit(more + 1), F.char_length(text))
+
+
+def _spaces_off(text: Column) -> Column:
+    return F.btrim(text, F.lit(" "))
+
+
+@dataclass(frozen=True)
+class CutLine(Grammar):
+    """A line whose fields are cut out between fixed places; made by ``cut`` from a line.
+
+    ``cut`` gives (is it such a line, the fields); a field is null when it is absent.
+    """
+
+    pattern: str = ""
+    names: tuple[str, ...] = ()
+    optional: bool = False
+    cut: Callable[[Column], tuple[Column, dict[str, Column]]] = None
+
+    @property
+    def fields(self) -> list[str]:
+        return list(self.names)
+
+    @property
+    def loose(self) -> bool:
+        return self.optional
+
+    def matches(self, line: Column) -> Column:
+        return self._guarded(line, self.cut(line)[0])
+
+    def all_present(self, line: Column) -> Column:
+        test, fields = self.cut(line)
+        for value in fields.values() if self.optional else ():
+            test = test & value.isNotNull()
+        return self._guarded(line, test)
+
+    def group(self, line: Column, name: str) -> Column:
+        return self.cut(line)[1].get(name, F.lit("").alias(name))
+
+
+def _label_words(*choices: str) -> Callable[[Column], tuple[Column, dict[str, Column]]]:
+    """A marker line: its first words are the label's; the last may go on."""
+
+    def cut(line: Column) -> tuple[Column, dict[str, Column]]:
+        words = F.split(F.ltrim(line, F.lit(" ")), " +")
+        test = F.lit(False)
+        for choice in choices:
+            label = choice.split(" ")
+            same = F.get(words, F.lit(len(label) - 1)).startswith(label[-1])
+            for i, word in enumerate(label[:-1]):
+                same = same & (F.get(words, F.lit(i)) == word)
+            test = test | F.coalesce(same, F.lit(False))
+        return test, {}
+
+    return cut
+
+
+def _place(line: Column) -> tuple[Column, dict[str, Column]]:
+    """County before its label, then Quad and Pool, each up to its own."""
+    county = F.substring_index(line, "County; ", 1)
+    rest = _after(line, county, len("County; "))
+    quad = F.substring_index(rest, "Quad; ", 1)
+    pool_on = _after(rest, quad, len("Quad; "))
+    end = F.regexp_instr(pool_on, F.lit(" Field +Pool"))
+    test = line.contains("County; ") & rest.contains("Quad; ") & (end > 0)
+    pool = F.substring(pool_on, F.lit(1), end - 1)
+    return test, {"County": _spaces_off(county), "Quad": _spaces_off(quad), "Pool": _spaces_off(pool)}
+
+
+def _buyer(line: Column) -> tuple[Column, dict[str, Column]]:
+    """Buyer up to the lease label, Lease up to the type label, Type as one word."""
+    begin = F.ltrim(line, F.lit(" "))
+    body = _after(begin, "Buyer: ")
+    named = F.substring_index(body, "Lease#: ", 1)
+    rest = _after(body, named, len("Lease#: "))
+    at = F.regexp_instr(rest, F.lit("Production +Type "))
+    kind_on = F.ltrim(F.substring(rest, at + len("Production"), F.char_length(rest)), F.lit(" "))
+    kind_on = F.ltrim(_after(kind_on, "Type "), F.lit(" "))
+    unit = F.regexp_instr(kind_on, F.lit("Production +Unit"))
+    word = F.substring_index(kind_on, " ", 1)
+    kind = F.when(unit > 0, F.substring(word, F.lit(1), unit - 1)).otherwise(word)
+    # What may stand between the buyer's name and the lease label.
+    name = F.regexp_replace(_spaces_off(named), "Buyer's$", "")
+    name = F.regexp_replace(_spaces_off(name), ",$", "")
+    test = begin.startswith("Buyer: ") & body.contains("Lease#: ") & (at > 0)
+    return test, {"Buyer": name, "Lease": _spaces_off(F.substring(rest, F.lit(1), at - 1)), "Type": kind}
+
+
+#: Spaces that stand for an absent permit, and the most characters of one.
+NO_PERMIT, LONGEST_PERMIT = 8, 10
+
+
+def _well(line: Column) -> tuple[Column, dict[str, Column]]:
+    """A permit from the first column on and a name after spaces; either may be absent."""
+    body = F.ltrim(line, F.lit(" "))
+    indent = F.char_length(line) - F.char_length(body)
+    word = F.substring_index(line, " ", 1)
+    bare = (indent == NO_PERMIT) & (body == "")
+    listed = (indent == 0) & F.char_length(word).between(1, LONGEST_PERMIT)
+    test = ~body.startswith("Edit") & (listed | bare | (indent > NO_PERMIT))
+    permit = F.when(indent == 0, word)
+    name = F.when(indent > 0, F.when(~bare, body)).when(line != word, F.ltrim(_after(line, word), F.lit(" ")))
+    return test, {"Permit": permit, "Well": name}
+
+
 @dataclass(frozen=True)
 class Stage:
     """One step of a plan: single-line, or repeating while its grammar matches."""
@@ -223,30 +348,29 @@ class ReportPlan:
         return replace(self, stages=tuple(stages))
 
 
-# Line grammars of the monthly production report.
+# Labels of the monthly production report.
 GRAMMARS = {
-    "County_Quad_Pool": Grammar(
-        "County_Quad_Pool",
-        r" *(?P<County>.*?) *County; +(?P<Quad>.*?) *Quad; +(?P<Pool>.*?) +Field +Pool",
-        ("County;", "Quad;", "Field", "Pool"),
+    "County_Quad_Pool": CutLine(
+        "County_Quad_Pool", needs=("County;", "Quad;", "Pool"), names=("County", "Quad", "Pool"), cut=_place
     ),
-    "Buyer_Lease_Type_Active": Grammar(
-        "Buyer_Lease_Type_Active",
-        r" *Buyer: +(?P<Buyer>.*?),? *(?:Buyer's)? *Lease#: +(?P<Lease>.*?)"
-        r" *Production +Type +(?P<Type>[^ ]*?)(?: *Production +Unit| |$)",
-        ("Buyer:", "Lease#:", "Production", "Type"),
+    "Buyer_Lease_Type_Active": CutLine(
+        "Buyer_Lease_Type_Active", needs=("Buyer:", "Lease#:", "Type"), names=("Buyer", "Lease", "Type"), cut=_buyer
     ),
-    "Permit_Well_header": Grammar(
-        "Permit_Well_header", r" *(?P<nodata>Permit +#? +Well +Name)", ("Permit", "Name")
+    "Permit_Well_header": CutLine(
+        "Permit_Well_header",
+        needs=("Permit", "Name"),
+        names=(MARKER_FIELD,),
+        cut=_label_words("Permit # Well Name", "Permit Well Name"),
     ),
-    "Permit_Well": Grammar(
-        "Permit_Well", r"(?! *Edit)(?:(?P<Permit>[^ ]{1,10})| {8})(?: +(?P<Well>.*)|$)"
+    "Permit_Well": CutLine("Permit_Well", names=("Permit", "Well"), optional=True, cut=_well),
+    "Permit_Well_end": CutLine(
+        "Permit_Well_end", needs=("Edit",), names=(MARKER_FIELD,), cut=_label_words("Edit Wells", "EditWells")
     ),
-    "Permit_Well_end": Grammar("Permit_Well_end", r"(?P<nodata> *Edit *Wells)", ("Edit",)),
-    "Product_by_month_header": Grammar(
+    "Product_by_month_header": CutLine(
         "Product_by_month_header",
-        "(?P<nodata> *Year +" + " +".join(cells.CELLS) + ")",
-        ("Year", "Totals"),
+        needs=("Year", "Totals"),
+        names=(MARKER_FIELD,),
+        cut=_label_words(" ".join(["Year", *cells.CELLS])),
     ),
     "Product_by_month": WideRow("Product_by_month"),
 }

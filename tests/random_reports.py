@@ -37,25 +37,42 @@ def odd_row(rng: random.Random) -> str:
     return "2012" + "".join(rng.choice(pieces) for _ in range(rng.randint(5, 34)))
 
 
+def name(rng: random.Random, most: int = 3) -> str:
+    """Made-up words, some with the marks that names have."""
+    words = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(1, 8))).title() for _ in range(rng.randint(1, most))]
+    return " ".join(w + rng.choice(["", "", "", ",", ".", "-2", " & Co"]) for w in words)
+
+
+def wide(rng: random.Random, most: int = 6) -> str:
+    return " " * rng.randint(1, most)
+
+
+def place(rng: random.Random) -> str:
+    parts = [rng.choice(["", name(rng, 2)]) for _ in range(3)]
+    line = wide(rng, 3)[1:]
+    for part, label in zip(parts, ("County;", "Quad;", "Field")):
+        line += part + wide(rng, 2) + label + " "
+    return line + wide(rng, 2)[1:] + "Pool" + rng.choice(["", "", " " + name(rng, 1)])
+
+
+def buyer(rng: random.Random) -> str:
+    who = name(rng) + rng.choice(["", "", ",", "  Buyer's", " Buyer's"])
+    lease = rng.choice(["", str(rng.randint(1, 99999)), name(rng, 1)])
+    kind = rng.choice(["Gas", "Oil", name(rng, 1).split(" ")[0]])
+    end = rng.choice(["", wide(rng) + "Production" + wide(rng) + "Unit", " " + name(rng, 1)])
+    return f"{wide(rng, 2)[1:]}Buyer:{wide(rng)}{who}{wide(rng)}Lease#:{wide(rng)}{lease}{wide(rng)}Production{wide(rng)}Type{wide(rng)}{kind}{end}"
+
+
+def listed(rng: random.Random) -> str:
+    permit = "".join(rng.choice("0123456789K") for _ in range(rng.randint(5, 11)))
+    shapes = [permit + wide(rng, 9) + name(rng), " " * rng.randint(1, 14) + name(rng), permit, permit + " ", " " * rng.randint(7, 10)]
+    return rng.choices(shapes, [6, 3, 1, 1, 1])[0]
+
+
 def report(rng: random.Random) -> str:
-    lines = [
-        rng.choice(["Alpha County; BETA Quad; Gamma Field Pool", "County;  Quad;   Field Pool", "  A County; B Quad; C  D Field  Pool x"]),
-        rng.choice(
-            [
-                "Buyer:  Acme Co      Lease#: 77  Production  Type  Oil  Production Unit",
-                "Buyer:  R&S  Buyer's  Lease#: Production     Type      Gas      Production Unit",
-                " Buyer: X, Y,  Lease#: 5 Production Type Gas",
-            ]
-        ),
-        "Wells In Unit",
-        rng.choice(["Permit #      Well Name", "  Permit   Well  Name"]),
-    ]
-    for _ in range(rng.randint(0, 4)):
-        lines.append(
-            rng.choice(
-                ["0055123       Hill Top, LLC #HT-9", "              River Bend #2-A", "0055124", "0055125 ", "        ", "   short indent"]
-            )
-        )
+    marker = ["Permit", *rng.choice([["#"], []]), "Well", "Name"]
+    lines = [place(rng), buyer(rng), name(rng), wide(rng)[1:] + "".join(w + wide(rng) for w in marker).rstrip()]
+    lines += [listed(rng) for _ in range(rng.randint(0, 4))]
     lines += ["   Edit   Wells", HEADER]
     for _ in range(rng.randint(0, 6)):
         lines.append(odd_row(rng) if rng.random() < 0.15 else row(rng))

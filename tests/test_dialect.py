@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+from plain_reader import read_line
 from pyspark.sql import functions as F
+from random_reports import buyer, listed, place
 
 from reportlake.plans.dialect import compile_pattern
 from reportlake.plans.grammar import GRAMMARS, Grammar, default_plan, expand_header, settings_from_config
@@ -41,29 +44,50 @@ def test_groups_equal_python(spark, pattern, lines):
         assert r.present == bool(found and None not in groups.values()), (pattern, r.l)
 
 
-def test_default_grammars_equal_python(spark):
-    lines = [
-        "Harbor County; NORTH Quad; Open Field Pool", "County;  Quad;   Field Pool", "A County; B Quad; C",
-        " X County; County; Q Quad; P Field  Pool tail", "A County;B Quad; C Field Pool",
-        "Buyer:  R&S  Buyer's  Lease#: Production     Type      Gas      Production Unit",
-        "Buyer:  Delta Trading Co Buyer's  Lease#: 4711  Production  Type  Oil  Production Unit",
-        "Buyer: A, Lease#: 1 Production Type", "Buyer: A Lease#:  Production Type  OilProduction Unit", "Buyer: A",
-        "Permit        Well Name", "Permit #      Well Name", "  Permit # Well Name x", "Permit Name",
-        "0055123       Hill Top, LLC #HT-9", "              River Bend #2-A", "0055124", "0055124 ", "        ",
-        "         ", "   x", "                     Edit   Wells", "Edit Wells", "\f001  x", "12345678901 x",
-        "  Year  Jan  Feb  Mar  Apr  May  Jun  Jul  Aug  Sep  Oct  Nov  Dec  Totals", "Year Jan",
-    ]
-    df = spark.createDataFrame([(x,) for x in lines], "l string")
+FIELDS = {
+    "Moss County; LOW Quad; Sand Field Pool": ("County_Quad_Pool", {"County": "Moss", "Quad": "LOW", "Pool": "Sand"}),
+    "County;  Quad;   Field Pool": ("County_Quad_Pool", {"County": "", "Quad": "", "Pool": ""}),
+    " A County; County; B Quad; C Field  Pool more": ("County_Quad_Pool", {"County": "A", "Quad": "County; B", "Pool": "C"}),
+    "Buyer:  Tin & Zinc   Lease#: 31  Production  Type  Oil": ("Buyer_Lease_Type_Active", {"Buyer": "Tin & Zinc", "Lease": "31", "Type": "Oil"}),
+    " Buyer: One, Two, Buyer's Lease#: Production Type GasProduction Unit": ("Buyer_Lease_Type_Active", {"Buyer": "One, Two", "Lease": "", "Type": "Gas"}),
+    "Buyer: X Lease#: 7 Production Type Production Unit": ("Buyer_Lease_Type_Active", {"Buyer": "X", "Lease": "7", "Type": ""}),
+    "K12   Stone Bank ": ("Permit_Well", {"Permit": "K12", "Well": "Stone Bank "}),
+    "K12 ": ("Permit_Well", {"Permit": "K12", "Well": ""}),
+    "K12": ("Permit_Well", {"Permit": "K12", "Well": None}),
+    "         Stone Bank": ("Permit_Well", {"Permit": None, "Well": "Stone Bank"}),
+    "        ": ("Permit_Well", {"Permit": None, "Well": None}),
+    "         ": ("Permit_Well", {"Permit": None, "Well": ""}),
+    "  Permit  #  Well Names": ("Permit_Well_header", {}),
+    " Edit  Wells": ("Permit_Well_end", {}),
+    " Year " + " ".join("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec Totals".split()): ("Product_by_month_header", {}),
+}
+OTHER = ["", " ", "A County;B Quad; C Field Pool", "A County; B Quad; Field Pool", "Buyer: A Lease#: 1 Production Type",
+         "Permit Name", "12345678901 x", "        x", "   x", "Edit", "Year Jan"]
+
+
+def test_default_grammars(spark):
+    """Every sample line is read as described; plain and distributed reading agree on all."""
+    rng = random.Random(3)
+    made = [f(rng) for f in (place, buyer, listed) for _ in range(150)]
+    lines = [*FIELDS, *OTHER, *made, *[x[: len(x) // 2] for x in made]]
+    df = spark.createDataFrame([(x,) for x in dict.fromkeys(lines)], "l string")
     for grammar in GRAMMARS.values():
-        if not grammar.pattern:
+        if grammar.wide:
             continue
-        values = grammar.values(grammar.parse(F.col("l")))
-        out = df.select("l", grammar.matches(F.col("l")).alias("m"), *[c.alias(n) for n, c in values.items()])
+        line = F.col("l")
+        values = grammar.values(grammar.parse(line))
+        out = df.select("l", grammar.matches(line).alias("m"), grammar.all_present(line).alias("p"), *[c.alias(n) for n, c in values.items()])
         for r in out.collect():
-            found = re.match(grammar.pattern, r.l)
-            assert r.m == (found is not None), (grammar.name, r.l)
-            if found:
-                assert {n: r[n] for n in grammar.fields} == found.groupdict(), (grammar.name, r.l)
+            plain = read_line(grammar.name, r.l)
+            assert r.m == (plain is not None), (grammar.name, r.l)
+            assert r.p == (plain is not None and None not in plain.values()), (grammar.name, r.l)
+            if plain is not None:
+                assert {n: r[n] for n in grammar.fields} == plain, (grammar.name, r.l)
+            kind, fields = FIELDS.get(r.l, (None, {}))
+            if kind == grammar.name and fields:
+                assert plain == fields, r.l
+            if kind == grammar.name:
+                assert r.m, r.l
 
 
 def test_optional_groups_are_known():

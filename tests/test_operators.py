@@ -77,7 +77,7 @@ def test_file_names_in_list_order(spark):
     got = {r.n: r.file_name for r in worklist.plan_file_names(requests, existing).collect()}
     used, expected = set(taken), {}
     for i, option in enumerate(options, 1):
-        base = re.sub(r"[^\s\w\-+#&,;.()']+", "_", option)
+        base = re.sub(rf"[^\s\w{text._KEPT}]+", "_", option)
         name, m = base + ".xls", 1
         while name in used:
             name = f"{base}_({m}).xls"
@@ -143,7 +143,7 @@ def test_landing_limits(spark):
 
 
 def test_text_functions(spark):
-    url = "http://www.site.org/ogb/records.aspx?PERMIT=&API="
+    url = "http://data.example.org/list/well.aspx?KEY=&N="
     df = spark.createDataFrame([(url, "d/x.tar.gz", "a/b:c*é (1)'[]")], "u string, p string, o string")
     r = df.select(
         text.dataset_folder(F.col("u"), cut_at=".aspx").alias("cut"),
@@ -161,7 +161,7 @@ def test_text_functions(spark):
         text.fill_placeholders(F.lit("&<prog>.log"), {"prog": F.lit("x")}).alias("filled"),
     ).first()
     assert r.asDict() == {
-        "cut": "www.site.org-ogb-records", "whole": "www.site.org-ogb-records.aspx?PERMIT=&API=--permit",
+        "cut": "data.example.org-list-well", "whole": "data.example.org-list-well.aspx?KEY=&N=--permit",
         "option_url": url + "77", "base": "x.tar.gz", "stem": "x.tar", "ext": ".gz", "hidden": ".hidden",
         "safe": "a_b_c_é (1)'_", "mixed": "9523.6", "pure": "###", "bad": True, "none": "None", "filled": "&x.log",
     }
