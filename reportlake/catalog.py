@@ -29,7 +29,7 @@ from reportlake.operators.extract import (
 )
 from reportlake.operators.lines import explode_lines
 from reportlake.operators.numbering import enumerated
-from reportlake.plans.grammar import default_plan, settings_from_config
+from reportlake.plans.grammar import TASKS, default_plan, settings_from_config
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
@@ -73,31 +73,39 @@ lines AS (SELECT * FROM split WHERE length(line) > 0)
 """
 
 _M = [f"m{i}" for i in range(1, 13)]
-_MONTHLY = ",\n".join(
-    f"CAST(sum(CASE WHEN month(l_shipdate) = {i} THEN l_quantity ELSE 0 END) AS BIGINT) AS m{i}"
-    for i in range(1, 13)
-)
-_REPORTS = f"""
-place AS (SELECT s_suppkey AS k, s_name, n_name, r_name FROM supplier
+_MONTHLY = ",\n".join(f"CAST(sum(CASE WHEN mo = {i} THEN q ELSE 0 END) AS BIGINT) AS m{i}" for i in range(1, 13))
+# One document per supplier and brand; the flags are the variants of the renderer, j counts junk lines,
+# and the lines are numbered: buyer, unit and head, then n list lines, the end mark, and the table.
+_REPORTS = rf"""
+shipped AS (SELECT l_suppkey * 100 + CAST(regexp_extract(p_brand, '(\d+)$', 1) AS BIGINT) AS k, l_partkey AS p,
+                   year(l_shipdate) AS y, month(l_shipdate) AS mo, l_quantity AS q
+            FROM lineitem JOIN part ON l_partkey = p_partkey),
+place AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier
           JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-monthly AS (SELECT l_suppkey AS k, year(l_shipdate) AS y, {_MONTHLY} FROM lineitem GROUP BY 1, 2),
-rows_ AS (SELECT k, CAST(y AS VARCHAR) AS yr, {", ".join(_M)}, {" + ".join(_M)} AS tot FROM monthly
+monthly AS (SELECT k, y, {_MONTHLY} FROM shipped GROUP BY 1, 2),
+rows_ AS (SELECT * FROM (
+          SELECT k, CAST(y AS VARCHAR) AS yr, {", ".join(_M)}, {" + ".join(_M)} AS tot FROM monthly
           UNION ALL
           SELECT k, 'Totals', {", ".join(f"CAST(sum({m}) AS BIGINT)" for m in _M)},
-                 CAST(sum({" + ".join(_M)}) AS BIGINT) FROM monthly GROUP BY k),
+                 CAST(sum({" + ".join(_M)}) AS BIGINT) FROM monthly GROUP BY k) WHERE k % 23 <> 7),
 years AS (SELECT k, count(*) AS ny FROM monthly GROUP BY k),
-pairs AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem),
-top_wells AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM pairs QUALIFY r <= 3),
+parts AS (SELECT DISTINCT k, p FROM shipped),
 wells AS (SELECT k, string_agg(lpad(CAST(p AS VARCHAR), 7, '0'), '; ' ORDER BY p) AS permit,
                  string_agg(p_name || ' #' || p, '; ' ORDER BY p) AS well, count(*) AS nw
-          FROM top_wells JOIN part ON p_partkey = p GROUP BY k),
-docs AS (SELECT place.*, ny, nw,
+          FROM parts JOIN part ON p_partkey = p GROUP BY k),
+flags AS (SELECT k, k % 11 <> 10 AS known, k % 5 = 2 AS junk, k % 19 = 3 AND k % 5 <> 2 AS lost,
+                 k % 23 <> 7 AS tab FROM years),
+docs AS (SELECT k, place.*, ny, nw, known, junk, lost, tab,
                 permit || CASE WHEN k % 7 = 4 THEN '; None' ELSE '' END AS permit,
                 well || CASE WHEN k % 7 = 4 THEN '; Unnumbered well' ELSE '' END AS well,
-                CASE WHEN k % 2 = 0 THEN 'Gas' ELSE 'Oil' END AS type_,
-                k % 4 = 1 AND ny > 3 AS breaks, k % 5 = 2 AS junk, k % 2 = 0 AS blanks,
-                k % 6 = 3 AS masked, k % 7 = 4 AS extra, k % 13 = 5 AS gap, k % 11 <> 10 AS known
-         FROM place JOIN years USING (k) JOIN wells USING (k))
+                CASE WHEN NOT lost THEN s_name END AS buyer_name, CASE WHEN NOT lost THEN CAST(k AS VARCHAR) END AS lease,
+                CASE WHEN NOT lost THEN CASE WHEN k % 2 = 0 THEN 'Gas' ELSE 'Oil' END END AS type_,
+                k % 4 = 1 AND ny > 3 AND tab AS breaks, k % 6 = 3 AS masked, k % 7 = 4 AS extra, k % 13 = 5 AS gap, k % 17 = 6 AS mixed,
+                CAST(junk AS BIGINT) + 3 * CAST(lost AS BIGINT) AS j, nw + CAST(k % 7 = 4 AS BIGINT) AS n,
+                CAST(known AS BIGINT) + CAST(junk AS BIGINT) + 3 * CAST(lost AS BIGINT) + 1 AS buyer,
+                buyer + CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END AS unit, unit + 1 AS head,
+                CAST(known AS BIGINT) + j + 3 + n + 1 + CASE WHEN tab THEN ny + 2 + CAST(breaks AS BIGINT) ELSE 0 END + 1 AS n_lines
+         FROM flags JOIN place ON s_suppkey = k // 100 JOIN years USING (k) JOIN wells USING (k))
 """
 
 
@@ -107,35 +115,70 @@ def _cell(i: int) -> str:
         return f"CASE WHEN gap THEN '' ELSE {text} END"
     if i == 6:
         return f"CASE WHEN masked THEN '' ELSE {text} END"
+    if i == 7:
+        return f"CASE WHEN mixed THEN '0' ELSE '' END || {text}"
     return text
 
 
 _HEAD_SQL = (
-    "s_name AS Buyer, 'Unassigned' AS Pool, permit AS Permit, well AS Well, r_name AS Quad, "
-    "n_name AS County, type_ AS Type, CAST(k AS VARCHAR) AS Lease, yr AS Year"
+    "buyer_name AS Buyer, 'Unassigned' AS Pool, permit AS Permit, well AS Well, r_name AS Quad, "
+    "n_name AS County, type_ AS Type, lease AS Lease, yr AS Year"
 )
+_CELLS_SQL = f"""{", ".join(f"{_cell(i)} AS {m}" for i, m in enumerate(MONTHS, 1))},
+       CAST(tot AS VARCHAR) AS Totals, CAST(k AS VARCHAR) AS File"""
 _WIDE_SQL = f"""WITH {_REPORTS}
-SELECT {_HEAD_SQL}, {", ".join(f"{_cell(i)} AS {m}" for i, m in enumerate(MONTHS, 1))},
-       CAST(tot AS VARCHAR) AS Totals, CAST(k AS VARCHAR) AS File
-FROM docs JOIN rows_ USING (k) WHERE known"""
+SELECT {_HEAD_SQL}, {_CELLS_SQL} FROM docs JOIN rows_ USING (k) WHERE known"""
 
 _PACKED_SQL = f"""WITH {_REPORTS},
 kept AS (SELECT *, list_concat(list_filter([{", ".join(
     f"CASE WHEN gap THEN NULL ELSE CAST(m{i} AS VARCHAR) END" if i == 3
     else f"CASE WHEN masked THEN NULL ELSE CAST(m{i} AS VARCHAR) END" if i == 6
     else f"CAST(m{i} AS VARCHAR)" for i in range(1, 13))}], lambda x: x IS NOT NULL), ['', '']) AS c
-  FROM docs JOIN rows_ USING (k) WHERE known)
+  FROM docs JOIN rows_ USING (k) WHERE known AND NOT mixed)
 SELECT {_HEAD_SQL}, {", ".join(f"c[{i}] AS {m}" for i, m in enumerate(MONTHS, 1))},
        CAST(tot AS VARCHAR) AS Totals, CAST(k AS VARCHAR) AS File FROM kept"""
 
 _LONG_SQL = f"""long_ AS (
-SELECT docs.*, CAST(yr AS INTEGER) AS year, month, CAST(v AS DOUBLE) AS raw_volume,
-       masked AND month = 6 AS is_masked,
+SELECT docs.*, CAST(yr AS INTEGER) AS year, month,
+       masked AND month = 6 OR mixed AND month = 7 AS is_masked,
        CASE WHEN (masked AND month = 6) OR (gap AND month = 3) THEN NULL ELSE CAST(v AS DOUBLE) END AS volume
 FROM docs JOIN (SELECT k, yr, unnest(range(1, 13)) AS month, unnest([{", ".join(_M)}]) AS v
                 FROM rows_ WHERE yr <> 'Totals') USING (k) WHERE known)"""
 
 
+def _events_sql(packed: bool) -> str:
+    """Every event of a parse, from the transition table. Of a document without its county line the
+    list has to have four lines at least, as all have from sf0.01 on."""
+    task = {n: f"'{n}'" for n in TASKS if n}
+    place, head, well, row = (task[n] for n in ("County_Quad_Pool", "Permit_Well_header", "Permit_Well", "Product_by_month"))
+    buyer = task["Buyer_Lease_Type_Active"]
+    parts = [
+        (2, buyer, "skipped_bad_line", "known AND junk"),
+        (2, buyer, "no_match", "known AND lost"),
+        (3, buyer, "no_match", "known AND lost"),
+        ("buyer", head, "no_match", "known AND lost"),
+        ("unit", head, "skipped_bad_line", "known AND lost"),
+        ("head + n", well, "bad_parameters", "known AND extra"),
+        ("NULL", row, "nothing_before_table", "known AND NOT tab"),
+        (1, place, "no_match", "NOT known"),
+        ("CASE j WHEN 0 THEN unit ELSE 2 END", place, "no_match", "NOT known"),
+        (3, buyer, "skipped_bad_line", "NOT known AND lost"),
+        ("head", buyer, "no_match", "NOT known AND j = 0"),
+        ("head + 1", buyer, "no_match", "NOT known AND j = 0"),
+        ("head + 3", head, "no_match", "NOT known AND j = 0"),
+        ("head + 4", head, "no_match", "NOT known AND j = 0"),
+        ("head + CASE j WHEN 0 THEN 4 ELSE 1 END", "NULL", "rest_skipped", "NOT known"),
+    ]
+    selects = [f"SELECT k, {line} AS line_no, {name} AS task, '{kind}' AS kind FROM docs WHERE {when}" for line, name, kind, when in parts]
+    kind = "CASE WHEN mixed THEN 'no_match' ELSE 'masked_cell' END" if packed else "'masked_cell'"
+    selects.append(
+        f"""SELECT k, head + n + 3 + i + CASE WHEN breaks AND i >= 3 THEN 1 ELSE 0 END, {row}, {kind}
+        FROM (SELECT *, unnest(range(0, ny + 1)) AS i FROM docs WHERE known AND tab AND (masked OR mixed))"""
+    )
+    return f"""events_ AS (SELECT k AS doc_id, CAST(line_no AS BIGINT) AS line_no, task, kind,
+        CASE kind WHEN 'masked_cell' THEN 'INFO' ELSE 'WARNING' END AS level FROM ({" UNION ALL ".join(selects)}))"""
+
+
 # --- Lines -------------------------------------------------------------------
 
 
@@ -157,11 +200,7 @@ def lines_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}
-    SELECT k AS doc_id,
-           CAST(known AS BIGINT) + CAST(junk AS BIGINT) + 3 + nw + CAST(extra AS BIGINT) + 2 + ny
-             + CAST(breaks AS BIGINT) + 2 AS n_lines,
-           CAST(known AS BIGINT) + CAST(junk AS BIGINT) + 3 + nw + CAST(extra AS BIGINT) + 2 + ny + 1 AS n_current,
-           CAST(breaks AS BIGINT) AS n_breaks
+    SELECT k AS doc_id, n_lines, n_lines - 1 - CAST(breaks AS BIGINT) AS n_current, CAST(breaks AS BIGINT) AS n_breaks
     FROM docs"""
 )
 def page_footer_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +214,11 @@ def page_footer_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS},
-    counts AS (SELECT CAST(known AS BIGINT) AS county, CAST(junk AS BIGINT) AS j, nw, CAST(extra AS BIGINT) AS e,
-                      ny, CAST(breaks AS BIGINT) AS b FROM docs)
+    counts AS (SELECT CAST(known AS BIGINT) AS county, j, n, tab, ny, CAST(breaks AS BIGINT) AS b FROM docs)
     SELECT CAST(sum(county) AS BIGINT) AS n_county, count(*) AS n_buyer, count(*) AS n_permit_header,
-           CAST(sum(county + j + 3 + nw + e + 1 + 2 * b) AS BIGINT) AS n_permit, count(*) AS n_permit_end,
-           count(*) AS n_month_header, CAST(sum(ny + 1) AS BIGINT) AS n_month,
-           CAST(sum(nw + e) AS BIGINT) AS n_listed
+           CAST(sum(county + j + 3 + n + 1 + 2 * b) AS BIGINT) AS n_permit, count(*) AS n_permit_end,
+           count(*) FILTER (tab) AS n_month_header, CAST(sum(ny + 1) FILTER (tab) AS BIGINT) AS n_month,
+           CAST(sum(n) AS BIGINT) AS n_listed
     FROM counts"""
 )
 def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,33 +247,38 @@ def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_REPORTS} SELECT k AS doc_id, n_name AS County, r_name AS Quad, 'Unassigned' AS Pool
-    FROM docs WHERE known"""
+    f"""WITH {_REPORTS} SELECT k AS doc_id, CASE WHEN known THEN n_name END AS County, CASE WHEN known THEN r_name END AS Quad,
+    CASE WHEN known THEN 'Unassigned' END AS Pool FROM docs"""
 )
 def parse_county_quad_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = document_context(render_reports(spark, sf_dir))
-    return context.where(F.col("County").isNotNull()).select("doc_id", "County", "Quad", "Pool")
+    return document_context(render_reports(spark, sf_dir)).select("doc_id", "County", "Quad", "Pool")
 
 
 @query(
-    f"""WITH {_REPORTS} SELECT k AS doc_id, s_name AS Buyer, CAST(k AS VARCHAR) AS Lease, type_ AS Type
-    FROM docs WHERE known"""
+    f"""WITH {_REPORTS}, b AS (SELECT *, CASE WHEN known THEN NOT lost ELSE j > 0 END AS has FROM docs)
+    SELECT k AS doc_id, CASE WHEN has THEN s_name END AS Buyer, CASE WHEN has THEN CAST(k AS VARCHAR) END AS Lease,
+           CASE WHEN has THEN CASE WHEN k % 2 = 0 THEN 'Gas' ELSE 'Oil' END END AS Type, known AS has_required FROM b"""
 )
 def parse_buyer_lease_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = document_context(render_reports(spark, sf_dir))
-    return context.where("has_required").select("doc_id", "Buyer", "Lease", "Type")
+    return context.select("doc_id", "Buyer", "Lease", "Type", "has_required")
 
 
-@query(f"WITH {_REPORTS} SELECT k AS doc_id, permit AS Permit, well AS Well FROM docs WHERE known")
+@query(
+    f"""WITH {_REPORTS} SELECT k AS doc_id, CASE WHEN known THEN permit END AS Permit, CASE WHEN known THEN well END AS Well
+    FROM docs"""
+)
 def well_list_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole list of each document; nothing counts where the required field was not read."""
     context = document_context(render_reports(spark, sf_dir))
-    return context.where("has_required").select("doc_id", "Permit", "Well")
+    listed = [F.when(F.col("has_required"), F.col(c)).alias(c) for c in ("Permit", "Well")]
+    return context.select("doc_id", *listed)
 
 
 @query(
     f"""WITH {_REPORTS}
     SELECT k AS doc_id, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' #' || p AS Well
-    FROM docs JOIN top_wells USING (k) JOIN part ON p_partkey = p WHERE known
+    FROM docs JOIN parts USING (k) JOIN part ON p_partkey = p WHERE known
     UNION ALL SELECT k, NULL, 'Unnumbered well' FROM docs WHERE known AND extra"""
 )
 def listed_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,23 +288,21 @@ def listed_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS},
-    pos AS (SELECT *, 2 + CAST(junk AS BIGINT) AS buyer,
-                  4 + CAST(junk AS BIGINT) + CASE WHEN blanks THEN 2 ELSE 0 END AS head,
-                  nw + CAST(extra AS BIGINT) AS n FROM docs WHERE known),
     place_ AS (
-      SELECT k, 0 AS stage, 1 AS first_line, 1 AS last_line, 1 AS n_lines FROM pos
-      UNION ALL SELECT k, 1, buyer, buyer, 1 FROM pos
-      UNION ALL SELECT k, 2, head, head, 1 FROM pos
-      UNION ALL SELECT k, 3, head + 1, head + n, n FROM pos
-      UNION ALL SELECT k, 4, head + n + 1, head + n + 1, 1 FROM pos
-      UNION ALL SELECT k, 5, head + n + 2, head + n + 2, 1 FROM pos
-      UNION ALL SELECT k, 6, head + n + 3, head + n + 3 + ny + CAST(breaks AS BIGINT), ny + 1 FROM pos)
+      SELECT k, 0 AS stage, 1 AS first_line, 1 AS last_line, 1 AS n_lines FROM docs WHERE known
+      UNION ALL SELECT k, 1, buyer, buyer, 1 FROM docs WHERE CASE WHEN known THEN NOT lost ELSE j > 0 END
+      UNION ALL SELECT k, 2, head, head, 1 FROM docs WHERE known OR j > 0
+      UNION ALL SELECT k, 3, head + n - m + 1, head + n, m
+                FROM (SELECT *, CASE WHEN known OR j > 0 THEN n ELSE n - 3 END AS m FROM docs)
+      UNION ALL SELECT k, 4, head + n + 1, head + n + 1, 1 FROM docs
+      UNION ALL SELECT k, 5, head + n + 2, head + n + 2, 1 FROM docs WHERE tab
+      UNION ALL SELECT k, 6, head + n + 3, head + n + 3 + ny + CAST(breaks AS BIGINT), ny + 1 FROM docs WHERE tab)
     SELECT k AS doc_id, CAST(stage AS BIGINT) AS stage, CAST(first_line AS BIGINT) AS first_line,
            CAST(last_line AS BIGINT) AS last_line, CAST(n_lines AS BIGINT) AS n_lines FROM place_""",
     name="stage_positions",
 )
 def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = stage_positions(render_reports(spark, sf_dir)).where("has_required")
+    spans = stage_positions(render_reports(spark, sf_dir))
     return spans.select(
         "doc_id", _big("stage"), _big("first_line"), _big("last_line"), _big("n_lines")
     )
@@ -274,9 +315,9 @@ def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}
-    SELECT r_name AS Quad, s_name AS Buyer, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' ' || p AS Well,
+    SELECT r_name AS Quad, buyer_name AS Buyer, lpad(CAST(p AS VARCHAR), 7, '0') AS Permit, p_name || ' ' || p AS Well,
            CAST(k AS VARCHAR) AS File
-    FROM docs JOIN top_wells USING (k) JOIN part ON p_partkey = p WHERE known"""
+    FROM docs JOIN parts USING (k) JOIN part ON p_partkey = p WHERE known"""
 )
 def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report described by settings: the numbered wells as its detail table.
@@ -285,7 +326,7 @@ def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     settings = settings_from_config(
         {
-            "tasks_list": "County_Quad_Pool, Buyer_Lease_Type_Active, , Permit_Well_header, Permit_Well",
+            "tasks_list": TASKS[: TASKS.index("Permit_Well") + 1],
             "tasks_branch_from_to_list": "Permit_Well, Numbered_Well",
             "re_Numbered_Well": r"(?P<Permit>\d{7}) +(?P<Well>.*)",
             "header_list": "Quad, Buyer, <Numbered_Well>, <File>",
@@ -313,14 +354,12 @@ def production_masks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_REPORTS}
-    SELECT CAST(k AS VARCHAR) AS File, yr AS Year, CAST(tot AS VARCHAR) AS Totals
-    FROM docs JOIN rows_ USING (k) WHERE known AND NOT masked AND NOT gap"""
+    f"""WITH {_REPORTS} SELECT {_HEAD_SQL}, {_CELLS_SQL}
+    FROM docs JOIN rows_ USING (k) WHERE known AND NOT masked AND NOT gap AND NOT mixed"""
 )
 def production_numeric_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strict older grammar: rows with a masked or missing cell are refused."""
-    rows = production_wide(render_reports(spark, sf_dir), default_plan(mask_mode="reject"))
-    return rows.select("File", "Year", "Totals")
+    """The strict older grammar: rows with a masked, mixed or missing cell are refused."""
+    return production_wide(render_reports(spark, sf_dir), default_plan(mask_mode="reject"))
 
 
 @query(
@@ -347,7 +386,8 @@ def production_by_county(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}
-    SELECT k AS doc_id, yr AS Year, 'Jun' AS cell FROM docs JOIN rows_ USING (k) WHERE known AND masked"""
+    SELECT k AS doc_id, yr AS Year, cell FROM docs JOIN rows_ USING (k),
+    (VALUES ('Jun'), ('Jul')) AS c (cell) WHERE known AND CASE cell WHEN 'Jun' THEN masked ELSE mixed END"""
 )
 def masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = production_typed(render_reports(spark, sf_dir))
@@ -357,51 +397,49 @@ def masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REPORTS}
-    SELECT k AS doc_id, ny AS n_years, CAST(tot AS DOUBLE) AS year_sum, CAST(tot AS DOUBLE) AS total,
-           CAST(0 AS DOUBLE) AS difference
+    SELECT k AS doc_id, ny AS n_years, CAST(tot AS DOUBLE) AS total,
+           CAST(tot - CASE WHEN masked THEN m6 ELSE 0 END - CASE WHEN gap THEN m3 ELSE 0 END AS DOUBLE) AS month_sum,
+           CAST(CASE WHEN masked THEN m6 ELSE 0 END + CASE WHEN gap THEN m3 ELSE 0 END AS DOUBLE) AS difference
     FROM docs JOIN rows_ USING (k) WHERE known AND yr = 'Totals'"""
 )
 def totals_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months of all years added up, against the total of the totals row."""
     rows = production_typed(render_reports(spark, sf_dir))
     is_total = F.col("is_total")
+    months = sum((F.coalesce(F.col(m.lower()), F.lit(0.0)) for m in MONTHS[1:]), F.coalesce(F.col(MONTHS[0].lower()), F.lit(0.0)))
     sums = rows.groupBy("doc_id").agg(
         F.count_if(~is_total).alias("n_years"),
-        F.sum(F.when(~is_total, F.col("totals"))).alias("year_sum"),
+        F.sum(F.when(~is_total, months)).alias("month_sum"),
         F.sum(F.when(is_total, F.col("totals"))).alias("total"),
     )
-    return sums.withColumn("difference", F.col("year_sum") - F.col("total"))
+    return sums.withColumn("difference", F.col("total") - F.col("month_sum"))
 
 
-@query(
-    f"""WITH {_REPORTS},
-    events_ AS (
-      SELECT 'skipped_bad_line' AS kind, 'Buyer_Lease_Type_Active' AS task, 'WARNING' AS level FROM docs WHERE junk
-      UNION ALL SELECT 'bad_parameters', 'Permit_Well', 'WARNING' FROM docs WHERE extra
-      UNION ALL SELECT 'masked_cell', 'Product_by_month', 'INFO' FROM docs JOIN rows_ USING (k) WHERE masked)
-    SELECT kind, task, level, count(*) AS n FROM events_ GROUP BY 1, 2, 3"""
-)
+@query(f"WITH {_REPORTS}, {_events_sql(False)} SELECT kind, task, level, count(*) AS n FROM events_ GROUP BY 1, 2, 3")
 def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render_reports(spark, sf_dir, without=("no_county",))
-    events = at_least(diagnostics(docs), "INFO")
+    events = at_least(diagnostics(render_reports(spark, sf_dir)), "INFO")
     return events.groupBy("kind", "task", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_REPORTS}, {_events_sql(False)} SELECT doc_id, count(*) AS n FROM events_ WHERE level = 'WARNING' GROUP BY 1")
+def warnings_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings only; masked cells are a lower level."""
+    return at_least(diagnostics(render_reports(spark, sf_dir)), "WARNING").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
-    f"""WITH {_REPORTS}
-    SELECT k AS doc_id,
-           CAST(known AS BIGINT) + CAST(junk AS BIGINT) + 3 + nw + CAST(extra AS BIGINT) + 2 + ny
-             + CAST(breaks AS BIGINT) + 2 AS n_lines,
-           CASE WHEN known THEN ny + 1 ELSE 0 END AS n_rows,
-           CASE WHEN known THEN 'rows' ELSE 'rest_skipped' END AS outcome FROM docs"""
+    f"""WITH {_REPORTS} SELECT k AS doc_id, n_lines, CASE WHEN known AND tab THEN ny + 1 ELSE 0 END AS n_rows,
+    CASE WHEN NOT known THEN 'rest_skipped' WHEN tab THEN 'rows' ELSE 'nothing_before_table' END AS outcome FROM docs"""
 )
 def required_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_outcomes(render_reports(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_REPORTS}, {_events_sql(True)} SELECT doc_id, line_no, task, kind, level FROM events_")
 def strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of the literal grammar, documents without a county line included."""
-    return diagnostics(render_reports(spark, sf_dir), default_plan(layout="pack_left"))
+    events = diagnostics(render_reports(spark, sf_dir), default_plan(layout="pack_left"))
+    return events.select("doc_id", _big("line_no"), "task", "kind", "level")
 
 
 @query(_WIDE_SQL)
@@ -441,7 +479,7 @@ def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_REPORTS} SELECT k AS doc_id, len(string_split(s_name, '#')) AS n_parts, ny AS n_years FROM docs"""
+    f"""WITH {_REPORTS} SELECT k AS doc_id, len(string_split(s_name, '#')) AS n_parts, CASE WHEN tab THEN ny ELSE 0 END AS n_years FROM docs"""
 )
 def document_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's own function over whole documents."""

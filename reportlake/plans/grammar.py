@@ -236,7 +236,11 @@ class CutLine(Grammar):
         return self._guarded(line, test)
 
     def group(self, line: Column, name: str) -> Column:
-        return self.cut(line)[1].get(name, F.lit("").alias(name))
+        return self.cut(line)[1].get(name, F.lit(""))
+
+    def parse(self, line: Column, header: Column | None = None) -> Column:
+        # inside a lambda the line is worked out once, and the code of a stage stays small
+        return F.get(F.transform(F.array(line), super().parse), F.lit(0))
 
 
 def _label_words(*choices: str) -> Callable[[Column], tuple[Column, dict[str, Column]]]:

@@ -1,15 +1,16 @@
 """Monthly reports rendered from the star schema, to exercise the parser at any scale.
 
-One document per supplier, or per supplier and brand.  The text follows the
-report format line by line; a document number decides which of the awkward
-variants it shows.  All of it is DataFrame work: rows are pre-aggregated to
-(document, year) before anything is collected, so a list holds a document's
-calendar years or its three wells, never its base rows.
+One document per supplier and brand, which lists all parts of that brand the
+supplier ever shipped.  The text follows the report format line by line; a
+document number decides which of the awkward variants it shows.  All of it is
+DataFrame work: rows are pre-aggregated to (document, part, year) before
+anything is collected, so a list holds a document's calendar years or its
+parts, never its base rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.functions.cells import CELLS, MONTHS
@@ -24,8 +25,10 @@ VARIANTS = {
     "null_permit": (7, 4),
     "no_county": (11, 10),
     "blank_march": (13, 5),
+    "mixed_july": (17, 6),
+    "lost_buyer": (19, 3),
+    "no_table": (23, 7),
 }
-N_WELLS = 3
 CELL_WIDTH = 8
 BREAK_AFTER = 3
 POOL = "Unassigned"
@@ -49,6 +52,8 @@ def _row_text(first: Column, cells: list[Column], number: Column) -> Column:
             text = F.when(_shows(number, "blank_march"), F.lit("")).otherwise(text)
         if i == 6:
             text = F.when(_shows(number, "masked_june"), F.lit("#####")).otherwise(text)
+        if i == 7:
+            text = F.when(_shows(number, "mixed_july"), F.concat(F.lit("0#"), text)).otherwise(text)
         out.append(_padded(text))
     return F.concat(*out)
 
@@ -57,77 +62,43 @@ def header_text() -> str:
     return "  Year  " + "".join(" " + name.rjust(CELL_WIDTH) for name in CELLS)
 
 
-def monthly_cells(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole quantities shipped per document and year, one column per month."""
-    month, quantity = F.month("l_shipdate"), F.col("l_quantity")
-    sums = [
-        F.sum(F.when(month == i, quantity).otherwise(0.0)).cast("bigint").alias(f"m{i}")
-        for i in range(1, len(MONTHS) + 1)
-    ]
-    return lines.groupBy(*keys, F.year("l_shipdate").alias("year")).agg(*sums)
-
-
-def first_wells(lines: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
-    """The parts with the smallest keys of each document, with their names.
-
-    The rank filter becomes a group limit before the shuffle, so a key holding
-    most of the rows sends three of them per task.
-    """
-    pairs = lines.select(*keys, "l_partkey").distinct()
-    order = Window.partitionBy(*keys).orderBy("l_partkey")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_WELLS)
-    named = top.join(part.select("p_partkey", "p_name"), top["l_partkey"] == part["p_partkey"])
-    return named.select(*keys, "l_partkey", "p_name")
-
-
 def _optional(condition: Column, *lines: Column) -> Column:
     return F.when(condition, F.array(*lines)).otherwise(F.array().cast("array<string>"))
 
 
-def render_reports(
-    spark: SparkSession, sf_dir: str, by_brand: bool = False, without: tuple[str, ...] = ()
-) -> DataFrame:
-    """``raw_docs(doc_id, value)`` from the tables of one scale directory.
-
-    ``without`` names variants that are not rendered.
-    """
-
-    def shows(number: Column, variant: str) -> Column:
-        return F.lit(False) if variant in without else _shows(number, variant)
-
+def render_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_docs(doc_id, value)`` from the tables of one scale directory."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    part = table("part")
+    part = table("part").select("p_partkey", "p_name", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("bigint").alias("brand"))
     lines = table("lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
-    keys = ["l_suppkey"]
-    number = F.col("s_suppkey")
-    doc_id = F.col("s_suppkey")
-    if by_brand:
-        brands = part.select("p_partkey", "p_brand")
-        lines = lines.join(brands, lines["l_partkey"] == brands["p_partkey"]).drop("p_partkey")
-        keys = ["l_suppkey", "p_brand"]
-        brand_no = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("bigint")
-        number = F.col("s_suppkey") * 100 + brand_no
-        doc_id = number
-
-    years = monthly_cells(lines, keys)
-    month_names = [f"m{i}" for i in range(1, 13)]
-    tables = years.groupBy(*keys).agg(
+    month_names = [f"m{i}" for i in range(1, len(MONTHS) + 1)]
+
+    # lineitem is read once: quantities per supplier, part and year give both the table and the list
+    month, quantity = F.month("l_shipdate"), F.col("l_quantity")
+    cells = lines.groupBy("l_suppkey", "l_partkey", F.year("l_shipdate").alias("year")).agg(
+        *[
+            F.sum(F.when(month == i, quantity).otherwise(0.0)).cast("bigint").alias(m)
+            for i, m in enumerate(month_names, 1)
+        ]
+    )
+    cells = cells.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    cells = cells.withColumn("number", F.col("l_suppkey") * 100 + F.col("brand"))
+    years = cells.groupBy("l_suppkey", "number", "year").agg(
+        *[F.sum(m).alias(m) for m in month_names],
+        F.collect_set(F.struct("l_partkey", "p_name")).alias("parts"),
+    )
+    body = years.groupBy("l_suppkey", "number").agg(
         F.array_sort(F.collect_list(F.struct("year", *month_names))).alias("years"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("wells"),
         *[F.sum(m).alias(f"total_{m}") for m in month_names],
     )
-    wells = (
-        first_wells(lines, part, keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("l_partkey", "p_name"))).alias("wells"))
-    )
     places = (
         table("supplier")
         .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_name", "n_name", "r_name")
     )
-    body = tables.join(wells, keys)
-    docs = places.join(body, F.col("s_suppkey") == F.col("l_suppkey")).withColumn("number", number)
+    docs = places.join(body, F.col("s_suppkey") == F.col("l_suppkey"))
 
     n = F.col("number")
     year_lines = F.transform(
@@ -143,25 +114,26 @@ def render_reports(
         F.transform(
             year_lines,
             lambda l, i: F.when(
-                shows(n, "page_break") & (i == BREAK_AFTER),
+                _shows(n, "page_break") & (i == BREAK_AFTER),
                 F.array(F.lit("Page 1 of 2"), F.concat(F.lit("\f"), l)),
             ).otherwise(F.array(l)),
         )
     )
-    kind = F.when(F.col("s_suppkey") % 2 == 0, F.lit("Gas")).otherwise(F.lit("Oil"))
+    kind = F.when(n % 2 == 0, F.lit("Gas")).otherwise(F.lit("Oil"))
     text = F.concat(
         _optional(
-            ~shows(n, "no_county"),
+            ~_shows(n, "no_county"),
             F.format_string("%s County; %s Quad; %s Field Pool", "n_name", "r_name", F.lit(POOL)),
         ),
-        _optional(shows(n, "junk_line"), F.lit(JUNK)),
+        _optional(_shows(n, "junk_line"), F.lit(JUNK)),
+        _optional(_shows(n, "lost_buyer") & ~_shows(n, "junk_line"), F.lit(JUNK), F.lit(JUNK), F.lit(JUNK)),
         F.array(
             F.concat(
-                F.format_string("Buyer:  %s      Lease#: %s", "s_name", F.col("s_suppkey").cast("string")),
+                F.format_string("Buyer:  %s      Lease#: %s", "s_name", n.cast("string")),
                 F.format_string("  Production  Type  %s  Production Unit", kind),
             )
         ),
-        _optional(shows(n, "blank_lines"), F.lit(""), F.lit("")),
+        _optional(_shows(n, "blank_lines"), F.lit(""), F.lit("")),
         F.array(F.lit("Wells In Unit"), F.lit("Permit #      Well Name")),
         F.transform(
             F.col("wells"),
@@ -173,18 +145,22 @@ def render_reports(
                 w["l_partkey"].cast("string"),
             ),
         ),
-        _optional(shows(n, "null_permit"), F.lit(" " * 14 + "Unnumbered well")),
-        F.array(F.lit("   Edit   Wells"), F.lit(header_text())),
-        broken,
-        F.array(
-            _row_text(F.lit("Totals"), [*totals, sum(totals[1:], totals[0])], n),
-            F.lit("Page 1 of 1"),
-        ),
+        _optional(_shows(n, "null_permit"), F.lit(" " * 14 + "Unnumbered well")),
+        F.array(F.lit("   Edit   Wells")),
+        F.when(
+            ~_shows(n, "no_table"),
+            F.concat(
+                F.array(F.lit(header_text())),
+                broken,
+                F.array(_row_text(F.lit("Totals"), [*totals, sum(totals[1:], totals[0])], n)),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("Page 1 of 1")),
     )
-    value = F.when(shows(n, "carriage_returns"), F.array_join(text, "\r\n")).otherwise(
+    value = F.when(_shows(n, "carriage_returns"), F.array_join(text, "\r\n")).otherwise(
         F.array_join(text, "\n")
     )
-    return docs.select(doc_id.alias("doc_id"), value.alias("value"))
+    return docs.select(F.col("number").alias("doc_id"), value.alias("value"))
 
 
 def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
