@@ -175,7 +175,7 @@ def _events_sql(packed: bool) -> str:
         f"""SELECT k, head + n + 3 + i + CASE WHEN breaks AND i >= 3 THEN 1 ELSE 0 END, {row}, {kind}
         FROM (SELECT *, unnest(range(0, ny + 1)) AS i FROM docs WHERE known AND tab AND (masked OR mixed))"""
     )
-    return f"""events_ AS (SELECT k AS doc_id, CAST(line_no AS BIGINT) AS line_no, task, kind,
+    return f"""events_ AS (SELECT k AS doc_id, CAST(coalesce(line_no, 0) AS BIGINT) AS line_no, task, kind,
         CASE kind WHEN 'masked_cell' THEN 'INFO' ELSE 'WARNING' END AS level FROM ({" UNION ALL ".join(selects)}))"""
 
 
@@ -439,7 +439,8 @@ def required_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of the literal grammar, documents without a county line included."""
     events = diagnostics(render_reports(spark, sf_dir), default_plan(layout="pack_left"))
-    return events.select("doc_id", _big("line_no"), "task", "kind", "level")
+    line = F.coalesce("line_no", F.lit(0)).cast("bigint")  # 0: about the document, not a line
+    return events.select("doc_id", line.alias("line_no"), "task", "kind", "level")
 
 
 @query(_WIDE_SQL)
@@ -538,7 +539,8 @@ def option_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderpriority AS option, count(DISTINCT (o_custkey)) AS copies FROM orders
+    """SELECT o_orderpriority || ' & ' || substr(o_orderpriority, 3, 1) || ' <' || chr(8594) || '>' AS option,
+              count(DISTINCT (o_custkey)) AS copies FROM orders
     JOIN customer ON o_custkey = c_custkey GROUP BY 1"""
 )
 def form_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,6 +550,16 @@ def form_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options.groupBy("option").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query(
+    """SELECT c_custkey, '/c/' || c_custkey || '?a=1&b="' || replace(c_name, '#', '?') || '"&nope;' AS target FROM customer"""
+)
+def link_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the links of all result pages, as a parser gives them."""
+    pages = render_result_pages(spark, sf_dir)
+    found = page_fn.attribute_values(F.col("by_permit"), "a", "href")
+    return pages.select("c_custkey", F.explode(found).alias("target"))
+
+
 @query(f"WITH {_LINKS} SELECT option, row_number() OVER (ORDER BY option) AS n FROM (SELECT DISTINCT option FROM links)")
 def options_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The different options written as a JSON list and loaded again."""
@@ -571,7 +583,7 @@ def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT DISTINCT o_custkey FROM orders)
+    """WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
     SELECT c_custkey,
            CASE WHEN o_custkey IS NULL THEN 'no_data' WHEN c_acctbal >= 0 THEN 'data' ELSE 'no_table' END AS by_well,
            CASE WHEN o_custkey IS NULL THEN 'no_data' WHEN c_acctbal >= 0 THEN 'data' ELSE 'no_table' END AS by_permit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,23 +12,35 @@ WELL_NAME_HEADER = "Well Name"
 POOL_NAME_HEADER = "Pool Name"
 NO_RECORDS = "There are no production records for this well."
 
-_QUOTED = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# One attribute: a name and perhaps a value in either kind of quotes or in none.
+_ATTRIBUTE = r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
+_VALUE = r"""(?s)^[^\s=]+\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))$"""
 
 
 def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
 
+def _attributes(html: Column, tag: str) -> Column:
+    """For every tag of a kind the array of its attributes; a ``>`` in quotes ends no tag."""
+    pattern = rf"""(?is)<{tag}\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0)))
+
+
+def _value(attribute: Column) -> Column:
+    """The value as a parser gives it: without quotes, character references decoded."""
+    return unescape(F.concat(*[F.regexp_extract(attribute, _VALUE, i) for i in (1, 2, 3)]))
+
+
 def attribute_values(html: Column, tag: str, name: str) -> Column:
-    """All values of one attribute of one kind of tag, in page order."""
-    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b([^>]*)>"), F.lit(1))
-    pattern = rf"(?is)(?:^|\s){name}\s*=\s*{_QUOTED}"
-    values = F.transform(tags, lambda t: F.when(t.rlike(pattern), _value(t, pattern)))
-    return F.array_compact(values)
+    """All values of one attribute of one kind of tag, in page order; the first one of a tag counts."""
 
+    def named(attributes: Column) -> Column:
+        return F.filter(attributes, lambda a: F.lower(F.substring_index(F.regexp_replace(a, r"\s*=.*$", "="), "=", 1)) == name)
 
-def _value(text: Column, pattern: str) -> Column:
-    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+    own = F.transform(_attributes(html, tag), lambda x: F.get(named(x), F.lit(0)))
+    return F.transform(F.array_compact(own), _value)
 
 
 def option_values(html: Column) -> Column:
@@ -35,22 +49,32 @@ def option_values(html: Column) -> Column:
         without_comments(html), F.lit(r"(?is)<select\b[^>]*>(.*?)</select>"), F.lit(1)
     )
     direct = F.regexp_replace(F.array_join(boxes, "\n"), r"(?is)<optgroup\b.*?</optgroup>", "")
-    tags = F.regexp_extract_all(direct, F.lit(r"(?is)<option\s+([^>]*)>"), F.lit(1))
-    pattern = rf"(?is)^[^\s=>]+\s*=\s*{_QUOTED}"
-    return F.transform(
-        tags, lambda t: F.when(t.rlike(pattern), _value(t, pattern)).otherwise(F.lit(""))
-    )
+    listed = F.filter(_attributes(direct, "option"), lambda x: F.size(x) > 0)
+    return F.transform(listed, lambda x: _value(F.get(x, F.lit(0))))
 
 
 def unescape(text: Column) -> Column:
-    """The entities that occur in attribute values; ``&amp;`` last."""
-    out = text
-    # Character entities.
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Named and numeric character references decoded, each once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, code)])
+    names = F.map_concat(names, F.create_map(F.lit("apos"), F.lit(39)))
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (
+            F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10).cast("int"))
+            .when(name.startswith("#"), F.substring(name, 2, 7).cast("int"))
+            .otherwise(F.get(F.array(F.element_at(names, name)), F.lit(0)))
+        )
+        bad = (code < 1) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        code = F.when(bad, F.lit(0xFFFD)).otherwise(code)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        rest = F.substring(part, F.char_length(name) + 2, F.char_length(part))
+        return F.when((name != "") & code.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    after = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(after, ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def title(html: Column) -> Column:

@@ -166,9 +166,10 @@ def render_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(c_custkey, by_well, by_permit)``: the two kinds of result page per customer.
 
-    A customer without orders has nothing to export; one with a negative balance
+    A customer without urgent orders has nothing to export; one with a negative balance
     has its list but no data table.  Orders are counted per priority first, so a
-    page has one row per priority.
+    page has one row per priority.  Links and boxes have the awkward attributes:
+    quoted ``>``, names inside other values, character references.
     """
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey", "c_name", "c_acctbal"
@@ -176,6 +177,7 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderpriority")
     counts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.groupBy("o_custkey").agg(
+        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
         F.array_join(
             F.array_sort(
                 F.collect_list(
@@ -187,7 +189,10 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(
             F.array_sort(
                 F.collect_list(
-                    F.format_string("<option value='%s' class=x>%s</option>", "o_orderpriority", "o_orderpriority")
+                    F.format_string(
+                        "<option value='%s &amp; &#%d; &lt;&#x2192;>' title=\"a > b\" class=x>%s</option>",
+                        "o_orderpriority", F.ascii(F.substring("o_orderpriority", 3, 1)), "o_orderpriority",
+                    )
                 )
             ),
             "",
@@ -199,10 +204,14 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.concat(F.lit("<table><tr><th>Well Name</th></tr>"), F.col("rows"), F.lit("</table>"))
     data = F.when(F.col("c_acctbal") >= 0, F.lit("<table><tr><th>Pool Name</th></tr></table>")).otherwise(F.lit(""))
     empty = F.lit("<table><tr><td>There are no production records for this well.</td></tr></table>")
-    has = F.col("rows").isNotNull()
+    has = F.coalesce(F.col("urgent"), F.lit(False))
+    link = F.format_string(
+        "<a title=\"x>y href=no\" data-href='no' HREF = \"/c/%d?a=1&amp;b=&quot;%s&quot;&nope;\">more</a>",
+        "c_custkey", F.translate("c_name", "#", "?"),
+    )
 
     def page(body: Column) -> Column:
-        return F.concat(F.lit("<html><body><form>"), body, F.lit("</form></body></html>"))
+        return F.concat(F.lit("<html><body>"), link, F.lit("<form>"), body, F.lit("</form></body></html>"))
 
     return joined.select(
         "c_custkey",

@@ -176,7 +176,7 @@ def test_page_functions(spark):
     df = spark.createDataFrame([(html, "http://x/?API=5")], "h string, u string")
     h = F.col("h")
     r = df.select(
-        F.transform(pages.option_values(h), pages.unescape).alias("options"),
+        pages.option_values(h).alias("options"),
         pages.is_page(h, F.col("u"), "XYZ", F.lit("5")).alias("page"),
         pages.has_no_wells(h).alias("no_wells"),
         pages.has_data_table(h).alias("data"),
@@ -184,4 +184,8 @@ def test_page_functions(spark):
         pages.has_no_records(F.lit("<tr><td>There are no production records for this well.</td>")).alias("none"),
     ).first()
     assert r.options == ["b & c", "", "a"]
+    odd = """<a title="x>y" href="/z"><a title="see href=bad" href="/ok"><A HREF=/p?a&amp;b><a name='n'><a href='one' href='two'>
+    <abbr href="no"><a data-href="no" href = "&#233;&#x1F600;&lt;&unknown;&amp;lt;&#0;&apos;">"""
+    values = spark.range(1).select(pages.attribute_values(F.lit(odd), "a", "href").alias("v")).first().v
+    assert values == ["/z", "/ok", "/p?a&b", "one", "é\U0001F600<&unknown;&lt;\uFFFD'"]
     assert (r.page, r.no_wells, r.data, r.no_records, r.none) == (True, True, True, False, True)
