@@ -1,39 +1,50 @@
 """Running totals and numbers that do not put a whole group into one task.
 
-A plain ``row_number`` window sorts each group in one task.  Here the order is
-cut into buckets: totals run inside a bucket, and each bucket starts from the
-sum of the buckets before it, taken from one small row per bucket.  A group that
-holds most of the rows is spread over its buckets.
+A plain ``row_number`` window sorts each group in one task.  Here the rows are
+sorted once over the whole cluster by range and written to the shared folder with
+their place; a small table, one row per key and sorted part, tells where each key
+begins in each part.  A key that holds most of the rows is spread over as many
+parts as its rows fill, whatever its positions look like.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 18
-SAMPLED_BOUNDS = 255
+from reportlake.session import shared_folder
 
+#: monotonically_increasing_id holds the part above so many bits, the place in it below.
+_PLACE_BITS = 33
 
-def _running(
-    df: DataFrame, keys: list[str], bucket: Column, order: Column, amount: Column, name: str
-) -> DataFrame:
-    cut = df.withColumn("_bucket", bucket).withColumn("_amount", amount)
-    groups = [*keys, "_bucket"]
-    inside = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*groups)
-        .agg(F.sum("_amount").alias("_total"))
-        .select(*groups, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    )
-    local = cut.withColumn("_local", F.sum("_amount").over(inside))
-    same = local["_bucket"] == starts["_bucket"]
-    for key in keys:
-        same = same & (local[key] == starts[key])
-    return local.join(starts, same).select(
-        *[local[c] for c in df.columns], (F.col("_start") + F.col("_local")).alias(name)
+
+def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in order, stored, with ``_part`` (parts follow each other) and ``_place`` in it."""
+    spark = df.sparkSession
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = out.withColumn("_at", F.monotonically_increasing_id())
+    folder = f"{shared_folder(spark)}/sorted"
+    out.write.parquet(folder)
+    stored = spark.read.schema(out.schema).parquet(folder)
+    place = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return stored.select(*df.columns, F.shiftright("_at", _PLACE_BITS).alias("_part"), place.alias("_place"))
+
+
+def _with_starts(cut: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """``cut`` with the sums over all earlier parts of its key, and ``_first``, its first place in the part.
+
+    The window runs over one row per part of a key.
+    """
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = cut.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), *[c.alias(n) for n, c in sums.items()])
+    heads = heads.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), "_first",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums],
     )
+    same = reduce(lambda a, k: a & cut[k].eqNullSafe(F.col(f"_key_{k}")), keys, cut["_part"] == F.col("_of"))
+    return cut.join(heads, same)
 
 
 def running_total(
@@ -41,40 +52,21 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``amount`` up to and including each row, per key, by ``position``.
 
-    ``position`` is a whole number without repeats inside a key, such as a place
-    in a list; a bucket then holds at most ``2 ** BUCKET_BITS`` rows of a key.
-    Keys hold no nulls.
+    Positions are of any sortable type, without repeats inside a key; a null one comes first.
     """
-    bucket = F.shiftright(F.col(position).cast("bigint"), BUCKET_BITS)
-    return _running(df, keys, bucket, F.col(position), amount.cast("bigint"), name)
+    cut = _sorted(df.withColumn("_amount", amount.cast("bigint")), [*keys, position])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("_local", F.sum("_amount").over(inside))
+    met = _with_starts(local, keys, _start=F.sum("_amount"))
+    return met.select(*df.columns, (F.col("_start") + F.col("_local")).alias(name))
 
 
 def numbered(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
-    """One-based number of each row inside its key, by ``position``."""
-    return running_total(df, keys, position, F.lit(1), name)
-
-
-def _bucket_of(column: Column, bounds: list) -> Column:
-    """Index of the last bound not above the value, as a balanced choice."""
-    if not bounds:
-        return F.lit(0)
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(column < F.lit(bounds[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(bounds))
+    """One-based number of each row inside its key, by ``position``; a null position comes first."""
+    met = _with_starts(_sorted(df, [*keys, position]), keys, _start=F.count(F.lit(1)))
+    return met.select(*df.columns, (F.col("_start") + F.col("_place") - F.col("_first") + 1).alias(name))
 
 
 def enumerated(df: DataFrame, column: str, name: str = "n") -> DataFrame:
-    """One-based number of each row in ascending order of a column without repeats.
-
-    The order is cut at a bounded sample of the values, chosen by hash so that
-    every run of the job cuts at the same places.
-    """
-    picked = df.select(column).orderBy(F.xxhash64(column), column).limit(SAMPLED_BOUNDS)
-    bounds = sorted(row[0] for row in picked.collect() if row[0] is not None)
-    bucket = _bucket_of(F.col(column), bounds)
-    return _running(df, [], bucket, F.col(column), F.lit(1).cast("bigint"), name)
+    """One-based number of each row in ascending order of a column without repeats, null first."""
+    return numbered(df, [], column, name)

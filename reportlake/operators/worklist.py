@@ -162,41 +162,39 @@ def plan_file_names(
     used number, that is r plus the count of f(i) <= r: one running total over
     requests and used numbers together.
     """
-    asked = requests.withColumn("stem", safe_file_name(F.col(option))).withColumnRenamed(ext, "ext")
-    ranked = numbered(asked, ["stem", "ext"], n, "_rank").withColumn("_place", F.col("_rank") - 1)
-
-    families = ranked.select("stem", "ext").distinct()
+    asked = requests.select(
+        F.col(n).alias("_n"), F.col(option).alias("_option"), safe_file_name(F.col(option)).alias("stem"), F.col(ext).alias("ext")
+    )
+    families = asked.select("stem", "ext").distinct()
     used = _taken(existing.select(F.col(file).alias("name")))
     plain = families.select(F.concat("stem", "ext").alias("name"))
     # A plain request uses its own number 0 itself; only the shorter name loses one.
     crossing = _taken(plain).where(F.col("number") > 0)
     used = used.unionByName(crossing).distinct().join(families, ["stem", "ext"], "left_semi")
-    used = numbered(used, ["stem", "ext"], "number", "_order")
+    # one numbering for both: each request among its name's requests, each used number among those
+    both = asked.select("stem", "ext", F.lit(1).alias("kind"), F.col("_n").cast("bigint").alias("value"), "_option").unionByName(
+        used.select("stem", "ext", F.lit(0).alias("kind"), F.col("number").alias("value")), allowMissingColumns=True
+    )
+    ranked = numbered(both, ["stem", "ext", "kind"], "value", "_order")
     steps = (
-        used.select("stem", "ext", (F.col("number") - F.col("_order") + 1).alias("_place"))
+        ranked.where("kind = 0")
+        .select("stem", "ext", (F.col("value") - F.col("_order") + 1).alias("_place"))
         .groupBy("stem", "ext", "_place")
         .agg(F.count(F.lit(1)).alias("_used"))
     )
     # Used numbers come before the request of the same place.
-    points = (
-        steps.withColumn("_point", F.col("_place") * 2)
-        .select("stem", "ext", "_point", "_used")
-        .unionByName(
-            ranked.select(
-                "stem", "ext", (F.col("_place") * 2 + 1).alias("_point"), F.lit(0).alias("_used")
-            )
-        )
-    )
-    totals = running_total(points, ["stem", "ext"], "_point", F.col("_used"), "_below")
-    below = totals.where(F.col("_point") % 2 == 1).select(
-        "stem", "ext", F.shiftright("_point", 1).alias("_place"), "_below"
+    points = steps.select("stem", "ext", (F.col("_place") * 2).alias("_point"), "_used").unionByName(
+        ranked.where("kind = 1").select(
+            "stem", "ext", (F.col("_order") * 2 - 1).alias("_point"), F.lit(0).alias("_used"), "value", "_option"
+        ),
+        allowMissingColumns=True,
     )
-    named = ranked.join(below, ["stem", "ext", "_place"])
-    number = F.col("_place") + F.col("_below")
+    totals = running_total(points, ["stem", "ext"], "_point", F.col("_used"), "_below").where("_point % 2 = 1")
+    number = F.shiftright("_point", 1) + F.col("_below")
     suffix = F.when(number > 0, F.format_string("_(%d)", number)).otherwise(F.lit(""))
-    return named.select(
-        F.col(n),
-        F.col(option),
+    return totals.select(
+        F.col("value").cast(requests.schema[n].dataType).alias(n),
+        F.col("_option").alias(option),
         number.alias("number"),
         F.concat("stem", suffix, "ext").alias(file),
     )
