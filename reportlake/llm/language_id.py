@@ -176,12 +176,14 @@ def train(
     a null text or language are not used. Grams are counted where the documents are; the driver
     gets one row per language and gram of the sample, whose size the parameter bounds.
     """
-    own = docs.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).where(
-        "__lang IS NOT NULL AND __text IS NOT NULL"
-    )
-    sizes = own.groupBy("__lang").count()
+    own = docs.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).where("__lang IS NOT NULL")
+    # one number per language; the model holds each of them anyway
+    sizes = {r["__lang"]: r["count"] for r in own.groupBy("__lang").count().collect()}
+    if not sizes:
+        return Model([], [], [], order)
+    rows_of = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])
     drawn = F.shiftrightunsigned(F.xxhash64("__text", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    chosen = own.join(sizes, "__lang").where(drawn * F.col("count") < sample).select("__lang", "__text")
+    chosen = own.where(F.col("__text").isNotNull() & (drawn * F.element_at(rows_of, F.col("__lang")) < sample))
 
     def count(batches):
         for batch in batches:
