@@ -303,9 +303,12 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Mod
     """A model from at most ``sample`` different pages, chosen by a hash of their html; null and
     very long (over a million characters) pages do not train. Only these pages reach the driver."""
     own = pages.select(F.col(html_col).alias("__html")).where("__html IS NOT NULL AND length(__html) <= 1000000")
-    drawn = own.select(F.xxhash64("__html").alias("__key"), "__html").orderBy("__key", "__html").limit(sample)
+    own = own.select(F.xxhash64("__html").alias("__key"), "__html")
+    # hashes first: a task sends the driver numbers, not pages
+    keys = [r[0] for r in own.select("__key").distinct().orderBy("__key").limit(sample).collect()]
+    drawn = own.where(F.col("__key").isin(keys)).groupBy("__key").agg(F.min("__html")).collect()
     labelled = []
-    for i, html in enumerate(dict.fromkeys(r[1] for r in drawn.collect())):
+    for i, (_, html) in enumerate(sorted(map(tuple, drawn))):
         page = blocks(html)
         labelled.append((page, [own_label(b) for b in page]))
         labelled += other_layouts(html, i)
