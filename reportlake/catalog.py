@@ -27,13 +27,13 @@ from reportlake.operators.extract import (
     production_typed,
     production_wide,
 )
-from reportlake.operators.lines import explode_lines
-from reportlake.operators.numbering import enumerated
+from reportlake.operators.lines import cut_at_bad_bytes, explode_lines
+from reportlake.operators.numbering import enumerated, numbered
 from reportlake.plans.grammar import TASKS, default_plan, settings_from_config
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
-from reportlake.streaming.ingest import ingest, stream_documents
+from reportlake.streaming.ingest import ingest, ingest_new, stream_documents, stream_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,8 +76,9 @@ _M = [f"m{i}" for i in range(1, 13)]
 _MONTHLY = ",\n".join(f"CAST(sum(CASE WHEN mo = {i} THEN q ELSE 0 END) AS BIGINT) AS m{i}" for i in range(1, 13))
 # One document per supplier and brand; the flags are the variants of the renderer, j counts junk lines,
 # and the lines are numbered: buyer, unit and head, then n list lines, the end mark, and the table.
+_NUMBER_SQL = r"l_suppkey * 100 + CAST(regexp_extract(p_brand, '(\d+)$', 1) AS BIGINT)"
 _REPORTS = rf"""
-shipped AS (SELECT l_suppkey * 100 + CAST(regexp_extract(p_brand, '(\d+)$', 1) AS BIGINT) AS k, l_partkey AS p,
+shipped AS (SELECT {_NUMBER_SQL} AS k, l_partkey AS p,
                    year(l_shipdate) AS y, month(l_shipdate) AS mo, l_quantity AS q
             FROM lineitem JOIN part ON l_partkey = p_partkey),
 place AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier
@@ -129,6 +130,10 @@ _CELLS_SQL = f"""{", ".join(f"{_cell(i)} AS {m}" for i, m in enumerate(MONTHS, 1
 _WIDE_SQL = f"""WITH {_REPORTS}
 SELECT {_HEAD_SQL}, {_CELLS_SQL} FROM docs JOIN rows_ USING (k) WHERE known"""
 
+_BY_SUPPLIER = _REPORTS.replace(_NUMBER_SQL, "l_suppkey").replace("k // 100", "k")
+_WIDE_BY_SUPPLIER = f"""WITH {_BY_SUPPLIER}
+SELECT {_HEAD_SQL}, {_CELLS_SQL} FROM docs JOIN rows_ USING (k) WHERE known"""
+
 _PACKED_SQL = f"""WITH {_REPORTS},
 kept AS (SELECT *, list_concat(list_filter([{", ".join(
     f"CASE WHEN gap THEN NULL ELSE CAST(m{i} AS VARCHAR) END" if i == 3
@@ -443,6 +448,14 @@ def strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("doc_id", line.alias("line_no"), "task", "kind", "level")
 
 
+def _landed_files(docs: DataFrame, folder: str) -> DataFrame:
+    """Each document as a text file of its own: ``report=<number>/part-*.txt``."""
+    docs.select(F.col("doc_id").alias("report"), "value").write.mode("append").partitionBy("report").text(folder)
+
+
+_FILE_NUMBER = r"report=(\d+)/"
+
+
 @query(_WIDE_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents landed as files, parsed by a stream that stops when all are read."""
@@ -454,14 +467,43 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no")
 
 
-@query(_WIDE_SQL)
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in which every third document with a table has a stray byte before its totals."""
+    docs = render_reports(spark, sf_dir)
+    at = F.locate("\n  Totals", F.col("value"))
+    head, tail = F.substring(F.col("value"), F.lit(1), at), F.substring(F.col("value"), at + 1, F.char_length("value"))
+    stray = F.concat(F.encode(head, "UTF-8"), F.unhex(F.lit("FF")), F.encode(tail, "UTF-8")).cast("string")
+    return docs.select("doc_id", F.when((F.col("doc_id") % 3 == 0) & (at > 0), stray).otherwise(F.col("value")).alias("value"))
+
+
+# Reading ends before the totals; the last year then has no line after it, so it is no row either.
+_CUT_SQL = f"""WITH {_REPORTS}, last AS (SELECT k, CAST(max(y) AS VARCHAR) AS y FROM monthly GROUP BY 1)
+SELECT {_HEAD_SQL}, {_CELLS_SQL} FROM docs JOIN rows_ USING (k) JOIN last USING (k)
+WHERE known AND NOT (k % 3 = 0 AND yr IN ('Totals', last.y))"""
+
+
+@query(_CUT_SQL)
+def undecodable_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are read up to their first undecodable line; rows before it stay."""
+    return production_wide(cut_at_bad_bytes(_damaged(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_REPORTS} SELECT k AS doc_id, head + n + 3 + ny + CAST(breaks AS BIGINT) AS line_no, 'WARNING' AS level
+    FROM docs WHERE known AND tab AND k % 3 = 0"""
+)
+def undecodable_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = diagnostics(cut_at_bad_bytes(_damaged(spark, sf_dir))).where("kind = 'undecodable'")
+    return events.select("doc_id", _big("line_no"), "level")
+
+
+@query(_WIDE_BY_SUPPLIER)
 def reports_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text file per report, found by pattern below a folder, as the reports come."""
     folder = f"{shared_folder(spark)}/reports"
-    docs = render_reports(spark, sf_dir).select(F.col("doc_id").alias("report"), "value")
-    docs.write.partitionBy("report").text(folder)
+    _landed_files(render_reports(spark, sf_dir, by_brand=False), folder)
     files = readers.read_reports(spark, folder, "*.txt")
-    number = F.regexp_extract("doc_id", r"report=(\d+)/", 1)
+    number = F.regexp_extract("doc_id", _FILE_NUMBER, 1)
     return production_wide(files.select(number.alias("doc_id"), "value"))
 
 
@@ -479,6 +521,96 @@ def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_ready(back, plan.columns)
 
 
+@query(_WIDE_BY_SUPPLIER)
+def stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files read by a stream; an unfinished ``.part`` file beside them is not read."""
+    folder = shared_folder(spark)
+    docs = render_reports(spark, sf_dir, by_brand=False)
+    _landed_files(docs, f"{folder}/landing")
+    unfinished = docs.orderBy("doc_id").limit(1).select(F.concat("value", F.lit("\n")).alias("value"))
+    unfinished.coalesce(1).write.option("compression", "none").format("text").save(f"{folder}/unfinished")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    store = files.Path(folder).getFileSystem(conf)
+    (part,) = [x.getPath() for x in store.globStatus(files.Path(f"{folder}/unfinished/part-*"))]
+    files.FileUtil.copy(store, part, store, files.Path(f"{folder}/landing/late.txt.part"), False, conf)
+    ingest(stream_reports(spark, f"{folder}/landing"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no")
+    return rows.withColumn("File", F.regexp_extract("File", _FILE_NUMBER, 1))
+
+
+@query(f"{_WIDE_SQL} AND k NOT IN (SELECT doc_id FROM labels)")
+def stream_skip_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that leaves out documents another job has processed: those whose number has labels."""
+    folder = shared_folder(spark)
+    render_reports(spark, sf_dir).select(F.col("doc_id").cast("string"), "value").write.parquet(f"{folder}/landing")
+    _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string")).write.parquet(f"{folder}/done")
+    stream = stream_documents(spark, f"{folder}/landing")
+    ingest_new(stream, f"{folder}/done", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no", "batch")
+
+
+@query(
+    """SELECT CAST(n_nationkey AS BIGINT) AS nation, octet_length(encode(n_name)) + 1 AS length, true AS recent FROM nation"""
+)
+def landing_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, size and time of landed files; no content is read."""
+    folder = f"{shared_folder(spark)}/nations"
+    _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(folder)
+    files = readers.read_landing(spark, folder, recursive=True)
+    return files.select(
+        F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("bigint").alias("nation"),
+        "length",
+        (F.col("modificationTime") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"),
+    )
+
+
+@query(
+    f"""WITH {_REPORTS}, first AS (SELECT min(CAST(k AS VARCHAR)) AS k FROM docs)
+    SELECT k || '+.csv' AS planned, 'errorifexists' AS mode, k || '+_(1).csv' AS second, 'errorifexists' AS second_mode,
+           k || '+.csv' AS small, 'overwrite' AS small_mode, n FROM first, (SELECT count(*) AS n FROM docs)"""
+)
+def output_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output's name after the first input, before and after it is there, and when it may be replaced."""
+    folder = shared_folder(spark)
+    docs = render_reports(spark, sf_dir).select(F.format_string("in/%d.txt", "doc_id").alias("doc_id"))
+    name = sinks.output_name(docs, "<File_in>")
+    planned, mode = sinks.free_output(spark, f"{folder}/{name}")
+    sinks.write_csv(docs, ["doc_id"], planned, mode)
+    second, second_mode = sinks.free_output(spark, f"{folder}/{name}")
+    small, small_mode = sinks.free_output(spark, f"{folder}/{name}", min_size_to_overwrite=1 << 40)
+    names = {"planned": planned, "mode": mode, "second": second, "second_mode": second_mode, "small": small, "small_mode": small_mode}
+    written = spark.read.option("header", True).csv(planned).agg(F.count(F.lit(1)).alias("n"))
+    return written.select(*[F.lit(v.rpartition("/")[2]).alias(k) for k, v in names.items()], "n")
+
+
+@query(f"WITH {_REPORTS}, {_events_sql(False)} SELECT doc_id, kind, count(*) AS n FROM events_ GROUP BY ALL")
+def diagnostics_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as it is kept on disk, by kind."""
+    folder = f"{shared_folder(spark)}/log"
+    sinks.write_diagnostics(diagnostics(render_reports(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_REPORTS} SELECT row_number() OVER (ORDER BY k, yr = 'Totals', yr) AS n, CAST(k AS VARCHAR) AS File, yr AS Year
+    FROM docs JOIN rows_ USING (k) WHERE known"""
+)
+def report_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written in order, and its rows numbered as they stand in the files."""
+    folder = f"{shared_folder(spark)}/report.csv"
+    plan = default_plan()
+    rows = production_wide(render_reports(spark, sf_dir), plan, position=True)
+    sinks.write_csv(rows, plan.columns, folder, order_by=["doc_id", "line_no"])
+    schema = ", ".join(f"`{c}` string" for c in plan.columns)
+    back = spark.read.option("header", True).option("escape", '"').schema(schema).csv(folder)
+    place = back.select(
+        "File", "Year", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    return numbered(place, [], ["name", "block", "at"], "n").select("n", "File", "Year")
+
+
 @query(
     f"""WITH {_REPORTS} SELECT k AS doc_id, len(string_split(s_name, '#')) AS n_parts, CASE WHEN tab THEN ny ELSE 0 END AS n_years FROM docs"""
 )
@@ -560,6 +692,18 @@ def link_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("c_custkey", F.explode(found).alias("target"))
 
 
+@query(
+    """SELECT option, row_number() OVER (ORDER BY option) AS n
+    FROM (SELECT DISTINCT p_name || ', ' || p_type AS option FROM part)"""
+)
+def options_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options with commas, written as lines below a header and loaded again."""
+    folder = f"{shared_folder(spark)}/options.csv"
+    part = _table(spark, sf_dir, "part").select(F.concat_ws(", ", "p_name", "p_type").alias("option"))
+    sinks.write_options(worklist.distinct_options(part), folder, header="option")
+    return readers.read_options_list(spark, folder).select("option", _big("n"))
+
+
 @query(f"WITH {_LINKS} SELECT option, row_number() OVER (ORDER BY option) AS n FROM (SELECT DISTINCT option FROM links)")
 def options_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The different options written as a JSON list and loaded again."""
@@ -623,28 +767,24 @@ def dataset_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Work lists --------------------------------------------------------------
 
-_SAVED = "l_quantity >= 48 AND year(l_shipdate) = 2001"
-
-
-def _part_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return part.select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("option"))
+def _document_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "doc_id").alias("option"))
 
 
 def _saved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = _table(spark, sf_dir, "lineitem").where(F.expr(_SAVED)).select("l_partkey").distinct()
-    options = _part_options(spark, sf_dir)
-    saved = options.join(shipped, options["p_partkey"] == shipped["l_partkey"], "left_semi")
+    """A file for every labelled document; about two of five documents have labels."""
+    options = _document_options(spark, sf_dir)
+    saved = options.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
     return saved.select(F.concat("option", F.lit(".xls")).alias("file_name"))
 
 
-_WORK = f"""options AS (SELECT p_partkey, p_name || ' ' || p_partkey AS option FROM part),
-saved AS (SELECT option FROM options WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE {_SAVED}))"""
+_WORK = """options AS (SELECT doc_id, source || ' ' || doc_id AS option FROM documents),
+saved AS (SELECT option FROM options WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
 @query(f"WITH {_WORK} SELECT option FROM options EXCEPT SELECT option FROM saved")
 def worklist_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worklist.remaining(_part_options(spark, sf_dir), _saved_files(spark, sf_dir))
+    return worklist.remaining(_document_options(spark, sf_dir), _saved_files(spark, sf_dir))
 
 
 @query(
@@ -652,7 +792,7 @@ def worklist_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT (SELECT count(*) FROM options) AS n_listed, (SELECT count(*) FROM rest) AS n_remaining"""
 )
 def worklist_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worklist.worklist_size(_part_options(spark, sf_dir), _saved_files(spark, sf_dir))
+    return worklist.worklist_size(_document_options(spark, sf_dir), _saved_files(spark, sf_dir))
 
 
 @query(
@@ -668,19 +808,17 @@ def worklist_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT 'user ' || user_id AS listed, min(event_id) AS position FROM events
-                  WHERE event_type = 'purchase' AND value > 100 GROUP BY 1),
+    """WITH a AS (SELECT DISTINCT 'user ' || doc_id AS listed, doc_id AS position FROM labels),
     f AS (SELECT arg_min(listed, position) AS first_option FROM a)
     SELECT event_id, 'user ' || user_id AS option, coalesce(listed, first_option) AS chosen, listed IS NULL AS fell_back
     FROM events LEFT JOIN a ON listed = 'user ' || user_id, f"""
 )
 def option_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of all events as requests; those whose number has labels are available."""
+    named = lambda c: F.concat(F.lit("user "), F.col(c).cast("string"))
+    labels = _table(spark, sf_dir, "labels").select(named("doc_id").alias("listed"), F.col("doc_id").alias("position"))
     events = _table(spark, sf_dir, "events")
-    name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
-    buying = (F.col("event_type") == "purchase") & (F.col("value") > 100)
-    available = events.where(buying).groupBy(name.alias("listed")).agg(F.min("event_id").alias("position"))
-    requested = events.select("event_id", name.alias("option"))
-    return worklist.with_fallback(requested, available)
+    return worklist.with_fallback(events.select("event_id", named("user_id").alias("option")), labels)
 
 
 @query(
@@ -688,8 +826,7 @@ def option_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
                        regexp_replace(p_name || '/' || p_type, '[^\p{L}\p{N}\p{Z}\s_\-+#&,;.()'']+', '_', 'g') AS stem FROM part),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n) AS r FROM req),
     fam AS (SELECT stem, count(*) AS c FROM req GROUP BY 1),
-    used AS (SELECT DISTINCT stem, p_size % 25 AS number FROM req JOIN part ON p_partkey = n
-             WHERE p_size >= 25 AND n IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48 AND year(l_shipdate) = 2001)),
+    used AS (SELECT DISTINCT stem, p_size AS number FROM req JOIN part ON p_partkey = n),
     cand AS (SELECT stem, unnest(range(0, c + 60)) AS number FROM fam),
     free AS (SELECT stem, number, row_number() OVER (PARTITION BY stem ORDER BY number) AS r
              FROM cand ANTI JOIN used USING (stem, number))
@@ -701,15 +838,10 @@ def filename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     option = F.concat_ws("/", "p_name", "p_type")
     requests = part.select(F.col("p_partkey").alias("n"), option.alias("option"), F.lit(".xls").alias("ext"))
-    shipped = _table(spark, sf_dir, "lineitem").where(F.expr(_SAVED)).select("l_partkey").distinct()
-    number = F.col("p_size") % 25
+    # each part's size is a number already in use under its name
+    number = F.col("p_size")
     suffix = F.when(number > 0, F.format_string("_(%d)", number)).otherwise(F.lit(""))
-    existing = (
-        part.where("p_size >= 25")
-        .join(shipped, F.col("p_partkey") == F.col("l_partkey"), "left_semi")
-        .select(F.concat(text_fn.safe_file_name(option), suffix, F.lit(".xls")).alias("file_name"))
-        .distinct()
-    )
+    existing = part.select(F.concat(text_fn.safe_file_name(option), suffix, F.lit(".xls")).alias("file_name")).distinct()
     return worklist.plan_file_names(requests, existing)
 
 

@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows that results of several documents are joined to before they are handed on.
+ROWS = 10_000
+
 
 def per_document(
     docs: DataFrame,
@@ -22,7 +25,14 @@ def per_document(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, rows = [], 0
             for doc_id, text in zip(batch[key], batch[value]):
-                yield fn(doc_id, text)
+                found.append(fn(doc_id, text))
+                rows += len(found[-1])
+                if rows >= ROWS:
+                    yield pd.concat(found, ignore_index=True)
+                    found, rows = [], 0
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     return docs.select(key, value).mapInPandas(run, schema)

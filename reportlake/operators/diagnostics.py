@@ -22,6 +22,10 @@ BAD_PARAMETERS = "bad_parameters"
 NOTHING = "nothing_before_table"
 REST_SKIPPED = "rest_skipped"
 MASKED = "masked_cell"
+UNDECODABLE = "undecodable"
+
+#: Column of the reader with the first line that cannot be decoded.
+BAD_LINE = "bad_line"
 
 # Message levels, lowest first.
 LEVELS = ["NOTSET", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
@@ -127,7 +131,8 @@ def _first_repeated(plan: ReportPlan) -> Column:
 
 
 def _staged(docs: DataFrame, plan: ReportPlan, key: str, value: str) -> DataFrame:
-    ctx = with_context(docs.select(key, value), plan, value)
+    more = [BAD_LINE] if BAD_LINE in docs.columns else []
+    ctx = with_context(docs.select(key, value, *more), plan, value)
     usable = has_required(plan) & ~_bad_context(plan)
     return stage(
         ctx, usable=usable, stopped_at=F.when(~usable, _first_repeated(plan))
@@ -142,7 +147,10 @@ def _reached(plan: ReportPlan) -> Column:
 def diagnostics(
     docs: DataFrame, plan: ReportPlan | None = None, key: str = "doc_id", value: str = "value"
 ) -> DataFrame:
-    """``(key, line_no, task, kind, level, line, line_next)``; computed without a shuffle."""
+    """``(key, line_no, task, kind, level, line, line_next)``; computed without a shuffle.
+
+    Where the reader noted a line that cannot be decoded, at which reading ended, it is an event too.
+    """
     plan = plan or default_plan()
     ctx = _staged(docs, plan, key, value)
     stop = F.col("stopped_at")
@@ -159,6 +167,9 @@ def diagnostics(
         parts.append(F.when(empty, F.array(nothing)).otherwise(_none()))
     rest = _event(stop, F.lit(None), F.lit(REST_SKIPPED), F.lit(None), F.lit(None))
     parts.append(F.when(stop.isNotNull(), F.array(rest)).otherwise(_none()))
+    if BAD_LINE in docs.columns:
+        bad = _event(F.col(BAD_LINE), F.lit(None), F.lit(UNDECODABLE), F.lit(None), F.lit(None))
+        parts.append(F.when(F.col(BAD_LINE).isNotNull() & stop.isNull(), F.array(bad)).otherwise(_none()))
     events = ctx.select(key, F.inline(F.concat(*parts)))
 
     names = F.array(*[F.lit(s.name) for s in plan.stages])

@@ -118,6 +118,25 @@ def _page_lines(kept: Column, pages: Column, p: Column) -> Column:
     )
 
 
+def cut_at_bad_bytes(docs: DataFrame, value: str = "value", bad: str = "bad_line") -> DataFrame:
+    """Documents up to their first line that is no valid UTF-8, and the number of that line.
+
+    ``bad`` is null where all lines can be decoded; only other documents are taken apart.
+    """
+    # One character per byte: lines can be taken apart before they are decoded.
+    raw = F.split(F.decode(F.col(value).cast("binary"), "ISO-8859-1"), "\n")
+    lines = F.transform(raw, lambda l: F.encode(l, "ISO-8859-1").cast("string"))
+
+    def cut(decoded: Column) -> Column:
+        at = F.array_position(F.transform(decoded, lambda l: F.is_valid_utf8(l)), F.lit(False)).cast("int")
+        return F.struct(F.array_join(F.slice(decoded, F.lit(1), at - 1), "\n").alias("text"), at.alias("at"))
+
+    found = F.get(F.transform(F.array(lines), cut), F.lit(0))
+    others = [c for c in docs.columns if c != value]
+    staged = stage(docs, _cut=F.when(~F.is_valid_utf8(F.col(value)), found))
+    return staged.select(*others, F.coalesce("_cut.text", F.col(value)).alias(value), F.col("_cut.at").alias(bad))
+
+
 def split_undecodable(docs: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Documents cut to their valid UTF-8 lines, and the ones that were cut.
 

@@ -61,9 +61,10 @@ def running_total(
     return met.select(*df.columns, (F.col("_start") + F.col("_local")).alias(name))
 
 
-def numbered(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], position: str | list[str], name: str) -> DataFrame:
     """One-based number of each row inside its key, by ``position``; a null position comes first."""
-    met = _with_starts(_sorted(df, [*keys, position]), keys, _start=F.count(F.lit(1)))
+    order = [position] if isinstance(position, str) else position
+    met = _with_starts(_sorted(df, [*keys, *order]), keys, _start=F.count(F.lit(1)))
     return met.select(*df.columns, (F.col("_start") + F.col("_place") - F.col("_first") + 1).alias(name))
 
 

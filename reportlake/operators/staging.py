@@ -10,11 +10,14 @@ filters on the columns passing through still reach the scan.
 from __future__ import annotations
 
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_built: dict = {}
+# expressions of a plan live as long as the plan; those of no plan are a few per application
+_built: WeakKeyDictionary = WeakKeyDictionary()
+_planless: dict = {}
 
 
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
@@ -29,9 +32,10 @@ def per_plan(build):
     @wraps(build)
     def once(*args):
         app = SparkSession.active().sparkContext.applicationId
-        key = (app, build.__module__, build.__qualname__, args)
-        if key not in _built:
-            _built[key] = build(*args)
-        return _built[key]
+        key = (app, build.__module__, build.__qualname__, args[1:])
+        held = _built.setdefault(args[0], {}) if args else _planless
+        if key not in held:
+            held[key] = build(*args)
+        return held[key]
 
     return once

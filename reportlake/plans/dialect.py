@@ -27,6 +27,7 @@ _IN_CLASS = {
     "d": r"\p{Nd}",
     "w": r"\p{L}\p{N}_",
     "s": r"\t-\r\x1c-\x1f\x85\p{Z}",
+    "b": r"\x08",
 }
 _BARE = {
     "d": r"\p{Nd}",
@@ -36,6 +37,8 @@ _BARE = {
     "s": r"[\t-\r\x1c-\x1f\x85\p{Z}]",
     "S": r"[^\t-\r\x1c-\x1f\x85\p{Z}]",
     "Z": r"\z",
+    "b": r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))",
+    "B": r"(?:(?<=[\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?![\p{L}\p{N}_]))",
 }
 _REPEAT = re.compile(r"\{(\d*)(,?)(\d*)\}")
 _NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
@@ -209,16 +212,18 @@ def _write(parts: list, marked: frozenset[str] = frozenset()) -> tuple[str, dict
 def compile_pattern(source: str) -> Pattern:
     """Rewrite a user pattern for the JVM and work out its named groups."""
     parts, groups = _scan(source)
+    # ignoring case means all of Unicode, as it does for a Python str
+    flags = "(?du)" if re.search(r"\(\?[a-zA-Z]*i", source) else "(?d)"
     plain, names, _ = _write(parts)
     loose = [g.name for g in groups if g.name and g.optional()]
     optional = {}
     for name in loose:
         body, _, marks = _write(parts, frozenset([name]))
-        optional[name] = f"(?d)^(?>{body})\\{marks[name]}"
-    java = f"(?d)^(?:{plain})"
+        optional[name] = f"{flags}^(?>{body})\\{marks[name]}"
+    java = f"{flags}^(?:{plain})"
     all_present = java
     if loose:
         body, _, marks = _write(parts, frozenset(loose))
         tail = "".join(f"(?:\\{marks[n]})" for n in loose)
-        all_present = f"(?d)^(?>{body}){tail}"
+        all_present = f"{flags}^(?>{body}){tail}"
     return Pattern(source, java, dict(sorted(names.items(), key=lambda kv: kv[1])), optional, all_present)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reportlake.operators.lines import cut_at_bad_bytes
+from reportlake.operators.numbering import numbered
+
 
 def read_reports(
     spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = True
 ) -> DataFrame:
-    """``raw_docs(doc_id, value)``: one row per text file, its path as the key."""
+    """``raw_docs(doc_id, value, bad_line)``: one row per text file, its path as the key.
+
+    A file is read up to its first undecodable line, whose number is ``bad_line``.
+    """
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     docs = reader.text(path, wholetext=True)
-    return docs.select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    return cut_at_bad_bytes(docs.select(F.col("_metadata.file_path").alias("doc_id"), "value"))
 
 
 def read_raw_reports(
@@ -31,25 +37,35 @@ def read_raw_reports(
 
 
 def read_options_json(spark: SparkSession, path: str) -> DataFrame:
-    """``(n, option)`` from files that each hold one JSON array of strings."""
+    """``(n, option)`` from files that each hold one JSON array of strings, in order of their names."""
     files = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", "array<string>")
-    return files.select(F.posexplode(items).alias("pos", "option")).select(
-        (F.col("pos") + 1).alias("n"), "option"
-    )
+    items = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("items"))
+    # one row per file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = items.select("file", F.coalesce(F.sum(F.size("items")).over(before), F.lit(0)).alias("start"))
+    rows = items.select("file", F.posexplode("items").alias("pos", "option")).join(starts, "file")
+    return rows.select((F.col("start") + F.col("pos") + 1).alias("n"), "option")
 
 
 def read_options_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(n, option)`` from a list with a header line and one value per line.
+    """``(n, option)`` from lists with a header line and one value per line, file after file by name.
 
-    Commas belong to the value, and only the line feed ends it.
+    Commas belong to the value, and only the line feed ends it.  Lines are read
+    apart, not files, so a list may be of any length.
     """
-    files = spark.read.text(path, wholetext=True)
-    lines = F.split("value", "\n")
-    # A line feed at the end of the file starts no further line.
-    kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    rows = files.select(F.posexplode(kept).alias("n", "option"))
-    return rows.where(F.col("n") > 0)
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("option"),
+    )
+    placed = numbered(lines, ["file"], ["block", "at"], "place")
+    # one row per file; the first line of each is its header
+    sizes = placed.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    rows = placed.where("place > 1").join(starts, "file")
+    return rows.select((F.col("start") + F.col("place") - 1).alias("n"), "option")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -66,8 +66,11 @@ def _optional(condition: Column, *lines: Column) -> Column:
     return F.when(condition, F.array(*lines)).otherwise(F.array().cast("array<string>"))
 
 
-def render_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``raw_docs(doc_id, value)`` from the tables of one scale directory."""
+def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> DataFrame:
+    """``raw_docs(doc_id, value)`` from the tables of one scale directory.
+
+    Without ``by_brand`` a supplier's brands share one document: fewer and longer ones.
+    """
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     part = table("part").select("p_partkey", "p_name", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("bigint").alias("brand"))
     lines = table("lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
@@ -82,7 +85,8 @@ def render_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     cells = cells.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    cells = cells.withColumn("number", F.col("l_suppkey") * 100 + F.col("brand"))
+    number = F.col("l_suppkey") * 100 + F.col("brand") if by_brand else F.col("l_suppkey")
+    cells = cells.withColumn("number", number)
     years = cells.groupBy("l_suppkey", "number", "year").agg(
         *[F.sum(m).alias(m) for m in month_names],
         F.collect_set(F.struct("l_partkey", "p_name")).alias("parts"),

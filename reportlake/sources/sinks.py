@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,27 +86,50 @@ def free_output(spark: SparkSession, path: str, min_size_to_overwrite: int = 0)
     return candidate, "errorifexists"
 
 
-def write_options(options: DataFrame, path: str, column: str = "option") -> None:
-    """The list as text, one option per line, sorted over all files."""
-    options.select(column).orderBy(column).write.mode("errorifexists").text(path)
+def write_options(options: DataFrame, path: str, column: str = "option", header: str | None = None) -> None:
+    """The list as text, one option per line, sorted over all files; each begins with the header, if any."""
+    ordered = _by_range(options.select(F.col(column).cast("string").alias("value")))
+    if header is not None:
+
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = [header]
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(first + batch.column(0).to_pylist(), pa.string())})
+                first = []
+
+        ordered = ordered.mapInArrow(headed, "value string")
+    ordered.write.mode("errorifexists").text(path)
+
 
+def _by_range(options: DataFrame) -> DataFrame:
+    """Sorted over all partitions, each holding a stretch of the values."""
+    return options.repartitionByRange("value").sortWithinPartitions("value")
 
-def write_options_json(options: DataFrame, path: str, column: str = "option") -> None:
-    """The sorted list as one JSON array, an item per line, in a single file.
 
-    Lines are ordered by Spark and stream through the writer; no array is built.
-    The last item is the one that takes no comma.
+def write_options_json(options: DataFrame, path: str, column: str = "option", single_file: bool = False) -> None:
+    """The sorted list as JSON: every file one array, an item per line, file after file in order.
+
+    Each task brackets its own stretch of the list.  ``single_file`` is for small lists.
     """
-    last = options.agg(F.max(column)).scalar()
-    text = F.regexp_replace(F.to_json(F.array(F.col(column))), r"^\[|\]$", "")
-    end = F.when(F.col(column) == last, F.lit("")).otherwise(F.lit(","))
-    items = options.select(
-        F.lit(1).alias("part"), F.col(column).alias("key"), F.concat(text, end).alias("value")
-    )
-    spark = options.sparkSession
-    edges = spark.sql("select 0 part, '' key, '[' value union all select 2, '', ']'")
-    ordered = items.unionByName(edges).orderBy("part", "key").select("value")
-    ordered.coalesce(1).write.mode("errorifexists").text(path)
+    items = F.regexp_replace(F.to_json(F.array(F.col("value"))), r"^\[|\]$", "")
+    ordered = _by_range(options.select(F.col(column).cast("string").alias("value")))
+    if single_file:
+        ordered = ordered.coalesce(1).sortWithinPartitions("value")
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            lines = ([] if held is None else [held]) + batch.column(0).to_pylist()
+            if not lines:
+                continue
+            if held is None:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(["["], pa.string())})
+            held = lines.pop()
+            yield pa.RecordBatch.from_pydict({"value": pa.array([x + "," for x in lines], pa.string())})
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([held, "]"], pa.string())})
+
+    ordered.select(items.alias("value")).mapInArrow(bracketed, "value string").write.mode("errorifexists").text(path)
 
 
 def write_diagnostics(events: DataFrame, path: str, mode: str = "append") -> None:

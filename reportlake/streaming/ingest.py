@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reportlake.operators.extract import production_wide
+from reportlake.operators.lines import cut_at_bad_bytes
 from reportlake.plans.grammar import ReportPlan, default_plan
 
 DOCS_SCHEMA = "doc_id string, value string"
@@ -28,7 +29,7 @@ def stream_reports(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     docs = reader.load(path)
-    return docs.select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    return cut_at_bad_bytes(docs.select(F.col("_metadata.file_path").alias("doc_id"), "value"))
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str = DOCS_SCHEMA) -> DataFrame:
@@ -67,7 +68,9 @@ def ingest_new(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = batch.sparkSession.read.parquet(processed).select(key).distinct()
+        seen = batch.sparkSession.read.parquet(processed).select(key)
+        # of the processed keys only those of this batch take part
+        seen = seen.join(batch.select(key), key, "left_semi")
         fresh = batch.join(seen, key, "left_anti")
         rows = production_wide(fresh, plan or default_plan(), position=True)
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -21,6 +21,9 @@ CASES = [
     (r"(x|(?P<a>y))+(?P<b>.*)$", ["xyz", "yxz", "xx", "y"]),
     (r"(?P<a>.+)(?P<b>\s)(?P<c>\S*)", ["a\u0085b", "a b", "a b", "ab"]),
     (r"(?i)(?P<a>AB)(?!c)(?P<b>.)?", ["abd", "ABc", "ab"]),
+    (r"(?i)(?P<a>É+)(?P<b>s)?", ["é", "ÉéS", "e"]),
+    (r"(?P<a>x\b)(?P<b>\B-)?(?P<c>.*)", ["xé", "x é", "x", "x-", "x_", "x--"]),
+    (r"(?P<a>[\b]?)(?P<b>.*)", ["\x08a", "a"]),
     (r"(?P<with_underscore>\w)(?P<n>(?P<inner>z)|q)?", ["az", "aq", "a", "b_"]),
 ]
 
