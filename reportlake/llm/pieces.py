@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reportlake.llm.common import table
+from reportlake.llm.textmap import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments whose encoding a worker remembers; when full, it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -213,7 +214,7 @@ def encode(
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = batch.column(at).to_pylist()
             parts = [encoder.encode(t or "") for t in texts]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])])
@@ -251,7 +252,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
 
     def run(batches):
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             counts, sums, same = [], [], []
             for text in batch.column(1):
                 value = text.as_py() or ""
