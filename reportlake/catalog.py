@@ -346,6 +346,23 @@ def production_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return production_wide(render_reports(spark, sf_dir), default_plan(layout="pack_left"))
 
 
+_TOUCHING = [f"CASE WHEN masked THEN '' ELSE CAST(m{i} AS VARCHAR) END" if i == 6 else f"CAST(m{i} AS VARCHAR)" for i in range(1, 13)]
+
+
+@query(
+    f"""WITH {_REPORTS},
+    c AS (SELECT *, CASE WHEN NOT gap THEN [{", ".join(_TOUCHING)}]
+                         WHEN m4 < 10000 THEN [{", ".join([*_TOUCHING[:2], "''", *_TOUCHING[3:]])}]
+                         ELSE [{", ".join([*_TOUCHING[:2], *_TOUCHING[3:], "''"])}] END AS c
+          FROM docs JOIN rows_ USING (k) WHERE known AND NOT mixed)
+    SELECT {_HEAD_SQL}, {", ".join(f"c[{i}] AS {m}" for i, m in enumerate(MONTHS, 1))},
+           CAST(tot AS VARCHAR) AS Totals, CAST(k AS VARCHAR) AS File FROM c"""
+)
+def production_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older grammar in which a # alone may border two cells; a mixed cell is two of them, so no row."""
+    return production_wide(render_reports(spark, sf_dir), default_plan(layout="touching"))
+
+
 @query(
     f"""WITH {_REPORTS}
     SELECT {_HEAD_SQL}, {", ".join(

@@ -8,12 +8,13 @@ their gaps: for every gap the least and the largest number of column separators
 it can hold are counted, which settles both whether the row matches and which
 cell every value falls in.
 
-Two layouts turn tokens into cells:
+Three layouts turn tokens into cells:
 
 * ``pack_left`` is the grammar taken literally: ``#`` is filler, a missing month
   moves later values left and the blank lands as late as it can;
 * ``columns`` keeps every token, masked ones too, under its own column, by
-  counting when all thirteen are there and by header position when some are not.
+  counting when all thirteen are there and by header position when some are not;
+* ``touching`` is an older grammar in which a ``#`` alone may border two cells.
 """
 
 from __future__ import annotations
@@ -349,6 +350,50 @@ def with_column_row(rows: DataFrame, line: Column, places: Column, name: str) ->
     )
 
 
+# Widths of the older row whose cells may touch.
+TOUCHING_SPACES = 13
+_UNIT = (
+    rf"[0-9.]{{1,{MONTH_WIDTH}}}+#{{0,{FILLER_WIDTH}}}+ {{0,{TOUCHING_SPACES}}}+"
+    rf"|#{{1,{FILLER_WIDTH}}}+ {{0,{TOUCHING_SPACES}}}+| {{1,{TOUCHING_SPACES}}}+"
+)
+_LAST = rf"(?:^|(?<=[# ]))([0-9.]{{1,{TOTALS_WIDTH}}}+)#{{0,{TOTALS_WIDTH}}}\z"
+
+
+def _touching_cells(line: Column) -> Column:
+    """The thirteen cells of a row in which spaces, or ``#`` alone, end a cell; null for no row.
+
+    A mask or an overlong gap is a cell without digits.  The last number is the total; with fewer
+    cells than columns the empty ones come before it.
+    """
+    body = F.regexp_replace(F.regexp_extract(line, _HEAD, 3), rf"^ {{1,{TOUCHING_SPACES}}}+", "")
+
+    def cells(text: Column, last: Column) -> Column:
+        months = F.regexp_replace(text, _LAST, "")
+        return let(
+            F.regexp_extract_all(months, F.lit(_UNIT), F.lit(0)),
+            lambda units: F.when(
+                (F.array_join(units, "") == months) & (F.size(units) <= len(MONTHS)) & (last != ""),
+                F.concat(
+                    F.transform(units, lambda u: F.regexp_extract(u, "^[0-9.]*", 0)),
+                    F.array_repeat(F.lit(""), F.lit(len(MONTHS)) - F.size(units)),
+                    F.array(last),
+                ),
+            ),
+        )
+
+    found = let(body, lambda text: cells(text, F.regexp_extract(text, _LAST, 1)))
+    return F.when(line.rlike(_HEAD), found)
+
+
+def is_touching_row(line: Column) -> Column:
+    return _touching_cells(line).isNotNull()
+
+
+def touching_row(line: Column) -> Column:
+    """Year and cells of a row that :func:`is_touching_row`."""
+    return F.concat(F.array(year_of(line)), _touching_cells(line))
+
+
 def hash_cleanup(value: Column) -> Column:
     """Drop every ``#`` from a value that also holds a digit; leave others alone."""
     return F.when(

@@ -121,7 +121,7 @@ class WideRow(Grammar):
     mask_mode: str = "blank"
 
     def __post_init__(self) -> None:
-        if self.layout not in ("columns", "pack_left"):
+        if self.layout not in ("columns", "pack_left", "touching"):
             raise ValueError(f"unknown layout {self.layout!r}")
         if self.mask_mode not in ("blank", "keep", "reject"):
             raise ValueError(f"unknown mask mode {self.mask_mode!r}")
@@ -141,6 +141,8 @@ class WideRow(Grammar):
     def matches(self, line: Column) -> Column:
         if self.layout == "pack_left":
             test = cells.is_packed_row(line)
+        elif self.layout == "touching":
+            test = cells.is_touching_row(line)
         elif self.mask_mode == "reject":
             test = cells.is_numeric_row(line)
         else:
@@ -156,12 +158,14 @@ class WideRow(Grammar):
     def parse(self, line: Column, header: Column | None = None) -> Column:
         if self.layout == "pack_left":
             return cells.packed_row(line)
+        if self.layout == "touching":
+            return cells.touching_row(line)
         if header is None:
             header = self.prepare(F.lit(None).cast("string"))
         return cells.column_row(line, header)
 
     def with_parsed(self, rows: DataFrame, line: str, header: str, name: str) -> DataFrame:
-        if self.layout == "pack_left":
+        if self.layout != "columns":
             return super().with_parsed(rows, line, header, name)
         return cells.with_column_row(rows, F.col(line), F.col(header), name)
 

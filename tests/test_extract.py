@@ -188,6 +188,32 @@ def test_mask_run_over_several_columns(spark):
     assert all(set(c) == {"#"} for c in row_[3:5])
 
 
+def test_touching_rows(spark):
+    """Cells bordered by spaces or by # alone; masks are cells without digits."""
+    rng = random.Random(8)
+    made = {}
+    for _ in range(400):
+        values = ["#" * rng.randint(1, 9) if rng.random() < 0.15 else str(rng.randint(0, 99999)) for _ in range(12)]
+        line = f" {rng.choice(['2007', '98', 'Totals'])}" + " " * rng.randint(1, 13)
+        head = line.split()[0]
+        for v, following in zip(values, [*values[1:], "1"]):
+            border = " " * rng.randint(1, 9) if v[0] == "#" or following[0] == "#" else rng.choice(["#", "##", " ", "    ", "# "])
+            line += v + border
+        made[line + "7654.3" + rng.choice(["", "#", "##"])] = [head, *[v.strip("#") for v in values], "7654.3"]
+    made["2012 1#2 7"] = ["2012", "1", "2", *[""] * 10, "7"]
+    no_rows = ["2012", "2012 x", "2012 " + "1 " * 14, "2012 1 2 ##", "name 2012"]
+    df = spark.createDataFrame([(x,) for x in [*made, *no_rows]], "l string")
+    out = df.select("l", cells.is_touching_row(F.col("l")).alias("m"), cells.touching_row(F.col("l")).alias("c")).collect()
+    for r in out:
+        assert r.m == (r.l in made), r.l
+        assert r.l not in made or r.c == made[r.l], r.l
+    text = "\n".join(["A County; B Quad; C Field Pool", "Buyer: X Lease#: 1 Production Type Oil", "w", "Permit Well Name",
+                      "1 One", " Edit Wells", SAMPLE_HEADER, next(iter(made)), "end"])
+    docs = spark.createDataFrame([("d", text)], "doc_id string, value string")
+    row_ = production_wide(docs, default_plan(layout="touching")).first()
+    assert [row_[c] for c in ["Year", *cells.CELLS]] == next(iter(made.values()))
+
+
 def test_branch_may_use_another_grammar():
     plan = other_plan()
     assert [s.name for s in plan.stages][-1] == "Line" and plan.sticky == len(plan.stages) - 1
