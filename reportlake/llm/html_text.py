@@ -10,6 +10,8 @@ other layouts, where the label of every block is known because we put it there.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 from html import escape, unescape
 
@@ -26,6 +28,8 @@ STEPS = 250
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+#: Elements of other languages, which are empty if their tag ends in "/>"; in HTML that slash means nothing.
+_FOREIGN = frozenset("svg math".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -53,25 +57,73 @@ def _bucket(value: float, limits: tuple) -> int:
     return sum(value >= x for x in limits)
 
 
-def blocks(html: str) -> list[Block]:
-    """The leaf blocks with text in page order, in time linear in the page for any mark-up.
+def _self_closed(rest: str) -> bool:
+    """Does the slash before ">" end the tag? In an unquoted value it is part of the value."""
+    return rest.endswith("/") and "=" not in re.split(r"[\s\"']", rest)[-1]
+
+
+class _Open:
+    """The open tags, however many, with what is asked of them at hand: every step costs the tags it opens or closes."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.tags: Counter = Counter()
+        #: Features of the open tags, with the number of tags that have them.
+        self.features: Counter = Counter()
+        #: Names of the open blocks, and the inline tags open directly in each; the first is the page.
+        self.blocks = [""]
+        self.inline: list[Counter] = [Counter()]
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        features = tuple(x for x in {f"<{name}", *names} if self.known is None or x in self.known)
+        self.stack.append((name, features))
+        self.tags[name] += 1
+        self.features.update(features)
+        if name in _INLINE:
+            self.inline[-1][name] += 1
+        else:
+            self.blocks.append(name)
+            self.inline.append(Counter())
+
+    def close(self, name: str) -> None:
+        """Ends the nearest tag of that name with all in it; an inline tag only inside its block."""
+        if not (self.inline[-1] if name in _INLINE else self.tags)[name]:
+            return
+        last = None
+        while last != name:
+            last, features = self.stack.pop()
+            self.tags[last] -= 1
+            for x in features:
+                self.features[x] -= 1
+                if not self.features[x]:
+                    del self.features[x]
+            if last in _INLINE:
+                self.inline[-1][last] -= 1
+            else:
+                self.blocks.pop()
+                self.inline.pop()
+
+
+def blocks(html: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks with text in page order. No tag is left out, however deep; a block costs the
+    different features around it, of ``known`` if given, and all else is linear in the page.
 
     Character references are decoded and white space collapsed. Comments, declarations and the
     content of scripts, styles and the like are no text. Tags that are never closed end with what
     encloses them.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    tags = _Open(known)
     found: list[Block] = []
     buffer: list[str] = []
     linked = [0]
-    in_link = 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            own = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-            path = frozenset(x for t, names in stack for x in (f"<{t}", *names))
+            own = tags.blocks[-1]
+            path = frozenset(tags.features)
             n = len(text.split())
             size = _bucket(n, (3, 6, 11, 21, 51))
             link = _bucket(min(1.0, linked[0] / len(text)), (0.01, 0.3, 0.7))
@@ -95,7 +147,7 @@ def blocks(html: str) -> list[Block]:
             less = len(html)
         if less > at:
             buffer.append(html[at:less])
-            if in_link:
+            if tags.tags["a"]:
                 linked[0] += less - at
         if less == len(html):
             break
@@ -116,15 +168,10 @@ def blocks(html: str) -> list[Block]:
             buffer.append(" ")
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in _INLINE and stack[i][0] not in _INLINE:
-                    break
-            in_link = sum(t == "a" for t, _ in stack)
+            tags.close(name)
             continue
-        if name in _VOID:
+        rest = tag["rest"] or tag["rest2"] or ""
+        if name in _VOID or name in _FOREIGN and _self_closed(rest):
             continue
         if name in _RAW:
             raw = name
@@ -132,19 +179,12 @@ def blocks(html: str) -> list[Block]:
         if name not in _INLINE:
             # a new block ends an open paragraph, a new item an open item, with what is in them
             ends = {"p", name} if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") else {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        rest = tag["rest"] or tag["rest2"] or ""
+            if tags.blocks[-1] in ends:
+                tags.close(tags.blocks[-1])
         names = tuple(
             f".{x}" for m in _NAMED.finditer(rest) for x in _TOKEN.findall((m[1] or m[2] or m[3] or "").lower())
         ) if "=" in rest else ()
-        if len(stack) < 256:  # deeper tags add no features, their text stays
-            stack.append((name, names))
-        in_link = sum(t == "a" for t, _ in stack)
+        tags.push(name, names)
     flush()
     return found
 
@@ -316,7 +356,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Mod
 
 
 def main_text(html: str | None, model: Model) -> str:
-    page = blocks(html or "")
+    page = blocks(html or "", model.names)
     return "\n\n".join(b.text for b, y in zip(page, model.label(page)) if y)
 
 

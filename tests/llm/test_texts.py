@@ -98,6 +98,28 @@ def test_blocks():
     assert item.path == {"<article", ".post", ".main", "<p"}
 
 
+def test_deep_pages_keep_what_is_around_a_block(page_model):
+    deep = "<div>" * 300
+    page = f"<article>{deep}<p>one</p><nav><p>menu</p></nav>{'</div>' * 300}<p>two</p></article><p>after</p>"
+    got = {b.text: html_text.own_label(b) for b in html_text.blocks(page)}
+    assert got == {"one": 1, "menu": 0, "two": 1, "after": 0}
+    page = f"<div><article>{'<b>' * 300}x<p>one</p><aside>side</aside></div>two"
+    assert [html_text.own_label(b) for b in html_text.blocks(page)] == [1, 1, 0, 0]
+    text = "The river rose slowly, and by evening the whole valley had gone quiet under the water."
+    page = f"<html><body>{deep}<article>{f'<p>{text}</p>' * 4}</article><footer><p>&copy; 2020 Site</p></footer>{'</div>' * 300}</body></html>"
+    assert html_text.main_text(page, page_model).split("\n\n") == [text] * 4
+    shut = "<p>x</p></i><a>" * 20_000  # linear: every end tag and block meets all that is open
+    assert len(html_text.blocks("<b>" * 20_000 + shut)) == 20_000
+
+
+def test_self_closed_foreign_elements():
+    texts = lambda h: [b.text for b in html_text.blocks(h)]
+    assert texts('<p>a<svg class="icon" viewBox="0 0 1 1"/></p><p>b</p>') == ["a", "b"]
+    assert texts("<p>a</p><svg/><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<svg id=a/><text>no</text></svg><p>c</p>") == ["c"] and texts("<script/>no") == []
+    assert html_text.blocks("<math/>x")[0].path == frozenset()
+
+
 def test_viterbi_is_the_best_of_all_paths(page_model):
     rng = random.Random(1)
     names = list(page_model.names)
