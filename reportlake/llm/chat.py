@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import table
+from reportlake.operators.numbering import numbered, running_total
 
 #: Roles that set the scene: part of every perspective, never its assistant.
 CONTEXT = ("system",)
-#: Turn numbers of one part. Parts bound what is gathered for one row, however long a conversation is.
+#: Turn numbers of one part, and its rows at most. Parts bound what is gathered for one row, however long a
+#: conversation is and however its turns are numbered.
 PART_TURNS = 256
 
 
@@ -34,8 +36,11 @@ def perspectives(
     mask has the half-open code point spans of the own texts, end mark included; spans are kept as
     marks since texts may hold the marks themselves. Parts in order make up the whole dialogue.
 
-    Turns are ordered by number, speaker and text; a null number comes first, in part null; a null
-    text is empty; rows without a speaker are rendered for the others as user ``unknown`` and get
+    A part of more rows than that (turns without a number, or one number again and again) is cut by
+    position, and the parts after it are numbered on, so part is still unique and in order.
+
+    Turns are ordered by number, speaker and text; a null number comes first, in part null (the first
+    of them, if there are several; the others come before the lowest number); a null text is empty; rows without a speaker are rendered for the others as user ``unknown`` and get
     no perspective; repeated rows are rendered as often as they occur. A conversation of context
     alone, or with a null id, gives no row. Other columns are not read.
     """
@@ -48,10 +53,11 @@ def perspectives(
         F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
     ).where("__conv IS NOT NULL")
     scene = F.coalesce(F.col("__who").isin(*context), F.lit(False))
-    said = F.struct(
-        F.col("__turn").alias("turn"), F.col("__who").alias("who"), F.col("__text").alias("text"), scene.alias("scene")
-    )
-    parts = rows.groupBy("__conv", "__part").agg(F.array_sort(F.collect_list(said)).alias("__said"))
+    cut = numbered(rows, ["__conv", "__part"], ["__turn", "__who", "__text"], "__n")
+    cut = cut.withColumn("__piece", F.floor((F.col("__n") - 1) / part_turns).cast("long"))
+    said = F.struct(F.col("__n").alias("n"), F.col("__who").alias("who"), F.col("__text").alias("text"), scene.alias("scene"))
+    parts = cut.groupBy("__conv", "__part", "__piece").agg(F.array_sort(F.collect_list(said)).alias("__said"))
+    parts = _numbered_on(parts, cut)
     speakers = rows.where(~scene & F.col("__who").isNotNull()).groupBy("__conv", "__who").agg(F.lit(1).alias("__one"))
     met = parts.join(speakers.drop("__one"), "__conv")
 
@@ -98,6 +104,25 @@ def perspectives(
     )
 
 
+def _numbered_on(parts: DataFrame, cut: DataFrame) -> DataFrame:
+    """``parts`` with a part number for every piece: all pieces beyond the first move what follows by one."""
+    keys = cut.select("__conv", "__part", "__piece").distinct()
+    lowest = keys.groupBy(F.col("__conv").alias("__of")).agg(F.coalesce(F.min("__part"), F.lit(0)).alias("__lowest"))
+    keys = keys.withColumn("__place", F.struct("__part", "__piece"))
+    moved = running_total(keys, ["__conv"], "__place", (F.col("__piece") > 0).cast("long"), "__more")
+    # only a conversation with such a piece has anything to move
+    moved = moved.where("__more > 0").join(lowest, F.col("__conv") == F.col("__of"))
+    moved = moved.select(
+        F.col("__conv").alias("__of"), F.col("__part").alias("__in"), F.col("__piece").alias("__at"),
+        (F.coalesce(F.col("__part"), F.col("__lowest") - 1) + F.col("__more")).alias("__new"),
+    )
+    same = (
+        (F.col("__conv") == F.col("__of")) & F.col("__part").eqNullSafe(F.col("__in")) & (F.col("__piece") == F.col("__at"))
+    )
+    met = parts.join(moved, same, "left")
+    return met.select("__conv", F.coalesce("__new", "__part").alias("__part"), "__said")
+
+
 def op2_perspectives(spark, sf_dir):
     found = perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))

@@ -79,6 +79,19 @@ def test_perspectives(spark):
     assert chat.perspectives(frame.limit(0)).count() == 0
 
 
+def test_no_part_is_longer_than_its_rows(spark):
+    rows = [(1, None, "Ann", f"n{i:02}") for i in range(7)] + [(1, 5, "Bob", f"t{i:02}") for i in range(9)] + [(1, 9, "Ann", "last")]
+    rows += [(2, None, "Cy", "x")] * 5 + [(3, 4, "Di", "one"), (3, None, "Di", "none")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.perspectives(frame, part_turns=4).collect()}
+    assert max(r["n_turns"] for r in got.values()) == 4 and {k[2] for k in got if k[0] == 2} == {None, 0}
+    assert {k[2] for k in got if k[0] == 3} == {None, 1}
+    order = sorted({k[2] for k in got if k[0] == 1}, key=lambda p: (p is not None, p or 0))
+    assert len(order) == 6
+    whole = "".join(got[1, "Ann", p]["text"] for p in order)
+    assert re.findall(r"\b(n\d\d|t\d\d|last)<", whole) == [*(f"n{i:02}" for i in range(7)), *(f"t{i:02}" for i in range(9)), "last"]
+
+
 # --- HTML ----------------------------------------------------------------------
 
 
