@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, pieces, quality, token_counts
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, pieces, quality, token_counts
 
 QUERIES = {
     "op3_near_join": near_join.op3_near_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_partial_matching": language_id.op8_partial_matching,
     "op9_winnowing": decontaminate.op9_winnowing,
     "op10_line_winnowing": line_dedup.op10_line_winnowing,
+    "op10_passages": passage_dedup.op10_passages,
 }
 ORACLES = {
     "op3_near_join": near_join.ORACLE,

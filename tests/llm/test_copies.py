@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import ODD, prose
 
-from reportlake.llm import decontaminate, exact_dedup, line_dedup, near_join
+from reportlake.llm import decontaminate, exact_dedup, line_dedup, near_join, passage_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -163,6 +163,50 @@ def test_copies_of_a_row_lose_their_runs(make):
     assert sorted(r["n_deleted"] for r in found) == [0, 2, 2]
 
 
+# --- Passage dedup -------------------------------------------------------------
+
+
+def plain_passages(rows, span):
+    """Every later window of words by comparing each with all before it."""
+    seen, out = set(), [None] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0)):
+        found = list(re.finditer(r"[^\x09-\x0D\x20]+", rows[i][1] or ""))
+        w, gone = [m[0] for m in found], set()
+        for p in range(len(w) - span + 1):
+            if tuple(w[p : p + span]) in seen:
+                gone |= set(range(p, p + span))
+            seen.add(tuple(w[p : p + span]))
+        marks = [0, *(m.start() for m in found), len(rows[i][1] or "")]
+        text = (rows[i][1] or "")[: marks[1]] + "".join(rows[i][1][marks[k + 1] : marks[k + 2]] for k in range(len(w)) if k not in gone)
+        out[i] = (rows[i][0], None if rows[i][1] is None else text, len(w), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("span", [6, 7, 50])
+def test_repeated_passages(make, vocabulary, span):
+    rng = random.Random(span)
+    shared = [prose(rng, vocabulary, rng.randint(span - 1, 3 * span)) for _ in range(6)]
+    rows = []
+    for i in range(60):  # passages in running text, that begin and end inside longer lines, whole or in part
+        w = rng.choice(shared).split()
+        a = rng.randrange(len(w))
+        part = w[a:] if i % 3 == 0 else w[: a + 1] if i % 3 == 1 else w
+        rows.append((i, f" {prose(rng, vocabulary, rng.randint(0, 20))}\n{rng.choice([' ', chr(9)]).join(part)} {prose(rng, vocabulary, 9)}"))
+    rows += [(100 + i, t) for i, t in enumerate(ODD)] + [(None, rows[5][1]), (300, rows[6][1]), (300, rows[6][1])]
+    got = passage_dedup.without_repeated_passages(make(rows), span=span).collect()
+    assert Counter(map(tuple, [r[:4] for r in got])) == Counter(plain_passages(rows, span))
+    assert all(r["n_deleted"] == sum(d["end"] - d["start"] for d in r["deleted"]) for r in got)
+
+
+def test_passage_inside_longer_lines(make, vocabulary):
+    rng = random.Random(8)
+    passage, own = prose(rng, vocabulary, 60), [prose(rng, vocabulary, 30) for _ in range(4)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]} {passage} {own[3]}")]
+    got = dict(r[:2] for r in passage_dedup.without_repeated_passages(make(rows)).collect())
+    assert got == {1: rows[0][1], 2: f"{own[2]} {own[3]}"}
+    assert passage_dedup.without_repeated_passages(make([])).count() == 0
+
+
 # --- N-gram Jaccard join -------------------------------------------------------
 
 
