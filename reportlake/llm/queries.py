@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, pieces, quality, token_counts
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, phrases, pieces, quality, token_counts
 
 QUERIES = {
     "op3_near_join": near_join.op3_near_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_winnowing": decontaminate.op9_winnowing,
     "op10_line_winnowing": line_dedup.op10_line_winnowing,
     "op10_passages": passage_dedup.op10_passages,
+    "op11_phrases": phrases.op11_phrases,
 }
 ORACLES = {
     "op3_near_join": near_join.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_bloom_dedup": exact_dedup.ORACLE,
     "op9_winnowing": decontaminate.ORACLE,
     "op10_line_winnowing": line_dedup.ORACLE,
+    "op11_phrases": phrases.ORACLE,
 }
