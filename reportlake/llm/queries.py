@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, phrases, pieces, quality, token_counts
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, phrases, pieces, quality, token_counts, warc
 
 QUERIES = {
     "op3_near_join": near_join.op3_near_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_winnowing": line_dedup.op10_line_winnowing,
     "op10_passages": passage_dedup.op10_passages,
     "op11_phrases": phrases.op11_phrases,
+    "op12_revisits": warc.op12_revisits,
 }
 ORACLES = {
     "op3_near_join": near_join.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_winnowing": decontaminate.ORACLE,
     "op10_line_winnowing": line_dedup.ORACLE,
     "op11_phrases": phrases.ORACLE,
+    "op12_revisits": warc.ORACLE,
 }
