@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, phrases, pieces, quality, token_counts, warc
+from reportlake.llm import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_join, passage_dedup, phrases, pieces, quality, repair, token_counts, warc
 
 QUERIES = {
     "op3_near_join": near_join.op3_near_join,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_passages": passage_dedup.op10_passages,
     "op11_phrases": phrases.op11_phrases,
     "op12_revisits": warc.op12_revisits,
+    "op13_repair": repair.op13_repair,
 }
 ORACLES = {
     "op3_near_join": near_join.ORACLE,
@@ -27,4 +28,5 @@ ORACLES = {
     "op10_line_winnowing": line_dedup.ORACLE,
     "op11_phrases": phrases.ORACLE,
     "op12_revisits": warc.ORACLE,
+    "op13_repair": repair.ORACLE,
 }
