@@ -57,9 +57,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
     above, level = -1, 0
     while True:
         stats = records.where(size > above).agg(F.avg(size), F.max(size)).first()
-        if stats[0] is None:
-            return
-        mean, most = max(float(stats[0]), 1.0), stats[1]
+        mean, most = max(float(stats[0] or 0), 1.0), stats[1] or 0
         upto = max(int(mean * SPREAD), above + 1)
         rows = records.where((size > above) & (size <= upto))
         options = {**_WRITER, "maxRecordsPerFile": max(1, int(file_bytes / (mean + 500)))}
