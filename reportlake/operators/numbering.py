@@ -4,7 +4,8 @@ A plain ``row_number`` window sorts each group in one task.  Here the rows are
 sorted once over the whole cluster by range and written to the shared folder with
 their place; a small table, one row per key and sorted part, tells where each key
 begins in each part.  A key that holds most of the rows is spread over as many
-parts as its rows fill, whatever its positions look like.
+parts as its rows fill, whatever its positions look like; rows that are equal in key
+and position part where they come from different parts of the input.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ _PLACE_BITS = 33
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     """The rows in order, stored, with ``_part`` (parts follow each other) and ``_place`` in it."""
     spark = df.sparkSession
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # where a row comes from stays the same if its task is run again, unlike its place there
+    out = df.withColumn("_tie", F.spark_partition_id()).repartitionByRange(*order, "_tie")
+    out = out.drop("_tie").sortWithinPartitions(*order)
     out = out.withColumn("_at", F.monotonically_increasing_id())
     folder = f"{shared_folder(spark)}/sorted"
     out.write.parquet(folder)

@@ -24,6 +24,19 @@ def test_sparse_ids_of_one_hot_key(spark):
     assert len(parts) >= 6 and max(parts) < 2 * sum(parts) / len(parts)
 
 
+def test_equal_rows_of_one_key(spark):
+    """Rows that nothing tells apart lie in several parts, and each number is given once."""
+    df = spark.range(50_000).repartition(6).selectExpr("'hot' AS k", "7 AS at", "'same' AS said")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in _sorted(df, ["k", "at"]).groupBy("_part").count().collect()]
+        got = numbered(df, ["k"], "at", "n").agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 5 and max(parts) < 20_000
+    assert tuple(got) == (1, 50_000, 50_000)
+
+
 def test_running_totals(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), i * 977 % 5003, rng.randint(0, 9)) for i in range(3000)]
