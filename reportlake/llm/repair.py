@@ -208,8 +208,8 @@ def _traced(chunks: DataFrame) -> DataFrame:
     return stored(single.unionByName(later), "audits")
 
 
-def faults(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Rows with key, turn, role, text, pos (from 1, in order) and fault, stored.
+def faults(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with key, turn, role, pos (from 1, in order) and fault; and with key, pos, role and text; stored.
 
     Rows are ordered by turn (null first), role and text; a null role or text is one space. The first
     fault counts: blank, duplicate (role and text of an earlier row), truncated (last character that is
@@ -220,15 +220,20 @@ def faults(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
         key.alias("key"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit(" ")).alias("role"), F.coalesce(F.col(text_col), F.lit(" ")).alias("text"),
     )
-    rows = stored(numbered(rows, ["key"], ["turn", "role", "text"], "pos"), "turns")
-    said = rows.select("key", "pos", F.sha2(F.concat_ws("\x1f", F.octet_length("role").cast("string"), "role", "text"), 256).alias("said"))
-    again = said.groupBy("key", "said").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
-    later = attach(said, again, ["key", "said"], "n", rows.count()).where("pos > first").select("key", "pos", F.lit(True).alias("again"))
+    texts = stored(numbered(rows, ["key"], ["turn", "role", "text"], "pos"), "turns")
     blank = ~F.col("text").rlike(f"[^{_WHITE}]")
     cut = ~F.col("text").rlike(f"[.!?][{_WHITE}]*\\z")
-    fault = F.when(blank, "blank").when(F.col("again"), "duplicate").when(cut, "truncated")
-    met = rows.join(later, ["key", "pos"], "left").withColumn("fault", fault).drop("again")
-    return stored(met, "faults")
+    rows = texts.select(
+        "key", "turn", "role", "pos", blank.alias("blank"), cut.alias("cut"),
+        F.unhex(F.sha2(F.concat_ws("\x1f", F.octet_length("role").cast("string"), "role", "text"), 256)).alias("said"),
+    )
+    # texts stay where they are from here on
+    rows = stored(rows, "said")
+    again = rows.groupBy("key", "said").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where("n > 1")
+    later = attach(rows.select("key", "said", "pos"), again, ["key", "said"], "n", rows.count()).where("pos > first")
+    met = rows.join(later.select("key", "pos", F.lit(True).alias("again")), ["key", "pos"], "left")
+    fault = F.when(F.col("blank"), "blank").when(F.col("again"), "duplicate").when(F.col("cut"), "truncated")
+    return stored(met.select("key", "turn", "role", "pos", fault.alias("fault")), "faults"), texts
 
 
 def repaired(
@@ -248,7 +253,7 @@ def repaired(
     key, pos, sub (rows put in before a row have lower ones), role, text. Null ids make a conversation,
     repeated rows are duplicates, other columns are not read, and no rows give none.
     """
-    rows = faults(turns, conv_col, turn_col, role_col, text_col)
+    rows, texts = faults(turns, conv_col, turn_col, role_col, text_col)
     code = _code(F.substring("role", 1, 1), F.coalesce("fault", F.lit("")))
     number = F.floor((F.col("pos") - 1) / chunk).cast("long")
     chunks = rows.select("key", "pos", number.alias("chunk"), code.alias("code")).groupBy("key", "chunk").agg(
@@ -272,7 +277,7 @@ def repaired(
 
     kept = _mapped(audits.join(chunks.select("key", "chunk", "codes"), ["key", "chunk"]), edits, "key string, pos bigint, sub bigint, edit string, to string")
     kept = stored(kept, "edits")
-    stay = kept.where("edit <> 'I'").join(rows.select("key", "pos", "role", "text"), ["key", "pos"])
+    stay = kept.where("edit <> 'I'").join(texts.select("key", "pos", "role", "text"), ["key", "pos"])
     stay = stay.select("key", "pos", "sub", F.when(F.col("edit") == "R", F.col("to")).otherwise(F.col("role")).alias("role"), "text")
     new = kept.where("edit = 'I'").select("key", "pos", "sub", F.col("to").alias("role"), F.lit("").alias("text"))
     return rows, audits, stay.unionByName(new)
