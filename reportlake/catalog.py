@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reportlake.functions import pages as page_fn
 from reportlake.functions import text as text_fn
 from reportlake.functions.cells import MONTHS
-from reportlake.operators import landing, worklist
+from reportlake.operators import landing, splits, worklist
 from reportlake.operators.classify import classify, stage_positions
 from reportlake.operators.custom import per_document
 from reportlake.operators.diagnostics import at_least, diagnostics, document_outcomes
@@ -203,6 +203,13 @@ def lines_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", _big("line_no"), "line_next", "is_current")
 
 
+@query(ORACLES["lines_lookahead"])
+def split_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of documents that come in rows of three lines each."""
+    lines = splits.explode_segments(splits.cut_documents(_documents(spark, sf_dir), 3))
+    return lines.select("doc_id", _big("line_no"), "line_next", "is_current")
+
+
 @query(
     f"""WITH {_REPORTS}
     SELECT k AS doc_id, n_lines, n_lines - 1 - CAST(breaks AS BIGINT) AS n_current, CAST(breaks AS BIGINT) AS n_breaks
@@ -313,6 +320,19 @@ def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(ORACLES["stage_positions"])
+def split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of documents cut at every line."""
+    spans = splits.stage_positions(splits.cut_documents(render_reports(spark, sf_dir), 1))
+    return spans.select("doc_id", *[_big(c) for c in ("stage", "first_line", "last_line", "n_lines")])
+
+
+@query(_WIDE_SQL)
+def split_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide report of documents that come in rows of four lines each."""
+    return splits.production_wide(splits.cut_documents(render_reports(spark, sf_dir), 4))
+
+
 @query(_WIDE_SQL, name="production_wide")
 def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return production_wide(render_reports(spark, sf_dir))
@@ -465,6 +485,15 @@ def strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("doc_id", line.alias("line_no"), "task", "kind", "level")
 
 
+@query(ORACLES["strict_parse"])
+def split_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the literal grammar, of documents cut at every line."""
+    parts = splits.cut_documents(render_reports(spark, sf_dir), 1)
+    events = splits.diagnostics(parts, default_plan(layout="pack_left"))
+    line = F.coalesce("line_no", F.lit(0)).cast("bigint")
+    return events.select("doc_id", line.alias("line_no"), "task", "kind", "level")
+
+
 def _landed_files(docs: DataFrame, folder: str) -> DataFrame:
     """Each document as a text file of its own: ``report=<number>/part-*.txt``."""
     docs.select(F.col("doc_id").alias("report"), "value").write.mode("append").partitionBy("report").text(folder)

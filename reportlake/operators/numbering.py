@@ -50,18 +50,22 @@ def _with_starts(cut: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
     return cut.join(heads, same)
 
 
-def running_total(
-    df: DataFrame, keys: list[str], position: str, amount: Column, name: str
-) -> DataFrame:
-    """Sum of ``amount`` up to and including each row, per key, by ``position``.
+def running_totals(df: DataFrame, keys: list[str], position: str, amounts: dict[str, Column]) -> DataFrame:
+    """Sums up to and including each row, per key, by ``position``: a column for each name of ``amounts``.
 
     Positions are of any sortable type, without repeats inside a key; a null one comes first.
     """
-    cut = _sorted(df.withColumn("_amount", amount.cast("bigint")), [*keys, position])
+    own = {n: f"_amount_{i}" for i, n in enumerate(amounts)}
+    cut = _sorted(df.withColumns({own[n]: c.cast("bigint") for n, c in amounts.items()}), [*keys, position])
     inside = Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("_local", F.sum("_amount").over(inside))
-    met = _with_starts(local, keys, _start=F.sum("_amount"))
-    return met.select(*df.columns, (F.col("_start") + F.col("_local")).alias(name))
+    local = cut.withColumns({f"_local{c}": F.sum(c).over(inside) for c in own.values()})
+    met = _with_starts(local, keys, **{f"_start{c}": F.sum(c) for c in own.values()})
+    return met.select(*df.columns, *[(F.col(f"_start{c}") + F.col(f"_local{c}")).alias(n) for n, c in own.items()])
+
+
+def running_total(df: DataFrame, keys: list[str], position: str, amount: Column, name: str) -> DataFrame:
+    """The same for one amount."""
+    return running_totals(df, keys, position, {name: amount})
 
 
 def numbered(df: DataFrame, keys: list[str], position: str | list[str], name: str) -> DataFrame:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportlake.operators.lines import cut_at_bad_bytes
 from reportlake.operators.numbering import numbered
+from reportlake.operators.splits import SEGMENT
+from reportlake.session import shared_folder
+
+#: Bytes of text of one segment of a file, unless a line is longer.
+SEGMENT_BYTES = 1 << 20
 
 
 def read_reports(
@@ -25,6 +31,50 @@ def read_reports(
     return cut_at_bad_bytes(docs.select(F.col("_metadata.file_path").alias("doc_id"), "value"))
 
 
+def read_segments(
+    spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = True, size: int = SEGMENT_BYTES
+) -> DataFrame:
+    """``(doc_id, segment, value)``: files of any length as rows of whole lines, for ``operators.splits``.
+
+    Files are read in splits, however large; lines go on in the split they begin in. The rows are stored, for
+    splits may fall differently when a file is read again. A file is read up to its first undecodable line.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary")
+    )
+
+    def pack(batches):
+        place, texts, held, n = None, [], 0, 0
+
+        def row():
+            values = [[place[0]], [place[1] + n], [b"\n".join(texts)]]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, values, (pa.string(), pa.int64(), pa.binary()))), ["doc_id", SEGMENT, "value"])
+
+        for batch in batches:
+            for doc, block, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != (doc, block) or held + len(text) > size:
+                    if texts:
+                        yield row()
+                    # a split has fewer segments than bytes, so these numbers follow each other
+                    n = n + 1 if place == (doc, block) else 0
+                    place, texts, held = (doc, block), [], 0
+                texts.append(text)
+                held += len(text) + 1
+        if texts:
+            yield row()
+
+    packed = lines.mapInArrow(pack, f"doc_id string, {SEGMENT} bigint, value binary")
+    folder = f"{shared_folder(spark)}/segments"
+    packed.write.parquet(folder)
+    stored = spark.read.parquet(folder).withColumn("value", F.col("value").cast("string"))
+    ends = stored.where(~F.is_valid_utf8("value")).groupBy(F.col("doc_id").alias("ended")).agg(F.min(SEGMENT).alias("end"))
+    met = stored.join(ends, F.col("doc_id") == F.col("ended"), "left").where(f"end IS NULL OR {SEGMENT} <= end")
+    return cut_at_bad_bytes(met.select("doc_id", SEGMENT, "value"), bad="bad").drop("bad")
+
+
 def read_raw_reports(
     spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = True
 ) -> DataFrame:
