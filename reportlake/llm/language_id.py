@@ -20,10 +20,10 @@ from reportlake.llm.textmap import slices, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 4
-#: Documents of each language that are expected in the training sample.
+#: Different texts of each language that are expected in the training sample.
 SAMPLE = 1500
-#: Slots of a worker's table of known grams (a power of two).
-SLOTS_BITS = 21
+#: Slots of a worker's table of known grams, as a power of two; as many lie beside it at most.
+SLOTS_BITS = 17
 UNKNOWN = "und"
 
 _CODES = np.arange(256)
@@ -124,7 +124,7 @@ class Model:
 class _Known:
     """Code lengths of grams already met, in a table addressed by a hash of the gram.
 
-    Grams whose slot is taken are kept sorted beside it, so every gram is worked out once.
+    Grams whose slot is taken are kept sorted beside it, up to as many; then that list begins again.
     """
 
     def __init__(self, model: Model):
@@ -159,7 +159,7 @@ class _Known:
             if len(left):
                 keys = np.concatenate([self.rest, kinds[new[left]]])
                 all_values = np.concatenate([self.rest_values, values[new[left]]])
-                if len(keys) > 4 << SLOTS_BITS:  # bounded: begin again
+                if len(keys) > 1 << SLOTS_BITS:
                     keys, all_values = keys[:0], all_values[:0]
                 order = np.argsort(keys)
                 self.rest, self.rest_values = keys[order], all_values[order]
@@ -170,20 +170,25 @@ class _Known:
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample: int = SAMPLE
 ) -> Model:
-    """A model from about ``sample`` documents of each language, fewer if there are no more.
+    """A model from about ``sample`` different texts of each language, from all if there are no more.
 
-    The sample is drawn by a hash of the text, so it does not depend on the order of rows. Rows with
-    a null text or language are not used. Grams are counted where the documents are; the driver
-    gets one row per language and gram of the sample, whose size the parameter bounds.
+    The sample is drawn by a hash of the text, so it does not depend on the order of rows, and a text
+    counts once however often it is repeated. Rows with a null text or language are not used. Grams are
+    counted where the documents are; the driver gets one row per language and gram of the sample, whose
+    size the parameter bounds.
     """
-    own = docs.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).where("__lang IS NOT NULL")
+    hashed = F.xxhash64(F.col(text_col), F.lit("sample"))
+    own = docs.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), hashed.alias("__hash"))
+    own = own.where("__lang IS NOT NULL AND __text IS NOT NULL")
     # one number per language; the model holds each of them anyway
-    sizes = {r["__lang"]: r["count"] for r in own.groupBy("__lang").count().collect()}
+    sizes = {r["__lang"]: r["count"] for r in own.select("__lang", "__hash").distinct().groupBy("__lang").count().collect()}
     if not sizes:
         return Model([], [], [], order)
-    rows_of = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])
-    drawn = F.shiftrightunsigned(F.xxhash64("__text", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    chosen = own.where(F.col("__text").isNotNull() & (drawn * F.element_at(rows_of, F.col("__lang")) < sample))
+    texts_of = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])
+    drawn = F.shiftrightunsigned("__hash", 11) / F.lit(float(1 << 53))
+    chosen = own.where(drawn * F.element_at(texts_of, F.col("__lang")) < sample)
+    # copies meet before the shuffle
+    chosen = chosen.groupBy("__lang", "__hash").agg(F.min("__text").alias("__text")).select("__lang", "__text")
 
     def count(batches):
         for batch in batches:
