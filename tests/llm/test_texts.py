@@ -230,6 +230,19 @@ def test_pieces_equal_the_library(model, vocabulary):
             assert score(ids_of(encoder, text[:40])) == pytest.approx(score(library.nbest_encode_as_ids(text[:40], 2)[0]))
 
 
+def test_texts_in_parts(model, vocabulary, monkeypatch):
+    """Many texts at once, cut into parts and searched together or one by one, give what each gives alone."""
+    encoder = pieces.Encoder(model)
+    texts = ["", *random_texts(vocabulary, 7), "é\u0378" * 90, "𝕏 x" * 70, "▁ ▁" * 50, "z" * 300]
+    want = [encoder.best("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    for part, few in ((40, 3), (1 << 20, 48), (500, 0)):
+        monkeypatch.setattr(pieces, "PART", part)
+        monkeypatch.setattr(pieces, "FEW", few)
+        ids, ends = encoder.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    assert encoder.encode_all([])[1].tolist() == [0] and encoder.encode_all(["", ""])[1].tolist() == [0, 0, 0]
+
+
 def test_encode_and_decode_rows(make, model):
     docs = make([(1, None), (2, ""), (3, "a  b\nc"), (3, "a  b\nc")]).selectExpr("*", "7 AS piece_ids")
     coded = pieces.encode(docs, model)
@@ -336,6 +349,29 @@ def test_known_grams_with_full_slots(monkeypatch):
         assert np.allclose(known.bits(grams), model.bits(grams))
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """A language of one text copied 3,000 times is learned, and a copied text counts once."""
+    rows = [("ein haus und ein hund im garten", "de")] * 3000 + [(f"the cat number {i} sat on the mat", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language_id.train(docs, sample=50)
+    assert model.languages == ["de", "en"]
+    one = language_id.train(docs.distinct(), sample=50)
+    assert all((a["n"] == b["n"]).all() for x, y in zip(model.levels, one.levels) for a, b in zip(x, y))
+    got = language_id.identify(spark.createDataFrame([(1, "ein hund"), (2, "the mat")], "doc_id int, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "de", 2: "en"}
+
+
+def test_known_grams_stay_few():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 40, 1000, dtype=np.uint64))
+    model = language_id.Model(["x"], [keys], [np.ones(len(keys))], 4)
+    known = language_id._Known(model)
+    for _ in range(20):
+        grams = rng.integers(0, 1 << 40, 50_000, dtype=np.uint64)
+        assert np.allclose(known.bits(grams)[:100], model.bits(grams[:100]))
+    assert len(known.rest) <= 1 << language_id.SLOTS_BITS and known.values.nbytes < 1 << 20
+
+
 def test_language_held_out(spark):
     rows = language_id.op8_partial_matching(spark, "/root/testdata/sf0.1").join(
         spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang"), "doc_id"
