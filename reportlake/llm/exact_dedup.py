@@ -32,11 +32,15 @@ def _places(content: Column, rows: int) -> tuple[Column, Column, Column]:
     return F.pmod(F.xxhash64(content), F.lit(blocks)), first, (first + step) % BLOCK_BITS
 
 
+def _marks(rows: DataFrame, content: str, n: int) -> DataFrame:
+    block, first, second = _places(F.col(content), n)
+    return rows.select(block.alias("__block"), F.explode(F.array(first, second)).alias("__bit"))
+
+
 def repeated_bits(rows: DataFrame, content: str, n: int) -> DataFrame:
     """Blocks of the filter with the bits that at least two rows set: __block, __bitmap."""
-    block, first, second = _places(F.col(content), n)
     return (
-        rows.select(block.alias("__block"), F.explode(F.array(first, second)).alias("__bit"))
+        _marks(rows, content, n)
         .groupBy("__block", "__bit")
         .count()
         .where("count > 1")
@@ -55,7 +59,7 @@ def maybe_repeated(rows: DataFrame, blocks: DataFrame, content: str, n: int) ->
         return F.getbit(value, (bit % 8).cast("int")) == 1
 
     size = max(1, -(-n * BITS_PER_ROW // BLOCK_BITS)) * BLOCK_BITS // 8
-    side = F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks
+    side = F.broadcast(blocks) if size <= max(BROADCAST_BYTES, BLOCK_BITS // 8) else blocks
     return (
         rows.withColumn("__block", block)
         .join(side, "__block", "left")
@@ -111,18 +115,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows that stay, with all their columns; same choice as :func:`classes`.
 
     Rows that the filter clears never move. Copies are reduced to the best one before the shuffle,
-    so a group of any size sends one row per task.
+    so a group of any size sends one row per task. The filter is always broadcast: where one for all rows
+    would be larger than BROADCAST_BYTES, hashes alone are shuffled first and only the repeated ones marked.
     """
     names = docs.columns
     hashes = stored(docs.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__sha")), "hashes")
     n = hashes.count()
-    blocks = stored(repeated_bits(hashes, "__sha", n), "bits")
+    most = BROADCAST_BYTES * 8 // BITS_PER_ROW
+    if n <= most:
+        bits = repeated_bits(hashes, "__sha", n)
+    else:
+        n = most
+        bits = _marks(hashes.groupBy("__sha").count().where("count > 1"), "__sha", n).distinct()
+        bits = bits.groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
     asked = maybe_repeated(
         docs.select(
             F.struct(*[docs[c] for c in names]).alias("__whole"),
             F.unhex(F.sha2(normalised(docs[text_col]), 256)).alias("__sha"),
         ),
-        blocks, "__sha", n,
+        stored(bits, "bits"), "__sha", n,
     )
     text, ident = F.col("__whole").getField(text_col), F.col("__whole").getField(id_col)
     order = F.struct(-F.char_length(F.coalesce(text, F.lit(""))), ident)

@@ -53,10 +53,15 @@ def test_exact_classes(make, vocabulary, monkeypatch, bound):
     assert Counter(got) == Counter(plain_classes(rows))
 
 
-def test_exact_rows_that_stay(make, vocabulary):
+@pytest.mark.parametrize("bound", [exact_dedup.BROADCAST_BYTES, 0])
+def test_exact_rows_that_stay(make, vocabulary, monkeypatch, bound):
+    """Where the filter has no room for all rows, it holds the repeated ones; texts it clears never move."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", bound)
     rows = corpus(vocabulary, 2)
     docs = make(rows)
     left = exact_dedup.deduplicated(docs)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Join LeftOuter") == 2
     assert left.columns == docs.columns
     kept = Counter(d for d, _, _, kept, _ in plain_classes(rows) if kept)
     assert Counter(r["doc_id"] for r in left.collect()) == kept
