@@ -29,7 +29,7 @@ from reportlake.operators.extract import (
 )
 from reportlake.operators.lines import cut_at_bad_bytes, explode_lines
 from reportlake.operators.numbering import enumerated, numbered
-from reportlake.plans.grammar import TASKS, default_plan, settings_from_config
+from reportlake.plans.grammar import GRAMMARS, TASKS, build_plan, default_plan, settings_from_config
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
@@ -320,6 +320,16 @@ def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT * FROM ({ORACLES['stage_positions']}) WHERE stage <= 4")
+def stages_that_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan none of whose stages goes on to the end: reading stops after the list's end mark."""
+    tasks = TASKS[: TASKS.index("Permit_Well_end") + 1]
+    # the pair that would go on to the end names a task that is not there
+    plan = build_plan(tasks, ["Permit_Well", "Permit_Well", "", ""], ["Quad", "Buyer"], GRAMMARS)
+    spans = stage_positions(render_reports(spark, sf_dir), plan)
+    return spans.select("doc_id", *[_big(c) for c in ("stage", "first_line", "last_line", "n_lines")])
+
+
 @query(ORACLES["stage_positions"])
 def split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of documents cut at every line."""
@@ -345,7 +355,7 @@ def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM docs JOIN parts USING (k) JOIN part ON p_partkey = p WHERE known"""
 )
 def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report described by settings: the numbered wells as its detail table.
+    """A report described by settings, a pattern under its lower-cased name: the numbered wells as its detail table.
 
     Detail values with digits lose their ``#``; header values keep it.
     """
@@ -353,7 +363,7 @@ def custom_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "tasks_list": TASKS[: TASKS.index("Permit_Well") + 1],
             "tasks_branch_from_to_list": "Permit_Well, Numbered_Well",
-            "re_Numbered_Well": r"(?P<Permit>\d{7}) +(?P<Well>.*)",
+            "re_numbered_well": r"(?P<Permit>\d{7}) +(?P<Well>.*)",
             "header_list": "Quad, Buyer, <Numbered_Well>, <File>",
         }
     )
@@ -759,7 +769,8 @@ def options_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT page_id, url, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS title FROM pages)
+    """WITH t AS (SELECT page_id, url, trim(regexp_replace(
+      replace(replace(replace(replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title FROM pages)
     SELECT page_id, title, contains(title, 'the') AND contains(url, '/en/') AS is_page FROM t"""
 )
 def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -772,6 +783,12 @@ def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT c_custkey, 'Wells & <b> of ' || replace(c_name, '#', '?') || ' !' AS title FROM customer""")
+def result_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of all result pages, whose comments and scripts hold others."""
+    return render_result_pages(spark, sf_dir).select("c_custkey", page_fn.title(F.col("by_well")).alias("title"))
+
+
 @query(
     """WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
     SELECT c_custkey,

@@ -28,12 +28,14 @@ def get_spark(app: str = "reportlake", master: str | None = None, **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for this run, under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Where nothing is named it lies in the warehouse, which executors share as well.  It goes when
-    the driver ends.
+    Where nothing is named it lies in the warehouse, which executors share as well; on a cluster that
+    must not be a folder of one machine.  It goes when the driver ends.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if named.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     folder = f"{named.rstrip('/')}/{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -173,7 +173,8 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     A customer without urgent orders has nothing to export; one with a negative balance
     has its list but no data table.  Orders are counted per priority first, so a
     page has one row per priority.  Links and boxes have the awkward attributes:
-    quoted ``>``, names inside other values, character references.
+    quoted ``>``, names inside other values, character references.  Comments and scripts
+    hold what looks like a title, a link, a box and a table.
     """
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey", "c_name", "c_acctbal"
@@ -215,7 +216,15 @@ def render_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def page(body: Column) -> Column:
-        return F.concat(F.lit("<html><body>"), link, F.lit("<form>"), body, F.lit("</form></body></html>"))
+        return F.concat(
+            F.lit(
+                "<html><head><!-- <title>no</title> <a href='/no'> <form><tr><th>Well Name</th> -->"
+                "<script>var s = '<select><option value=\"no\"></select><a href=\"/no\"><title>no</title>"
+                "<form><tr><th>Pool Name</th></form>';</script><TITLE class='a>b'>\n Wells &amp; <b> of "
+            ),
+            F.translate("c_name", "#", "?"),
+            F.lit("\t&#33; </title></head><body>"), link, F.lit("<form>"), body, F.lit("</form></body></html>"),
+        )
 
     return joined.select(
         "c_custkey",

@@ -189,3 +189,28 @@ def test_page_functions(spark):
     values = spark.range(1).select(pages.attribute_values(F.lit(odd), "a", "href").alias("v")).first().v
     assert values == ["/z", "/ok", "/p?a&b", "one", "é\U0001F600<&unknown;&lt;\uFFFD'"]
     assert (r.page, r.no_wells, r.data, r.no_records, r.none) == (True, True, True, False, True)
+
+
+def test_pages_are_read_as_a_parser_reads_them(spark):
+    """Comments, scripts, values and open ends hide what looks like a tag."""
+    from reportlake.functions import pages
+
+    def one(make, html):
+        return spark.createDataFrame([(html,)], "h string").select(make(F.col("h")).alias("x")).first().x
+
+    links = lambda h: one(lambda c: pages.attribute_values(c, "a", "href"), h)
+    assert links("<!-- <a href='/c'> --><script>var s='<a href=\"/s\">';</script><a href=/ok>") == ["/ok"]
+    assert links("<style><a href=1></style><A HREF='2' href=3><a title='<a href=4>' href=a>b><abbr href=5><a/href=6>") == ["2", "a", "6"]
+    assert links("<textarea><a href=1></textarea ><a href=2 <a href=3><a x='1>2' href = \"&lt;&#62;\">") == ["2", "<>"]
+    assert links("<!--><a href=1>--><!---><a href=2><!-- x --!><a href=3><!x <a href=4><?y ?><a href=5></a href=6><a href='7") == ["1", "2", "3", "5"]
+    assert links("1 < 2 <a> <a href> <a href=''> <scripts><a href=x></scripts><script>never <a href=y>") == ["", "", "x"]
+    options = lambda h: one(pages.option_values, h)
+    assert options("<script>var s='<select><option value=\"s\">'</script><select><option value=2><optgroup><option value=3></optgroup>") == ["2"]
+    title = lambda h: one(pages.title, h)
+    assert title("<!--<title>no</title>--><script>'<title>no</title>'</script><title>yes\n a &amp; b <i> &lt;\t</title><title>x</title>") == "yes a & b <i> <"
+    assert title("no title") == "" and title("<title/>x<b></title>") == "x<b>" and title("<titles>x</titles>") == ""
+    state = lambda h: one(lambda c: pages.page_state(c, by_well=True), h)
+    assert state("<form><!--<table><tr><th>Well Name--><table><tr><th>Pool Name</th></tr></table></form>") == "data"
+    assert state("<form><table><tr><th a='>'>Well&#32;Name</th></tr></table></form>") == "no_data"
+    long = "<a href=1>" + "<a " * 100_000 + "<!--" * 50_000
+    assert links(long) == ["1"] and len(links("<a href='x>'>" * 50_000)) == 50_000
