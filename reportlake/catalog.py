@@ -33,6 +33,7 @@ from reportlake.plans.grammar import GRAMMARS, TASKS, build_plan, default_plan,
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
+from reportlake.streaming import state as keyed
 from reportlake.streaming.ingest import ingest, ingest_new, stream_documents, stream_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,6 +607,22 @@ def stream_skip_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no", "batch")
 
 
+@query(_WIDE_SQL)
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which every other one lands again, in a later run of the stream."""
+    folder = shared_folder(spark)
+    docs = render_reports(spark, sf_dir).select(F.col("doc_id").cast("string"), "value")
+    docs.write.parquet(f"{folder}/docs")
+    docs = spark.read.schema(docs.schema).parquet(f"{folder}/docs")
+    schema = "doc_id string, value string, landed timestamp"
+    for hour, part in enumerate((docs.where("doc_id % 3 < 2"), docs.where("doc_id % 2 = 0 OR doc_id % 3 = 2"))):
+        landed = F.to_timestamp(F.lit(f"2024-01-01 0{hour}:00:00"))
+        part.withColumn("landed", landed).write.mode("append").parquet(f"{folder}/landing")
+        stream = stream_documents(spark, f"{folder}/landing", schema)
+        keyed.ingest_once(stream, f"{folder}/out", f"{folder}/checkpoint", "landed").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("doc_id", "line_no")
+
+
 @query(
     """SELECT CAST(n_nationkey AS BIGINT) AS nation, octet_length(encode(n_name)) + 1 AS length, true AS recent FROM nation"""
 )
@@ -970,3 +987,41 @@ def attempt_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     log = _table(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"))
     return worklist.attempt_rollup(log, option="user_id", attempt="event_id")
+
+
+def _in_runs(spark: SparkSession, log: DataFrame, most: int, judge) -> DataFrame:
+    """The outcome of each user from a log that lands in three parts, out of order, each read by a stream started anew."""
+    folder = shared_folder(spark)
+    for part in (2, 0, 1):
+        log.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+        found = keyed.first_events(stream, "user_id", "event_id", "status", most, judge)
+        keyed.keep_latest(found, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return keyed.latest(spark.read.parquet(f"{folder}/out"), "user_id")
+
+
+@query(ORACLES["attempt_rollup"])
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of attempts, as the log of them arrives."""
+    status = (
+        F.when(F.col("event_type") == "purchase", "ok")
+        .when(F.col("event_type") == "view", "no_data")
+        .when(F.col("event_type") == "signup", "not_found")
+        .otherwise("retry")
+    )
+    log = _table(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"))
+    return _in_runs(spark, log, worklist.MAX_ATTEMPTS, keyed.attempt_outcome).withColumnRenamed("n", "n_attempts")
+
+
+@query(
+    """WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'partial' WHEN floor(value) <= 100 THEN 'not_ready' ELSE 'ready' END AS state FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM p QUALIFY k <= 6),
+    g AS (SELECT user_id, min(k) FILTER (state = 'ready') AS landed, count(*) AS seen, bool_or(state = 'partial') AS part FROM r GROUP BY 1)
+    SELECT user_id, CASE WHEN landed IS NOT NULL THEN 'landed' WHEN seen >= 6 THEN 'gave_up' WHEN part THEN 'partial' ELSE 'started' END AS outcome,
+           coalesce(landed, seen) AS n_polls FROM g"""
+)
+def stream_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looks at a folder, replayed from the events: a file lands, or is given up after six looks."""
+    state = F.when(F.col("event_type") == "error", "partial").when(F.floor("value") <= 100, "not_ready").otherwise("ready")
+    log = _table(spark, sf_dir, "events").select("user_id", "event_id", state.alias("status"))
+    return _in_runs(spark, log, 6, keyed.wait_outcome).withColumnRenamed("n", "n_polls")
