@@ -24,6 +24,10 @@ from reportlake.llm.common import table
 
 #: Pages that train at most.
 SAMPLE = 200
+#: Characters of a page that trains at most.
+LONGEST = 1_000_000
+#: Blocks of a chain in training at most; a longer page is cut into several, none of it left out.
+CHAIN = 256
 STEPS = 250
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -137,6 +141,7 @@ def blocks(html: str, known: Container[str] | None = None) -> list[Block]:
 
     at = 0
     raw = None
+    last = html.rfind(">")
     while at < len(html):
         if raw:
             end = _RAW_END[raw].search(html, at)
@@ -151,7 +156,8 @@ def blocks(html: str, known: Container[str] | None = None) -> list[Block]:
                 linked[0] += less - at
         if less == len(html):
             break
-        tag = _TAG.match(html, less)
+        # beyond the last > nothing but a comment or an end tag can begin
+        tag = _TAG.match(html, less) if less < last or html.startswith(("<!", "<?", "</"), less) else None
         if not tag:
             buffer.append("<")
             at = less + 1
@@ -286,7 +292,7 @@ class Model:
 
 def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay: float = 2e-4) -> Model:
     """Maximum conditional likelihood with a small quadratic penalty, by full-batch Adam."""
-    pages = [(b, y) for b, y in pages if b]
+    pages = [(b[i : i + CHAIN], y[i : i + CHAIN]) for b, y in pages for i in range(0, len(b), CHAIN)]
     names = {f: i for i, f in enumerate(sorted({f for b, _ in pages for x in b for f in x.features}))}
     model = Model(names, np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2))
     if not pages:
@@ -341,8 +347,8 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay: f
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` different pages, chosen by a hash of their html; null and
-    very long (over a million characters) pages do not train. Only these pages reach the driver."""
-    own = pages.select(F.col(html_col).alias("__html")).where("__html IS NOT NULL AND length(__html) <= 1000000")
+    very long (over LONGEST characters) pages do not train. Only these pages reach the driver."""
+    own = pages.select(F.col(html_col).alias("__html")).where(f"__html IS NOT NULL AND length(__html) <= {LONGEST}")
     own = own.select(F.xxhash64("__html").alias("__key"), "__html")
     # hashes first: a task sends the driver numbers, not pages
     keys = [r[0] for r in own.select("__key").distinct().orderBy("__key").limit(sample).collect()]

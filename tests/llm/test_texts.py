@@ -125,6 +125,22 @@ def test_deep_pages_keep_what_is_around_a_block(page_model):
     assert len(html_text.blocks("<b>" * 20_000 + shut)) == 20_000
 
 
+def test_long_and_broken_pages_take_linear_time(page_model):
+    import time
+
+    begin = time.perf_counter()
+    assert [b.text for b in html_text.blocks("<p>a</p>" + "<a " * 100_000)] == ["a", ("<a " * 100_000).strip()]
+    assert time.perf_counter() - begin < 2
+    text = "The river rose slowly, and by evening the whole valley had gone quiet."
+    pages = [f"<nav><p>Home</p></nav><article>{f'<p>{text}</p>' * 4}</article><footer><p>Imprint</p></footer>"] * 30
+    pages.append(f"<article>{f'<p>{text}</p>' * 8000}</article>")
+    labelled = [(page, [html_text.own_label(b) for b in page]) for page in map(html_text.blocks, pages)]
+    begin = time.perf_counter()
+    model = html_text.fit(labelled, steps=100)
+    assert time.perf_counter() - begin < 60
+    assert html_text.main_text(pages[0], model).split("\n\n") == [text] * 4
+
+
 def test_self_closed_foreign_elements():
     texts = lambda h: [b.text for b in html_text.blocks(h)]
     assert texts('<p>a<svg class="icon" viewBox="0 0 1 1"/></p><p>b</p>') == ["a", "b"]
