@@ -9,6 +9,7 @@ from reportlake import catalog
 SF_DIR = "/root/testdata/sf0.001"
 #: Their SQL takes lists of four lines at least, which the smallest scale does not always have.
 LARGER = {"strict_parse", "diagnostics_written", "diagnostics_summary", "warnings_by_document", "stage_positions"}
+LARGER |= {"split_parse", "split_positions", "stages_that_end"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
