@@ -65,7 +65,7 @@ def main() -> None:
     run("document_outcomes", lambda: document_outcomes(docs))
     render_result_pages(spark, sf_dir).repartition(int(cpus)).write.parquet(f"{folder}_pages")
     pages = spark.read.parquet(f"{folder}_pages")
-    run("page_data_state", lambda: pages.select("c_custkey", page_state(F.col("by_well"), True), page_state(F.col("by_permit"), False)))
+    run("page_data_state", lambda: pages.select("c_custkey", page_state(F.col("by_well"), True).alias("well"), page_state(F.col("by_permit"), False).alias("permit")))
     for name in (
         "lines_explode",
         "lines_lookahead",
