@@ -38,6 +38,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), NO_WORD), "")
 
 
+def flags(numbers: Column) -> Column:
+    """Sorted numbers as bytes, 1 at each of them and 0 between; a byte is found by its place, however many there are."""
+    gap = F.transform(
+        numbers,
+        lambda n, j: F.concat(F.repeat(F.lit("0"), n - F.coalesce(F.get(numbers, j - 1), F.lit(-1)) - 1), F.lit("1")),
+    )
+    return F.array_join(gap, "").cast("binary")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per group, where a group may hold any share of the rows.
 

@@ -10,16 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import NO_WORD, lowered, stored, words
+from reportlake.llm.common import NO_WORD, flags, lowered, stored, words
 from reportlake.operators.staging import stage
 
 GRAM = 5
 SPAN = 10
-#: Fingerprints of the benchmark that are broadcast at most (about 300 bytes each).
+#: Rows of a side that are broadcast at most, and their bytes as JSON.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+#: Slots for each hash of a document that its grams are asked by; one in so many others passes too.
+SLOTS = 32
 
 
 def _sliding(df: DataFrame, column: str, width: int, join) -> tuple[DataFrame, str]:
@@ -63,12 +66,23 @@ def _equal_run(a: str, b: str, most: int) -> Column:
     return count
 
 
+def _slot(h: Column) -> Column:
+    return F.pmod(h, F.col("__slots")).cast("int")
+
+
 def _points(df: DataFrame, chosen: str, k: int, side: int) -> DataFrame:
-    """A row for every gram whose hash is in the array ``chosen``, with the words around it."""
+    """A row for every gram whose hash is in the array ``chosen``, with the words around it.
+
+    Grams are asked by a slot of their hash, a byte each, so that time does not grow with the length of
+    ``chosen``; a few grams whose hash only shares a slot come along.
+    """
     keys = [c for c in df.columns if c not in ("__words", chosen)]
     grams, column = _grams(df, "__words", k)
     staged = stage(grams, __all=F.transform(column, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    met = stage(staged, __met=F.filter("__all", lambda x: F.array_contains(chosen, x["h"])))
+    staged = stage(staged, __slots=F.greatest(F.size(chosen), F.lit(1)) * SLOTS)
+    staged = stage(staged, __taken=F.array_sort(F.array_distinct(F.transform(chosen, _slot))))
+    staged = stage(staged, __flags=flags(F.col("__taken")))
+    met = stage(staged, __met=F.filter("__all", lambda x: F.substring("__flags", _slot(x["h"]) + 1, F.lit(1)) == F.lit(b"1")))
     w = F.col("__words")
     around = F.transform(
         "__met",
@@ -83,17 +97,16 @@ def _points(df: DataFrame, chosen: str, k: int, side: int) -> DataFrame:
     return met.select(*keys, F.explode_outer(around).alias("__p")).where("__p IS NOT NULL").select(*keys, "__p.*")
 
 
-def _fingerprints(items: DataFrame, need: int, k: int, span: int) -> DataFrame:
-    """Grams, with the words around them, that are least in a window of an item of this length."""
+def _fingerprints(items: DataFrame, need: int, k: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """Grams, with the words around them, that are least in a window of an item of this length, each with a
+    number; and the items of every number, a row each."""
     own = items.where(F.least(F.size("__words"), F.lit(span)) == need)
     kept, column = _minima(own.withColumn("__copy", F.col("__words")), "__copy", need, k)
     kept = kept.select("__item", "__words", F.array_distinct(column).alias("__kept"))
-    return (
-        _points(kept, "__kept", k, span - 1)
-        .where(F.size("gram") == k)
-        .groupBy("hash", "gram", "left", "right")
-        .agg(F.collect_set("__item").alias("__items"))
-    )
+    points = stored(_points(kept, "__kept", k, span - 1).where(F.size("gram") == k), f"points{need}")
+    gram = ["hash", "gram", "left", "right"]
+    prints = stored(points.select(*gram).distinct().withColumn("__print", F.monotonically_increasing_id()), f"prints{need}")
+    return prints, stored(points.join(prints, gram).select("__print", "__item").distinct(), f"named{need}")
 
 
 def find_spans(
@@ -137,10 +150,10 @@ def find_spans(
     ).cast("int")
     texts = texts.withColumn("__n", F.size("__words") - empty)
     keys = ["__row", "__id", "__key", "__n"]
-    prints, seen = {}, []
+    prints, named, seen = {}, {}, []
     for need in needs:
         size = min(k, need)
-        prints[need] = stored(_fingerprints(listed, need, size, span), f"prints{need}")
+        prints[need], named[need] = _fingerprints(listed, need, size, span)
         least, column = _minima(texts, "__words", need, size)
         first = F.array(F.lit(None).cast("bigint"))  # a row for the document itself
         hashes = least.select(*keys, F.explode_outer(F.concat(first, F.col(column))).alias("hash"))
@@ -168,14 +181,15 @@ def find_spans(
             F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
             F.array().cast(f"array<{dict(listed.dtypes)['__item']}>").alias("items"),
         )
-    spans = reduce(lambda a, b: a.unionByName(b), spans)
-    # a document has at most as many spans as words, whatever the number of items
-    found = spans.groupBy("__id", "__key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"),
-        F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__items"),
-    )
-    found = found.select(
-        F.col("__id").alias("__fid"), F.col("__key").alias("__fkey"), _joined(F.col("__spans")).alias("__spans"), "__items"
+    spans = stored(reduce(lambda a, b: a.unionByName(b), spans), "spans")
+    held = reduce(lambda a, b: a.unionByName(b), [n.withColumn("__need", F.lit(need)) for need, n in named.items()])
+    found = _joined(spans).groupBy("__id", "__key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    # a row for each document and item, then one for each document
+    theirs = spans.select("__id", "__key", "__need", "__print").distinct().join(_checked(held), ["__need", "__print"])
+    theirs = theirs.groupBy("__id", "__key").agg(F.collect_set("__item").alias("__items"))
+    theirs = theirs.select(F.col("__id").alias("__tid"), F.col("__key").alias("__tkey"), "__items")
+    found = found.join(theirs, F.col("__id").eqNullSafe(F.col("__tid")) & (F.col("__key") == F.col("__tkey"))).select(
+        F.col("__id").alias("__fid"), F.col("__key").alias("__fkey"), "__spans", "__items"
     )
     same = F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__key") == F.col("__fkey"))
     return rows.join(found, same, "left").select(
@@ -189,7 +203,10 @@ def find_spans(
 
 def _checked(side: DataFrame) -> DataFrame:
     """A side of stored rows, broadcast if it is small; else Spark joins by shuffle."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+    few = side.limit(BROADCAST_ROWS + 1) if BROADCAST_ROWS >= 0 else side.limit(1)
+    size = F.length(F.to_json(F.struct(*side.columns))).cast("long")
+    n, total = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else side
 
 
 def _spans(docs, met, prints, id_col, text_col, need, k, span) -> DataFrame:
@@ -199,32 +216,27 @@ def _spans(docs, met, prints, id_col, text_col, need, k, span) -> DataFrame:
     same = F.col("__id").eqNullSafe(F.col("__mid")) & (F.col("__key") == F.col("__mkey"))
     own = own.join(_checked(met), same).select("__id", "__key", words(F.col("__text")).alias("__words"), "__chosen")
     points = _points(own, "__chosen", k, span - 1)
-    known = prints.select("hash", *[F.col(c).alias(f"__{c}") for c in ("gram", "left", "right")], "__items")
+    known = prints.select("hash", *[F.col(c).alias(f"__{c}") for c in ("gram", "left", "right")], "__print")
     before, after = _equal_run("left", "__left", span - 1), _equal_run("right", "__right", span - 1)
     return (
         points.join(_checked(known), "hash")
         .where(F.col("gram") == F.col("__gram"))
         .select(
-            "__id", "__key", "__items",
+            "__id", "__key", F.lit(need).alias("__need"), "__print",
             (F.col("at") - before).alias("start"), (F.col("at") + F.lit(k) + after).alias("end"),
         )
         .where(F.col("end") - F.col("start") >= need)
     )
 
 
-def _joined(spans: Column) -> Column:
-    """Sorted spans, with those that touch or overlap made one."""
-    kind = "array<struct<start:int,end:int>>"
-
-    def put(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)),
-        ).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(spans.cast(kind), F.array().cast(kind), put)
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of each document, with those that touch or overlap made one."""
+    longest = spans.groupBy("__id", "__key", "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy("__id", "__key").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = longest.withColumn("__new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    runs = begun.withColumn("__run", F.sum("__new").over(order))
+    return runs.groupBy("__id", "__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

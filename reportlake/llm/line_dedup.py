@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import attach, stored, table
+from reportlake.llm.common import attach, flags, stored, table
+from reportlake.operators.staging import stage
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 2
@@ -141,10 +142,9 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, deleted = repeated_lines(docs, id_col, text_col, **options)
     met = rows.select("__row", "__id", "__text", "__i").join(deleted, "__row", "left")
     numbers = F.array_sort(F.transform("__deleted", lambda p: F.get("__i", p)))
-    met = met.select(
-        "__id", "__text", F.coalesce(numbers, F.array().cast("array<int>")).alias("__gone"),
-    )
-    kept = F.filter(F.split("__text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    met = stage(met, __gone=F.coalesce(numbers, F.array().cast("array<int>")))
+    met = stage(met, __flags=flags(F.col("__gone")))
+    kept = F.filter(F.split("__text", "\n"), lambda x, i: F.substring("__flags", i + 1, F.lit(1)) != F.lit(b"1"))
     return met.select(
         F.col("__id").alias(id_col),
         F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("__text")).alias(text_col),

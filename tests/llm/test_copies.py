@@ -3,13 +3,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest import ODD, prose
+from pyspark.sql import functions as F
 
 from reportlake.llm import decontaminate, exact_dedup, line_dedup, near_join, passage_dedup
+from reportlake.llm.common import flags
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -121,6 +124,23 @@ def test_decontamination_with_empty_tables(make):
     assert decontaminate.find_spans(make([]), make([(1, "a b c")], "item_id bigint, text string")).count() == 0
 
 
+def test_a_document_of_the_whole_benchmark_many_times(make, vocabulary):
+    rng = random.Random(12)
+    items = [(i, prose(rng, vocabulary, 40)) for i in range(30)] + [(100 + i, "shared by many items " * 4) for i in range(40)]
+    whole = " ".join(t for _, t in items)
+    rows = [(1, f"before {whole} after " * 40), (2, prose(rng, vocabulary, 50)), (1, f"before {whole} after " * 40)]
+    benchmark = make(items, "item_id bigint, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.find_spans(make(rows), benchmark)).collect()}
+    assert time.monotonic() - began < 90
+    assert got[1]["n_items"] == 70 and got[1]["n_hit"] == got[1]["n_words"] - 80 and not got[2]["contaminated"]
+
+
+def test_slots_let_every_asked_hash_pass(spark):
+    frame = spark.createDataFrame([([0, 3, 4, 9],), ([],), ([5],)], "a array<int>").select(flags(F.col("a")).alias("f"))
+    assert [bytes(r["f"]) for r in frame.collect()] == [b"1001100001", b"", b"000001"]
+
+
 # --- Line dedup ----------------------------------------------------------------
 
 
@@ -159,6 +179,14 @@ def test_repeated_runs(make, vocabulary, run):
     assert got == Counter(plain_lines(rows, run, 9))
 
 
+def test_many_deleted_lines_take_linear_time(make):
+    text = "\n".join(f"line number {i}" for i in range(100_000))
+    began = time.monotonic()
+    got = line_dedup.without_repeated_runs(make([(1, text), (2, text), (3, f"own\n{text}\nown")])).collect()
+    assert time.monotonic() - began < 90
+    assert {r["doc_id"]: (r["n_deleted"], r["text"]) for r in got} == {1: (0, text), 2: (100_000, ""), 3: (100_000, "own\nown")}
+
+
 def test_line_dedup_of_nothing(make):
     assert line_dedup.without_repeated_runs(make([])).count() == 0
 
