@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import table
-from reportlake.llm.textmap import slices, text_bytes, word_hashes
+from reportlake.llm.textmap import SLICE_BYTES, slices, text_bytes, word_hashes
 
 #: Labelled documents of each label that train at most.
 SAMPLE = 2000
@@ -30,6 +30,8 @@ SHARPNESS = 8
 #: Rows of one block of cosine products.
 BLOCK = 256
 THRESHOLD = 0.3
+#: Bytes a text counts beside its length: at most 1024 texts are counted at a time.
+BESIDE = SLICE_BYTES >> 10
 
 _CODES = np.arange(256)
 _UPPER = (_CODES >= 65) & (_CODES <= 90)
@@ -129,8 +131,8 @@ def train(
     """A model from at most ``sample`` labelled documents of each label 0 and 1, chosen by a hash of the id.
 
     As many of either label make the vote independent of how common a label is. Null labels, ids or
-    texts are not used; an id labelled twice is used once for each label it has. The driver gets the
-    chosen ids and one vector of fixed size for each.
+    texts are not used; an id labelled twice is used once for each label it has, an id on several rows
+    once, with the text of least hash. The driver gets one vector of fixed size for each chosen id.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(
         "__id IS NOT NULL AND __label IN (0, 1)"
@@ -140,11 +142,12 @@ def train(
     ]
     ids = drawn[0].unionByName(drawn[1])
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
-    chosen = chosen.join(F.broadcast(ids), "__id").select("__label", "__text")
+    one = F.min(F.struct(F.xxhash64("__text").alias("hash"), F.col("__text").alias("text")))
+    chosen = chosen.join(F.broadcast(ids), "__id").groupBy("__id", "__label").agg(one.alias("__one")).select("__label", F.col("__one.text").alias("__text"))
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", BESIDE):
                 rows = [row.tobytes() for row in _counts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["label", "terms"])
 
@@ -164,7 +167,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, BESIDE):
                 score = model.score(_counts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], [id_col, "score"])
 

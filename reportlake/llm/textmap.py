@@ -26,12 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE_BYTES of text, a longer text alone."""
+def slices(batch: pa.RecordBatch, column: str, beside: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about SLICE_BYTES of text, a longer text alone.
+
+    ``beside`` is what a text counts beside its length, which bounds the texts of a piece.
+    """
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    part = np.cumsum(sizes + 64) // SLICE_BYTES
+    part = np.cumsum(sizes + beside) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
