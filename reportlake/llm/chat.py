@@ -6,10 +6,10 @@ speaker's view, everybody else as a named user, and the mask marks what the spea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import table
+from reportlake.llm.common import stored, table
 from reportlake.operators.numbering import numbered, running_total
 
 #: Roles that set the scene: part of every perspective, never its assistant.
@@ -53,11 +53,7 @@ def perspectives(
         F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
     ).where("__conv IS NOT NULL")
     scene = F.coalesce(F.col("__who").isin(*context), F.lit(False))
-    cut = numbered(rows, ["__conv", "__part"], ["__turn", "__who", "__text"], "__n")
-    cut = cut.withColumn("__piece", F.floor((F.col("__n") - 1) / part_turns).cast("long"))
-    said = F.struct(F.col("__n").alias("n"), F.col("__who").alias("who"), F.col("__text").alias("text"), scene.alias("scene"))
-    parts = cut.groupBy("__conv", "__part", "__piece").agg(F.array_sort(F.collect_list(said)).alias("__said"))
-    parts = _numbered_on(parts, cut)
+    parts = _parts(rows, part_turns, scene)
     speakers = rows.where(~scene & F.col("__who").isNotNull()).groupBy("__conv", "__who").agg(F.lit(1).alias("__one"))
     met = parts.join(speakers.drop("__one"), "__conv")
 
@@ -104,13 +100,36 @@ def perspectives(
     )
 
 
-def _numbered_on(parts: DataFrame, cut: DataFrame) -> DataFrame:
-    """``parts`` with a part number for every piece: all pieces beyond the first move what follows by one."""
-    keys = cut.select("__conv", "__part", "__piece").distinct()
-    lowest = keys.groupBy(F.col("__conv").alias("__of")).agg(F.coalesce(F.min("__part"), F.lit(0)).alias("__lowest"))
+def _parts(rows: DataFrame, part_turns: int, scene: Column) -> DataFrame:
+    """A row per conversation and part, its turns in order. Only rows of overfull parts are numbered."""
+    counts = rows.groupBy("__conv", "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    full = stored(counts.where(F.col("__rows") > part_turns), "overfull")
+    if full.isEmpty():
+        return _gathered(rows.withColumn("__piece", F.lit(0).cast("long")), scene).drop("__piece")
+    of = full.select(F.col("__conv").alias("__of"), F.col("__part").alias("__in"))
+    same = (F.col("__conv") == F.col("__of")) & F.col("__part").eqNullSafe(F.col("__in"))
+    rest = rows.join(of, same, "left_anti").withColumn("__piece", F.lit(0).cast("long"))
+    cut = numbered(rows.join(of, same, "left_semi"), ["__conv", "__part"], ["__turn", "__who", "__text"], "__n")
+    cut = cut.withColumn("__piece", F.floor((F.col("__n") - 1) / part_turns).cast("long")).drop("__n")
+    parts = _gathered(rest.unionByName(cut), scene)
+    return _numbered_on(parts, counts.join(full.select("__conv").distinct(), "__conv", "left_semi"), part_turns)
+
+
+def _gathered(rows: DataFrame, scene: Column) -> DataFrame:
+    said = F.struct(F.col("__turn").alias("turn"), F.col("__who").alias("who"), F.col("__text").alias("text"), scene.alias("scene"))
+    return rows.groupBy("__conv", "__part", "__piece").agg(F.array_sort(F.collect_list(said)).alias("__said"))
+
+
+def _numbered_on(parts: DataFrame, counts: DataFrame, part_turns: int) -> DataFrame:
+    """``parts`` with a part number for every piece: all pieces beyond the first move what follows by one.
+
+    ``counts`` has the rows of every part of the conversations in which a part is overfull.
+    """
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / part_turns).cast("long")))
+    keys = counts.select("__conv", "__part", pieces.alias("__piece"))
+    lowest = counts.groupBy(F.col("__conv").alias("__of")).agg(F.coalesce(F.min("__part"), F.lit(0)).alias("__lowest"))
     keys = keys.withColumn("__place", F.struct("__part", "__piece"))
     moved = running_total(keys, ["__conv"], "__place", (F.col("__piece") > 0).cast("long"), "__more")
-    # only a conversation with such a piece has anything to move
     moved = moved.where("__more > 0").join(lowest, F.col("__conv") == F.col("__of"))
     moved = moved.select(
         F.col("__conv").alias("__of"), F.col("__part").alias("__in"), F.col("__piece").alias("__at"),

@@ -47,6 +47,16 @@ def test_quality_takes_odd_texts(make, spark):
     assert quality.classify(make([]), unlabelled).count() == 0
 
 
+def test_copies_of_a_labelled_row_are_one(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    docs = [(1, "good words here")] * 5000 + [(1, "another text")] + [(2, "bad !!"), (3, None)]
+    seen = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda terms, marks, *a: seen.append(list(marks)) or plain(terms, marks, *a))
+    quality.train(spark.createDataFrame(docs, "doc_id bigint, text string"), labels)
+    assert seen == [[0.0, 1.0]]
+
+
 def test_votes_equal_plain_cosines():
     rng = np.random.default_rng(0)
     counts = rng.random((300, quality.TERMS), dtype=np.float32)
@@ -92,6 +102,18 @@ def test_no_part_is_longer_than_its_rows(spark):
     assert re.findall(r"\b(n\d\d|t\d\d|last)<", whole) == [*(f"n{i:02}" for i in range(7)), *(f"t{i:02}" for i in range(9)), "last"]
 
 
+def test_only_overfull_parts_are_numbered(spark, monkeypatch):
+    asked = []
+    plain = chat.numbered
+    monkeypatch.setattr(chat, "numbered", lambda df, *a: asked.append(df.count()) or plain(df, *a))
+    rows = [(1, i, "Ann", "x") for i in range(8)] + [(2, 1, "Bob", "y")]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    assert chat.perspectives(spark.createDataFrame(rows, schema), part_turns=4).count() == 3 and not asked
+    same = rows + [(3, 0, "Cy", "again")] * 20_000 + [(3, 9, "Cy", "end")]
+    got = chat.perspectives(spark.createDataFrame(same, schema), part_turns=4).where("conv_id = 3").select("part", "n_turns").collect()
+    assert asked == [20_000] and len({r["part"] for r in got}) == len(got) == 5_001 and {r["n_turns"] for r in got} == {1, 4}
+
+
 # --- HTML ----------------------------------------------------------------------
 
 
