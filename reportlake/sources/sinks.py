@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import count
+from uuid import uuid4
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,32 +62,114 @@ def output_name(
     return row["name"] if has_extension else row["name"] + DEFAULT_EXTENSION
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _size(spark: SparkSession, path: str) -> int | None:
     """Bytes under a path, or None when there is nothing."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, files = _file_system(spark, path)
     return files.getContentSummary(target).getLength() if files.exists(target) else None
 
 
+def _candidates(path: str) -> Iterator[str]:
+    """The path itself, then with ``_(1)``, ``_(2)`` ... before its extension."""
+    folder, slash, name = path.rpartition("/")
+    head, dot, tail = name.rpartition(".")
+    if not head.strip("."):
+        head, dot, tail = name, "", ""
+    yield path
+    yield from (f"{folder}{slash}{head}_({n}){dot}{tail}" for n in count(1))
+
+
 def free_output(spark: SparkSession, path: str, min_size_to_overwrite: int = 0) -> tuple[str, str]:
     """Path and write mode that never destroy an output worth keeping.
 
     An output smaller than the limit is overwritten; otherwise ``_(N)`` is put
-    before the extension, with the first N that is free.
+    before the extension, with the first N that is free.  Another writer may take
+    the name before it is used; ``claim_output`` keeps it.
     """
-    size = _size(spark, path)
-    if size is None:
-        return path, "errorifexists"
-    if size < min_size_to_overwrite:
-        return path, "overwrite"
+    for candidate in _candidates(path):
+        size = _size(spark, candidate)
+        if size is None:
+            return candidate, "errorifexists"
+        if candidate == path and size < min_size_to_overwrite:
+            return candidate, "overwrite"
+
+
+def _beside(path: str, mark: str) -> str:
+    """A hidden neighbour of an output, which readers pass over."""
     folder, slash, name = path.rpartition("/")
-    head, dot, tail = name.rpartition(".")
-    if not head.strip("."):
-        head, dot, tail = name, "", ""
-    n = 1
-    while _size(spark, candidate := f"{folder}{slash}{head}_({n}){dot}{tail}") is not None:
-        n += 1
-    return candidate, "errorifexists"
+    return f"{folder}{slash}_{name}.{mark}"
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Was an empty file made here that did not exist, in one step?"""
+    target, files = _file_system(spark, path)
+    files.mkdirs(target.getParent())
+    if files.getScheme() == "file":  # there Hadoop looks first and creates then
+        local = target.toUri().getPath()
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(target, False).close()
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    return True
+
+
+def claim_output(spark: SparkSession, path: str, min_size_to_overwrite: int = 0) -> tuple[str, str]:
+    """``free_output`` with the name kept from other claims until ``release_output``.
+
+    The claim is a hidden file beside the output.  A name another writer holds counts as used,
+    and so does one whose writer died before it could release it.
+    """
+    for candidate in _candidates(path):
+        if not _created(spark, _beside(candidate, "claim")):
+            continue
+        # looked at under the claim: an earlier holder may have written meanwhile
+        size = _size(spark, candidate)
+        if size is None:
+            return candidate, "errorifexists"
+        if candidate == path and size < min_size_to_overwrite:
+            return candidate, "overwrite"
+        release_output(spark, candidate)
+
+
+def release_output(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, _beside(path, "claim"))
+    files.delete(target, False)
+
+
+def write_claimed(
+    rows: DataFrame, columns: list[str] | tuple[str, ...], path: str, min_size_to_overwrite: int = 0, **options
+) -> str:
+    """Writes the CSV under a free name and returns it, whatever other writers do at the same time.
+
+    The rows are written beside the output and take its name in one rename, so an output is never
+    seen in part, and a write that fails leaves the earlier output as it was.
+    """
+    spark = rows.sparkSession
+    name, mode = claim_output(spark, path, min_size_to_overwrite)
+    part = _beside(name, f"part-{uuid4().hex}")
+    target, files = _file_system(spark, name)
+    made, _ = _file_system(spark, part)
+    try:
+        write_csv(rows, columns, part, **options)
+        if mode == "overwrite":
+            files.delete(target, True)
+        if not files.rename(made, target):
+            raise OSError(f"no output could be placed at {name}")
+    finally:
+        files.delete(made, True)
+        release_output(spark, name)
+    return name
 
 
 def write_options(options: DataFrame, path: str, column: str = "option", header: str | None = None) -> None:

@@ -4,8 +4,10 @@ import csv
 import json
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from random_reports import report
@@ -135,3 +137,35 @@ def test_stream_leaves_out_processed_reports(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     fresh = docs.join(done, "doc_id", "left_anti")
     assert rows.count() == production_wide(fresh).count() > 0
+
+
+def test_racing_writers_get_names_of_their_own(spark, tmp_path):
+    path = f"file:{tmp_path}/out/report.csv"
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: sinks.claim_output(spark, path), range(16)))
+    names = {f"file:{tmp_path}/out/report{n}.csv" for n in ("", *(f"_({i})" for i in range(1, 16)))}
+    assert {p for p, _ in got} == names and {m for _, m in got} == {"errorifexists"}
+    for name in names:
+        sinks.release_output(spark, name)
+    frames = [spark.range(50).selectExpr(f"{k} AS who", "id") for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        written = list(pool.map(lambda f: sinks.write_claimed(f, ["who", "id"], path), frames))
+    assert len(set(written)) == 4 and path in written
+    for k, name in enumerate(written):
+        rows = spark.read.option("header", True).csv(name).collect()
+        assert len(rows) == 50 and {r["who"] for r in rows} == {str(k)}
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(("_", "._"))]
+
+
+def test_a_failed_write_keeps_the_earlier_output(spark, tmp_path):
+    path = f"file:{tmp_path}/report.csv"
+    rows = spark.range(3).selectExpr("id")
+    assert sinks.write_claimed(rows, ["id"], path) == path
+    broken = spark.range(3).selectExpr("raise_error('no') AS id")
+    with pytest.raises(Exception, match="no"):
+        sinks.write_claimed(broken, ["id"], path, min_size_to_overwrite=1 << 20)
+    assert spark.read.option("header", True).csv(path).count() == 3
+    more = spark.range(5).selectExpr("id")
+    assert sinks.write_claimed(more, ["id"], path, min_size_to_overwrite=1 << 20) == path
+    assert spark.read.option("header", True).csv(path).count() == 5
+    assert sinks.write_claimed(rows, ["id"], path) == f"file:{tmp_path}/report_(1).csv"
