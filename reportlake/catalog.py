@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reportlake.functions import pages as page_fn
 from reportlake.functions import text as text_fn
 from reportlake.functions.cells import MONTHS
-from reportlake.operators import landing, splits, worklist
+from reportlake.operators import landing, names, splits, worklist
 from reportlake.operators.classify import classify, stage_positions
 from reportlake.operators.custom import per_document
 from reportlake.operators.diagnostics import at_least, diagnostics, document_outcomes
@@ -915,6 +915,25 @@ def option_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ranked JOIN free USING (stem, r)"""
 )
 def filename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklist.plan_file_names(*_file_requests(spark, sf_dir))
+
+
+@query(ORACLES["filename_plan"])
+def stream_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for requests that come in three batches, each read by a stream started anew."""
+    folder = shared_folder(spark)
+    requests, existing = _file_requests(spark, sf_dir)
+    names.open_book(existing, f"{folder}/book")
+    end = requests.agg(F.max("n") + 1).scalar()
+    cut = requests.withColumn("third", F.floor(F.col("n") * 3 / end))
+    for third in range(3):
+        cut.where(F.col("third") == third).drop("third").write.mode("append").parquet(f"{folder}/requests")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{folder}/requests")
+        names.stream_names(stream, f"{folder}/book", f"{folder}/checkpoint").awaitTermination()
+    return names.planned(spark, f"{folder}/book").drop("batch")
+
+
+def _file_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = _table(spark, sf_dir, "part")
     option = F.concat_ws("/", "p_name", "p_type")
     requests = part.select(F.col("p_partkey").alias("n"), option.alias("option"), F.lit(".xls").alias("ext"))
@@ -922,7 +941,7 @@ def filename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("p_size")
     suffix = F.when(number > 0, F.format_string("_(%d)", number)).otherwise(F.lit(""))
     existing = part.select(F.concat(text_fn.safe_file_name(option), suffix, F.lit(".xls")).alias("file_name")).distinct()
-    return worklist.plan_file_names(requests, existing)
+    return requests, existing
 
 
 # --- Landing folder and attempts ---------------------------------------------

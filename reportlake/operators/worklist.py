@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import extension, progress_label, safe_file_name, stem
-from reportlake.operators.numbering import numbered, running_total
+from reportlake.operators.numbering import running_total
 
 MAX_ATTEMPTS = 3
 
@@ -171,30 +171,41 @@ def plan_file_names(
     # A plain request uses its own number 0 itself; only the shorter name loses one.
     crossing = _taken(plain).where(F.col("number") > 0)
     used = used.unionByName(crossing).distinct().join(families, ["stem", "ext"], "left_semi")
-    # one numbering for both: each request among its name's requests, each used number among those
-    both = asked.select("stem", "ext", F.lit(1).alias("kind"), F.col("_n").cast("bigint").alias("value"), "_option").unionByName(
-        used.select("stem", "ext", F.lit(0).alias("kind"), F.col("number").alias("value")), allowMissingColumns=True
+    totals = _numbers(asked, used.select("stem", "ext", F.col("number").alias("first"), F.col("number").alias("last")))
+    return totals.select(
+        F.col("_n").cast(requests.schema[n].dataType).alias(n),
+        F.col("_option").alias(option),
+        "number",
+        _name().alias(file),
+    )
+
+
+def _name() -> Column:
+    """The file name of a number of a family."""
+    suffix = F.when(F.col("number") > 0, F.format_string("_(%d)", "number")).otherwise(F.lit(""))
+    return F.concat("stem", suffix, "ext")
+
+
+def _numbers(asked: DataFrame, used: DataFrame) -> DataFrame:
+    """``asked`` with ``number``, the free one each takes; ``used`` holds runs ``first`` to ``last`` that share no number."""
+    # one running total for both: each request among its name's requests, the numbers used up to each run
+    length = F.coalesce(F.col("last") - F.col("first") + 1, F.lit(1))
+    both = asked.select("stem", "ext", F.lit(1).alias("kind"), F.col("_n").cast("bigint").alias("first"), "_n", "_option").unionByName(
+        used.select("stem", "ext", F.lit(0).alias("kind"), "first", "last"), allowMissingColumns=True
     )
-    ranked = numbered(both, ["stem", "ext", "kind"], "value", "_order")
+    ranked = running_total(both.withColumn("_length", length), ["stem", "ext", "kind"], "first", F.col("_length"), "_order")
     steps = (
         ranked.where("kind = 0")
-        .select("stem", "ext", (F.col("value") - F.col("_order") + 1).alias("_place"))
+        .select("stem", "ext", (F.col("first") - F.col("_order") + F.col("_length")).alias("_place"), "_length")
         .groupBy("stem", "ext", "_place")
-        .agg(F.count(F.lit(1)).alias("_used"))
+        .agg(F.sum("_length").alias("_used"))
     )
     # Used numbers come before the request of the same place.
     points = steps.select("stem", "ext", (F.col("_place") * 2).alias("_point"), "_used").unionByName(
         ranked.where("kind = 1").select(
-            "stem", "ext", (F.col("_order") * 2 - 1).alias("_point"), F.lit(0).alias("_used"), "value", "_option"
+            "stem", "ext", (F.col("_order") * 2 - 1).alias("_point"), F.lit(0).alias("_used"), "_n", "_option"
         ),
         allowMissingColumns=True,
     )
     totals = running_total(points, ["stem", "ext"], "_point", F.col("_used"), "_below").where("_point % 2 = 1")
-    number = F.shiftright("_point", 1) + F.col("_below")
-    suffix = F.when(number > 0, F.format_string("_(%d)", number)).otherwise(F.lit(""))
-    return totals.select(
-        F.col("value").cast(requests.schema[n].dataType).alias(n),
-        F.col("_option").alias(option),
-        number.alias("number"),
-        F.concat("stem", suffix, "ext").alias(file),
-    )
+    return totals.withColumn("number", F.shiftright("_point", 1) + F.col("_below"))
