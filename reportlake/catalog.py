@@ -28,8 +28,9 @@ from reportlake.operators.extract import (
     production_wide,
 )
 from reportlake.operators.lines import cut_at_bad_bytes, explode_lines
+from reportlake.operators.many import classify_many
 from reportlake.operators.numbering import enumerated, numbered
-from reportlake.plans.grammar import GRAMMARS, TASKS, build_plan, default_plan, settings_from_config
+from reportlake.plans.grammar import GRAMMARS, TASKS, Grammar, build_plan, default_plan, settings_from_config
 from reportlake.session import shared_folder
 from reportlake.sources import readers, sinks
 from reportlake.sources.rendered import render_reports, render_result_pages
@@ -256,6 +257,30 @@ def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Words of the part names of all scales.
+_KINDS = ["large", "red", "blue", "cold", "new", "small", "hot", "old"]
+_THINGS = ["plate", "rod", "widget", "gear", "gizmo", "ring", "bolt", "anvil"]
+
+
+@query(
+    f"""WITH {_REPORTS}
+    SELECT p_name || ' ' || p % 10 AS grammar, count(*) AS n, count(DISTINCT k) AS n_documents, CAST(sum(p) AS BIGINT) AS permits
+    FROM docs JOIN parts USING (k) JOIN part ON p_partkey = p GROUP BY 1"""
+)
+def classify_many_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grammar for each name of a well and last digit of its number, 640 in all, on every line."""
+    grammars = [
+        Grammar(f"{kind} {thing} {digit}", rf" *(?P<Permit>\d{{7}}) +(?P<Well>{kind} {thing} #\d*{digit})$")
+        for kind in _KINDS for thing in _THINGS for digit in range(10)
+    ]
+    found = classify_many(explode_lines(render_reports(spark, sf_dir)).select("doc_id", "line"), grammars)
+    return found.groupBy("grammar").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("doc_id").alias("n_documents"),
+        F.sum(F.col("fields.Permit").cast("bigint")).alias("permits"),
+    )
+
+
 # --- Reports -----------------------------------------------------------------
 
 

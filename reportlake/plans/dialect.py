@@ -227,3 +227,57 @@ def compile_pattern(source: str) -> Pattern:
         tail = "".join(f"(?:\\{marks[n]})" for n in loose)
         all_present = f"{flags}^(?>{body}){tail}"
     return Pattern(source, java, dict(sorted(names.items(), key=lambda kv: kv[1])), optional, all_present)
+
+
+_QUANTIFIERS = "?*+{"
+
+
+def fixed_words(source: str) -> list[str]:
+    """Texts that every line matching a pattern holds: its literal characters as far as they stand next to each other.
+
+    Only what is certain counts: nothing inside alternatives, look-arounds and groups or characters that may be
+    left out, and nothing at all where the pattern sets flags, which may give its characters another meaning.
+    """
+    parts, _ = _scan(source)
+    words, run, closed = [], [], []
+
+    def flush() -> None:
+        if run:
+            words.append("".join(run))
+        run.clear()
+
+    unsure = 0
+    for at, (kind, value) in enumerate(parts):
+        if kind == "open":
+            closed.append(value.alternates or value.may_skip or value.opener not in ("(", "(?:"))
+            if "?" in value.opener and value.opener[-1] == ":" and value.opener != "(?:":
+                return []
+            if closed[-1]:
+                flush()
+            unsure += closed[-1]
+        elif kind == "close":
+            after = parts[at + 1][1] if at + 1 < len(parts) and parts[at + 1][0] == "text" else " "
+            if closed[-1] or after[0] in _QUANTIFIERS:
+                flush()
+            unsure -= closed.pop()
+        elif kind == "ref":
+            flush()
+        elif value.startswith("(?") and value not in _BARE.values():
+            return []
+        elif value == "|" and not closed:
+            return []
+        elif unsure:
+            continue
+        elif value[0] in _QUANTIFIERS:
+            least = _REPEAT.match(value)
+            if run and (value in "?*" or least and int(least[1]) == 0):
+                run.pop()
+            flush()
+        elif len(value) == 1 and value not in ".^$":
+            run.append(value)
+        elif len(value) == 2 and value[0] == "\\" and not value[1].isalnum():
+            run.append(value[1])
+        else:
+            flush()
+    flush()
+    return words
