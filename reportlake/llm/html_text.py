@@ -4,7 +4,8 @@ A page becomes the sequence of its leaf blocks: text between block borders, with
 around it. A chain model over the blocks, with features of the ancestors and of the text, decides by
 Viterbi which blocks are the article. It is trained on labelled pages: a bounded sample of the given
 pages, labelled by what their own mark-up says (see :func:`own_label`), and the same texts set in
-other layouts, where the label of every block is known because we put it there.
+other layouts, where the label of every block is known because we put it there. Some of these have no
+telling name anywhere, and on such pages the size, links and end of the texts and their order decide.
 """
 
 from __future__ import annotations
@@ -192,6 +193,11 @@ def blocks(html: str, known: Container[str] | None = None) -> list[Block]:
         ) if "=" in rest else ()
         tags.push(name, names)
     flush()
+    if not any(b.path & _MAIN for b in found):
+        # no name tells where the article is: the texts have weights of their own here
+        for block in found:
+            shape = [x for x in block.features if x.startswith(("size", "link", "sentence", "sign"))]
+            block.features += ["plain", *[f"plain {x}" for x in shape], "plain " + " ".join(shape)]
     return found
 
 
@@ -251,9 +257,30 @@ def other_layouts(html: str, turn: int) -> list[tuple[list[Block], list[int]]]:
         f'<div class="{pick("post article story entry")}">{text}</div>{form}{comments}',
     ][turn % 4]
     page = f"<html><body>{notice if turn % 3 == 0 else ''}{top}{ad if turn % 3 == 1 else ''}{middle}{notice if turn % 3 == 2 else ''}{bottom}</body></html>"
-    found = blocks(page)
-    labels = [int(marked in b.text) for b in found]
-    return [(found, labels)]
+    made = [blocks(page), blocks(_bare_layout(main, rest, turn))]
+    return [(found, [int(marked in b.text) for b in found]) for found in made]
+
+
+def _bare_layout(main: list[str], rest: list[str], turn: int) -> str:
+    """A menu, the article and a foot in blocks without any telling name; ``turn`` picks the blocks."""
+
+    def pick(names: str) -> str:
+        choices = names.split()
+        return choices[turn % len(choices)]
+
+    def part(texts: list[str]) -> str:
+        tag, around = pick("div p td div div"), pick("div div table div section")
+        inside = "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+        return f"<{around}>{f'<tr>{inside}</tr>' if tag == 'td' else inside}</{around}>"
+
+    words = [w.rstrip(".,;:!?") or "Home" for t in rest for w in t.split()]
+    items = [escape(" ".join(words[i : i + 1 + (i + turn) % 3])) for i in range(3 + turn % 4)]
+    menu = [f'<a href="/{i}">{t}</a>' if turn % 2 else t for i, t in enumerate(items)]
+    # a heading is short and no sentence, the texts below it are as they come
+    title = " ".join(main[0].split()[: 3 + turn % 7]).rstrip(".,;:!?")
+    heading = f"<h1>{escape(title)}</h1>" if turn % 3 == 1 else part([escape(title)])
+    sign = ["&copy; 2020 " + items[0], "Copyright " + escape(rest[-1]), items[-1], "&copy; " + escape(rest[-1])][turn % 4]
+    return f"<html><body>{part(menu)}{heading}{part([escape(t) for t in main[1:] or main])}{part([sign, *items[: turn % 3]])}</body></html>"
 
 
 @dataclass
@@ -346,8 +373,8 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay: f
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` different pages, chosen by a hash of their html; null and
-    very long (over LONGEST characters) pages do not train. Only these pages reach the driver."""
+    """A model from at most ``sample`` different pages, chosen by a hash of their html; null,
+    very long (over LONGEST characters) pages and those without a telling name do not train. Only these pages reach the driver."""
     own = pages.select(F.col(html_col).alias("__html")).where(f"__html IS NOT NULL AND length(__html) <= {LONGEST}")
     own = own.select(F.xxhash64("__html").alias("__key"), "__html")
     # hashes first: a task sends the driver numbers, not pages
@@ -356,7 +383,9 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Mod
     labelled = []
     for i, (_, html) in enumerate(sorted(map(tuple, drawn))):
         page = blocks(html)
-        labelled.append((page, [own_label(b) for b in page]))
+        own_labels = [own_label(b) for b in page]
+        if any(own_labels):  # else its mark-up says nothing
+            labelled.append((page, own_labels))
         labelled += other_layouts(html, i)
     return fit(labelled)
 

@@ -163,6 +163,29 @@ def test_long_and_broken_pages_take_linear_time(page_model):
     assert html_text.main_text(pages[0], model).split("\n\n") == [text] * 4
 
 
+def test_pages_without_telling_names(page_model):
+    """Menu, heading, paragraphs and a foot in bare blocks: the article comes out whole."""
+    texts = [
+        "The river rose slowly, and by evening the whole valley had gone quiet under the water.",
+        "Nobody had expected it so early in the year, for the snow still lay on the hills above the town.",
+        "Help came.",
+        "On the next morning the first boats went out, and with them the men who knew the old channels best.",
+        "It took three weeks until the road to the mill could be used again.",
+    ]
+    title = "The flood of the year"
+    foots = ["&copy; 2020 Valley News", "Copyright Valley News", "Imprint"]
+    menus = [["Home", "News", "About us"], ['<a href="/">Home</a>', '<a href="/n">News</a>', '<a href="/c">Contact</a>']]
+    for tag in ("div", "p"):
+        for foot in foots:
+            for menu in menus:
+                rows = [*menu, title, *texts, foot]
+                flat = "".join(f"<{tag}>{t}</{tag}>" for t in rows)
+                nested = "".join(f"<div>{''.join(f'<{tag}>{t}</{tag}>' for t in part)}</div>" for part in (menu, [title, *texts], [foot]))
+                for page in (flat, nested):
+                    got = html_text.main_text(f"<html><body>{page}</body></html>", page_model).split("\n\n")
+                    assert got == [title, *texts], (tag, foot, menu)
+
+
 def test_self_closed_foreign_elements():
     texts = lambda h: [b.text for b in html_text.blocks(h)]
     assert texts('<p>a<svg class="icon" viewBox="0 0 1 1"/></p><p>b</p>') == ["a", "b"]
