@@ -76,23 +76,27 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> D
     lines = table("lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
     month_names = [f"m{i}" for i in range(1, len(MONTHS) + 1)]
 
-    # lineitem is read once: quantities per supplier, part and year give both the table and the list
-    month, quantity = F.month("l_shipdate"), F.col("l_quantity")
-    cells = lines.groupBy("l_suppkey", "l_partkey", F.year("l_shipdate").alias("year")).agg(
-        *[
-            F.sum(F.when(month == i, quantity).otherwise(0.0)).cast("bigint").alias(m)
-            for i, m in enumerate(month_names, 1)
-        ]
+    # lineitem is read once and moved once, as narrow rows: what follows is grouped by supplier and more.
+    # Quantities per supplier, part and month give both the table and the list.
+    quantity = F.sum("l_quantity").cast("bigint").alias("q")
+    cells = lines.select(
+        "l_suppkey", "l_partkey", "l_quantity", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")
     )
+    cells = cells.repartition("l_suppkey").groupBy("l_suppkey", "l_partkey", "year", "month").agg(quantity)
     cells = cells.join(part, F.col("l_partkey") == F.col("p_partkey"))
     number = F.col("l_suppkey") * 100 + F.col("brand") if by_brand else F.col("l_suppkey")
-    cells = cells.withColumn("number", number)
+    n, key, zero = F.col("number"), F.col("l_partkey").cast("string"), F.lit(0).cast("bigint")
+    # a line's text is made where it is a row, not inside a document's list
+    well = F.concat(F.lpad(key, 7, "0"), F.lit("       "), "p_name", F.lit(" #"), key)
+    cells = cells.select("l_suppkey", number.alias("number"), "year", "month", "q", "l_partkey", "p_name", well.alias("line"))
     years = cells.groupBy("l_suppkey", "number", "year").agg(
-        *[F.sum(m).alias(m) for m in month_names],
-        F.collect_set(F.struct("l_partkey", "p_name")).alias("parts"),
+        *[F.sum(F.when(F.col("month") == i, F.col("q")).otherwise(zero)).alias(m) for i, m in enumerate(month_names, 1)],
+        F.collect_set(F.struct("l_partkey", "p_name", "line")).alias("parts"),
     )
-    body = years.groupBy("l_suppkey", "number").agg(
-        F.array_sort(F.collect_list(F.struct("year", *month_names))).alias("years"),
+    months = [F.col(m) for m in month_names]
+    year_line = _row_text(F.col("year").cast("string"), [*months, sum(months[1:], months[0])], n)
+    body = years.withColumn("line", year_line).groupBy("l_suppkey", "number").agg(
+        F.array_sort(F.collect_list(F.struct("year", "line"))).alias("years"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("wells"),
         *[F.sum(m).alias(f"total_{m}") for m in month_names],
     )
@@ -104,15 +108,7 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> D
     )
     docs = places.join(body, F.col("s_suppkey") == F.col("l_suppkey"))
 
-    n = F.col("number")
-    year_lines = F.transform(
-        F.col("years"),
-        lambda y: _row_text(
-            y["year"].cast("string"),
-            [y[m] for m in month_names] + [sum((y[m] for m in month_names[1:]), y["m1"])],
-            n,
-        ),
-    )
+    year_lines = F.transform(F.col("years"), lambda y: y["line"])
     totals = [F.col(f"total_{m}") for m in month_names]
     broken = F.flatten(
         F.transform(
@@ -139,16 +135,7 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> D
         ),
         _optional(_shows(n, "blank_lines"), F.lit(""), F.lit("")),
         F.array(F.lit("Wells In Unit"), F.lit("Permit #      Well Name")),
-        F.transform(
-            F.col("wells"),
-            lambda w: F.concat(
-                F.lpad(w["l_partkey"].cast("string"), 7, "0"),
-                F.lit("       "),
-                w["p_name"],
-                F.lit(" #"),
-                w["l_partkey"].cast("string"),
-            ),
-        ),
+        F.transform(F.col("wells"), lambda w: w["line"]),
         _optional(_shows(n, "null_permit"), F.lit(" " * 14 + "Unnumbered well")),
         F.array(F.lit("   Edit   Wells")),
         F.when(
