@@ -44,7 +44,7 @@ def _head_name(stage: int) -> str:
 def _parsed_lines(lines: Column, grammar: Grammar) -> Column:
     return F.transform(
         lines,
-        lambda x: F.struct(x["n"].alias("n"), x["l"].alias("l"), grammar.parse(x["l"]).alias("p")),
+        lambda x: F.struct(x["n"].alias("n"), x["l"].alias("l"), grammar.parse_entry(x["l"]).alias("p")),
     )
 
 

@@ -5,8 +5,9 @@ One fold over the current lines of a document, written as a Catalyst
 of the document: the active stage, where each stage read its line or began and
 ended, and at most two notes per stage.  (A position is added for each page whose
 footer was itself read as a detail line.)  Only the grammar of the active stage is
-tried on a line.  The lines of the sticky stage at the end are marked once, before
-the fold, and picked by a plain filter after it.
+tried on a line.  The lines of the sticky stage at the end, and those of repeating
+stages whose test is quick, are marked once, before the fold, and picked by a plain
+filter after it.
 
 Lines are named by position in ``kept``.  The rules, for line ``L`` with
 look-ahead ``N`` and active stage ``T``:
@@ -28,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reportlake.functions import cells
 from reportlake.operators.lines import kept_lines, starts_page, with_lines
 from reportlake.operators.staging import per_plan, stage
 from reportlake.plans.grammar import ReportPlan
@@ -59,6 +61,14 @@ class _Fold:
     def is_footer(self, at: Column) -> Column:
         return starts_page(self.line(at + 1))
 
+    def listed(self, acc: Column, at: Column) -> Column:
+        """The active stage is a repeating one that goes on with a marked line: most lines of a list."""
+        out = F.lit(False)
+        for i in self.loops:
+            if self.plan.stages[i].grammar.quick:
+                out = out | ((acc["stage"] == i) & F.get(self.kept, at)[_mark_name(i)])
+        return ~acc["passing"] & out
+
     def mark(self, at: Column, whole: bool = False) -> Column:
         return is_detail(self.plan, F.get(self.kept, at), whole)
 
@@ -199,11 +209,11 @@ class _Fold:
         )
 
         if self.plan.sticky is None:
-            out = F.when(stage >= self.n, acc).when(acc["passing"], pass_over)
+            out = F.when(self.listed(acc, at), acc).when(stage >= self.n, acc).when(acc["passing"], pass_over)
         else:
             # Only footers read by look-ahead and tolerated lines need the fold.
             in_table = stage == self.plan.sticky
-            plain = ~acc["passing"] & (acc["skips"] == 0) & ~self.is_footer(at + 1)
+            plain = ~acc["passing"] & (acc["skips"] == 0) & (~F.col("has_feed") | ~self.is_footer(at + 1))
             table = (
                 F.when(self.mark(at), acc)
                 .when(acc["skips"] > 0, self.state(acc, skips=acc["skips"] - 1, quiet=at + 1))
@@ -215,6 +225,7 @@ class _Fold:
             )
             out = (
                 F.when(in_table & plain, acc)
+                .when(self.listed(acc, at), acc)
                 .when(stage >= self.n, acc)
                 .when(acc["passing"], pass_over)
                 .when(in_table, table)
@@ -244,11 +255,19 @@ def _fold(plan: ReportPlan) -> Column:
     return F.aggregate(F.col("current"), fold.zero(), fold.step)
 
 
+def _mark_name(stage: int) -> str:
+    return f"matches_{stage}"
+
+
 @per_plan
 def _marked_lines(plan: ReportPlan, value: str) -> Column:
     """Kept lines, marked with whether they are lines of the sticky stage, and whether
-    with all their fields."""
-    marks = {}
+    with all their fields; and of the repeating stages with a quick test."""
+    marks = {
+        _mark_name(i): s.grammar.matches
+        for i, s in enumerate(plan.stages)
+        if s.repeats and i != plan.sticky and s.grammar.quick
+    }
     if plan.sticky is not None:
         marks["matches"] = plan.detail.grammar.matches
         if plan.detail.grammar.loose:
@@ -280,40 +299,46 @@ def read_position(stage: int) -> Column:
 def _span(stage: int) -> Column:
     """Current positions offered to a repeating stage, before its grammar is applied."""
     low, high = F.get(F.col("seg.low"), F.lit(stage)), F.get(F.col("seg.high"), F.lit(stage))
-    return F.filter(F.col("current"), lambda i: (i >= low) & (i < high))
+    bounds = F.struct(low.alias("low"), high.alias("high"))
+    return cells.let(bounds, lambda b: F.filter(F.col("current"), lambda i: (i >= b["low"]) & (i < b["high"])))
 
 
 def table_positions(plan: ReportPlan) -> Column:
     """Current positions offered to the sticky stage; lines passed over are not."""
     low, passed = F.get(F.col("seg.low"), F.lit(plan.sticky)), F.col("seg.passed")
-    offered = F.filter(F.col("current"), lambda i: i >= low)
+    offered = cells.let(low, lambda begin: F.filter(F.col("current"), lambda i: i >= begin))
     return F.when(F.size(passed) == 0, offered).otherwise(F.array_except(offered, passed))
 
 
-def _text_of(position: Column) -> Column:
-    entry = F.get(F.col("kept"), position)
-    return F.struct(entry["n"].alias("n"), entry["l"].alias("l"))
+def _entry_of(position: Column) -> Column:
+    return F.get(F.col("kept"), position)
+
+
+def _run_of(low: Column, high: Column) -> Column:
+    """Kept lines from ``low`` up to ``high``, of a document without page breaks: there all but the last are current."""
+    kept = F.col("kept")
+    return F.slice(kept, low + 1, F.greatest(F.least(high, F.size(kept) - 1) - low, F.lit(0)))
 
 
 def _led_by(ahead: Column, lines: Column) -> Column:
     """``lines`` after the line a stage was entered with by look-ahead, if any."""
-    first = F.when(ahead >= 0, F.array(_text_of(ahead))).otherwise(
-        F.slice(lines, F.lit(1), F.lit(0))
-    )
-    return F.concat(first, lines)
+    return F.when(ahead >= 0, F.concat(F.array(_entry_of(ahead)), lines)).otherwise(lines)
 
 
 @per_plan
 def repeated_lines(plan: ReportPlan, stage: int) -> Column:
-    """``array<struct<n, l>>``: lines of a repeating stage that is not sticky, in order."""
+    """``array<struct<n, l, ...>>``: lines of a repeating stage that is not sticky, in order."""
     grammar = plan.stages[stage].grammar
-    lines = F.transform(_span(stage), _text_of)
-    return _led_by(read_position(stage), F.filter(lines, lambda x: grammar.matches(x["l"])))
+    low, high = F.get(F.col("seg.low"), F.lit(stage)), F.get(F.col("seg.high"), F.lit(stage))
+    whole = ~F.col("has_feed") & (low < F.size("kept"))
+    lines = F.when(whole, _run_of(low, high)).otherwise(F.transform(_span(stage), _entry_of))
+    test = (lambda x: x[_mark_name(stage)]) if grammar.quick else (lambda x: grammar.matches(x["l"]))
+    return _led_by(read_position(stage), F.filter(lines, test))
 
 
 @per_plan
 def sticky_lines(plan: ReportPlan) -> Column:
-    """``array<struct<n, l>>``: lines the last stage read, in order.
+    """``array<struct<n, l, ...>>``: lines the last stage read, in order.
 
     A footer counts when it was the look-ahead of a line that does not match.
     """
@@ -330,8 +355,12 @@ def sticky_lines(plan: ReportPlan) -> Column:
 
     lines = F.transform(
         table_positions(plan),
-        lambda i: F.when(is_detail(plan, F.get(kept, i)), _text_of(i)).when(
-            footer(i), _text_of(i + 1)
+        lambda i: F.when(is_detail(plan, F.get(kept, i)), _entry_of(i)).when(
+            footer(i), _entry_of(i + 1)
         ),
     )
-    return _led_by(read_position(plan.sticky), F.array_compact(lines))
+    # without page breaks there are no footers, and no line of the table is passed over
+    low = F.get(F.col("seg.low"), F.lit(plan.sticky))
+    whole = ~F.col("has_feed") & (F.size("seg.passed") == 0) & (low < F.size("kept"))
+    plain = F.filter(_run_of(low, F.size("kept")), lambda x: x["matches"])
+    return _led_by(read_position(plan.sticky), F.when(whole, plain).otherwise(F.array_compact(lines)))

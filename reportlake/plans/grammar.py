@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -46,6 +47,11 @@ class Grammar:
         """Some named group may take no part in a match."""
         return bool(self.compiled.optional)
 
+    @property
+    def quick(self) -> bool:
+        """Its test costs so little that every line can be marked with it."""
+        return False
+
     def _guarded(self, line: Column, test: Column) -> Column:
         for literal in reversed(self.needs):
             test = F.when(line.contains(literal), test).otherwise(F.lit(False))
@@ -75,6 +81,10 @@ class Grammar:
             return F.struct(F.lit(True).alias("matched"))
         return F.struct(*[self.group(line, f).alias(f) for f in self.fields])
 
+    def parse_entry(self, line: Column) -> Column:
+        """``parse`` of a line that a lambda holds already."""
+        return self.parse(line)
+
     def with_parsed(self, rows: DataFrame, line: str, header: str, name: str) -> DataFrame:
         """A table of matching lines with the parsed line as a further column."""
         return rows.withColumn(name, self.parse(F.col(line), F.col(header)))
@@ -207,7 +217,8 @@ def _after(text: Column, taken: Column | str, more: int = 0) -> Column:
 
 
 def _spaces_off(text: Column) -> Column:
-    return F.btrim(text, F.lit(" "))
+    # without a list of characters Spark takes off spaces alone, and far faster
+    return F.trim(text)
 
 
 @dataclass(frozen=True)
@@ -230,6 +241,10 @@ class CutLine(Grammar):
     def loose(self) -> bool:
         return self.optional
 
+    @property
+    def quick(self) -> bool:
+        return True
+
     def matches(self, line: Column) -> Column:
         return self._guarded(line, self.cut(line)[0])
 
@@ -246,22 +261,20 @@ class CutLine(Grammar):
         # inside a lambda the line is worked out once, and the code of a stage stays small
         return F.get(F.transform(F.array(line), super().parse), F.lit(0))
 
+    def parse_entry(self, line: Column) -> Column:
+        return super().parse(line)
+
 
 def _label_words(*choices: str) -> Callable[[Column], tuple[Column, dict[str, Column]]]:
     """A marker line: its first words are the label's; the last may go on."""
 
-    def cut(line: Column) -> tuple[Column, dict[str, Column]]:
-        words = F.split(F.ltrim(line, F.lit(" ")), " +")
-        test = F.lit(False)
-        for choice in choices:
-            label = choice.split(" ")
-            same = F.get(words, F.lit(len(label) - 1)).startswith(label[-1])
-            for i, word in enumerate(label[:-1]):
-                same = same & (F.get(words, F.lit(i)) == word)
-            test = test | F.coalesce(same, F.lit(False))
-        return test, {}
+    labels = "|".join(" ++".join(re.escape(word) for word in choice.split(" ")) for choice in choices)
+    return lambda line: (line.rlike(rf"^ *+(?:{labels})"), {})
 
-    return cut
+
+#: Lines are told by one expression each, which goes on from the first place of every label.
+_PLACE_LINE = r"^(?>[\s\S]*?County; )(?>[\s\S]*?Quad; )(?>[\s\S]*? Field ++Pool)"
+_BUYER_LINE = r"^ *+Buyer: (?>[\s\S]*?Lease#: )(?>[\s\S]*?Production ++Type )"
 
 
 def _place(line: Column) -> tuple[Column, dict[str, Column]]:
@@ -271,45 +284,45 @@ def _place(line: Column) -> tuple[Column, dict[str, Column]]:
     quad = F.substring_index(rest, "Quad; ", 1)
     pool_on = _after(rest, quad, len("Quad; "))
     end = F.regexp_instr(pool_on, F.lit(" Field +Pool"))
-    test = line.contains("County; ") & rest.contains("Quad; ") & (end > 0)
+    test = line.rlike(_PLACE_LINE)
     pool = F.substring(pool_on, F.lit(1), end - 1)
     return test, {"County": _spaces_off(county), "Quad": _spaces_off(quad), "Pool": _spaces_off(pool)}
 
 
 def _buyer(line: Column) -> tuple[Column, dict[str, Column]]:
     """Buyer up to the lease label, Lease up to the type label, Type as one word."""
-    begin = F.ltrim(line, F.lit(" "))
+    begin = F.ltrim(line)
     body = _after(begin, "Buyer: ")
     named = F.substring_index(body, "Lease#: ", 1)
     rest = _after(body, named, len("Lease#: "))
     at = F.regexp_instr(rest, F.lit("Production +Type "))
-    kind_on = F.ltrim(F.substring(rest, at + len("Production"), F.char_length(rest)), F.lit(" "))
-    kind_on = F.ltrim(_after(kind_on, "Type "), F.lit(" "))
+    kind_on = F.ltrim(F.substring(rest, at + len("Production"), F.char_length(rest)))
+    kind_on = F.ltrim(_after(kind_on, "Type "))
     unit = F.regexp_instr(kind_on, F.lit("Production +Unit"))
     word = F.substring_index(kind_on, " ", 1)
     kind = F.when(unit > 0, F.substring(word, F.lit(1), unit - 1)).otherwise(word)
     # What may stand between the buyer's name and the lease label.
     name = F.regexp_replace(_spaces_off(named), "Buyer's$", "")
     name = F.regexp_replace(_spaces_off(name), ",$", "")
-    test = begin.startswith("Buyer: ") & body.contains("Lease#: ") & (at > 0)
+    test = line.rlike(_BUYER_LINE)
     return test, {"Buyer": name, "Lease": _spaces_off(F.substring(rest, F.lit(1), at - 1)), "Type": kind}
 
 
 #: Spaces that stand for an absent permit, and the most characters of one.
 NO_PERMIT, LONGEST_PERMIT = 8, 10
+_WELL_LINE = rf"^(?! *+Edit)(?:[^ ]{{1,{LONGEST_PERMIT}}}+(?: |\z)| {{{NO_PERMIT}}}\z| {{{NO_PERMIT + 1}}})"
 
 
 def _well(line: Column) -> tuple[Column, dict[str, Column]]:
     """A permit from the first column on and a name after spaces; either may be absent."""
-    body = F.ltrim(line, F.lit(" "))
-    indent = F.char_length(line) - F.char_length(body)
+    # one expression tells the lines: a list has many, and each step on a line costs as much as its text
+    indented = line.startswith(" ")
     word = F.substring_index(line, " ", 1)
-    bare = (indent == NO_PERMIT) & (body == "")
-    listed = (indent == 0) & F.char_length(word).between(1, LONGEST_PERMIT)
-    test = ~body.startswith("Edit") & (listed | bare | (indent > NO_PERMIT))
-    permit = F.when(indent == 0, word)
-    name = F.when(indent > 0, F.when(~bare, body)).when(line != word, F.ltrim(_after(line, word), F.lit(" ")))
-    return test, {"Permit": permit, "Well": name}
+    permit = F.when(~indented, word)
+    name = F.when(indented, F.when(line != " " * NO_PERMIT, F.ltrim(line))).when(
+        line.contains(" "), F.ltrim(F.substr(line, F.instr(line, " ")))
+    )
+    return line.rlike(_WELL_LINE), {"Permit": permit, "Well": name}
 
 
 @dataclass(frozen=True)
