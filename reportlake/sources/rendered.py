@@ -76,28 +76,44 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> D
     lines = table("lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
     month_names = [f"m{i}" for i in range(1, len(MONTHS) + 1)]
 
-    # lineitem is read once and moved once, as narrow rows: what follows is grouped by supplier and more.
-    # Quantities per supplier, part and month give both the table and the list.
-    quantity = F.sum("l_quantity").cast("bigint").alias("q")
+    # lineitem gets the names of its parts first and is then moved once, as narrow rows: all that follows is
+    # grouped by supplier and more, so it stays there, whether part is small enough to be broadcast or not.
+    # Quantities per supplier, part and month give both the table and the list; repeated parts count each.
     cells = lines.select(
         "l_suppkey", "l_partkey", "l_quantity", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")
     )
-    cells = cells.repartition("l_suppkey").groupBy("l_suppkey", "l_partkey", "year", "month").agg(quantity)
-    cells = cells.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    cells = cells.join(part.withColumn("row", F.monotonically_increasing_id()), F.col("l_partkey") == F.col("p_partkey"))
     number = F.col("l_suppkey") * 100 + F.col("brand") if by_brand else F.col("l_suppkey")
     n, key, zero = F.col("number"), F.col("l_partkey").cast("string"), F.lit(0).cast("bigint")
-    # a line's text is made where it is a row, not inside a document's list
-    well = F.concat(F.lpad(key, 7, "0"), F.lit("       "), "p_name", F.lit(" #"), key)
-    cells = cells.select("l_suppkey", number.alias("number"), "year", "month", "q", "l_partkey", "p_name", well.alias("line"))
-    years = cells.groupBy("l_suppkey", "number", "year").agg(
-        *[F.sum(F.when(F.col("month") == i, F.col("q")).otherwise(zero)).alias(m) for i, m in enumerate(month_names, 1)],
-        F.collect_set(F.struct("l_partkey", "p_name", "line")).alias("parts"),
+    cells = cells.select("l_suppkey", number.alias("number"), "row", "l_partkey", "p_name", "year", "month", "l_quantity")
+    # a number of partitions that Spark does not lessen: parsing a document costs far more than its bytes
+    cells = cells.where("l_suppkey IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_suppkey")
+    quantity = F.sum("l_quantity").cast("bigint").alias("q")
+    cells = cells.groupBy("l_suppkey", "number", "row", "l_partkey", "p_name", "year", "month").agg(quantity)
+    # A row per year with its months, and a row per part: two groupings of the same cells. Months are null in the second.
+    by_year = F.struct(F.lit(True).alias("is_year"), "year", F.lit(None).cast("bigint").alias("l_partkey"), F.lit(None).cast("string").alias("p_name"))
+    by_part = F.struct(F.lit(False).alias("is_year"), F.lit(None).cast("int").alias("year"), F.col("l_partkey").cast("bigint").alias("l_partkey"), "p_name")
+    rows = cells.select("l_suppkey", "number", "month", "q", F.explode(F.array(by_year, by_part)).alias("g")).select(
+        "l_suppkey", "number", "month", "q", "g.*"
     )
+    rows = rows.groupBy("l_suppkey", "number", "is_year", "year", "l_partkey", "p_name").agg(
+        *[
+            F.sum(F.when(F.col("is_year"), F.when(F.col("month") == i, F.col("q")).otherwise(zero))).alias(m)
+            for i, m in enumerate(month_names, 1)
+        ]
+    )
+    # a line's text is made where it is a row, not inside a document's list
     months = [F.col(m) for m in month_names]
     year_line = _row_text(F.col("year").cast("string"), [*months, sum(months[1:], months[0])], n)
-    body = years.withColumn("line", year_line).groupBy("l_suppkey", "number").agg(
-        F.array_sort(F.collect_list(F.struct("year", "line"))).alias("years"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("wells"),
+    well_line = F.concat(F.lpad(key, 7, "0"), F.lit("       "), "p_name", F.lit(" #"), key)
+    rows = rows.select(
+        "l_suppkey", "number", *month_names,
+        F.when(F.col("is_year"), F.struct("year", year_line.alias("line"))).alias("year_row"),
+        F.when(~F.col("is_year"), F.struct("l_partkey", "p_name", well_line.alias("line"))).alias("part_row"),
+    )
+    body = rows.groupBy("l_suppkey", "number").agg(
+        F.array_sort(F.collect_list("year_row")).alias("years"),
+        F.array_sort(F.collect_list("part_row")).alias("wells"),
         *[F.sum(m).alias(f"total_{m}") for m in month_names],
     )
     places = (

@@ -40,6 +40,21 @@ def test_rendering_moves_lines_once(spark, tmp_path):
     assert lines[-2] == "Totals 5" + " 0" * 10 + " 4 9"
 
 
+def test_rendering_moves_no_lists_when_nothing_is_broadcast(spark, tmp_path):
+    _tables(spark, tmp_path)
+    wanted = sorted(render_reports(spark, str(tmp_path)).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = render_reports(spark, str(tmp_path))
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        # lineitem goes to its parts and to its suppliers; its lists and sums are never moved
+        assert plan.count("Exchange hashpartitioning(l_partkey") == 1
+        assert plan.count("Exchange hashpartitioning(l_suppkey") == 1
+        assert sorted(docs.collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lines_of_a_list_are_marked_once(spark):
     lines = [
         "0000005       red rod #5", "1234567890", "12345678901", "12345678901 x", "x", "é" * 10 + " y", "é" * 11 + " y", " " * 8, " " * 8 + "x",
