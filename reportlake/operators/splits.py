@@ -47,6 +47,8 @@ READ, ENTERED, DAMAGED, TABLE = "read", "entered", "damaged", "table "
 BROADCAST_BYTES = 32 << 20
 #: Segments whose state maps are composed at a time.
 FAN_IN = 64
+#: Neighbouring small segments that are read as one, and the most characters of what that gives.
+TOGETHER, TOGETHER_LENGTH = 16, 1 << 20
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +67,25 @@ def cut_documents(docs: DataFrame, lines: int, key: str = "doc_id", value: str =
     return docs.select(key, F.posexplode(parts).alias(SEGMENT, value)).withColumn(SEGMENT, F.col(SEGMENT).cast("long"))
 
 
+def _together(segments: DataFrame, key: str, value: str) -> DataFrame:
+    """Segments of which small neighbours are put together: borders and maps cost the same for a line as for many.
+
+    Only numbers that follow each other without a gap or repeat are joined; any other segment stays as it is.
+    """
+    rows = segments.select(key, SEGMENT, value)
+    if TOGETHER < 2 or rows.schema[SEGMENT].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return rows
+    small = F.coalesce(F.char_length(value) <= TOGETHER_LENGTH // TOGETHER, F.lit(False))
+    place = [F.when(small, F.floor(F.col(SEGMENT) / TOGETHER)).alias("_block"), F.when(~small, F.col(SEGMENT)).alias("_alone")]
+    parts = F.array_sort(F.collect_list(F.struct(SEGMENT, value))).alias("parts")
+    met = rows.select("*", *place).groupBy(key, "_block", "_alone").agg(parts)
+    met = stage(met, numbers=F.transform("parts", lambda x: x[SEGMENT]))
+    n, first = F.size("numbers"), F.get("numbers", F.lit(0))
+    follow = (F.size(F.array_distinct("numbers")) == n) & (F.get("numbers", n - 1) - first == n - 1) & F.col("_block").isNotNull()
+    whole = F.struct(first.alias(SEGMENT), F.array_join(F.transform("parts", lambda x: x[value]), "\n").alias(value))
+    return met.select(key, F.inline(F.when(follow, F.array(whole)).otherwise(F.col("parts"))))
+
+
 # --- Borders -----------------------------------------------------------------
 
 
@@ -346,12 +367,16 @@ def read_stages(segments: DataFrame, plan: ReportPlan | None = None, key: str =
     Equal to what the fold over the whole document reads. Text is written once with its codes; everything
     else moves codes, borders and state maps.
     """
-    plan = plan or default_plan()
+    return _read_stages(segments, plan or default_plan(), key, value)[0]
+
+
+def _read_stages(segments: DataFrame, plan: ReportPlan, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """What ``read_stages`` gives, and the stored keys, so that the segments are worked out once."""
     machine = _Machine(plan)
     number = {s: i for i, s in enumerate(machine.states())}
     names = list(number)
     n = len(plan.stages)
-    coded = stage(segments.select(key, SEGMENT, value), kept=kept_lines(F.col(value), c=lambda l: _Machine.codes(plan, l)))
+    coded = stage(_together(segments, key, value), kept=kept_lines(F.col(value), c=lambda l: _Machine.codes(plan, l)))
     coded = _stored(
         coded.select(
             key, SEGMENT, F.size(F.split(value, "\n")).alias("raw"),
@@ -383,7 +408,8 @@ def read_stages(segments: DataFrame, plan: ReportPlan | None = None, key: str =
     several = own.groupBy(F.col(key).alias("_on")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = own.join(several, own[key].eqNullSafe(F.col("_on")), "left_semi")
     maps = _appended(parts.select(key, SEGMENT, "codes", "follow", "opening", "later"), ["codes", "follow", "opening", "later"], mapped, "map", "array<int>")
-    entered = _entered(maps.select(key, SEGMENT, "map"), key, number[machine.start()])
+    # stored first: sorting by range reads its input twice
+    entered = _entered(_stored(maps.select(key, SEGMENT, "map"), "mapped"), key, number[machine.start()])
     own = _joined(own, entered, [key, SEGMENT]).withColumn("state", F.coalesce("state", F.lit(number[machine.start()])))
 
     def run(codes, follow, opening, later, state):
@@ -410,7 +436,7 @@ def read_stages(segments: DataFrame, plan: ReportPlan | None = None, key: str =
             x["stage"].alias("stage"), x["kind"].alias("kind"),
         )
 
-    return _stored(met.select(key, F.inline(F.transform("done", line))), "read")
+    return _stored(met.select(key, F.inline(F.transform("done", line))), "read"), coded.select(key)
 
 
 def stage_positions(segments: DataFrame, plan: ReportPlan | None = None, key: str = "doc_id", value: str = "value") -> DataFrame:
@@ -428,13 +454,13 @@ def _lines_of(stage_no: int) -> Column:
     return F.filter("kept", lambda x: x["s"] == stage_no)
 
 
-def _contexts(segments: DataFrame, read: DataFrame, plan: ReportPlan, key: str) -> DataFrame:
+def _contexts(keys: DataFrame, read: DataFrame, plan: ReportPlan, key: str) -> DataFrame:
     """One row per document in the form of unsplit ones: the lines read before the table, by stage."""
     lines = read.where(F.col("kind") == READ)
     before = lines.where(F.col("stage") != (plan.sticky if plan.sticky is not None else -1))
     # the list of a document becomes one text of the report, so its lines fit a row
     entry = F.struct(F.col("line_no").alias("n"), F.col("stage").alias("s"), F.col("line").alias("l"))
-    docs = segments.select(key).distinct()
+    docs = keys.distinct()
     docs = _joined(docs, before.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("kept")), [key])
     if plan.sticky is None:
         docs = docs.withColumns({"first_row": F.lit(None).cast("long"), "reached": F.lit(True)})
@@ -462,8 +488,8 @@ def _contexts(segments: DataFrame, read: DataFrame, plan: ReportPlan, key: str)
 def diagnostics(segments: DataFrame, plan: ReportPlan | None = None, key: str = "doc_id", value: str = "value") -> DataFrame:
     """``(key, line_no, task, kind, level, line, line_next)`` as of the whole documents."""
     plan = plan or default_plan()
-    read = read_stages(segments, plan, key, value)
-    ctx = _stored(_contexts(segments, read, plan, key), "contexts")
+    read, keys = _read_stages(segments, plan, key, value)
+    ctx = _stored(_contexts(keys, read, plan, key), "contexts")
     none = F.lit(None)
     said = _joined(read.where(~F.col("kind").isin(READ, ENTERED)), ctx.select(key, "stopped_at"), [key])
     stop, in_table = F.col("stopped_at"), F.col("kind").startswith(TABLE)
@@ -494,9 +520,9 @@ def production_wide(segments: DataFrame, plan: ReportPlan | None = None, key: st
     plan = plan or default_plan()
     if plan.sticky is None:
         raise ValueError("the plan has no final repeating stage, so it gives no rows")
-    read = read_stages(segments, plan, key, value)
+    read, keys = _read_stages(segments, plan, key, value)
     context = {f"ctx_{n}": c for n, c in context_values(plan).items()}
-    ctx = stage(_contexts(segments, read, plan, key).where("usable"), **context, header=_header(plan))
+    ctx = stage(_contexts(keys, read, plan, key).where("usable"), **context, header=_header(plan))
     ctx = _stored(ctx.select(key, *context, "header"), "contexts")
     rows = read.where((F.col("kind") == READ) & (F.col("stage") == plan.sticky)).select(key, "line_no", "line")
     grammar = plan.detail.grammar

@@ -57,6 +57,28 @@ def test_stages(docs, plan, lines, few, monkeypatch):
         assert rows(splits.production_wide(cut, plan)) == rows(production_wide(docs, plan))
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_neighbours_are_read_as_one(docs, together, monkeypatch):
+    monkeypatch.setattr(splits, "TOGETHER", together)
+    cut = splits.cut_documents(docs, 1)
+    lines = cut.count()
+    put = splits._together(cut, "doc_id", "value")
+    assert put.count() == lines if together == 1 else put.count() < lines / 2
+    columns = ["doc_id", "stage", "first_line", "last_line", "n_lines"]
+    assert rows(splits.stage_positions(cut).select(columns)) == rows(stage_positions(docs).select(columns))
+
+
+def test_gaps_repeats_and_long_segments_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TOGETHER_LENGTH", 16 * 5)
+    rows_ = [("a", 0, "x"), ("a", 1, ""), ("a", 2, "too long"), ("a", 3, "y"), ("b", 0, "x"), ("b", 0, "y"), ("b", 2, "z"),
+             ("c", 15, "p"), ("c", 16, "q"), ("c", 17, ""), ("d", None, "n"), ("e", 1, None), (None, 4, "r"), (None, 5, "s")]
+    put = splits._together(spark.createDataFrame(rows_, "doc_id string, segment bigint, value string"), "doc_id", "value")
+    # the long one leaves a gap between its neighbours
+    apart = [r for r in rows_ if r[0] in ("a", "b", "d", "e")]
+    want = [*apart, ("c", 15, "p"), ("c", 16, "q\n"), (None, 4, "r\ns")]
+    assert rows(put) == sorted(str(tuple(map(str, r))) for r in want)
+
+
 def test_borders_by_shuffle(docs, monkeypatch):
     monkeypatch.setattr(splits, "BROADCAST_BYTES", -1)
     want = explode_lines(docs)
