@@ -359,34 +359,44 @@ _UNIT = (
 _LAST = rf"(?:^|(?<=[# ]))([0-9.]{{1,{TOTALS_WIDTH}}}+)#{{0,{TOTALS_WIDTH}}}\z"
 
 
-def _touching_cells(line: Column) -> Column:
-    """The thirteen cells of a row in which spaces, or ``#`` alone, end a cell; null for no row.
+def _touching(line: Column, made) -> Column:
+    """What ``made`` gives of the units and the last number of a row in which spaces, or ``#`` alone, end a cell; null for no row.
 
     A mask or an overlong gap is a cell without digits.  The last number is the total; with fewer
     cells than columns the empty ones come before it.
     """
     body = F.regexp_replace(F.regexp_extract(line, _HEAD, 3), rf"^ {{1,{TOUCHING_SPACES}}}+", "")
 
-    def cells(text: Column, last: Column) -> Column:
-        months = F.regexp_replace(text, _LAST, "")
+    def parts(text: Column) -> Column:
+        return F.struct(F.regexp_replace(text, _LAST, "").alias("months"), F.regexp_extract(text, _LAST, 1).alias("last"))
+
+    def row(found: Column) -> Column:
+        months, last = found["months"], found["last"]
         return let(
             F.regexp_extract_all(months, F.lit(_UNIT), F.lit(0)),
             lambda units: F.when(
-                (F.array_join(units, "") == months) & (F.size(units) <= len(MONTHS)) & (last != ""),
-                F.concat(
-                    F.transform(units, lambda u: F.regexp_extract(u, "^[0-9.]*", 0)),
-                    F.array_repeat(F.lit(""), F.lit(len(MONTHS)) - F.size(units)),
-                    F.array(last),
-                ),
+                (F.array_join(units, "") == months) & (F.size(units) <= len(MONTHS)) & (last != ""), made(units, last)
             ),
         )
 
-    found = let(body, lambda text: cells(text, F.regexp_extract(text, _LAST, 1)))
-    return F.when(line.rlike(_HEAD), found)
+    return F.when(line.rlike(_HEAD), let(let(body, parts), row))
+
+
+def _touching_cells(line: Column) -> Column:
+    """The thirteen cells of such a row."""
+    return _touching(
+        line,
+        lambda units, last: F.concat(
+            F.transform(units, lambda u: F.regexp_extract(u, "^[0-9.]*", 0)),
+            F.array_repeat(F.lit(""), F.lit(len(MONTHS)) - F.size(units)),
+            F.array(last),
+        ),
+    )
 
 
 def is_touching_row(line: Column) -> Column:
-    return _touching_cells(line).isNotNull()
+    # whether it is one needs no cells
+    return _touching(line, lambda units, last: F.lit(True)).isNotNull()
 
 
 def touching_row(line: Column) -> Column:

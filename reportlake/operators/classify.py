@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reportlake.operators.extract import _list_name, _loops, has_required, with_context
 from reportlake.operators.segment import read_position, sticky_lines
-from reportlake.operators.staging import stage
 from reportlake.plans.grammar import ReportPlan, default_plan
 
 
@@ -22,7 +21,8 @@ def classify(lines: DataFrame, plan: ReportPlan | None = None, line: str = "line
         found = F.col(f"_{name}")
         fields = F.struct(*[c.alias(n) for n, c in grammar.values(found).items()])
         columns.append(F.when(found.isNotNull(), fields).alias(name))
-    return stage(lines, **parsed).select(*lines.columns, *columns)
+    # a plain projection, which Spark compiles; a generator would work the fields out expression by expression
+    return lines.withColumns(parsed).select(*lines.columns, *columns)
 
 
 def stage_positions(
