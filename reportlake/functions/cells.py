@@ -51,6 +51,8 @@ PLAIN_ROW = (
 )
 # Anything that could be a row: year or total, a gap, then only cell characters.
 ROW_GUARD = rf"{_START}(?=[# ])[\p{{Nd}}.# ]*+\z"
+# What every row begins with, whatever its cells are.
+ROW_START = rf"{_START}(?=[# ])"
 # Enough gaps for every column and no more tokens than columns.
 COLUMN_ROW = (
     rf"{_START}(?=[# ])(?=(?:[^ ]*+ ){{{N_CELLS}}})#*+"
@@ -148,7 +150,8 @@ def _fits(line: Column) -> Column:
 def is_packed_row(line: Column) -> Column:
     """The row grammar taken literally, decided in linear time."""
     return (
-        F.when(line.rlike(PLAIN_ROW), F.lit(True))
+        F.when(~line.rlike(ROW_START), F.lit(False))
+        .when(line.rlike(PLAIN_ROW), F.lit(True))
         .when(line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]"), _fits(line))
         .otherwise(F.lit(False))
     )
@@ -156,8 +159,10 @@ def is_packed_row(line: Column) -> Column:
 
 def is_column_row(line: Column) -> Column:
     """Rows of the ``columns`` layout: all packed rows, and rows with masked cells."""
+    # most lines are of another kind, and one look at their beginning tells
     return (
-        F.when(line.rlike(PLAIN_ROW), F.lit(True))
+        F.when(~line.rlike(ROW_START), F.lit(False))
+        .when(line.rlike(PLAIN_ROW), F.lit(True))
         .when(line.rlike(COLUMN_ROW), F.lit(True))
         .when(line.rlike(ROW_GUARD) & ~line.rlike(r"#[\p{Nd}.]"), _fits(line))
         .otherwise(F.lit(False))
@@ -239,13 +244,18 @@ def packed_row(line: Column) -> Column:
 def header_places(header: Column) -> Column:
     """Where the columns lie, from the header line: label centres, doubled, and the
     first character of each column's zone, zones meeting halfway between centres."""
-    label = [F.instr(header, name) * 2 + F.lit(len(name) - 1) for name in CELLS]
-    between = [(a + b) / 4 for a, b in zip(label, label[1:])]
-    starts = [F.ceil(x).cast("int") for x in between]
-    return F.when(
-        header.isNotNull(),
-        F.struct(F.array(*label).alias("centres"), F.array(*starts).alias("starts")),
-    )
+    # labels as an array, not thirteen expressions: the code around them stays short enough to be compiled
+    names = F.array(*[F.lit(name) for name in CELLS])
+    label = F.transform(names, lambda name: F.instr(header, name) * 2 + F.length(name) - 1)
+
+    def places(centres: Column) -> Column:
+        starts = F.transform(
+            F.slice(centres, F.lit(1), F.lit(N_CELLS - 1)),
+            lambda a, i: F.ceil((a + F.get(centres, i + 1)) / 4).cast("int"),
+        )
+        return F.struct(centres.alias("centres"), starts.alias("starts"))
+
+    return F.when(header.isNotNull(), let(label, places))
 
 
 def _zones(line: Column, end: Column, places: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportlake.functions import cells
 from reportlake.operators.extract import _list_name, _loops, has_required, with_context
 from reportlake.operators.segment import read_position, sticky_lines
 from reportlake.plans.grammar import ReportPlan, default_plan
@@ -30,25 +31,22 @@ def stage_positions(
 ) -> DataFrame:
     """Where each stage of each document was read: first and last line, and how many."""
     plan = plan or default_plan()
-    ctx = with_context(docs.select(key, value), plan, value)
+    ctx = with_context(docs.select(key, value), plan, value, parsed=False)
     kept = F.col("kept")
     entries = []
     for i, step in enumerate(plan.stages):
         if i == plan.sticky:
-            numbers = F.transform(sticky_lines(plan), lambda x: x["n"])
+            numbers = sticky_lines(plan)["n"]
         elif i in _loops(plan):
-            numbers = F.transform(F.col(_list_name(i)), lambda x: x["n"])
+            numbers = F.col(_list_name(i))["n"]
         else:
             at = read_position(i)
             numbers = F.array_compact(F.array(F.when(at >= 0, F.get(kept, at)["n"])))
-        entries.append(
-            F.struct(
-                F.lit(i).alias("stage"),
-                F.lit(step.name).alias("task"),
-                F.array_min(numbers).alias("first_line"),
-                F.array_max(numbers).alias("last_line"),
-                F.size(numbers).alias("n_lines"),
-            )
+        place = cells.let(
+            numbers,
+            lambda ns: F.struct(F.array_min(ns).alias("first"), F.array_max(ns).alias("last"), F.size(ns).alias("n")),
         )
+        entries.append(F.struct(F.lit(i).alias("stage"), F.lit(step.name).alias("task"), place.alias("place")))
     rows = ctx.select(key, has_required(plan).alias("has_required"), F.inline(F.array(*entries)))
-    return rows.where(F.col("n_lines") > 0)
+    spans = {"first_line": "place.first", "last_line": "place.last", "n_lines": "place.n"}
+    return rows.select(key, "has_required", "stage", "task", *[F.col(c).alias(n) for n, c in spans.items()]).where(F.col("n_lines") > 0)

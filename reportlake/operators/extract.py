@@ -48,14 +48,16 @@ def _parsed_lines(lines: Column, grammar: Grammar) -> Column:
     )
 
 
-def _listed_texts(stage: int, grammar: Grammar, name: str) -> Column:
-    return F.transform(
-        F.col(_list_name(stage)), lambda x: text_or_none(grammar.values(x["p"])[name])
-    )
+def _listed_texts(stage: int, grammar: Grammar, name: str, parsed: bool) -> Column:
+    """The values of a repeating stage as one text."""
+    lines = F.col(_list_name(stage))
+    if not parsed:
+        return grammar.joined(lines["l"], name, SEPARATOR, NULL_TEXT)
+    return F.array_join(F.transform(lines, lambda x: text_or_none(grammar.values(x["p"])[name])), SEPARATOR)
 
 
 @per_plan
-def _context_columns(plan: ReportPlan) -> dict[str, Column]:
+def _head_columns(plan: ReportPlan) -> dict[str, Column]:
     columns = {}
     for i in _singles(plan):
         if set(plan.stages[i].grammar.fields) <= {MARKER_FIELD}:
@@ -63,21 +65,35 @@ def _context_columns(plan: ReportPlan) -> dict[str, Column]:
         line = line_at(read_position(i))
         parsed = plan.stages[i].grammar.parse(line)
         columns[_head_name(i)] = F.when(line.isNotNull(), parsed)
+    return columns
+
+
+@per_plan
+def _list_columns(plan: ReportPlan, parsed: bool) -> dict[str, Column]:
+    columns = {}
     for i in _loops(plan):
         lines = repeated_lines(plan, i)
-        columns[_list_name(i)] = _parsed_lines(lines, plan.stages[i].grammar)
+        columns[_list_name(i)] = _parsed_lines(lines, plan.stages[i].grammar) if parsed else lines
     return columns
 
 
-def with_context(docs: DataFrame, plan: ReportPlan, value: str = "value") -> DataFrame:
+def with_context(docs: DataFrame, plan: ReportPlan, value: str = "value", parsed: bool = True) -> DataFrame:
     """Segmented documents with the parsed line of every single-line stage and the
-    parsed lines of every repeating stage before the detail table."""
-    return stage(with_segments(docs, plan, value), **_context_columns(plan))
+    parsed lines of every repeating stage before the detail table.
+
+    Without ``parsed`` the lists hold their lines only, and the single lines are parsed in a plain
+    projection: Spark leaves out those that are not read, so no lambda may read them.
+    """
+    docs = with_segments(docs, plan, value)
+    if parsed:
+        return stage(docs, **_head_columns(plan), **_list_columns(plan, True))
+    lists = _list_columns(plan, False)
+    return (stage(docs, **lists) if lists else docs).withColumns(_head_columns(plan))
 
 
 @per_plan
-def context_values(plan: ReportPlan) -> dict[str, Column]:
-    """Document-level fields as text, merged in stage order.
+def context_values(plan: ReportPlan, parsed: bool = True) -> dict[str, Column]:
+    """Document-level fields as text, merged in stage order; ``parsed`` as in ``with_context``.
 
     A single-line stage overwrites what earlier stages gave.  A repeating stage
     joins its values with ``; `` in line order, after what is already there.
@@ -92,9 +108,9 @@ def context_values(plan: ReportPlan) -> dict[str, Column]:
                 continue
             before = out.get(name, F.lit(None).cast("string"))
             if stage.repeats:
-                items = _listed_texts(i, stage.grammar, name)
-                whole = F.when(before.isNull(), items).otherwise(F.concat(F.array(before), items))
-                out[name] = F.when(F.size(items) > 0, F.array_join(whole, SEPARATOR)).otherwise(before)
+                items = _listed_texts(i, stage.grammar, name, parsed)
+                whole = F.concat(F.coalesce(F.concat(before, F.lit(SEPARATOR)), F.lit("")), items)
+                out[name] = F.when(F.size(_list_name(i)) > 0, whole).otherwise(before)
             else:
                 head = F.col(_head_name(i))
                 out[name] = F.when(head.isNotNull(), stage.grammar.values(head)[name]).otherwise(before)
@@ -138,9 +154,10 @@ def document_context(
 ) -> DataFrame:
     """One row per document: its header fields and joined lists, null when not read."""
     plan = plan or default_plan()
-    ctx = with_context(docs.select(key, value), plan, value)
-    out = stage(ctx, **context_values(plan), has_required=has_required(plan))
-    return out.select(key, *context_values(plan), "has_required")
+    ctx = with_context(docs.select(key, value), plan, value, parsed=False)
+    values = context_values(plan, False)
+    out = stage(ctx, **values, has_required=has_required(plan))
+    return out.select(key, *values, "has_required")
 
 
 def listed_items(
@@ -172,9 +189,11 @@ def detail_lines(
     """
     if plan.sticky is None:
         raise ValueError("the plan has no final repeating stage, so it gives no rows")
-    ctx = with_context(docs.select(key, value, *keep), plan, value)
-    context = {f"ctx_{n}": c for n, c in context_values(plan).items()}
-    ctx = stage(ctx, **context, header=_header(plan), offered=_offered(plan))
+    ctx = with_context(docs.select(key, value, *keep), plan, value, parsed=False)
+    context = {f"ctx_{n}": c for n, c in context_values(plan, False).items()}
+    # a plain projection: what a query does not read is not worked out; the generator is the border, and keeps
+    # the compiled code of documents and of lines apart, which together the JVM would find too long to compile
+    ctx = stage(ctx.withColumns({**context, "header": _header(plan)}), offered=_offered(plan))
     rows = ctx.select(
         key, *keep, *context, "header", F.explode_outer(F.col("offered")).alias("x")
     )

@@ -89,6 +89,11 @@ class Grammar:
         """A table of matching lines with the parsed line as a further column."""
         return rows.withColumn(name, self.parse(F.col(line), F.col(header)))
 
+    def joined(self, lines: Column, name: str, separator: str, absent: str) -> Column:
+        """The texts of one named group in an array of matching lines, joined; ``absent`` for a null."""
+        texts = F.transform(lines, lambda line: F.coalesce(self.group(line, name), F.lit(absent)))
+        return F.array_join(texts, separator)
+
     def values(self, parsed: Column) -> dict[str, Column]:
         return {f: parsed[f] for f in self.fields}
 
@@ -226,13 +231,15 @@ def _spaces_off(text: Column) -> Column:
 class CutLine(Grammar):
     """A line whose fields are cut out between fixed places; made by ``cut`` from a line.
 
-    ``cut`` gives (is it such a line, the fields); a field is null when it is absent.
+    ``cut`` gives (is it such a line, the fields); a field is null when it is absent.  ``cut_all`` gives
+    the fields of many matching lines at once, from a text of such lines to a text of as many lines.
     """
 
     pattern: str = ""
     names: tuple[str, ...] = ()
     optional: bool = False
     cut: Callable[[Column], tuple[Column, dict[str, Column]]] = None
+    cut_all: Callable[[Column, str], dict[str, Column]] | None = None
 
     @property
     def fields(self) -> list[str]:
@@ -265,6 +272,11 @@ class CutLine(Grammar):
     def parse_entry(self, line: Column) -> Column:
         return super().parse(line)
 
+    def joined(self, lines: Column, name: str, separator: str, absent: str) -> Column:
+        if self.cut_all is None:
+            return super().joined(lines, name, separator, absent)
+        return F.replace(self.cut_all(F.array_join(lines, "\n"), absent)[name], F.lit("\n"), F.lit(separator))
+
 
 def _label_words(*choices: str) -> Callable[[Column], tuple[Column, dict[str, Column]]]:
     """A marker line: its first words are the label's; the last may go on."""
@@ -326,6 +338,14 @@ def _well(line: Column) -> tuple[Column, dict[str, Column]]:
     return line.rlike(_WELL_LINE), {"Permit": permit, "Well": name}
 
 
+def _wells(lines: Column, absent: str) -> dict[str, Column]:
+    """The same of a text of such lines; in (?d) nothing but a line feed ends a line."""
+    permit = F.regexp_replace(F.regexp_replace(lines, r"(?dm)^ [^\n]*+", absent), r" [^\n]*+", "")
+    # a line without a name gets the absent one behind a space, as names are
+    named = F.regexp_replace(lines, rf"(?dm)^(?: {{{NO_PERMIT}}}|[^ \n]++)$", f" {absent}")
+    return {"Permit": permit, "Well": F.regexp_replace(named, r"(?dm)^[^ \n]*+ *+", "")}
+
+
 @dataclass(frozen=True)
 class Stage:
     """One step of a plan: single-line, or repeating while its grammar matches."""
@@ -384,7 +404,7 @@ GRAMMARS = {
         names=(MARKER_FIELD,),
         cut=_label_words("Permit # Well Name", "Permit Well Name"),
     ),
-    "Permit_Well": CutLine("Permit_Well", names=("Permit", "Well"), optional=True, cut=_well),
+    "Permit_Well": CutLine("Permit_Well", names=("Permit", "Well"), optional=True, cut=_well, cut_all=_wells),
     "Permit_Well_end": CutLine(
         "Permit_Well_end", needs=("Edit",), names=(MARKER_FIELD,), cut=_label_words("Edit Wells", "EditWells")
     ),

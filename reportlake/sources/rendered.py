@@ -112,8 +112,8 @@ def render_reports(spark: SparkSession, sf_dir: str, by_brand: bool = True) -> D
         F.when(~F.col("is_year"), F.struct("l_partkey", "p_name", well_line.alias("line"))).alias("part_row"),
     )
     body = rows.groupBy("l_suppkey", "number").agg(
-        F.array_sort(F.collect_list("year_row")).alias("years"),
-        F.array_sort(F.collect_list("part_row")).alias("wells"),
+        F.sort_array(F.collect_list("year_row")).alias("years"),
+        F.sort_array(F.collect_list("part_row")).alias("wells"),
         *[F.sum(m).alias(f"total_{m}") for m in month_names],
     )
     places = (

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
-from reportlake.operators.extract import production_wide
+from reportlake.operators.extract import production_long, production_typed, production_wide
 from reportlake.plans.grammar import GRAMMARS, default_plan
 from reportlake.sources.rendered import render_reports
 
@@ -87,3 +88,44 @@ def test_page_breaks_do_not_change_rows(spark):
         rows.setdefault(row["doc_id"], []).append((row["Year"], row["Permit"].replace("\f", ""), row["Well"], row["Totals"]))
     wanted = ("; ".join(f"{i:07d}" for i in range(4)), "; ".join(f"well {i}" for i in range(4)), "1")
     assert rows == {k: [(str(y), *wanted) for y in range(2000, 2004)] for k in "ab"}
+
+
+def test_columns_that_are_not_read_are_not_worked_out(spark):
+    docs = spark.createDataFrame([("a", "x\ny")], "doc_id string, value string")
+    rows = production_long(docs)
+    lists = [r" [^\n]*+", r"(?dm)^[^ \n]*+ *+"]
+    # the texts of a list are joined where its columns are read, and only there
+    whole, part = (
+        rows.select(*names)._jdf.queryExecution().optimizedPlan().toString() for names in (["permit", "well"], ["county", "volume"])
+    )
+    assert all(text in whole and text not in part for text in lists)
+
+
+def test_compiled_code_is_short_enough_for_the_jvm(spark):
+    docs = spark.createDataFrame([("a", "x\ny")], "doc_id string, value string")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    for rows in (production_wide(docs), production_typed(docs), production_long(docs)):
+        code = rows._jdf.queryExecution().explainString(mode)
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        # methods of more bytes are never compiled
+        assert sizes and max(sizes) < 8000
+
+
+def test_texts_of_a_list_are_those_of_its_lines(spark):
+    lines = [
+        "0000005       red rod #5", "1234567890", "x", "é" * 10 + " y", " " * 8, " " * 9 + "x", " " * 9, "a b c", "a ", "a\r b", "a b  c d",
+        "\ta\f  b\x0bc", " " * 10 + "x  y ", "None", "$1 \\1",
+    ]
+    grammar = GRAMMARS["Permit_Well"]
+    docs = spark.createDataFrame([(lines,), (lines[::-1],), ([lines[4]],), ([lines[1]],), ([],)], "ls array<string>")
+
+    def each(name):
+        return F.array_join(F.transform("ls", lambda line: F.coalesce(grammar.parse_entry(line)[name], F.lit("None"))), "; ")
+
+    values = {n: each(n) for n in ("Permit", "Well")}
+    rows = docs.select(
+        *[v.alias(f"each_{n}") for n, v in values.items()],
+        *[grammar.joined(F.col("ls"), n, "; ", "None").alias(f"all_{n}") for n in values],
+    )
+    for row in rows.collect():
+        assert row["all_Permit"] == row["each_Permit"] and row["all_Well"] == row["each_Well"]
