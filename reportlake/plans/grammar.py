@@ -219,7 +219,12 @@ class WideRow(Grammar):
 def _after(text: Column, taken: Column | str, more: int = 0) -> Column:
     """What is left of a text after a beginning of the length of ``taken`` and ``more`` characters."""
     length = F.lit(len(taken)) if isinstance(taken, str) else F.char_length(taken)
-    return F.substring(text, length + F.lit(more + 1), F.char_length(text))
+    return F.substr(text, length + F.lit(more + 1))
+
+
+def _past(text: Column, label: str) -> Column:
+    """What comes after the first ``label``; the text is worked out once, however long its expression."""
+    return cells.let(text, lambda t: _after(t, F.substring_index(t, label, 1), len(label)))
 
 
 def _spaces_off(text: Column) -> Column:
@@ -292,33 +297,38 @@ _BUYER_LINE = r"^ *+Buyer: (?>[\s\S]*?Lease#: )(?>[\s\S]*?Production ++Type )"
 
 def _place(line: Column) -> tuple[Column, dict[str, Column]]:
     """County before its label, then Quad and Pool, each up to its own."""
-    county = F.substring_index(line, "County; ", 1)
-    rest = _after(line, county, len("County; "))
-    quad = F.substring_index(rest, "Quad; ", 1)
-    pool_on = _after(rest, quad, len("Quad; "))
-    end = F.regexp_instr(pool_on, F.lit(" Field +Pool"))
-    test = line.rlike(_PLACE_LINE)
-    pool = F.substring(pool_on, F.lit(1), end - 1)
-    return test, {"County": _spaces_off(county), "Quad": _spaces_off(quad), "Pool": _spaces_off(pool)}
+    rest = _past(line, "County; ")
+
+    def pool(text: Column) -> Column:
+        return F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(" Field +Pool")) - 1)
+
+    county, quad = F.substring_index(line, "County; ", 1), F.substring_index(rest, "Quad; ", 1)
+    fields = {"County": county, "Quad": quad, "Pool": cells.let(_past(rest, "Quad; "), pool)}
+    return line.rlike(_PLACE_LINE), {n: _spaces_off(text) for n, text in fields.items()}
 
 
 def _buyer(line: Column) -> tuple[Column, dict[str, Column]]:
     """Buyer up to the lease label, Lease up to the type label, Type as one word."""
-    begin = F.ltrim(line)
-    body = _after(begin, "Buyer: ")
-    named = F.substring_index(body, "Lease#: ", 1)
-    rest = _after(body, named, len("Lease#: "))
-    at = F.regexp_instr(rest, F.lit("Production +Type "))
-    kind_on = F.ltrim(F.substring(rest, at + len("Production"), F.char_length(rest)))
-    kind_on = F.ltrim(_after(kind_on, "Type "))
-    unit = F.regexp_instr(kind_on, F.lit("Production +Unit"))
-    word = F.substring_index(kind_on, " ", 1)
-    kind = F.when(unit > 0, F.substring(word, F.lit(1), unit - 1)).otherwise(word)
+    # every step is bound by a lambda: written out, the later ones would hold the earlier ones hundreds of times
+    body = _after(F.ltrim(line), "Buyer: ")
+    rest = _past(body, "Lease#: ")
+
+    def type_at(text: Column) -> Column:
+        return F.regexp_instr(text, F.lit("Production +Type "))
+
+    def lease(text: Column) -> Column:
+        return F.substring(text, F.lit(1), type_at(text) - 1)
+
+    def kind(text: Column) -> Column:
+        unit, word = F.regexp_instr(text, F.lit("Production +Unit")), F.substring_index(text, " ", 1)
+        return F.when(unit > 0, F.substring(word, F.lit(1), unit - 1)).otherwise(word)
+
+    kind_on = cells.let(rest, lambda text: F.ltrim(F.substr(text, type_at(text) + len("Production"))))
     # What may stand between the buyer's name and the lease label.
-    name = F.regexp_replace(_spaces_off(named), "Buyer's$", "")
+    name = F.regexp_replace(_spaces_off(F.substring_index(body, "Lease#: ", 1)), "Buyer's$", "")
     name = F.regexp_replace(_spaces_off(name), ",$", "")
-    test = line.rlike(_BUYER_LINE)
-    return test, {"Buyer": name, "Lease": _spaces_off(F.substring(rest, F.lit(1), at - 1)), "Type": kind}
+    fields = {"Buyer": name, "Lease": _spaces_off(cells.let(rest, lease)), "Type": cells.let(F.ltrim(_after(kind_on, "Type ")), kind)}
+    return line.rlike(_BUYER_LINE), fields
 
 
 #: Spaces that stand for an absent permit, and the most characters of one.

@@ -129,3 +129,43 @@ def test_texts_of_a_list_are_those_of_its_lines(spark):
     )
     for row in rows.collect():
         assert row["all_Permit"] == row["each_Permit"] and row["all_Well"] == row["each_Well"]
+
+
+def test_cut_steps_are_worked_out_once(spark):
+    """Written out step by step, the type of a buyer's line held the steps before it some hundred times."""
+    lines = spark.createDataFrame([("x",)], "l string")
+    for name in ("County_Quad_Pool", "Buyer_Lease_Type_Active"):
+        parsed = lines.select(GRAMMARS[name].parse(F.col("l")).alias("p"))
+        plan = parsed._jdf.queryExecution().analyzed().toString()
+        assert plan.count("substr") < 40, name
+
+
+def test_cut_fields_of_awkward_lines(spark):
+    def after(text, label):
+        return text.partition(label)[2]
+
+    buyers = [
+        "Buyer:  Ann, Buyer's  Lease#:  7 Lease#: 8 Production  Type  Gas  Production Unit",
+        "  Buyer: Ä€\U0001f600,  Lease#: Production  Type   OilProduction  Unit Type x",
+        "Buyer: Lease#: 1Production Type ",
+        "Buyer: a Buyer: b Lease#: Production x Production Type Oil Production Type Gas",
+    ]
+    for line, row in zip(buyers, spark.createDataFrame([(b,) for b in buyers], "l string").coalesce(1).select(GRAMMARS["Buyer_Lease_Type_Active"].parse(F.col("l")).alias("p")).collect()):
+        body = line.lstrip(" ")[len("Buyer: "):]
+        named, rest = body.partition("Lease#: ")[0], after(body, "Lease#: ")
+        at = re.search("Production +Type ", rest)
+        kind = rest[at.start() + len("Production"):].lstrip(" ")[len("Type "):].lstrip(" ")
+        word, unit = kind.split(" ")[0], re.search("Production +Unit", kind)
+        word = word[: unit.start()] if unit else word
+        buyer = re.sub(",$", "", re.sub("Buyer's$", "", named.strip(" ")).strip(" "))
+        assert tuple(row["p"]) == (buyer, rest[: at.start()].strip(" "), word), line
+    places = [
+        "A County; B Quad; C Field Pool",
+        " é County;  County; Quad; x Quad;  Field  Field   Pool Field Pool",
+        "County; Quad;  Field Pool",
+    ]
+    for line, row in zip(places, spark.createDataFrame([(p,) for p in places], "l string").coalesce(1).select(GRAMMARS["County_Quad_Pool"].parse(F.col("l")).alias("p")).collect()):
+        rest = after(line, "County; ")
+        pool = after(rest, "Quad; ")
+        pool = pool[: re.search(" Field +Pool", pool).start()]
+        assert tuple(row["p"]) == tuple(t.strip(" ") for t in (line.partition("County; ")[0], rest.partition("Quad; ")[0], pool)), line
