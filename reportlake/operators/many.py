@@ -73,6 +73,8 @@ def classify_many(lines: DataFrame, grammars: list[Grammar], line: str = "line",
     ]
     text, own = F.col(line), F.col("_own")
     tried = lines.select("*", F.explode(worth_trying(text, grammars)).alias("_at"))
+    # lines of one grammar after each other: its pattern is compiled when it changes, not for every line
+    tried = tried.sortWithinPartitions("_at")
     table = F.from_json(F.lit(json.dumps(rows)), _TABLE)
     met = stage(tried, _own=F.get(table, F.col("_at"))).where(F.rlike(text, own["java"]))
 

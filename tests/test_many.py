@@ -105,3 +105,11 @@ def test_odd_tables(spark, lines):
     assert classify_many(extra, [word], name="of").columns == ["n", "line", "grammar", "of", "fields"]
     with pytest.raises(ValueError):
         classify_many(lines, [CutLine("c")])
+
+
+def test_lines_of_one_grammar_follow_each_other(spark):
+    """A pattern that comes with the row is compiled whenever it changes from one row to the next."""
+    grammars = [Grammar(str(i), rf"(?P<a>x{i})") for i in range(3)]
+    lines = spark.createDataFrame([(f"x{i % 3}",) for i in range(12)], "line string").coalesce(1)
+    found = classify_many(lines, grammars)
+    assert [r["grammar"] for r in found.collect()] == sorted(str(i % 3) for i in range(12))
