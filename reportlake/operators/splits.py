@@ -15,6 +15,7 @@ says what grammars match it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,9 +61,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def cut_documents(docs: DataFrame, lines: int, key: str = "doc_id", value: str = "value") -> DataFrame:
     """Documents that are whole rows, cut into segments of so many lines."""
-    cut = F.split(value, "\n")
+    # staged: inside the lambda the whole document would be split again for every segment
+    docs = stage(docs.select(key, value), _cut=F.split(value, "\n"))
     parts = F.transform(
-        F.sequence(F.lit(1), F.size(cut), F.lit(lines)), lambda i: F.array_join(F.slice(cut, i, F.lit(lines)), "\n")
+        F.sequence(F.lit(1), F.size("_cut"), F.lit(lines)), lambda i: F.array_join(F.slice("_cut", i, F.lit(lines)), "\n")
     )
     return docs.select(key, F.posexplode(parts).alias(SEGMENT, value)).withColumn(SEGMENT, F.col(SEGMENT).cast("long"))
 
@@ -77,7 +79,7 @@ def _together(segments: DataFrame, key: str, value: str) -> DataFrame:
         return rows
     small = F.coalesce(F.char_length(value) <= TOGETHER_LENGTH // TOGETHER, F.lit(False))
     place = [F.when(small, F.floor(F.col(SEGMENT) / TOGETHER)).alias("_block"), F.when(~small, F.col(SEGMENT)).alias("_alone")]
-    parts = F.array_sort(F.collect_list(F.struct(SEGMENT, value))).alias("parts")
+    parts = F.sort_array(F.collect_list(F.struct(SEGMENT, value))).alias("parts")
     met = rows.select("*", *place).groupBy(key, "_block", "_alone").agg(parts)
     met = stage(met, numbers=F.transform("parts", lambda x: x[SEGMENT]))
     n, first = F.size("numbers"), F.get("numbers", F.lit(0))
@@ -188,6 +190,7 @@ class _Machine:
         self.repeats = [s.repeats for s in plan.stages]
         self.skips = [s.skips for s in plan.stages]
         self.wide = plan.sticky is not None and plan.detail.grammar.wide
+        self.numbers = {s: i for i, s in enumerate(self.states())}
         self.known: dict = {}
 
     @staticmethod
@@ -226,13 +229,17 @@ class _Machine:
         ``footer``: the line ahead is followed by one that begins a page. What the last stage says of its
         own lines has a kind that begins with TABLE.
         """
-        key = (state, here, ahead, footer, last)
-        if key not in self.known:
-            after, done = self._step(*key)
-            if after[0] == self.sticky != state[0]:
-                done = (*done, (0, self.sticky, ENTERED))
-            self.known[key] = after, done
-        return self.known[key]
+        after, done = self._step(state, here, ahead, footer, last)
+        if after[0] == self.sticky != state[0]:
+            done = (*done, (0, self.sticky, ENTERED))
+        return after, done
+
+    def moves(self, line: tuple) -> tuple[list[int], list[tuple]]:
+        """By the number of every state: that of the next one, and what happens, on a line of ``walk``."""
+        if line not in self.known:
+            steps = [self.step(state, *line) for state in self.numbers]
+            self.known[line] = [self.numbers[after] for after, _ in steps], [done for _, done in steps]
+        return self.known[line]
 
     def _read(self, s: int, here: int) -> tuple:
         damaged = here >> (2 * self.n + 1) & 1 if self.wide else not here >> (self.n + s) & 1
@@ -292,37 +299,58 @@ class _Machine:
         return state, (note,)
 
     def walk(self, codes: list[int], follow: list[int], opening: bool, later: bool) -> Iterator[tuple]:
-        """The current lines of a segment: index, codes here and ahead, footer, last."""
-        feed = 2 * self.n
+        """The current lines of a segment: index, and (code here, code ahead, footer, last)."""
+        feed = 1 << 2 * self.n
         every = codes + follow
+        if not any([code & feed for code in every]):  # no page begins here
+            n = min(len(codes), len(every) - 1)
+            end = -1 if later else n - 1
+            for i in range(n):
+                yield i, (every[i], every[i + 1], False, i == end)
+            return
         found = []
         for i in range(len(codes)):
-            opening = opening and bool(codes[i] >> feed & 1)
-            if i + 1 < len(every) and not every[i + 1] >> feed & 1 and not opening:
-                footer = i + 2 < len(every) and bool(every[i + 2] >> feed & 1)
+            opening = opening and bool(codes[i] & feed)
+            if i + 1 < len(every) and not every[i + 1] & feed and not opening:
+                footer = i + 2 < len(every) and bool(every[i + 2] & feed)
                 found.append((i, every[i], every[i + 1], footer))
-        for j, x in enumerate(found):
-            yield (*x, j == len(found) - 1 and not later)
+        for j, (i, *line) in enumerate(found):
+            yield i, (*line, j == len(found) - 1 and not later)
 
-    def map(self, lines: list[tuple], number: dict) -> list[int]:
-        """For every state the one after these lines; states that have met go on as one."""
-        ends = {s: s for s in number}
-        for _, here, ahead, footer, last in lines:
-            moved = {s: self.step(s, here, ahead, footer, last)[0] for s in set(ends.values())}
-            ends = {s: moved[e] for s, e in ends.items()}
-        return [number[ends[s]] for s in number]
+    def map(self, lines: Iterator[tuple]) -> list[int]:
+        """The number of the state after these lines, by that of the one before them."""
+        ends = list(range(len(self.numbers)))
+        for _, line in lines:
+            after, _ = self.moves(line)
+            ends = [after[e] for e in ends]
+        return ends
+
+
+def _rows(column: pa.Array) -> list:
+    """A column as Python values; lists of numbers are taken as one array, not one by one."""
+    if not pa.types.is_list(column.type) or column.null_count:
+        return column.to_pylist()
+    flat = column.values.to_pylist() if column.values.null_count else column.values.to_numpy().tolist()
+    ends = column.offsets.to_pylist()
+    return [flat[a:b] for a, b in pairwise(ends)]
 
 
 def _appended(df: DataFrame, inputs: list[str], function: Callable, name: str, kind: str) -> DataFrame:
-    """``df`` with a column worked out in Python from some others; the rest passes through unread."""
+    """``df`` with a column of lists worked out in Python from some others; the rest passes through unread."""
     out = StructType.fromDDL(f"`{name}` {kind}")
-    arrow = pa.list_(pa.struct([("at", pa.int32()), ("stage", pa.int32()), ("kind", pa.string())])) if "struct" in kind else pa.list_(pa.int32())
+    fields = [("at", pa.int32()), ("stage", pa.int32()), ("kind", pa.string())] if "struct" in kind else []
 
     def run(batches):
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in inputs])
-            values = pa.array([function(*r) for r in rows], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+            found = [function(*r) for r in zip(*[_rows(batch.column(c)) for c in inputs])]
+            ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+            flat = list(chain.from_iterable(found))
+            if fields:
+                parts = zip(*flat) if flat else [()] * len(fields)
+                items = pa.StructArray.from_arrays([pa.array(p, t) for p, (_, t) in zip(parts, fields)], [n for n, _ in fields])
+            else:
+                items = pa.array(flat, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, items)], [*batch.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema, *out]))
 
@@ -337,7 +365,7 @@ def _entered(maps: DataFrame, key: str, first: int) -> DataFrame:
     grouped = []
     while True:
         whole = levels[-1].withColumn("to", F.floor(F.col("k") / FAN_IN)).groupBy(key, "to").agg(
-            F.array_sort(F.collect_list(F.struct("k", "map"))).alias("maps")
+            F.sort_array(F.collect_list(F.struct("k", "map"))).alias("maps")
         )
         grouped.append(_stored(whole, "grouped"))
         most //= FAN_IN
@@ -373,8 +401,7 @@ def read_stages(segments: DataFrame, plan: ReportPlan | None = None, key: str =
 def _read_stages(segments: DataFrame, plan: ReportPlan, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """What ``read_stages`` gives, and the stored keys, so that the segments are worked out once."""
     machine = _Machine(plan)
-    number = {s: i for i, s in enumerate(machine.states())}
-    names = list(number)
+    first = machine.numbers[machine.start()]
     n = len(plan.stages)
     coded = stage(_together(segments, key, value), kept=kept_lines(F.col(value), c=lambda l: _Machine.codes(plan, l)))
     coded = _stored(
@@ -393,33 +420,35 @@ def _read_stages(segments: DataFrame, plan: ReportPlan, key: str, value: str) ->
     met = with_borders(light, key, F.col("heads"), F.col("count"), F.col("feeds"), F.col("raw"))
     own = met.select(key, SEGMENT, "codes", "next", "lines_before", (F.col("feeds_before") == F.col("kept_before")).alias("opening"))
     own = own.withColumn("follow", F.transform("next", lambda x: x["x"]["c"]))
-
-    def current(codes, follow, opening):
-        return [i for i, *_ in machine.walk(codes, follow, opening, True)]
-
-    own = _stored(_appended(own, ["codes", "follow", "opening"], current, "current", "array<int>"), "current")
-    end = own.where(F.size("current") > 0).groupBy(F.col(key).alias("_on")).agg(F.max(SEGMENT).alias("_end"))
+    # a line is current if the next one begins no page; those that open the document are not
+    fed = lambda c: c.bitwiseAND(feed) != 0
+    after_feeds = F.array_position(F.transform("codes", fed), F.lit(False)).cast("int") - 1
+    begin = F.when(~F.col("opening"), F.lit(0)).when(after_feeds < 0, F.size("codes")).otherwise(after_feeds)
+    following = F.slice(F.concat("codes", F.slice("follow", F.lit(1), F.lit(1))), begin + 2, F.size("codes"))
+    own = _stored(own.withColumn("has_current", F.exists(following, lambda c: ~fed(c))), "current")
+    end = own.where("has_current").groupBy(F.col(key).alias("_on")).agg(F.max(SEGMENT).alias("_end"))
     own = own.join(end, own[key].eqNullSafe(F.col("_on")), "left")
     own = own.withColumn("later", F.coalesce(F.col(SEGMENT) < F.col("_end"), F.lit(False))).drop("_on", "_end")
 
     def mapped(codes, follow, opening, later):
-        return machine.map(list(machine.walk(codes, follow, opening, later)), number)
+        return machine.map(machine.walk(codes, follow, opening, later))
 
     several = own.groupBy(F.col(key).alias("_on")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = own.join(several, own[key].eqNullSafe(F.col("_on")), "left_semi")
     maps = _appended(parts.select(key, SEGMENT, "codes", "follow", "opening", "later"), ["codes", "follow", "opening", "later"], mapped, "map", "array<int>")
     # stored first: sorting by range reads its input twice
-    entered = _entered(_stored(maps.select(key, SEGMENT, "map"), "mapped"), key, number[machine.start()])
-    own = _joined(own, entered, [key, SEGMENT]).withColumn("state", F.coalesce("state", F.lit(number[machine.start()])))
+    entered = _entered(_stored(maps.select(key, SEGMENT, "map"), "mapped"), key, first)
+    own = _joined(own, entered, [key, SEGMENT]).withColumn("state", F.coalesce("state", F.lit(first)))
 
     def run(codes, follow, opening, later, state):
-        out, now = [], names[state]
-        for i, here, ahead, footer, last in machine.walk(codes, follow, opening, later):
-            now, done = machine.step(now, here, ahead, footer, last)
-            out += [{"at": i + on, "stage": s, "kind": kind} for on, s, kind in done]
+        out, now = [], state
+        for i, line in machine.walk(codes, follow, opening, later):
+            after, done = machine.moves(line)
+            out += [(i + on, s, kind) for on, s, kind in done[now]]
+            now = after[now]
         return out
 
-    own = own.drop("current")
+    own = own.drop("has_current")
     read = _appended(own, ["codes", "follow", "opening", "later", "state"], run, "done", "array<struct<at:int,stage:int,kind:string>>")
     # a segment that read nothing needs no text
     read = _stored(read.where(F.size("done") > 0).select(key, SEGMENT, "lines_before", "next", "done"), "done")
@@ -461,7 +490,7 @@ def _contexts(keys: DataFrame, read: DataFrame, plan: ReportPlan, key: str) -> D
     # the list of a document becomes one text of the report, so its lines fit a row
     entry = F.struct(F.col("line_no").alias("n"), F.col("stage").alias("s"), F.col("line").alias("l"))
     docs = keys.distinct()
-    docs = _joined(docs, before.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("kept")), [key])
+    docs = _joined(docs, before.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("kept")), [key])
     if plan.sticky is None:
         docs = docs.withColumns({"first_row": F.lit(None).cast("long"), "reached": F.lit(True)})
     else:

@@ -111,3 +111,27 @@ def test_nothing(docs):
     none = splits.cut_documents(docs.limit(0), 1)
     assert splits.explode_segments(none).count() == 0
     assert splits.stage_positions(none).count() == 0 and splits.diagnostics(none).count() == 0
+
+
+def test_segments_do_not_split_their_document_again(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, ""), (3, None)], "doc_id bigint, value string")
+    cut = splits.cut_documents(docs, 2)
+    assert sorted(map(tuple, cut.collect())) == [(1, 0, "a\nb"), (1, 1, "c"), (2, 0, "")]
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_equal_lines_are_stepped_once(monkeypatch):
+    machine, steps = splits._Machine(default_plan(layout="pack_left")), []
+    step = splits._Machine.step
+    monkeypatch.setattr(splits._Machine, "step", lambda self, *a: steps.append(a) or step(self, *a))
+    rng = random.Random(3)
+    n = machine.n
+    for feeds in (0, 1):
+        codes = [rng.choice([0, 1 << 3 | 1 << n + 3, 1 << n - 1 | 1 << 2 * n - 1, feeds << 2 * n]) for _ in range(3000)]
+        lines = list(machine.walk(codes, [0, 0], True, False))
+        ends = machine.map(iter(lines))
+        for at, state in enumerate(machine.numbers):
+            for _, line in lines:
+                state = step(machine, state, *line)[0]
+            assert machine.numbers[state] == ends[at]
+    assert 0 < len(steps) < 200 * len(machine.numbers)
