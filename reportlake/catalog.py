@@ -699,7 +699,7 @@ def report_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/report.csv"
     plan = default_plan()
     rows = production_wide(render_reports(spark, sf_dir), plan, position=True)
-    sinks.write_csv(rows, plan.columns, folder, order_by=["doc_id", "line_no"])
+    sinks.write_csv(rows, plan.columns, folder, order_by=["doc_id", "line_no"], compression="gzip")
     schema = ", ".join(f"`{c}` string" for c in plan.columns)
     back = spark.read.option("header", True).option("escape", '"').schema(schema).csv(folder)
     place = back.select(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import gzip
 import re
 
 from pyspark.sql import functions as F
 
+from reportlake import catalog
 from reportlake.operators.extract import production_long, production_typed, production_wide
 from reportlake.plans.grammar import GRAMMARS, default_plan
 from reportlake.sources.rendered import render_reports
@@ -169,3 +171,18 @@ def test_cut_fields_of_awkward_lines(spark):
         pool = after(rest, "Quad; ")
         pool = pool[: re.search(" Field +Pool", pool).start()]
         assert tuple(row["p"]) == tuple(t.strip(" ") for t in (line.partition("County; ")[0], rest.partition("Quad; ")[0], pool)), line
+
+
+def test_the_ordered_report_is_kept_compressed(spark, tmp_path, monkeypatch):
+    _tables(spark, tmp_path)
+    day = datetime.date
+    lines = [(1, 5 + i % 2, 1.0 + i, day(1995 + i % 7, 1 + i % 12, 1)) for i in range(84)]
+    lines = spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_quantity double, l_shipdate date")
+    lines.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalog, "shared_folder", lambda spark: str(tmp_path / "kept"))
+    rows = sorted(map(tuple, catalog.QUERIES["report_ordered"](spark, str(tmp_path)).collect()))
+    assert rows == [(i, "112", year) for i, year in enumerate([*map(str, range(1995, 2002)), "Totals"], 1)]
+    parts = list((tmp_path / "kept" / "report.csv").glob("part-*"))
+    plain = [gzip.decompress(p.read_bytes()) for p in parts]
+    assert b"".join(plain).count(b"red rod #5; old bolt #6") == 8
+    assert sum(p.stat().st_size for p in parts) < sum(map(len, plain)) / 2
